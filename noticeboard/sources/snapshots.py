@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,21 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType = RAW_CHU
         return spark.createDataFrame([], schema)
 
 
+def write_snapshot_json(df: DataFrame, path: str) -> None:
+    """Files that each hold one JSON array, one file per partition of ``df``."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opening = "["
+        for batch in batches:
+            if len(batch):
+                rows = batch["value"].tolist()
+                yield pd.DataFrame({"value": [opening + rows[0], *["," + r for r in rows[1:]]]})
+                opening = ","
+        yield pd.DataFrame({"value": ["[]" if opening == "[" else "]"]})
+
+    df.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(lines, "value string").write.text(path)
+
+
 def require_fields(df: DataFrame, fields: list[str] = REQUIRED) -> DataFrame:
     return df.dropna(subset=fields, how="any")
 
