@@ -346,19 +346,20 @@ def c20(spark, d):
     "c21_match_heading",
     """SELECT page, title_id, heading_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY score DESC, heading_id) AS rn FROM (
-    SELECT t.vec_id // 4 AS page, t.vec_id AS title_id, h.vec_id AS heading_id,
+    SELECT CAST(t.label AS BIGINT) AS page, t.vec_id AS title_id, h.vec_id AS heading_id,
       round(list_cosine_similarity(CAST(t.embedding AS DOUBLE[]), CAST(h.embedding AS DOUBLE[])), 6) AS score
-    FROM embeddings t JOIN embeddings h ON h.vec_id // 4 = t.vec_id // 4 AND t.vec_id % 4 = 0 AND h.vec_id % 4 <> 0))
-WHERE rn = 1 AND score > 0.4""",
+    FROM embeddings t JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) f ON t.vec_id = f.vec_id
+    JOIN embeddings h ON h.label = t.label AND h.vec_id <> t.vec_id)) WHERE rn = 1 AND score > 0.25""",
 )
 def c21(spark, d):
-    """The first vector of four is a page title, the other three are its headings."""
+    """Each label is a page; its first vector is the title and the others are headings."""
     emb = table(spark, d, "embeddings").select(
-        F.floor(F.col("vec_id") / 4).alias("page"), "vec_id", F.col("embedding").cast("array<double>").alias("vector")
+        F.col("label").cast("long").alias("page"), "vec_id", F.col("embedding").cast("array<double>").alias("vector")
     )
-    titles = emb.filter(F.col("vec_id") % 4 == 0).withColumnRenamed("vec_id", "title_id")
-    headings = emb.filter(F.col("vec_id") % 4 != 0).withColumnRenamed("vec_id", "heading_id")
-    return vector.match_heading(titles, headings).select("page", "title_id", "heading_id", "score")
+    first = emb.groupBy("page").agg(F.min("vec_id").alias("vec_id"))
+    titles = emb.join(first.select("vec_id"), "vec_id", "left_semi").withColumnRenamed("vec_id", "title_id")
+    headings = emb.join(first.select("vec_id"), "vec_id", "left_anti").withColumnRenamed("vec_id", "heading_id")
+    return vector.match_heading(titles, headings, 0.25).select("page", "title_id", "heading_id", "score")
 
 
 SIZE, OVERLAP, TOLERANCE = 100, 20, 15

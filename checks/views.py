@@ -20,7 +20,13 @@ AS_OF = "2025-12-16"
 
 # -- helpers --------------------------------------------------------------
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table. A table of texts that comes as one small file is spread over the
+    cores; a table of many files already is."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and df.rdd.getNumPartitions() < min(cores, 8):
+        return df.repartition(cores)
+    return df
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -231,7 +237,7 @@ def with_views(names: list[str], body: str) -> str:
 
     for n in names:
         visit(n)
-    parts = ",\n".join(f"{n} AS ({SQL_VIEWS[n][1]})" for n in order)
+    parts = ",\n".join(f"{n} AS MATERIALIZED ({SQL_VIEWS[n][1]})" for n in order)
     return f"WITH RECURSIVE {parts}\n{body}"
 
 

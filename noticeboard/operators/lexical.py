@@ -130,12 +130,20 @@ def query_expansions(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def term_postings(tokens: DataFrame) -> DataFrame:
-    """(id, filter fields, term, attr, tf): terms of a document with their best attribute.
+    """(id, filter fields, term, attr, places): one row per document and term.
 
-    The tokens of a document leave the scan in one task, so the map-side
+    ``attr`` is the best attribute and ``places`` holds every (attr, pos). The
+    tokens of a document leave the scan in one task, so the map-side
     aggregation already shrinks them to distinct terms before the shuffle.
     """
-    return tokens.groupBy(*DOC_FIELDS, "term").agg(F.min("attr").alias("attr"), F.count("*").alias("tf"))
+    return tokens.groupBy(*DOC_FIELDS, "term").agg(
+        F.min("attr").alias("attr"), F.collect_list(F.struct("attr", "pos")).alias("places")
+    )
+
+
+def build_postings(docs: DataFrame) -> DataFrame:
+    """Postings of all searched attributes. Worth storing: every batch of requests reads them."""
+    return term_postings(tokenize_fields(docs, keep=DOC_FIELDS[1:]))
 
 
 def rule_counts(expansions: DataFrame, postings: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -157,7 +165,7 @@ def rule_counts(expansions: DataFrame, postings: DataFrame, candidates: DataFram
     )
 
 
-def keep_leading(rules: DataFrame, candidates: DataFrame) -> DataFrame:
+def keep_front(rules: DataFrame, candidates: DataFrame) -> DataFrame:
     """Documents that can still be among the best of their query.
 
     Words and typos decide first, so a document that more than ``pre_limit``
@@ -168,7 +176,7 @@ def keep_leading(rules: DataFrame, candidates: DataFrame) -> DataFrame:
     return place.join(candidates.select(*CAND, "pre_limit"), CAND).filter("_place <= pre_limit").drop("_place")
 
 
-def proximity(leading: DataFrame, expansions: DataFrame, tokens: DataFrame) -> DataFrame:
+def proximity(front: DataFrame, expansions: DataFrame, postings: DataFrame) -> DataFrame:
     """(request_id, cand, id, proximity): closeness of neighbouring query terms, from 0 to 1.
 
     The least distance between two sets of positions is always between
@@ -176,9 +184,14 @@ def proximity(leading: DataFrame, expansions: DataFrame, tokens: DataFrame) -> D
     the one before it and no pairs are formed. A distance counts up to the cap;
     a missing neighbour counts as the cap.
     """
-    asked = leading.select(*CAND, "id").join(expansions.select(*CAND, "term_idx", "term"), CAND)
-    found = tokens.select("id", "attr", "pos", "term").join(asked, ["id", "term"])
-    found = found.groupBy(*CAND, "id", "attr", "term_idx", "pos").agg(F.lit(1).alias("_one"))
+    asked = front.select(*CAND, "id").join(expansions.select(*CAND, "term_idx", "term"), CAND)
+    found = (
+        postings.select("id", "term", "places")
+        .join(asked, ["id", "term"])
+        .select(*CAND, "id", "term_idx", F.explode("places").alias("p"))
+        .groupBy(*CAND, "id", F.col("p.attr").alias("attr"), "term_idx", F.col("p.pos").alias("pos"))
+        .agg(F.lit(1).alias("_one"))
+    )
     sides = F.array(
         F.struct((F.col("term_idx") - 1).alias("pair"), F.lit(1).alias("side")),
         F.struct(F.col("term_idx").alias("pair"), F.lit(0).alias("side")),
@@ -196,12 +209,12 @@ def proximity(leading: DataFrame, expansions: DataFrame, tokens: DataFrame) -> D
     )
     near = per_pair.groupBy(*CAND, "id").agg(F.sum(F.lit(C.PROXIMITY_CAP) - F.col("gap")).alias("near"))
     share = F.coalesce(F.col("near"), F.lit(0)) / (F.lit(C.PROXIMITY_CAP) * (F.col("n_terms") - 1))
-    return leading.join(near, [*CAND, "id"], "left").select(
+    return front.join(near, [*CAND, "id"], "left").select(
         *CAND, "id", F.when(F.col("n_terms") <= 1, F.lit(1.0)).otherwise(share).alias("proximity")
     )
 
 
-def keyword_score(leading: DataFrame, near: DataFrame) -> DataFrame:
+def keyword_score(front: DataFrame, near: DataFrame) -> DataFrame:
     """Weighted sum of the rules; the rules themselves, in order, decide the rank."""
     w = C.KEYWORD_WEIGHTS
     last_attr = len(C.SEARCH_ATTRIBUTES) - 1
@@ -212,7 +225,7 @@ def keyword_score(leading: DataFrame, near: DataFrame) -> DataFrame:
         + w["attribute"] * (F.lit(last_attr) - F.col("attr")) / F.lit(last_attr)
         + w["exactness"] * F.col("exact") / F.col("words")
     )
-    scored = leading.join(near, [*CAND, "id"]).withColumn("score", F.round(score, 9))
+    scored = front.join(near, [*CAND, "id"]).withColumn("score", F.round(score, 9))
     order = [
         F.col("words").desc(), F.col("typos"), F.col("proximity").desc(),
         F.col("attr"), F.col("exact").desc(), F.col("id"),
@@ -220,16 +233,11 @@ def keyword_score(leading: DataFrame, near: DataFrame) -> DataFrame:
     return ranked(scored, CAND, order, C.MAX_PRE_LIMIT).filter("rank <= pre_limit")
 
 
-def keyword_search(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+def keyword_search(candidates: DataFrame, postings: DataFrame) -> DataFrame:
     """The best ``pre_limit`` documents of every query under the ranking rules."""
-    tokens = tokenize_fields(docs, keep=DOC_FIELDS[1:])
-    postings = term_postings(tokens)
-    terms = search_terms(candidates)
-    expansions = query_expansions(terms, postings.select("term"))
-    leading = keep_leading(rule_counts(expansions, postings, candidates), candidates)
-    wanted = docs.join(leading.select("id").distinct(), "id", "left_semi")
-    near = proximity(leading, expansions, tokenize_fields(wanted))
-    return keyword_score(leading, near)
+    expansions = query_expansions(search_terms(candidates), postings.select("term"))
+    front = keep_front(rule_counts(expansions, postings, candidates), candidates)
+    return keyword_score(front, proximity(front, expansions, postings))
 
 
 # -- BM25 -----------------------------------------------------------------

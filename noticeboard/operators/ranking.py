@@ -15,6 +15,7 @@ from noticeboard.functions.scoring import (
 )
 from noticeboard.functions.text import distinct_keywords
 from noticeboard.operators.common import first_per_key, ranked
+from noticeboard.operators.filters import exclude_ids
 
 CAND = ["request_id", "cand"]
 
@@ -30,7 +31,7 @@ def hybrid(keyword: DataFrame, semantic: DataFrame, candidates: DataFrame) -> Da
     ratio = F.when(F.col("vector").isNotNull(), F.col("ratio")).otherwise(F.lit(0.0))
     asked = candidates.select(*CAND, ratio.alias("ratio"), "pre_limit")
     joined = k.join(s, [*CAND, "id"], "full_outer").join(asked, CAND)
-    score = F.round(hybrid_score(F.col("kw_score"), F.col("sem_score"), F.col("ratio")), 9)
+    score = hybrid_score(F.col("kw_score"), F.col("sem_score"), F.col("ratio"))
     scored = joined.select(*CAND, "id", "kw_score", "sem_score", "pre_limit", score.alias("score"))
     best = ranked(scored, CAND, [F.col("score").desc(), F.col("id")], C.MAX_PRE_LIMIT)
     return best.filter(F.col("rank") <= F.col("pre_limit")).drop("pre_limit")
@@ -74,7 +75,7 @@ def rerank(hits: DataFrame, enabled: Column | None = None) -> DataFrame:
         )
         .withColumn(
             "rerank_score",
-            F.round(F.when(by_keyword, rerank_score(original, F.col("hit_ratio"))).otherwise(original), 9),
+            F.when(by_keyword, rerank_score(original, F.col("hit_ratio"))).otherwise(original),
         )
         .drop("_keys", "_found")
     )
@@ -174,6 +175,11 @@ def seen_ids(results: DataFrame) -> DataFrame:
     return results.select("request_id", F.explode("all_ids").alias("id")).filter(F.col("id").isNotNull()).distinct()
 
 
+def exclude_seen(hits: DataFrame, results: DataFrame) -> DataFrame:
+    """Hits without the documents that earlier results already contain."""
+    return exclude_ids(hits, seen_ids(results))
+
+
 def final_results(accumulated: DataFrame, limits: DataFrame) -> DataFrame:
     """Accumulated results by rerank score, cut at the limit of the last round."""
     best = F.coalesce("rerank_score", "score", F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeboard import constants as C
+from noticeboard.functions.scoring import pre_search_limit
 from noticeboard.operators import intent, lexical, ranking, vector
 from noticeboard.operators.common import small_side
 from noticeboard.operators.filters import exclude_ids
@@ -20,9 +20,28 @@ def prepare(requests: DataFrame, retry: Column | None = None) -> DataFrame:
     return intent.embedding_source(intent.query_candidates(ready))
 
 
-def multi_search(candidates: DataFrame, docs: DataFrame, vectors: DataFrame) -> DataFrame:
+def stored_postings(docs: DataFrame) -> DataFrame:
+    """Postings of the documents, written once and read by all steps of a search."""
+    return materialise(lexical.build_postings(docs), "postings")
+
+
+def keyword_search(candidates: DataFrame, postings: DataFrame) -> DataFrame:
+    """Keyword hits with the term expansion and the surviving documents computed once.
+
+    Both are small next to the postings and are used by several later steps.
+    """
+    expansions = materialise(
+        lexical.query_expansions(lexical.search_terms(candidates), postings.select("term")), "expansions"
+    )
+    front = materialise(
+        lexical.keep_front(lexical.rule_counts(expansions, postings, candidates), candidates), "front"
+    )
+    return lexical.keyword_score(front, lexical.proximity(front, expansions, postings))
+
+
+def multi_search(candidates: DataFrame, postings: DataFrame, vectors: DataFrame) -> DataFrame:
     """All queries of all requests in one job: (request_id, cand, id, score, rank)."""
-    keyword = lexical.keyword_search(candidates, docs)
+    keyword = keyword_search(candidates, postings)
     semantic = vector.cosine_topk(candidates, vectors)
     return ranking.hybrid(keyword, semantic, candidates)
 
@@ -40,24 +59,29 @@ def with_documents(hits: DataFrame, docs: DataFrame, requests: DataFrame) -> Dat
     return found.join(asked, "request_id")
 
 
-def search(requests: DataFrame, docs: DataFrame, vectors: DataFrame, exclude: DataFrame | None = None,
-           retry: Column | None = None) -> DataFrame:
-    """Ranked, reranked and merged results of every request."""
-    candidates = prepare(requests, retry)
-    hits = multi_search(candidates, docs, vectors)
+def search_candidates(
+    candidates: DataFrame, docs: DataFrame, postings: DataFrame, vectors: DataFrame, exclude: DataFrame | None = None
+) -> DataFrame:
+    """Ranked, reranked and merged results of prepared queries that carry their vectors."""
+    hits = multi_search(candidates, postings, vectors)
     hits = ranking.dedupe_hits(hits if exclude is None else exclude_ids(hits, exclude))
-    limits = candidates.filter("cand = 0")
-    return ranking.rerank_and_merge(with_documents(hits, docs, limits))
+    return ranking.rerank_and_merge(with_documents(hits, docs, candidates.filter("cand = 0")))
 
 
-def two_rounds(requests: DataFrame, docs: DataFrame, vectors: DataFrame, decisions: DataFrame) -> DataFrame:
+def two_rounds(candidates: DataFrame, docs: DataFrame, vectors: DataFrame, decisions: DataFrame) -> DataFrame:
     """A first round for all requests and a second one, without the documents already
     seen and with a wider limit, for those judged not relevant."""
-    first = materialise(search(requests, docs, vectors), "first-round")
-    plan = ranking.retry_plan(requests, first, decisions)
-    again = requests.join(plan.filter("retry").select("request_id", "retry_limit"), "request_id")
-    again = again.withColumn("limit", F.col("retry_limit")).drop("retry_limit")
-    second = search(again, docs, vectors, ranking.seen_ids(first), F.lit(True))
+    postings = stored_postings(docs)
+    first = materialise(search_candidates(candidates, docs, postings, vectors), "first-round")
+    asked = candidates.filter("cand = 0").select("request_id", F.col("final_limit").alias("limit"))
+    plan = ranking.retry_plan(asked, first, decisions)
+    again = candidates.join(plan.filter("retry").select("request_id", "retry_limit"), "request_id")
+    again = (
+        again.withColumn("final_limit", F.col("retry_limit"))
+        .withColumn("pre_limit", pre_search_limit(F.col("retry_limit"), F.lit(True)))
+        .drop("retry_limit")
+    )
+    second = search_candidates(again, docs, postings, vectors, ranking.seen_ids(first))
     rounds = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
     limits = plan.select("request_id", F.when(F.col("retry"), F.col("retry_limit")).otherwise(F.col("limit")).alias("limit"))
     return ranking.final_results(ranking.accumulate_rounds(rounds), limits)
