@@ -41,15 +41,15 @@ def sql_edits(a: str, b: str) -> str:
 
 
 view("vocabulary", ["tokens"], "SELECT DISTINCT term FROM tokens")
-view("asked_terms", ["terms"], "SELECT DISTINCT term AS q_term, term_idx = n_terms - 1 AS is_last FROM terms")
+view("asked_terms", ["terms"], "SELECT DISTINCT term AS q_term, term_idx = n_terms - 1 AS is_last, CASE WHEN length(term) >= 9 THEN 2 WHEN length(term) >= 5 THEN 1 ELSE 0 END AS k FROM terms")
 view(
     "expansion",
     ["vocabulary", "asked_terms"],
     f"""SELECT q_term, is_last, term, min(typos) AS typos, max(exact) AS exact FROM (
   SELECT q_term, is_last, term, 0 AS typos, 1 AS exact FROM asked_terms JOIN vocabulary ON term = q_term
   UNION ALL SELECT q_term, is_last, term, 0, 0 FROM asked_terms JOIN vocabulary ON starts_with(term, q_term) AND term <> q_term WHERE is_last
-  UNION ALL SELECT q_term, is_last, term, {sql_edits("q_term", "term")}, 0 FROM asked_terms JOIN vocabulary ON term <> q_term
-    AND abs(length(term) - length(q_term)) <= 2 AND {sql_edits("q_term", "term")} <= CASE WHEN length(q_term) >= 9 THEN 2 WHEN length(q_term) >= 5 THEN 1 ELSE 0 END)
+  UNION ALL SELECT q_term, is_last, term, {sql_edits("q_term", "term")}, 0 FROM asked_terms JOIN vocabulary ON length(term) BETWEEN length(q_term) - k AND length(q_term) + k
+    WHERE k > 0 AND term <> q_term AND {sql_edits("q_term", "term")} <= k)
 GROUP BY 1, 2, 3""",
 )
 view(

@@ -184,10 +184,12 @@ def proximity(front: DataFrame, expansions: DataFrame, postings: DataFrame) -> D
     the one before it and no pairs are formed. A distance counts up to the cap;
     a missing neighbour counts as the cap.
     """
-    asked = front.select(*CAND, "id").join(expansions.select(*CAND, "term_idx", "term"), CAND)
+    kept = front.select(*CAND, "id")
     found = (
         postings.select("id", "term", "places")
-        .join(asked, ["id", "term"])
+        .join(kept.select("id").distinct(), "id", "left_semi")
+        .join(expansions.select(*CAND, "term_idx", "term"), "term")
+        .join(kept, [*CAND, "id"])
         .select(*CAND, "id", "term_idx", F.explode("places").alias("p"))
         .groupBy(*CAND, "id", F.col("p.attr").alias("attr"), "term_idx", F.col("p.pos").alias("pos"))
         .agg(F.lit(1).alias("_one"))

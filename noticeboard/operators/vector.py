@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from noticeboard import constants as C
 from noticeboard.operators.common import ranked, small_side
@@ -28,28 +30,35 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    rows = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+def _unit(rows: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _allowed(batch: pd.DataFrame, query: dict) -> np.ndarray | None:
-    """Rows of a batch that pass the filters of one query; None when it has none."""
-    months, mask = query["months"], None
+def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    return _unit(np.array([np.asarray(v, dtype=np.float64) for v in vectors]))
+
+
+def _unit_batch(column: pa.Array) -> np.ndarray:
+    """Unit rows of an Arrow list column without a Python object per row."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return _unit(np.asarray(values, dtype=np.float64).reshape(len(column), -1))
+
+
+def _allowed(batch: pd.DataFrame, query: dict) -> np.ndarray:
+    """Rows of a batch that pass the filters of one query."""
+    months, mask = query["months"], np.ones(len(batch), dtype=bool)
     tests = [(batch["year_month"], months), (batch["link"], query["links"])]
     tests += [(batch["website"], query["websites"]), (batch["website"], query["manual_websites"])]
     if len(query["years"]):
         tests.append((batch["year_month"].str.slice(0, 4), query["years"]))
     for column, values in tests:
         if len(values):
-            hit = column.isin(values).to_numpy()
-            mask = hit if mask is None else mask & hit
+            mask &= column.isin(values).to_numpy()
     if not len(months):
         for bound, inside in ((query["start_date"], "ge"), (query["end_date"], "le")):
             if bound is not None:
-                hit = getattr(batch["year_month"], inside)(bound[:7]).to_numpy()
-                mask = hit if mask is None else mask & hit
+                mask &= getattr(batch["year_month"], inside)(bound[:7]).to_numpy()
     return mask
 
 
@@ -77,7 +86,8 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k_col: str = "pre_limit"
         rows = asked.filter(block == b).toPandas()
         if rows.empty:
             continue
-        part = docs.mapInPandas(_block_scan(spark.sparkContext.broadcast(_pack(rows, k_col)), filtered), schema)
+        shared = spark.sparkContext.broadcast(_pack(rows, k_col, filtered))
+        part = docs.mapInArrow(_block_scan(shared, filtered, to_arrow_schema(schema)), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
@@ -86,42 +96,65 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k_col: str = "pre_limit"
     return best.join(cut, CAND).filter(F.col("rank") <= F.col(k_col)).drop(k_col)
 
 
-def _pack(rows: pd.DataFrame, k_col: str) -> dict:
+def _pack(rows: pd.DataFrame, k_col: str, filtered: bool) -> dict:
+    """Unit vectors, limits, keys and the distinct filters of one block of queries."""
+    filters, which = [], [0] * len(rows)
+    if filtered:
+        known: dict[str, int] = {}
+        for i, meta in enumerate(rows[REQUEST_FIELDS].to_dict("records")):
+            meta = {k: (list(v) if isinstance(v, np.ndarray) else v) for k, v in meta.items()}
+            which[i] = known.setdefault(repr(meta), len(known))
+            if which[i] == len(filters):
+                filters.append(meta)
     return {
         "unit": _unit_rows(rows["vector"]),
         "k": rows[k_col].astype(int).to_numpy(),
-        "meta": rows.drop(columns=["vector"]).to_dict("records"),
+        "keys": rows[CAND].to_dict("list"),
+        "filters": filters,
+        "which": np.array(which),
     }
 
 
-def _block_scan(shared, filtered: bool):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by score, then id; ties at the cut are looked at before any row is dropped."""
+    if len(scores) <= k:
+        return scores, ids
+    least = np.partition(scores, len(scores) - k)[len(scores) - k]
+    near = scores >= least
+    scores, ids = scores[near], ids[near]
+    order = np.lexsort((ids, -scores))[:k]
+    return scores[order], ids[order]
+
+
+def _block_scan(shared, filtered: bool, schema: pa.Schema):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         n = len(block["k"])
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=object))] * n
+        best = [(np.empty(0), np.empty(0, dtype=object))] * n
+        bar = np.full(n, -np.inf)
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            scores = np.round(block["unit"] @ _unit_rows(batch["vector"]).T, SCORE_DIGITS)
-            ids = batch["id"].to_numpy()
-            for q in range(n):
-                row, names = scores[q], ids
-                mask = _allowed(batch, block["meta"][q]) if filtered else None
-                if mask is not None:
-                    row, names = row[mask], names[mask]
-                row = np.concatenate((best[q][0], row))
-                names = np.concatenate((best[q][1], names))
-                if len(row) > block["k"][q]:
-                    keep = np.lexsort((names, -row))[: block["k"][q]]
-                    row, names = row[keep], names[keep]
-                best[q] = (row, names)
-        for q in range(n):
-            scores_q, ids_q = best[q]
-            if len(ids_q):
-                meta = block["meta"][q]
-                yield pd.DataFrame(
-                    {"request_id": meta["request_id"], "cand": meta["cand"], "id": ids_q, "score": scores_q}
-                )
+            scores = np.round(block["unit"] @ _unit_batch(batch.column("vector")).T, SCORE_DIGITS)
+            promising = scores >= bar[:, None]
+            if filtered:
+                meta = batch.select(DOC_FIELDS).to_pandas()
+                promising &= np.array([_allowed(meta, f) for f in block["filters"]])[block["which"]]
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for q in np.flatnonzero(promising.any(axis=1)):
+                hit = promising[q]
+                row = np.concatenate((best[q][0], scores[q][hit]))
+                names = np.concatenate((best[q][1], ids[hit]))
+                best[q] = _best_rows(row, names, block["k"][q])
+                if len(best[q][0]) == block["k"][q]:
+                    bar[q] = best[q][0].min()
+        sizes = [len(s) for s, _ in best]
+        if sum(sizes):
+            which = np.repeat(np.arange(n), sizes)
+            columns = {c: pa.array(block["keys"][c]).take(pa.array(which)) for c in CAND}
+            columns["id"] = pa.array(np.concatenate([i for _, i in best]))
+            columns["score"] = pa.array(np.concatenate([s for s, _ in best]))
+            yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
 
     return scan
 
