@@ -129,35 +129,44 @@ def query_expansions(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return asked.join(expand_terms(terms, vocabulary), ["q_term", "is_last"]).drop("q_term", "is_last")
 
 
-def term_postings(tokens: DataFrame) -> DataFrame:
+def build_postings(docs: DataFrame, attributes: list[str] = C.SEARCH_ATTRIBUTES) -> DataFrame:
     """(id, filter fields, term, attr, places): one row per document and term.
 
     ``attr`` is the best attribute and ``places`` holds every (attr, pos). The
-    tokens of a document leave the scan in one task, so the map-side
-    aggregation already shrinks them to distinct terms before the shuffle.
+    documents are shuffled by id before they are split, which moves each text
+    once instead of each of its tokens, and leaves the terms of a document
+    together. Worth storing: every batch of requests reads the result.
     """
-    return tokens.groupBy(*DOC_FIELDS, "term").agg(
-        F.min("attr").alias("attr"), F.collect_list(F.struct("attr", "pos")).alias("places")
+    spread = docs.select(*DOC_FIELDS, *[a for a in attributes if a not in DOC_FIELDS]).repartition("id")
+    tokens = tokenize_fields(spread, attributes, keep=DOC_FIELDS[1:])
+    return tokens.groupBy("id", "term").agg(
+        *[F.first(c).alias(c) for c in DOC_FIELDS[1:]],
+        F.min("attr").alias("attr"),
+        F.collect_list(F.struct("attr", "pos")).alias("places"),
     )
 
 
-def build_postings(docs: DataFrame) -> DataFrame:
-    """Postings of all searched attributes. Worth storing: every batch of requests reads them."""
-    return term_postings(tokenize_fields(docs, keep=DOC_FIELDS[1:]))
-
-
 def rule_counts(expansions: DataFrame, postings: DataFrame, candidates: DataFrame) -> DataFrame:
     """Words, typos, best attribute and exact matches per (request, query, document).
 
-    The filters of the request are part of the join, before anything is scored.
+    The filters of the request are applied to every match before anything is
+    counted. Both levels of the count work on one shuffle by query and document.
     """
-    asked = expansions.join(candidates.select(*CAND, *REQUEST_FIELDS), CAND).alias("r")
-    docs = postings.alias("d")
-    hits = docs.join(asked, (F.col("d.term") == F.col("r.term")) & matches())
-    per_term = hits.groupBy("r.request_id", "r.cand", "r.n_terms", "d.id", "r.term_idx").agg(
-        F.min("r.typos").alias("typos"), F.min("d.attr").alias("attr"), F.max("r.exact").alias("exact")
+    d = postings.select(*DOC_FIELDS, "term", "attr").alias("d")
+    e = expansions.alias("e")
+    r = candidates.select(*CAND, *REQUEST_FIELDS).alias("r")
+    same_query = (F.col("e.request_id") == F.col("r.request_id")) & (F.col("e.cand") == F.col("r.cand"))
+    hits = (
+        d.join(e, F.col("d.term") == F.col("e.term"))
+        .join(r, same_query & matches())
+        .select("e.request_id", "e.cand", "e.n_terms", "d.id", "e.term_idx", "e.typos", "d.attr", "e.exact")
+        .repartition(*CAND, "id")
     )
-    return per_term.groupBy("request_id", "cand", "n_terms", "id").agg(
+    per_term = hits.groupBy(*CAND, "id", "term_idx").agg(
+        F.min("n_terms").alias("n_terms"), F.min("typos").alias("typos"), F.min("attr").alias("attr"), F.max("exact").alias("exact")
+    )
+    return per_term.groupBy(*CAND, "id").agg(
+        F.min("n_terms").alias("n_terms"),
         F.count("*").alias("words"),
         F.sum("typos").alias("typos"),
         F.min("attr").alias("attr"),
@@ -184,22 +193,24 @@ def proximity(front: DataFrame, expansions: DataFrame, postings: DataFrame) -> D
     the one before it and no pairs are formed. A distance counts up to the cap;
     a missing neighbour counts as the cap.
     """
-    kept = front.select(*CAND, "id")
+    kept = front.select(*CAND, "id", "n_terms")
     found = (
         postings.select("id", "term", "places")
         .join(kept.select("id").distinct(), "id", "left_semi")
         .join(expansions.select(*CAND, "term_idx", "term"), "term")
         .join(kept, [*CAND, "id"])
-        .select(*CAND, "id", "term_idx", F.explode("places").alias("p"))
-        .groupBy(*CAND, "id", F.col("p.attr").alias("attr"), "term_idx", F.col("p.pos").alias("pos"))
-        .agg(F.lit(1).alias("_one"))
     )
     sides = F.array(
         F.struct((F.col("term_idx") - 1).alias("pair"), F.lit(1).alias("side")),
         F.struct(F.col("term_idx").alias("pair"), F.lit(0).alias("side")),
     )
-    placed = found.select(*CAND, "id", "attr", "pos", F.explode(sides).alias("s")).select(
-        *CAND, "id", "attr", "pos", "s.pair", "s.side"
+    placed = (
+        found.select(*CAND, "id", "n_terms", "places", F.explode(sides).alias("s"))
+        .filter((F.col("s.pair") >= 0) & (F.col("s.pair") < F.col("n_terms") - 1))
+        # One shuffle by query and document serves the window and both sums.
+        .repartition(*CAND, "id")
+        .select(*CAND, "id", "s.pair", "s.side", F.explode("places").alias("p"))
+        .select(*CAND, "id", "pair", "side", F.col("p.attr").alias("attr"), F.col("p.pos").alias("pos"))
     )
     w = Window.partitionBy(*CAND, "id", "attr", "pair").orderBy("pos", "side")
     gap = F.when(F.lag("side").over(w) != F.col("side"), F.col("pos") - F.lag("pos").over(w))
@@ -245,27 +256,22 @@ def keyword_search(candidates: DataFrame, postings: DataFrame) -> DataFrame:
 # -- BM25 -----------------------------------------------------------------
 def bm25(candidates: DataFrame, docs: DataFrame, text: str = "content", k: int = C.MAX_PRE_LIMIT) -> DataFrame:
     """Okapi BM25 of every query over one text column, best ``k`` documents each."""
-    lengths = docs.select("id", F.size(words(F.col(text))).alias("dl")).filter("dl > 0")
-    n_docs = lengths.agg(F.count("*").cast("double").alias("n")).scalar()
-    avg_len = lengths.agg(F.avg("dl").alias("a")).scalar()
+    split = docs.select("id", words(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    whole = split.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg(F.size("w")).alias("len")).alias("s")).scalar()
     terms = search_terms(candidates).select(*CAND, "term")
     tf = (
-        docs.select("id", F.explode(words(F.col(text))).alias("term"))
+        split.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
         .join(terms.select("term").distinct(), "term", "left_semi")
-        .groupBy("id", "term")
+        .groupBy("id", "dl", "term")
         .agg(F.count("*").alias("tf"))
     )
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(df, "term").withColumn(
-        "idf", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        "idf", F.log(F.lit(1.0) + (whole["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     )
     part = (
         F.col("idf") * F.col("tf") * (C.BM25_K1 + 1)
-        / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / avg_len))
-    )
-    scored = (
-        tf.join(lengths, "id").join(weighted, "term")
-        .groupBy(*CAND, "id")
-        .agg(F.round(F.sum(part), 6).alias("score"))
+        / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / whole["len"]))
     )
+    scored = tf.join(weighted, "term").groupBy(*CAND, "id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scored, CAND, [F.col("score").desc(), F.col("id")], k)
