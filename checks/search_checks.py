@@ -10,6 +10,7 @@ from noticeboard import constants as C
 from noticeboard.functions import text
 from noticeboard.operators import lexical, ranking, vector
 from noticeboard.plans import search
+from noticeboard.session import materialise
 
 CAND = ["request_id", "cand"]
 ATTRS = C.SEARCH_ATTRIBUTES
@@ -163,14 +164,15 @@ def k4(spark, d):
 def rules(spark, d):
     cands = candidates(spark, d)
     postings = search.stored_postings(corpus(spark, d))
-    expansions = lexical.query_expansions(lexical.search_terms(cands), postings.select("term"))
-    return lexical.rule_counts(expansions, postings, cands), expansions, postings, cands
+    terms = lexical.search_terms(cands)
+    expansion = materialise(lexical.expand_terms(terms, postings.select("term")), "expansion")
+    return lexical.rule_counts(expansion, terms, postings, cands), expansion, terms, postings, cands
 
 
 @query("k5_proximity_rule", with_views(["near"], "SELECT request_id, cand, id, round(CAST(proximity AS DOUBLE), 9) AS proximity FROM near"))
 def k5(spark, d):
-    counts, expansions, postings, cands = rules(spark, d)
-    near = lexical.proximity(lexical.keep_front(counts, cands), expansions, postings)
+    counts, expansion, terms, postings, cands = rules(spark, d)
+    near = lexical.proximity(lexical.keep_front(counts, cands), expansion, terms, postings)
     return near.withColumn("proximity", F.round("proximity", 9))
 
 

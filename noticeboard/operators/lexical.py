@@ -121,56 +121,75 @@ def expand_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 # -- rules ----------------------------------------------------------------
-def query_expansions(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(request_id, cand, n_terms, term_idx, term, typos, exact)."""
-    asked = terms.select(
+def with_last(terms: DataFrame) -> DataFrame:
+    """(request_id, cand, n_terms, term_idx, q_term, is_last): terms as they are looked up."""
+    return terms.select(
         *CAND, "n_terms", "term_idx", F.col("term").alias("q_term"), (F.col("term_idx") == F.col("n_terms") - 1).alias("is_last")
     )
-    return asked.join(expand_terms(terms, vocabulary), ["q_term", "is_last"]).drop("q_term", "is_last")
 
 
 def build_postings(docs: DataFrame, attributes: list[str] = C.SEARCH_ATTRIBUTES) -> DataFrame:
     """(id, filter fields, term, attr, places): one row per document and term.
 
     ``attr`` is the best attribute and ``places`` holds every (attr, pos). The
-    documents are shuffled by id before they are split, which moves each text
-    once instead of each of its tokens, and leaves the terms of a document
-    together. Worth storing: every batch of requests reads the result.
+    tokens of a document are sorted and cut into runs inside its row, so the
+    corpus is not shuffled and new documents can be added on their own. Worth
+    storing: every batch of requests reads the result.
     """
-    spread = docs.select(*DOC_FIELDS, *[a for a in attributes if a not in DOC_FIELDS]).repartition("id")
-    tokens = tokenize_fields(spread, attributes, keep=DOC_FIELDS[1:])
-    return tokens.groupBy("id", "term").agg(
-        *[F.first(c).alias(c) for c in DOC_FIELDS[1:]],
-        F.min("attr").alias("attr"),
-        F.collect_list(F.struct("attr", "pos")).alias("places"),
-    )
 
-
-def rule_counts(expansions: DataFrame, postings: DataFrame, candidates: DataFrame) -> DataFrame:
+    def placed(i: int, attribute: str) -> Column:
+        return F.transform(
+            words(F.col(attribute)), lambda t, p: F.struct(t.alias("term"), F.lit(i).alias("attr"), p.alias("pos"))
+        )
+
+    # A missing attribute is an empty list, or concat would lose the others.
+    tokens = [F.coalesce(placed(i, a), F.array()) for i, a in enumerate(attributes)]
+    rows = docs.select(*DOC_FIELDS, F.array_sort(F.concat(*tokens)).alias("_t"))
+    places = F.slice(F.sequence(F.lit(0), F.size("_t")), F.lit(1), F.size("_t"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("_t", i)["term"] != F.get("_t", i - 1)["term"]))
+    rows = rows.withColumn("_starts", starts)
+
+    def run(start: Column, n: Column) -> Column:
+        end = F.coalesce(F.get("_starts", n + 1), F.size("_t"))
+        first = F.get("_t", start)
+        return F.struct(
+            first["term"].alias("term"),
+            first["attr"].alias("attr"),
+            F.transform(
+                F.slice("_t", start + 1, end - start), lambda x: F.struct(x["attr"].alias("attr"), x["pos"].alias("pos"))
+            ).alias("places"),
+        )
+
+    return rows.select(*DOC_FIELDS, F.explode(F.transform("_starts", run)).alias("_r")).select(*DOC_FIELDS, "_r.*")
+
+
+def rule_counts(expansion: DataFrame, terms: DataFrame, postings: DataFrame, candidates: DataFrame) -> DataFrame:
     """Words, typos, best attribute and exact matches per (request, query, document).
 
-    The filters of the request are applied to every match before anything is
-    counted. Both levels of the count work on one shuffle by query and document.
+    Query terms are first counted per document without their queries, since many
+    queries share a term and a prefix stands for many vocabulary terms. The
+    filters of the request apply when its terms join, before anything is
+    counted for it. One shuffle by document serves both counts.
     """
-    d = postings.select(*DOC_FIELDS, "term", "attr").alias("d")
-    e = expansions.alias("e")
-    r = candidates.select(*CAND, *REQUEST_FIELDS).alias("r")
-    same_query = (F.col("e.request_id") == F.col("r.request_id")) & (F.col("e.cand") == F.col("r.cand"))
-    hits = (
-        d.join(e, F.col("d.term") == F.col("e.term"))
-        .join(r, same_query & matches())
-        .select("e.request_id", "e.cand", "e.n_terms", "d.id", "e.term_idx", "e.typos", "d.attr", "e.exact")
-        .repartition(*CAND, "id")
+    matched = (
+        postings.select(*DOC_FIELDS, "term", "attr")
+        .join(expansion, "term")
+        .select(*DOC_FIELDS, "q_term", "is_last", "typos", "attr", "exact")
+        .repartition("id")
     )
-    per_term = hits.groupBy(*CAND, "id", "term_idx").agg(
-        F.min("n_terms").alias("n_terms"), F.min("typos").alias("typos"), F.min("attr").alias("attr"), F.max("exact").alias("exact")
+    per_term = matched.groupBy("id", "q_term", "is_last").agg(
+        *[F.first(c).alias(c) for c in DOC_FIELDS[1:]],
+        F.min("typos").alias("typos"), F.min("attr").alias("attr"), F.max("exact").alias("exact"),
     )
-    return per_term.groupBy(*CAND, "id").agg(
-        F.min("n_terms").alias("n_terms"),
+    asked = with_last(terms).join(candidates.select(*CAND, *REQUEST_FIELDS), CAND)
+    d, r = per_term.alias("d"), asked.alias("r")
+    same_term = (F.col("d.q_term") == F.col("r.q_term")) & (F.col("d.is_last") == F.col("r.is_last"))
+    return d.join(r, same_term & matches()).groupBy("r.request_id", "r.cand", "d.id").agg(
+        F.min("r.n_terms").alias("n_terms"),
         F.count("*").alias("words"),
-        F.sum("typos").alias("typos"),
-        F.min("attr").alias("attr"),
-        F.sum("exact").alias("exact"),
+        F.sum("d.typos").alias("typos"),
+        F.min("d.attr").alias("attr"),
+        F.sum("d.exact").alias("exact"),
     )
 
 
@@ -185,7 +204,7 @@ def keep_front(rules: DataFrame, candidates: DataFrame) -> DataFrame:
     return place.join(candidates.select(*CAND, "pre_limit"), CAND).filter("_place <= pre_limit").drop("_place")
 
 
-def proximity(front: DataFrame, expansions: DataFrame, postings: DataFrame) -> DataFrame:
+def proximity(front: DataFrame, expansion: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
     """(request_id, cand, id, proximity): closeness of neighbouring query terms, from 0 to 1.
 
     The least distance between two sets of positions is always between
@@ -197,7 +216,8 @@ def proximity(front: DataFrame, expansions: DataFrame, postings: DataFrame) -> D
     found = (
         postings.select("id", "term", "places")
         .join(kept.select("id").distinct(), "id", "left_semi")
-        .join(expansions.select(*CAND, "term_idx", "term"), "term")
+        .join(expansion.select("q_term", "is_last", "term"), "term")
+        .join(with_last(terms).select(*CAND, "term_idx", "q_term", "is_last"), ["q_term", "is_last"])
         .join(kept, [*CAND, "id"])
     )
     sides = F.array(
@@ -246,13 +266,6 @@ def keyword_score(front: DataFrame, near: DataFrame) -> DataFrame:
     return ranked(scored, CAND, order, C.MAX_PRE_LIMIT).filter("rank <= pre_limit")
 
 
-def keyword_search(candidates: DataFrame, postings: DataFrame) -> DataFrame:
-    """The best ``pre_limit`` documents of every query under the ranking rules."""
-    expansions = query_expansions(search_terms(candidates), postings.select("term"))
-    front = keep_front(rule_counts(expansions, postings, candidates), candidates)
-    return keyword_score(front, proximity(front, expansions, postings))
-
-
 # -- BM25 -----------------------------------------------------------------
 def bm25(candidates: DataFrame, docs: DataFrame, text: str = "content", k: int = C.MAX_PRE_LIMIT) -> DataFrame:
     """Okapi BM25 of every query over one text column, best ``k`` documents each."""

@@ -26,17 +26,16 @@ def stored_postings(docs: DataFrame) -> DataFrame:
 
 
 def keyword_search(candidates: DataFrame, postings: DataFrame) -> DataFrame:
-    """Keyword hits with the term expansion and the surviving documents computed once.
+    """The best ``pre_limit`` documents of every query under the ranking rules.
 
-    Both are small next to the postings and are used by several later steps.
+    The term expansion and the surviving documents are small next to the
+    postings and are used by several later steps, so both are written once.
     """
-    expansions = materialise(
-        lexical.query_expansions(lexical.search_terms(candidates), postings.select("term")), "expansions"
-    )
-    front = materialise(
-        lexical.keep_front(lexical.rule_counts(expansions, postings, candidates), candidates), "front"
-    )
-    return lexical.keyword_score(front, lexical.proximity(front, expansions, postings))
+    terms = materialise(lexical.search_terms(candidates), "terms")
+    expansion = materialise(lexical.expand_terms(terms, postings.select("term")), "expansion")
+    counts = lexical.rule_counts(expansion, terms, postings, candidates)
+    front = materialise(lexical.keep_front(counts, candidates), "front")
+    return lexical.keyword_score(front, lexical.proximity(front, expansion, terms, postings))
 
 
 def multi_search(candidates: DataFrame, postings: DataFrame, vectors: DataFrame) -> DataFrame:
