@@ -172,7 +172,8 @@ def rules(spark, d):
 @query("k5_proximity_rule", with_views(["near"], "SELECT request_id, cand, id, round(CAST(proximity AS DOUBLE), 9) AS proximity FROM near"))
 def k5(spark, d):
     counts, expansion, terms, postings, cands = rules(spark, d)
-    near = lexical.proximity(lexical.keep_front(counts, cands), expansion, terms, postings)
+    front = materialise(lexical.keep_front(counts, cands), "front")
+    near = lexical.proximity(front, expansion, terms, postings)
     return near.withColumn("proximity", F.round("proximity", 9))
 
 

@@ -37,7 +37,7 @@ MARKDOWN_RULES: list[tuple[str, str]] = [
     (r"`([^`\n]+)`", "$1"),
     (r"<[^>]+>", ""),
     (r" +", " "),
-    (r"\n+", " "),
+    (r" ?(?:\n ?)+", " "),
 ]
 
 
