@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query
-from checks.views import candidates, corpus, joined, quote, requests, sql_words, table, vectors, view, with_views
+from checks.views import allowed_view, candidates, corpus, joined, quote, requests, sql_words, table, vectors, view, with_views
 from noticeboard import constants as C
 from noticeboard.functions import text
 from noticeboard.operators import lexical, ranking, vector
@@ -60,64 +60,69 @@ view(
 FROM terms t JOIN expansion e ON e.q_term = t.term AND e.is_last = (t.term_idx = t.n_terms - 1)""",
 )
 view("postings", ["tokens"], "SELECT id, term, min(attr) AS attr FROM tokens GROUP BY 1, 2")
-view(
-    "rules",
-    ["query_expansion", "postings", "allowed"],
-    """SELECT request_id, cand, n_terms, id, count(*) AS words, CAST(sum(typos) AS BIGINT) AS typos, min(attr) AS attr, CAST(sum(exact) AS BIGINT) AS exact FROM (
-  SELECT q.request_id, q.cand, q.n_terms, p.id, q.term_idx, min(q.typos) AS typos, min(p.attr) AS attr, max(q.exact) AS exact
-  FROM query_expansion q JOIN postings p USING (term) JOIN allowed a ON a.request_id = q.request_id AND a.cand = q.cand AND a.id = p.id
-  GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4""",
-)
-view(
-    "front",
-    ["rules", "limits"],
-    """SELECT r.*, l.pre_limit FROM (SELECT *, rank() OVER (PARTITION BY request_id, cand ORDER BY words DESC, typos) AS place FROM rules) r
-JOIN limits l USING (request_id) WHERE place <= l.pre_limit""",
-)
-view(
-    "placed",
-    ["front", "query_expansion", "tokens"],
-    """SELECT DISTINCT l.request_id, l.cand, l.id, t.attr, q.term_idx, t.pos FROM front l
-JOIN query_expansion q ON q.request_id = l.request_id AND q.cand = l.cand JOIN tokens t ON t.id = l.id AND t.term = q.term""",
-)
-view(
-    "gaps",
-    ["placed"],
-    """SELECT request_id, cand, id, term_idx AS pair, least(8, min(gap)) AS gap FROM (
-  SELECT a.request_id, a.cand, a.id, a.term_idx, least(coalesce(a.pos - b.pos, 8), coalesce(c.pos - a.pos, 8)) AS gap FROM placed a
-  ASOF LEFT JOIN placed b ON a.request_id = b.request_id AND a.cand = b.cand AND a.id = b.id AND a.attr = b.attr AND b.term_idx = a.term_idx + 1 AND a.pos >= b.pos
-  ASOF LEFT JOIN placed c ON a.request_id = c.request_id AND a.cand = c.cand AND a.id = c.id AND a.attr = c.attr AND c.term_idx = a.term_idx + 1 AND a.pos <= c.pos)
-GROUP BY 1, 2, 3, 4""",
-)
-view(
-    "near",
-    ["front", "gaps"],
-    """SELECT l.request_id, l.cand, l.id, CASE WHEN n_terms <= 1 THEN 1.0 ELSE coalesce(g.s, 0) / (8.0 * (n_terms - 1)) END AS proximity
-FROM front l LEFT JOIN (SELECT request_id, cand, id, sum(8 - gap) AS s FROM gaps GROUP BY 1, 2, 3) g USING (request_id, cand, id)""",
-)
-view(
-    "keyword_hits",
-    ["front", "near"],
-    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, cand ORDER BY words DESC, typos, proximity DESC, attr, exact DESC, id) AS rank FROM (
-  SELECT l.*, n.proximity, round(CAST(0.6 * words / n_terms + 0.15 * (1.0 - typos / (2.0 * words)) + 0.1 * proximity + 0.1 * (3 - attr) / 3.0 + 0.05 * exact / words AS DOUBLE), 9) AS score
-  FROM front l JOIN near n USING (request_id, cand, id))) WHERE rank <= pre_limit""",
-)
-view(
-    "semantic_hits",
-    ["candidates", "vectors", "allowed"],
-    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, cand ORDER BY score DESC, id) AS rank FROM (
-  SELECT c.request_id, c.cand, c.pre_limit, v.id, round(list_cosine_similarity(c.vector, v.vector), 6) AS score
-  FROM candidates c JOIN allowed a USING (request_id, cand) JOIN vectors v ON v.id = a.id WHERE c.vector IS NOT NULL)) WHERE rank <= pre_limit""",
-)
-view(
-    "hybrid_hits",
-    ["keyword_hits", "semantic_hits", "candidates"],
-    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, cand ORDER BY score DESC, id) AS rank FROM (
-  SELECT request_id, cand, id, kw_score, sem_score, pre_limit, CAST((1 - r) * coalesce(kw_score, 0) + r * coalesce(sem_score, 0) AS DOUBLE) AS score FROM (
-    SELECT request_id, cand, id, k.score AS kw_score, s.score AS sem_score FROM keyword_hits k FULL OUTER JOIN semantic_hits s USING (request_id, cand, id))
-  JOIN (SELECT request_id, cand, pre_limit, CASE WHEN vector IS NULL THEN 0.0 ELSE CAST(ratio AS DOUBLE) END AS r FROM candidates) USING (request_id, cand)))
-WHERE rank <= pre_limit""",
-)
+def search_views(p: str, cands: str, ok: str) -> None:
+    """Retrieval of one round, with names that begin with ``p``."""
+    view(
+        f"{p}rules",
+        ["query_expansion", "postings", ok],
+        f"""SELECT request_id, cand, n_terms, id, count(*) AS words, CAST(sum(typos) AS BIGINT) AS typos, min(attr) AS attr, CAST(sum(exact) AS BIGINT) AS exact FROM (
+      SELECT q.request_id, q.cand, q.n_terms, p.id, q.term_idx, min(q.typos) AS typos, min(p.attr) AS attr, max(q.exact) AS exact
+      FROM query_expansion q JOIN postings p USING (term) JOIN {ok} a ON a.request_id = q.request_id AND a.cand = q.cand AND a.id = p.id
+      GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4""",
+    )
+    view(
+        f"{p}front",
+        [f"{p}rules", cands],
+        f"""SELECT r.*, l.pre_limit FROM (SELECT *, rank() OVER (PARTITION BY request_id, cand ORDER BY words DESC, typos) AS place FROM {p}rules) r
+    JOIN {cands} l USING (request_id, cand) WHERE place <= l.pre_limit""",
+    )
+    view(
+        f"{p}placed",
+        [f"{p}front", "query_expansion", "tokens"],
+        f"""SELECT DISTINCT l.request_id, l.cand, l.id, t.attr, q.term_idx, t.pos FROM {p}front l
+    JOIN query_expansion q ON q.request_id = l.request_id AND q.cand = l.cand JOIN tokens t ON t.id = l.id AND t.term = q.term""",
+    )
+    view(
+        f"{p}gaps",
+        [f"{p}placed"],
+        f"""SELECT request_id, cand, id, term_idx AS pair, least(8, min(gap)) AS gap FROM (
+      SELECT a.request_id, a.cand, a.id, a.term_idx, least(coalesce(a.pos - b.pos, 8), coalesce(c.pos - a.pos, 8)) AS gap FROM {p}placed a
+      ASOF LEFT JOIN {p}placed b ON a.request_id = b.request_id AND a.cand = b.cand AND a.id = b.id AND a.attr = b.attr AND b.term_idx = a.term_idx + 1 AND a.pos >= b.pos
+      ASOF LEFT JOIN {p}placed c ON a.request_id = c.request_id AND a.cand = c.cand AND a.id = c.id AND a.attr = c.attr AND c.term_idx = a.term_idx + 1 AND a.pos <= c.pos)
+    GROUP BY 1, 2, 3, 4""",
+    )
+    view(
+        f"{p}near",
+        [f"{p}front", f"{p}gaps"],
+        f"""SELECT l.request_id, l.cand, l.id, CASE WHEN n_terms <= 1 THEN 1.0 ELSE coalesce(g.s, 0) / (8.0 * (n_terms - 1)) END AS proximity
+    FROM {p}front l LEFT JOIN (SELECT request_id, cand, id, sum(8 - gap) AS s FROM {p}gaps GROUP BY 1, 2, 3) g USING (request_id, cand, id)""",
+    )
+    view(
+        f"{p}keyword_hits",
+        [f"{p}front", f"{p}near"],
+        f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, cand ORDER BY words DESC, typos, proximity DESC, attr, exact DESC, id) AS rank FROM (
+      SELECT l.*, n.proximity, round(CAST(0.6 * words / n_terms + 0.15 * (1.0 - typos / (2.0 * words)) + 0.1 * proximity + 0.1 * (3 - attr) / 3.0 + 0.05 * exact / words AS DOUBLE), 9) AS score
+      FROM {p}front l JOIN {p}near n USING (request_id, cand, id))) WHERE rank <= pre_limit""",
+    )
+    view(
+        f"{p}semantic_hits",
+        [cands, "vectors", ok],
+        f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, cand ORDER BY score DESC, id) AS rank FROM (
+      SELECT c.request_id, c.cand, c.pre_limit, v.id, round(list_cosine_similarity(c.vector, v.vector), 6) AS score
+      FROM {cands} c JOIN {ok} a USING (request_id, cand) JOIN vectors v ON v.id = a.id WHERE c.vector IS NOT NULL)) WHERE rank <= pre_limit""",
+    )
+    view(
+        f"{p}hybrid_hits",
+        [f"{p}keyword_hits", f"{p}semantic_hits", cands],
+        f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, cand ORDER BY score DESC, id) AS rank FROM (
+      SELECT request_id, cand, id, kw_score, sem_score, pre_limit, CAST((1 - r) * coalesce(kw_score, 0) + r * coalesce(sem_score, 0) AS DOUBLE) AS score FROM (
+        SELECT request_id, cand, id, k.score AS kw_score, s.score AS sem_score FROM {p}keyword_hits k FULL OUTER JOIN {p}semantic_hits s USING (request_id, cand, id))
+      JOIN (SELECT request_id, cand, pre_limit, CASE WHEN vector IS NULL THEN 0.0 ELSE CAST(ratio AS DOUBLE) END AS r FROM {cands}) USING (request_id, cand)))
+    WHERE rank <= pre_limit""",
+    )
+
+
+search_views("", "candidates", "allowed")
 
 
 def tokens(spark, d):
@@ -264,14 +269,14 @@ view(
 )
 
 
-def sql_reranked(source: str) -> str:
+def sql_reranked(source: str, limits: str = "limits") -> str:
     squash = "translate(lower({}), ' -', '')"
     return f"""SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rerank_score DESC, cand, rank) AS position FROM (
   SELECT *, CASE WHEN n_keys = 0 THEN '0/0' ELSE n_found || '/' || n_keys END AS has_keyword, CASE WHEN n_keys = 0 THEN 0.0 ELSE CAST(n_found AS DOUBLE) / n_keys END AS hit_ratio,
     CASE WHEN n_keys = 0 THEN score ELSE greatest(0.0, least(1.0, s * (1.0 - 0.15 * (1.0 - CAST(n_found AS DOUBLE) / n_keys)) + 0.6 * (CAST(n_found AS DOUBLE) / n_keys) * (1.0 - s))) END AS rerank_score
   FROM (SELECT h.request_id, h.cand, h.rank, h.id, h.score, greatest(0.0, least(1.0, h.score)) AS s, d.title, d.content, d.link, d.heading_link, d.token, d.website, d.year_month, d.year,
       l.final_limit, len(l.must_have) AS n_keys, len(list_filter(l.must_have, lambda k: k <> '' AND (contains({squash.format("d.title")}, {squash.format("k")}) OR contains({squash.format("d.content")}, {squash.format("k")})))) AS n_found
-    FROM {source} h JOIN corpus d USING (id) JOIN limits l USING (request_id)))"""
+    FROM {source} h JOIN corpus d USING (id) JOIN {limits} l USING (request_id)))"""
 
 
 def sql_merged(source: str) -> str:
@@ -431,18 +436,31 @@ view(
     ["first_final", "second_final"],
     "SELECT *, 1 AS round FROM first_final UNION ALL SELECT *, 2 AS round FROM second_final",
 )
-view("round_steps", ["rounds"], "SELECT *, row_number() OVER (PARTITION BY request_id, link ORDER BY round, rank) AS step FROM rounds")
-view(
-    "round_fold",
-    ["round_steps"],
-    f"""SELECT request_id, link, step, round, rank, id, title, all_ids, content, token, score, rerank_score FROM round_steps WHERE step = 1
+
+
+def round_views(p: str, rounds_view: str, limits: str) -> None:
+    """Merge of the results of all rounds and the final cut."""
+    view(f"{p}steps", [rounds_view], f"SELECT *, row_number() OVER (PARTITION BY request_id, link ORDER BY round, rank) AS step FROM {rounds_view}")
+    view(
+        f"{p}fold",
+        [f"{p}steps"],
+        f"""SELECT request_id, link, step, round, rank, id, title, all_ids, content, token, score, rerank_score FROM {p}steps WHERE step = 1
 UNION ALL SELECT f.request_id, f.link, s.step, f.round, f.rank, f.id, f.title, list_concat(f.all_ids, list_filter(s.all_ids, lambda x: NOT list_contains(f.all_ids, x))),
   CASE WHEN s.content <> '' AND NOT contains(f.content, s.content) THEN f.content || {_sep()} || s.content ELSE f.content END,
   CASE WHEN s.content <> '' AND NOT contains(f.content, s.content) THEN f.token + s.token ELSE f.token END,
   greatest(f.score, s.score), CASE WHEN s.score > f.score THEN s.rerank_score ELSE f.rerank_score END
-FROM round_fold f JOIN round_steps s ON s.request_id = f.request_id AND s.link = f.link AND s.step = f.step + 1""",
-)
-view("accumulated", ["round_fold"], "SELECT * FROM (SELECT *, max(step) OVER (PARTITION BY request_id, link) AS last FROM round_fold) WHERE step = last")
+FROM {p}fold f JOIN {p}steps s ON s.request_id = f.request_id AND s.link = f.link AND s.step = f.step + 1""",
+    )
+    view(f"{p}accumulated", [f"{p}fold"], f"SELECT * FROM (SELECT *, max(step) OVER (PARTITION BY request_id, link) AS last FROM {p}fold) WHERE step = last")
+    view(
+        f"{p}final_results",
+        [f"{p}accumulated", limits],
+        f"""SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY a.request_id ORDER BY a.rerank_score DESC, a.round, a.rank) AS final_rank, l.final_limit
+  FROM {p}accumulated a JOIN {limits} l USING (request_id)) WHERE final_rank <= final_limit""",
+    )
+
+
+round_views("", "rounds", "limits")
 
 
 def rounds(spark, d):
@@ -471,14 +489,6 @@ def a2(spark, d):
     return ranking.seen_ids(rounds(spark, d))
 
 
-view(
-    "final_results",
-    ["accumulated", "limits"],
-    """SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY a.request_id ORDER BY a.rerank_score DESC, a.round, a.rank) AS final_rank, l.final_limit
-  FROM accumulated a JOIN limits l USING (request_id)) WHERE final_rank <= final_limit""",
-)
-
-
 def final_results(spark, d):
     limits = candidates(spark, d).filter("cand = 0").select("request_id", F.col("final_limit").alias("limit"))
     return ranking.final_results(accumulated(spark, d), limits)
@@ -511,7 +521,33 @@ def a4(spark, d):
     return ranking.retry_plan(asked, results(spark, d), decisions(spark, d))
 
 
-@query("two_rounds")
+view("decisions", [], DECISIONS)
+view(
+    "retry_plan",
+    ["full_final", "limits", "decisions"],
+    """SELECT l.request_id, NOT (coalesce(c.n, 0) > 0 AND coalesce(x.relevant, true)) AS retry, CAST(least(50, floor(l.final_limit * 1.5)) AS BIGINT) AS retry_limit, l.final_limit AS first_limit
+FROM limits l LEFT JOIN (SELECT request_id, count(*) AS n FROM full_final GROUP BY 1) c USING (request_id) LEFT JOIN decisions x USING (request_id)""",
+)
+view("full_seen", ["full_final"], "SELECT DISTINCT request_id, unnest(all_ids) AS id FROM full_final")
+view(
+    "again_candidates",
+    ["candidates", "retry_plan"],
+    """SELECT c.* REPLACE (r.retry_limit AS final_limit, CAST(floor(greatest(50, floor(r.retry_limit * 1.5 + 20)) * 1.5) AS BIGINT) AS pre_limit)
+FROM candidates c JOIN retry_plan r USING (request_id) WHERE r.retry""",
+)
+view("again_limits", ["again_candidates"], "SELECT * FROM again_candidates WHERE cand = 0")
+allowed_view("again_allowed", "again_candidates", "full_seen")
+search_views("again_", "again_candidates", "again_allowed")
+view("again_deduped", ["again_hybrid_hits"], "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, id ORDER BY cand, rank) AS rn FROM again_hybrid_hits) WHERE rn = 1")
+view("again_reranked", ["again_deduped", "corpus", "again_limits"], sql_reranked("again_deduped", "again_limits"))
+view("again_cut", ["again_reranked"], "SELECT * FROM again_reranked WHERE position <= round_even(final_limit * 2.5, 0)")
+fold_views("again", "again_cut")
+view("both_rounds", ["full_final", "again_final"], "SELECT *, 1 AS round FROM full_final UNION ALL SELECT *, 2 AS round FROM again_final")
+view("both_limits", ["retry_plan"], "SELECT request_id, CASE WHEN retry THEN retry_limit ELSE first_limit END AS final_limit FROM retry_plan")
+round_views("both_", "both_rounds", "both_limits")
+
+
+@query("two_rounds", with_views(["both_final_results"], "SELECT request_id, final_rank AS rank, link, id, rerank_score FROM both_final_results"))
 def two_rounds(spark, d):
     out = search.two_rounds(candidates(spark, d), corpus(spark, d), vectors(spark, d), decisions(spark, d))
     return out.select("request_id", "rank", "link", "id", "rerank_score")

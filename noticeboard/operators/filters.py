@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DOC_FIELDS = ["id", "year_month", "link", "website"]
-REQUEST_FIELDS = ["months", "years", "links", "websites", "manual_websites", "start_date", "end_date"]
+REQUEST_FIELDS = ["months", "years", "links", "websites", "manual_websites", "start_date", "end_date", "exclude_ids"]
 
 
 def in_list(values: Column, field: Column) -> Column:
@@ -37,6 +37,7 @@ def matches(doc: str = "d", request: str = "r") -> Column:
         & in_list(r("websites"), d("website"))
         & in_list(r("manual_websites"), d("website"))
         & in_month_range(d("year_month"), r("months"), r("start_date"), r("end_date"))
+        & ~F.array_contains(r("exclude_ids"), d("id"))
     )
 
 
@@ -74,5 +75,17 @@ def filter_hits(hits: DataFrame, requests: DataFrame, docs: DataFrame) -> DataFr
     )
 
 
+def with_exclusions(candidates: DataFrame, seen: DataFrame) -> DataFrame:
+    """Candidates that must not find the documents their request has already seen.
+
+    A request has seen at most the documents of one merged result list, so the
+    list fits its row; it acts before any cut, like the other filters.
+    """
+    lists = seen.groupBy("request_id").agg(F.collect_set("id").alias("_seen"))
+    joined = candidates.join(lists, "request_id", "left")
+    found = F.array_union("exclude_ids", F.coalesce("_seen", F.array().cast("array<string>")))
+    return joined.withColumn("exclude_ids", found).drop("_seen")
+
+
 def exclude_ids(hits: DataFrame, seen: DataFrame) -> DataFrame:
     return hits.join(seen.select("request_id", "id"), ["request_id", "id"], "left_anti")

@@ -60,8 +60,9 @@ def intent_defaults(requests: DataFrame) -> DataFrame:
     out = requests
     for name in ("keyword_query", "semantic_query"):
         out = out.withColumn(name, F.coalesce(blank_to_null(F.col(name)), F.col("user_query")))
-    for name in ("months", "years", "links", "websites", "must_have", "sub_queries"):
-        out = out.withColumn(name, F.coalesce(F.col(name), F.array().cast(NO_STRINGS)))
+    for name in ("months", "years", "links", "websites", "must_have", "sub_queries", "exclude_ids"):
+        none = F.array().cast(NO_STRINGS)
+        out = out.withColumn(name, F.coalesce(F.col(name), none) if name in out.columns else none)
     return out
 
 

@@ -101,7 +101,8 @@ def _pack(rows: pd.DataFrame, k_col: str, filtered: bool) -> dict:
     filters, which = [], [0] * len(rows)
     if filtered:
         known: dict[str, int] = {}
-        for i, meta in enumerate(rows[REQUEST_FIELDS].to_dict("records")):
+        shared_fields = [f for f in REQUEST_FIELDS if f != "exclude_ids"]
+        for i, meta in enumerate(rows[shared_fields].to_dict("records")):
             meta = {k: (list(v) if isinstance(v, np.ndarray) else v) for k, v in meta.items()}
             which[i] = known.setdefault(repr(meta), len(known))
             if which[i] == len(filters):
@@ -112,6 +113,7 @@ def _pack(rows: pd.DataFrame, k_col: str, filtered: bool) -> dict:
         "keys": rows[CAND].to_dict("list"),
         "filters": filters,
         "which": np.array(which),
+        "exclude": [set(v) for v in rows["exclude_ids"]] if filtered else [set()] * len(rows),
     }
 
 
@@ -143,6 +145,8 @@ def _block_scan(shared, filtered: bool, schema: pa.Schema):
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             for q in np.flatnonzero(promising.any(axis=1)):
                 hit = promising[q]
+                if block["exclude"][q]:
+                    hit = hit & ~np.isin(ids, list(block["exclude"][q]))
                 row = np.concatenate((best[q][0], scores[q][hit]))
                 names = np.concatenate((best[q][1], ids[hit]))
                 best[q] = _best_rows(row, names, block["k"][q])

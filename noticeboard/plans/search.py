@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from noticeboard.functions.scoring import pre_search_limit
 from noticeboard.operators import intent, lexical, ranking, vector
 from noticeboard.operators.common import small_side
-from noticeboard.operators.filters import exclude_ids
+from noticeboard.operators.filters import with_exclusions
 from noticeboard.session import materialise
 
 DOC_COLUMNS = ["id", "link", "heading_link", "website", "year_month", "year", "title", "content", "token"]
@@ -59,11 +59,10 @@ def with_documents(hits: DataFrame, docs: DataFrame, requests: DataFrame) -> Dat
 
 
 def search_candidates(
-    candidates: DataFrame, docs: DataFrame, postings: DataFrame, vectors: DataFrame, exclude: DataFrame | None = None
+    candidates: DataFrame, docs: DataFrame, postings: DataFrame, vectors: DataFrame
 ) -> DataFrame:
     """Ranked, reranked and merged results of prepared queries that carry their vectors."""
-    hits = multi_search(candidates, postings, vectors)
-    hits = ranking.dedupe_hits(hits if exclude is None else exclude_ids(hits, exclude))
+    hits = ranking.dedupe_hits(multi_search(candidates, postings, vectors))
     return ranking.rerank_and_merge(with_documents(hits, docs, candidates.filter("cand = 0")))
 
 
@@ -80,7 +79,8 @@ def two_rounds(candidates: DataFrame, docs: DataFrame, vectors: DataFrame, decis
         .withColumn("pre_limit", pre_search_limit(F.col("retry_limit"), F.lit(True)))
         .drop("retry_limit")
     )
-    second = search_candidates(again, docs, postings, vectors, ranking.seen_ids(first))
+    again = materialise(with_exclusions(again, ranking.seen_ids(first)), "second-round")
+    second = search_candidates(again, docs, postings, vectors)
     rounds = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
     limits = plan.select("request_id", F.when(F.col("retry"), F.col("retry_limit")).otherwise(F.col("limit")).alias("limit"))
     return ranking.final_results(ranking.accumulate_rounds(rounds), limits)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeboard import constants as C
-from noticeboard.operators.common import SALTS, ranked
+from noticeboard.operators.common import ranked
 
 RAW_CHUNK = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("website", "title", "link", "heading_link", "content", "main_title", "year_month")]
@@ -60,15 +60,14 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
 
 
-def write_snapshot(df: DataFrame, path: str, files_per_source: int = SALTS) -> None:
+def write_snapshot(df: DataFrame, path: str) -> None:
     """Replace the rows of the sources present in ``df``; other sources stay.
 
-    Rows are spread by source and salt, so one big source is written by many
-    tasks and a small one does not leave a file per task.
+    The rebalance hint gathers the rows of small sources and splits those of a
+    big one over many tasks, by the sizes seen at run time.
     """
-    salt = F.pmod(F.xxhash64("id"), F.lit(files_per_source))
     (
-        df.repartition("website", salt)
+        df.hint("rebalance", "website")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("website")

@@ -103,3 +103,13 @@ def test_filters_reach_the_scan(spark, folder):
 
     plan = filter_documents(df, websites=["src1", "src2"]).select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(source" in plan and "text" not in plan.split("ReadSchema")[1]
+
+
+def test_log_appends(spark):
+    from noticeboard.sources.logs import append_log
+
+    path = new_path(spark, "logs")
+    for n in (2, 3):
+        rows = spark.range(n).select("id", F.lit("chat").alias("log_type"), F.lit("2025-01-02 03:04:05").cast("timestamp").alias("ts"))
+        append_log(rows, path)
+    assert spark.read.json(path).filter("log_type = 'chat' and hour = '20250102_03'").count() == 5
