@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeboard.functions.text import clean_content, estimate_tokens, year_of
 from noticeboard.operators import sync
+from noticeboard.session import materialise
 
 
 def enrich(df: DataFrame, update_time: str) -> DataFrame:
@@ -21,14 +22,25 @@ def enrich(df: DataFrame, update_time: str) -> DataFrame:
 
 
 def next_snapshot(new: DataFrame, old: DataFrame, order: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """(the snapshot to keep, the report per source)."""
-    n, o = sync.dedupe_exact(new, order), sync.dedupe_exact(old, order)
+    """(the snapshot to keep, the report per source).
+
+    Both sides are written once without their copies; the report and the
+    snapshot read them.
+    """
+    n = materialise(sync.dedupe_exact(new, order), "new-snapshot")
+    o = materialise(sync.dedupe_exact(old, order), "old-snapshot")
     return sync.apply_diff(n, o), sync.diff_report(n, o)
 
 
 def next_table(table: DataFrame, new: DataFrame, old: DataFrame, update_time: str, order: str = "seq") -> DataFrame:
-    """The document table after one run: only rows that changed are cleaned and replaced."""
-    n, o = sync.dedupe_exact(new, order), sync.dedupe_exact(old, order)
-    changes = sync.live_changes(n, o)
-    upserts = enrich(n.join(changes.filter("op = 'add'").select("id"), "id", "left_semi"), update_time)
+    """The document table after one run: only rows that changed are cleaned and replaced.
+
+    The comparison works on ids alone, where copies do no harm. Its result is
+    written, so its size is known when full rows are joined to it, and copies
+    are dropped among the changed rows only: unchanged texts are not shuffled.
+    """
+    n, o = sync.with_fingerprint(new), sync.with_fingerprint(old)
+    changes = materialise(sync.live_changes(n, o), "changes")
+    fresh = n.join(changes.filter("op = 'add'").select("id"), "id", "left_semi")
+    upserts = enrich(sync.last_per_id(fresh, order), update_time)
     return sync.sync_change_batch(table, upserts, changes.filter("op = 'delete'"))

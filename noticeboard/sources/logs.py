@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def append_log(entries: DataFrame, path: str, ts: str = "ts") -> None:
-    """Append entries to folders of their type and hour, with few files per folder."""
-    hourly = entries.withColumn("hour", F.date_format(ts, "yyyyMMdd_HH"))
-    hourly.hint("rebalance", "log_type", "hour").write.mode("append").partitionBy("log_type", "hour").json(path)
+    """Append entries to folders of their type and hour.
+
+    Tasks take ranges of time, so an hour with very many entries is shared by
+    several tasks and the others leave one file per folder.
+    """
+    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hourly = entries.withColumn("hour", F.date_format(ts, "yyyyMMdd_HH")).repartitionByRange(tasks, ts)
+    hourly.write.mode("append").partitionBy("log_type", "hour").json(path)
 
 
 def progress_lines(steps: DataFrame) -> DataFrame:
