@@ -15,6 +15,7 @@ from noticeboard.functions.scoring import typo_allowance
 from noticeboard.functions.text import words
 from noticeboard.operators.common import ranked
 from noticeboard.operators.filters import DOC_FIELDS, REQUEST_FIELDS, matches
+from noticeboard.session import materialise
 
 CAND = ["request_id", "cand"]
 
@@ -269,15 +270,20 @@ def keyword_score(front: DataFrame, near: DataFrame) -> DataFrame:
 # -- BM25 -----------------------------------------------------------------
 def bm25(candidates: DataFrame, docs: DataFrame, text: str = "content", k: int = C.MAX_PRE_LIMIT) -> DataFrame:
     """Okapi BM25 of every query over one text column, best ``k`` documents each."""
-    split = docs.select("id", words(F.col(text)).alias("w")).filter(F.size("w") > 0)
-    whole = split.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg(F.size("w")).alias("len")).alias("s")).scalar()
+    split = docs.select("id", words(F.col(text)).alias("w"))
+    lengths = split.select(F.size("w").alias("dl")).filter("dl > 0")
+    whole = lengths.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("dl").alias("len")).alias("s")).scalar()
     terms = search_terms(candidates).select(*CAND, "term")
     tf = (
-        split.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+        # The length is taken before the array is exploded, so no row carries the array.
+        split.select("id", "w", F.size("w").alias("dl"))
+        .select("id", "dl", F.explode("w").alias("term"))
         .join(terms.select("term").distinct(), "term", "left_semi")
         .groupBy("id", "dl", "term")
         .agg(F.count("*").alias("tf"))
     )
+    # Read twice below, and small next to the texts: only terms that were asked for.
+    tf = materialise(tf, "term-counts")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(df, "term").withColumn(
         "idf", F.log(F.lit(1.0) + (whole["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
