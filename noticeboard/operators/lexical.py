@@ -288,6 +288,8 @@ def bm25(candidates: DataFrame, docs: DataFrame, text: str = "content", k: int =
     weighted = terms.join(df, "term").withColumn(
         "idf", F.log(F.lit(1.0) + (whole["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     )
+    # Written so that its size is known: the smaller side of the next join is this one.
+    weighted = materialise(weighted, "weights")
     part = (
         F.col("idf") * F.col("tf") * (C.BM25_K1 + 1)
         / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / whole["len"]))
