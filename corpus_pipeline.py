@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeboard.llm import lines, mixing, quality
+from noticeboard.llm import lines, mixing, near_dups, quality
 from noticeboard.llm.texts import read
 from noticeboard.session import materialise
 
@@ -27,6 +27,11 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return lines.drop_boilerplate(docs, "text", "source")
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each component of near duplicates."""
+    return near_dups.keep_one(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents so that sources come near their target weights."""
     return mixing.mixed(docs)
@@ -35,6 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", keep_good),
     ("line_dedup", drop_boilerplate),
+    ("near_dups", drop_near_copies),
     ("mixing", mix),
 ]
 

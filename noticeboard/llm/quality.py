@@ -131,14 +131,16 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def thresholds(rows: DataFrame) -> dict[str, list[float]]:
-    """Distinct quantiles of every feature over the labelled rows: half of all values, half of those above zero."""
+    """Distinct quantiles of every feature over the labelled rows: of all values and of those above zero."""
     shares = [(i + 1) / (BINS // 2 + 1) for i in range(BINS // 2)]
     quantiles = lambda x: F.percentile_approx(x.cast("double"), shares, 10000)
     row = rows.agg(
         *[quantiles(F.col(f)).alias(f) for f in FEATURES],
         *[quantiles(F.when(F.col(f) > 0, F.col(f))).alias(f"{f}_above") for f in FEATURES],
+        *[(F.min(F.when(F.col(f) > 0, F.col(f))) / 2).alias(f"{f}_least") for f in FEATURES],
     ).first()
-    return {f: sorted({*(row[f] or []), *(row[f"{f}_above"] or [])}) for f in FEATURES}
+    least = {f: [row[f"{f}_least"]] if row[f"{f}_least"] else [] for f in FEATURES}
+    return {f: sorted({*(row[f] or []), *(row[f"{f}_above"] or []), *least[f]}) for f in FEATURES}
 
 
 def _gain(p: float, n: float, p0: float, n0: float) -> float:

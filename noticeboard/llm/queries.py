@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from noticeboard.llm import licences, lines, mixing, quality
+from noticeboard.llm import licences, lines, mixing, near_dups, quality
 from noticeboard.llm.texts import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+@query("op7_near_dups")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.classify(read(spark, folder, "documents"))
+
+
 OP8_KNOWN = " ".join(f"WHEN contains(s, '{pattern}') THEN '{name}'" for name, pattern in licences.SENTENCES)
 
 
