@@ -7,9 +7,10 @@ packed sequences.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeboard.llm import lines, mixing, near_dups, quality
+from noticeboard.llm import lines, mixing, near_dups, packing, quality
 from noticeboard.llm.texts import read
 from noticeboard.session import materialise
 
@@ -37,11 +38,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenise all documents and pack them into sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("quality_rules", keep_good),
     ("line_dedup", drop_boilerplate),
     ("near_dups", drop_near_copies),
     ("mixing", mix),
+    ("packing", pack),
 ]
 
 

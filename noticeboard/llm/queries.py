@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 import corpus_pipeline
-from noticeboard.llm import licences, lines, mixing, near_dups, quality
+from noticeboard.llm import licences, lines, mixing, near_dups, packing, quality, substrings
 from noticeboard.llm.texts import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +32,17 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    left = substrings.remove_repeats(read(spark, folder, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op6_packing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
 @query("op7_near_dups")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.classify(read(spark, folder, "documents"))
