@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from noticeboard.llm import licences, lines, mixing, near_dups, packing, quality, substrings
+from noticeboard.llm import licences, lines, mixing, near_dups, packing, quality, substrings, suffix_tree
 from noticeboard.llm.texts import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+@query("op4_lm_scores")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.score(read(spark, folder, "documents"))
+
+
 @query("op5_substring_dedup")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     left = substrings.remove_repeats(read(spark, folder, "documents"))
