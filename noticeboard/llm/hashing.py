@@ -95,6 +95,59 @@ def words(texts: pa.Array, fold: bool = False) -> Words:
     return Words(data, start, end, hashed, np.searchsorted(start, offsets))
 
 
+@dataclass
+class Units:
+    """Texts cut in front of every blank and at some other bounds of pre-tokens: byte spans in ``data``, hashes, where each text's units begin, and which texts are odd."""
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    first: np.ndarray
+    odd: np.ndarray
+
+
+#: Second bytes of white space in UTF-8 by its first byte, some other signs included.
+_WIDE_SPACE = {0xC2: (0x85, 0xA0), 0xE1: (0x9A,), 0xE2: (0x80, 0x81), 0xE3: (0x80,)}
+
+
+def units(texts: pa.Array) -> Units:
+    """Units of the texts (null: none). A text with a blank before (what may be) white space or its end is odd and has no units."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    body = texts.buffers()[2]
+    data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    n = len(data)
+    blank = np.flatnonzero(data == 32)
+    after = np.append(data, np.zeros(2, np.uint8))
+    one, two = after[blank + 1], after[blank + 2]
+    bad = _SPACE[one] | ((one >= 28) & (one < 32)) | np.isin(blank + 1, offsets[1:])
+    for lead, second in _WIDE_SPACE.items():
+        bad |= (one == lead) & np.isin(two, second)
+    odd = np.zeros(len(texts), bool)
+    odd[np.searchsorted(offsets, blank[bad], side="right") - 1] = True
+    cut = np.zeros(n + 1, bool)
+    cut[blank] = True
+    # an ASCII letter before a stop or comma, and a single line break between ASCII signs, end a pre-token too
+    plain = (data < 128) & ~_SPACE[data] & ((data < 28) | (data > 31))
+    letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+    cut[1:n] |= letter[:-1] & ((data[1:] == 46) | (data[1:] == 44))
+    line = np.flatnonzero(data[1:-1] == 10) + 1
+    line = line[plain[line - 1] & plain[line + 1]]
+    cut[line] = cut[line + 1] = True
+    cut[offsets] = True
+    start = np.flatnonzero(cut[:n])
+    end = np.append(start[1:], n)
+    text = np.searchsorted(offsets, start, side="right") - 1
+    use = ~odd[text]
+    start, end, text = start[use], end[use], text[use]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTES[data] * _powers(_BASE, n, _known), out=sums[1:])
+    hashed = mix((sums[end] - sums[start]) * _powers(_BASE_INVERSE, n, _known)[start])
+    return Units(data, start, end, hashed, np.searchsorted(text, np.arange(len(texts) + 1)), odd)
+
+
 def windows(hashes: np.ndarray, length: int, step: int = 0) -> np.ndarray:
     """Hash of the window of ``length`` words that starts at each word.
 

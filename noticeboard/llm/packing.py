@@ -11,7 +11,6 @@ padding.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +26,7 @@ from noticeboard.session import materialise
 
 SIZE, OPEN, FAN, END = 1024, 16, 64, 0
 #: Texts whose units a worker remembers at most, over batches.
-REMEMBERED = 400_000
+REMEMBERED = 2_000_000
 
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 _PIECES = f"task long, {COLUMNS}"
@@ -36,8 +35,9 @@ _PIECES = f"task long, {COLUMNS}"
 class Encoder:
     """Token ids of texts as little-endian 32-bit numbers.
 
-    A blank before anything but white space begins a pre-token, so texts are cut
-    there, and each distinct unit is tokenised once.
+    A blank in front of anything but white space begins a pre-token, so texts are
+    cut there and each distinct unit is tokenised once. Units are remembered by a
+    64-bit hash. Texts with a blank before white space are tokenised whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,27 +46,71 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, with no id for null and empty ones."""
-        texts = [t or "" for t in texts]
-        odd = [i for i, t in enumerate(texts) if re.search(r" \s", t)]
-        out = dict(zip(odd, self._plain([texts[i] for i in odd]), strict=True))
-        split = {i: t.split(" ") for i, t in enumerate(texts) if i not in out}
-        heads = dict(zip(split, self._plain([u[0] for u in split.values()]), strict=True))
-        new = set().union(*[u[1:] for u in split.values()]).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            new = set().union(*[u[1:] for u in split.values()])
-            self.known = {}
-        new = sorted(new)
-        self.known.update(zip(new, self._plain([" " + u for u in new]), strict=True))
-        for i, units in split.items():
-            out[i] = heads[i] + b"".join(map(self.known.__getitem__, units[1:]))
-        return [out[i] for i in range(len(texts))]
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _units(self, units: list[str]) -> list[np.ndarray]:
+        """Ids of units; those of one word go to the tokenizer many at once, a line break behind each."""
+        out: list[np.ndarray | None] = [None] * len(units)
+        words = [i for i, u in enumerate(units) if self.line is not None and (body := u.removeprefix(" ")).split() == [body]]
+        for at in range(0, len(words), 50_000):
+            part = words[at : at + 50_000]
+            lines = ["\n".join(units[i] for i in part[k : k + 50]) + "\n" for k in range(0, len(part), 50)]
+            ids = np.concatenate(self._whole(lines))
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) == len(part):
+                for i, a, b in zip(part, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
+                    out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._whole([units[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
+        found = self._units(units)
+        size = np.array([len(x) for x in found], np.int64)
+        total = int(size.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(total, self.used) + (1 << 16), np.uint32)])
+        self.ids[self.used : self.used + total] = np.concatenate(found)
+        begin = self.used + np.cumsum(size) - size
+        self.used += total
+        order = np.argsort(every := np.append(self.hashes, hashes), kind="stable")
+        self.hashes, self.begin, self.size = every[order], np.append(self.begin, begin)[order], np.append(self.size, size)[order]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, none for null and empty ones."""
+        units = hashing.units(texts)
+        odd = np.flatnonzero(units.odd)
+        distinct, first, which = np.unique(units.hash, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(distinct) > REMEMBERED:
+            self._forget()
+        slot = np.searchsorted(self.hashes, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = slot < len(self.hashes)
+        new[inside] = self.hashes[slot[inside]] != distinct[inside]
+        if new.any():
+            at = first[new]
+            body = units.data.tobytes()
+            self._learn(distinct[new], [body[a:b].decode() for a, b in zip(units.start[at].tolist(), units.end[at].tolist(), strict=True)])
+            slot = np.searchsorted(self.hashes, distinct)
+        size = self.size[slot][which] if len(which) else np.zeros(0, np.int64)
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.ids[np.repeat((self.begin[slot][which] if len(which) else size) - (ends - size), size) + np.arange(total)].tobytes()
+        cuts = 4 * np.append(0, ends)[units.first]
+        out = [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for i, ids in zip(odd.tolist(), self._whole([texts[i].as_py() for i in odd.tolist()]), strict=True):
+            out[i] = ids.tobytes()
+        return out
 
 
 @dataclass
@@ -183,7 +227,7 @@ def _pack_partition(path: str, size: int, limit: int):
         for batch in batches:
             for at, part in hashing.slices(batch.column(1)):
                 closed = []
-                coded = encoder.encode(part.to_pylist())
+                coded = encoder.encode(part)
                 for doc_id, ids in zip(batch.column(0).slice(at, len(part)).to_pylist(), coded, strict=True):
                     ids += np.uint32(END).tobytes()
                     for window in packer.add(Piece(doc_id, len(ids) // 4, 0, ids)):
