@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text hashed at once; a longer single text is still hashed whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240501)
 _BYTES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -37,6 +37,13 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # word number at which text i begins; one more entry at the end
+    sums: np.ndarray
+
+    def stems(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word number, hash) of the first ``length`` bytes of the words that are so long."""
+        long = np.flatnonzero(self.end - self.start >= length)
+        begin = self.start[long]
+        return long, mix((self.sums[begin + length] - self.sums[begin]) * _powers(_BASE_INVERSE, len(self.data), _known)[begin])
 
     def count(self) -> np.ndarray:
         return np.diff(self.first)
@@ -73,15 +80,15 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
         at = to
 
 
-def words(texts: pa.Array, fold: bool = False) -> Words:
-    """All words of the texts (null: none); ``fold`` reads A-Z as a-z."""
+def words(texts: pa.Array, fold: bool = False, separators: np.ndarray = _SPACE) -> Words:
+    """All words of the texts (null: none); ``fold`` reads A-Z as a-z. ``separators`` tells by byte what is between words."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     body = texts.buffers()[2]
     data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
     n = len(data)
-    space = _SPACE[data]
+    space = separators[data]
     begins = ~space
     ends = begins.copy()
     cut = np.zeros(n + 1, bool)
@@ -92,7 +99,7 @@ def words(texts: pa.Array, fold: bool = False) -> Words:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((_FOLDED if fold else _BYTES)[data] * _powers(_BASE, n, _known), out=sums[1:])
     hashed = mix((sums[end] - sums[start]) * _powers(_BASE_INVERSE, n, _known)[start])
-    return Words(data, start, end, hashed, np.searchsorted(start, offsets))
+    return Words(data, start, end, hashed, np.searchsorted(start, offsets), sums)
 
 
 @dataclass

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from noticeboard.llm import ann, licences, lines, mixing, near_dups, packing, quality, substrings, suffix_tree
+from noticeboard.llm import ann, licences, lines, mixing, near_dups, packing, quality, substrings, suffix_tree, toxicity
 from noticeboard.llm.texts import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 @query("op2_nearest_vectors")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
