@@ -118,7 +118,7 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
     shared[order] = np.repeat((size > 1) | np.logical_or.reduceat(many[order], begins), size)
     hashes, blocks = hashes[shared], blocks[shared]
     order, begins = _groups(blocks)
-    ends = np.append(begins[1:], len(order))
+    ends = np.append(begins, len(order))[1:]
     return pa.table(
         {
             "block": pa.array(blocks[order][begins], pa.int32()),
@@ -171,7 +171,7 @@ def _earlier_windows(table: pa.Table) -> pa.Table:
     first[order] = np.repeat(np.minimum.reduceat(low[order], begins), np.diff(np.append(begins, len(order))))
     use = np.flatnonzero(first < high)
     order, begins = _groups(blocks[use])
-    use, ends = use[order], np.append(begins[1:], len(order))
+    use, ends = use[order], np.append(begins, len(order))[1:]
     rows = {"block": pa.array(blocks[use][begins], pa.int32())}
     for name, column in (("h1", h1), ("h2", h2), ("first", first)):
         rows[name] = pa.array([column[use[a:b]].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())

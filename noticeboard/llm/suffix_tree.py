@@ -18,6 +18,7 @@ space and get its count back.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -156,7 +157,7 @@ def _post_contexts(n: int, depth: int, symbols, allowed):
         keys, counts = _summed(np.concatenate(keys), np.concatenate(counts))
         ranges = (hashing.mix(keys >> np.uint64(16)) % np.uint64(n)).astype(np.int64)
         order, begins = _groups(ranges)
-        ends = np.append(begins[1:], len(order))
+        ends = np.append(begins, len(order))[1:]
         pick = lambda x: pa.array([x[order[a:b]].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())
         return pa.table({"range": pa.array(ranges[order][begins], pa.int32()), "key": pick(keys), "count": pick(counts)})
 
@@ -227,7 +228,7 @@ def grow(root_counts: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         _, begins = _groups(keys >> np.uint64(16))
-        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(keys)], strict=True):
+        for a, b in itertools.pairwise([*begins.tolist(), len(keys)]):
             entries = dict(zip((keys[a:b] & np.uint64(65535)).tolist(), counts[a:b].tolist(), strict=True))
             rest = entries.pop(65535, 0)
             tables[int(keys[a] >> np.uint64(16))] = (entries, rest, sum(entries.values()) + rest)
