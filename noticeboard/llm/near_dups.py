@@ -35,6 +35,8 @@ SHINGLE, COORDINATES, MATCHES = 5, 64, 30
 SIMILAR = 75  # percent
 #: Members of one hub that one task holds against it.
 CHUNK = 256
+#: Bits that the shingles outside a hub are folded into.
+SKETCH = 512
 
 _factors = np.random.default_rng(7).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -120,10 +122,17 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for a, b, x, y in _against_hub(batches):
         rest = np.setdiff1d(y, x, assume_unique=True).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (a, b)] + [pa.array([rest], pa.list_(pa.int64()))], ["hub", "rep", "outside"])
+        bits = np.zeros(-(-len(x) // 64) * 64, bool)
+        bits[: len(x)] = np.isin(x, y, assume_unique=True)
+        inside = np.packbits(bits).view(np.int64)
+        bits = np.zeros(SKETCH, bool)
+        bits[rest.view(np.uint64) % np.uint64(SKETCH)] = True
+        lists = [pa.array([v], pa.list_(pa.int64())) for v in (rest, inside, np.packbits(bits).view(np.int64))]
+        numbers = [pa.array([v], pa.int64()) for v in (a, b, len(rest) - int(bits.sum()))]
+        yield pa.RecordBatch.from_arrays(numbers + lists, ["hub", "rep", "crowded", "outside", "inside", "sketch"])
 
 
 def _rows_by_hub(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -193,22 +202,31 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     earliest = lists.groupBy("key").agg(F.min(F.struct("rep", "n", "component")).alias("h"))
     edges = edges.union(measure(candidates(lists.join(earliest, "key").filter(other & _sizes_fit("n", "h.n"))), docs).filter("linked").select("a", "b"))
     lists = in_components(materialise(components(edges), "components"))
-    # With what two sets share with the hub of their list, they either are linked by that alone, or share shingles outside it.
+    # What two sets share is what both share with the hub of their list, which bit masks tell, and what they share outside it.
     hubs = central.select("key", F.col("h.rep").alias("hub"))
     shares = measured.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "common")
-    lists = lists.join(hubs, "key").join(shares, ["hub", "rep"])
-    enough = lambda shared: 100 * shared >= SIMILAR * (F.col("n") + F.col("h.n") - shared)
-    inside = F.least("common", "h.common")
-    apart = other & (F.col("rep") < F.col("h.rep")) & _sizes_fit("n", "h.n")
-    entry = F.struct("rep", "n", "component", "common").alias("h")
-    family = materialise(lists.select("hub", "rep", "n", "component", "common").distinct(), "families")
-    by_hub = family.join(family.select("hub", entry), "hub").filter(apart & enough(inside))
-    rest = _rows_by_hub(family.select(F.col("hub").alias("a"), F.col("rep").alias("b")), docs).mapInArrow(_outside, "hub long, rep long, outside array<long>")
-    rest = materialise(rest.join(family, ["hub", "rep"]).select("hub", "rep", "n", "component", "common", F.explode("outside").alias("shingle")), "outside")
+    family = lists.join(hubs, "key").join(shares, ["hub", "rep"]).select("hub", "rep", "n", "component", "common").distinct()
+    family = materialise(family, "families")
+    parts = _rows_by_hub(family.select(F.col("hub").alias("a"), F.col("rep").alias("b")), docs)
+    parts = parts.mapInArrow(_parts, "hub long, rep long, crowded long, outside array<long>, inside array<long>, sketch array<long>")
+    parts = materialise(parts.join(family, ["hub", "rep"]), "parts")
+    entry = F.struct("rep", "n", "component", "common", "crowded", "inside", "sketch").alias("h")
+    family = parts.drop("outside")
+    rest = parts.select("hub", "rep", "component", F.explode("outside").alias("shingle"))
     mixed = rest.groupBy("hub", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    rest = materialise(rest.join(mixed.select("hub", "shingle"), ["hub", "shingle"]), "outside")
-    most = inside + F.least(F.col("n") - F.col("common"), F.col("h.n") - F.col("h.common"))
-    by_rest = rest.join(rest.select("hub", "shingle", entry), ["hub", "shingle"]).filter(apart & enough(most))
+    rest = rest.join(mixed.select("hub", "shingle"), ["hub", "shingle"]).drop("component").join(family, ["hub", "rep"])
+    rest = materialise(rest, "outside")
+    apart = other & (F.col("rep") < F.col("h.rep")) & _sizes_fit("n", "h.n")
+    enough = lambda shared: 100 * shared >= SIMILAR * (F.col("n") + F.col("h.n") - shared)
+    outside = F.least(F.col("n") - F.col("common"), F.col("h.n") - F.col("h.common"))
+    bits = lambda c: F.aggregate(F.zip_with(c, f"h.{c}", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
+    both = bits("inside")
+    # shared shingles share a bit, and those beyond one a bit are crowded in both
+    fewer = F.least(outside, bits("sketch") + F.least("crowded", "h.crowded"))
+    roughly, least = F.least("common", "h.common"), enough(both)
+    by_hub = family.join(family.select("hub", entry), "hub").filter(apart & F.when(enough(roughly), least).otherwise(False))
+    met = rest.join(rest.select("hub", "shingle", entry), ["hub", "shingle"])
+    by_rest = met.filter(apart & F.when(enough(roughly + outside), enough(both + fewer)).otherwise(False))
     pairs = candidates(by_hub.select("rep", "h").union(by_rest.select("rep", "h")))
     edges = edges.union(measure(pairs, docs).filter("linked").select("a", "b"))
     return materialise(components(edges), "components")

@@ -27,6 +27,8 @@ from noticeboard.session import materialise
 SIZE, OPEN, FAN, END = 1024, 16, 64, 0
 #: Texts whose units a worker remembers at most, over batches.
 REMEMBERED = 2_000_000
+#: Bytes of text tokenised at once.
+READ = 4 << 20
 
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 _PIECES = f"task long, {COLUMNS}"
@@ -225,7 +227,7 @@ def _pack_partition(path: str, size: int, limit: int):
         task = TaskContext.get().partitionId()
         packer, sequence = Packer(size, limit), task << 32
         for batch in batches:
-            for at, part in hashing.slices(batch.column(1)):
+            for at, part in hashing.slices(batch.column(1), READ):
                 closed = []
                 coded = encoder.encode(part)
                 for doc_id, ids in zip(batch.column(0).slice(at, len(part)).to_pylist(), coded, strict=True):
