@@ -28,8 +28,10 @@ SAMPLE, LIST_SIZE, MAX_LISTS = 65_536, 100, 4096
 REPLICAS, POST_RATIO = 8, 0.15
 #: A query reads the lists not further than (1 + ratio) times its nearest, and more until they hold MIN_CANDIDATES vectors.
 #: The ratio is the smallest that finds the share RECALL of the neighbours of TRIALS sampled vectors among CALIBRATION others.
-RATIOS = [0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.14, 0.17, 0.2, 0.25, 0.3, 0.4, 0.5]
-RECALL, TRIALS, CALIBRATION, MIN_CANDIDATES = 0.97, 256, 8192, 1000
+RATIOS = [0.02, 0.04, 0.06, 0.08, 0.1, 0.11, 0.12, 0.13, 0.14, 0.15, 0.16, 0.18, 0.2, 0.25, 0.3, 0.4, 0.5]
+RECALL, TRIALS, CALIBRATION, MIN_CANDIDATES = 0.96, 256, 8192, 1000
+#: Lists that are read first; what is found there is the floor for the others.
+FIRST = 2
 #: Longer lists are read in parts of about this many vectors.
 PART = 2048
 NEIGHBOURS, BEAM = 24, 256
@@ -51,7 +53,7 @@ def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
 
 def lifted_queries(vectors: np.ndarray, longest: float) -> np.ndarray:
     length = np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True)
-    return np.hstack([(vectors * (longest / length)).astype(np.float32), np.zeros((len(vectors), 1), np.float32)])
+    return np.hstack([(vectors * (longest / np.maximum(length, 1e-300))).astype(np.float32), np.zeros((len(vectors), 1), np.float32)])
 
 
 def _nearest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -205,28 +207,37 @@ def _probe(model, longest: float, sizes, ratio: float):
             near = dist <= dist[:, :1] * (1 + ratio) ** 2 + 1e-12
             row, place = np.nonzero((near | (before < MIN_CANDIDATES)) & (held > 0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row, place], pa.int32()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["list", "query_id", "query"]
+                [pa.array(ids[row, place], pa.int32()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(place, pa.int32())],
+                ["list", "query_id", "query", "place"],
             )
 
     return run
 
 
 def _best(k: int):
-    """The best ``k`` vectors of one part of a list for each query that reads it."""
+    """The best ``k`` vectors of one part of a list for each query that reads it, if they reach its floor."""
 
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if queries.num_rows and vectors.num_rows:
             ids = vectors["vec_id"].to_numpy()
+            many = int(np.unique(ids, return_counts=True)[1].max()) * k  # enough rows for k ids
             table = matrix(vectors["vector"]).astype(np.float64)
             every = matrix(queries["query"]).astype(np.float64)
+            floors = queries["floor"].to_numpy()
             for at in range(0, len(every), 256):
                 block, own = every[at : at + 256], queries["query_id"].to_numpy()[at : at + 256]
                 rough = block @ table.T
                 rough[own[:, None] == ids[None, :]] = -np.inf
-                least = np.partition(rough, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)] if len(ids) > k else np.full(len(own), -np.inf)
+                least = np.partition(rough, len(ids) - many, axis=1)[:, len(ids) - many] if len(ids) > many else np.full(len(own), -np.inf)
+                least = np.maximum(least, floors[at : at + 256])
                 row, col = np.nonzero((rough >= (least - 1e-9 * (1 + np.abs(least)))[:, None]) & np.isfinite(rough))
                 value = (block[row] * table[col]).sum(axis=1)  # the same order of sums for every row, so copies tie
+                order = np.lexsort((-value, ids[col], row))
+                row, col, value = row[order], col[order], value[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (ids[col[1:]] != ids[col[:-1]])
+                row, col, value = row[new], col[new], value[new]
                 order = np.lexsort((ids[col], -value, row))
                 row, col, value = row[order], col[order], value[order]
                 first = np.searchsorted(row, np.arange(len(own)))
@@ -281,10 +292,20 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     # a list of at most MAX_LISTS rows
     parts = F.broadcast(posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")))
     dealt = posted.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
-    asked = rows.filter(is_query).mapInArrow(_probe(model, longest, send(sizes), ratio), "list int, query_id long, query array<float>")
-    asked = asked.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    schema = "query_id long, vec_id long, score double"
-    near = asked.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(_best(k), schema)
-    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = rows.filter(is_query).mapInArrow(_probe(model, longest, send(sizes), ratio), "list int, query_id long, query array<float>, place int")
+
+    def read(asked: DataFrame) -> DataFrame:
+        by_part = asked.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "place")
+        schema = "query_id long, vec_id long, score double"
+        return by_part.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(_best(k), schema)
+
+    def ranked(near: DataFrame) -> DataFrame:
+        near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return near.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    first = materialise(ranked(read(asked.filter(F.col("place") < FIRST).withColumn("floor", F.lit(float("-inf"))))), "first")
+    floors = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    others = asked.filter(F.col("place") >= FIRST).join(floors, "query_id", "left").fillna({"floor": float("-inf")})
+    near = first.select("query_id", "vec_id", "score").union(read(others))
+    return ranked(near).select("query_id", "rank", "vec_id", "score")
