@@ -98,12 +98,22 @@ def search_views(p: str, cands: str, ok: str) -> None:
     FROM {p}front l LEFT JOIN (SELECT request_id, cand, id, sum(8 - gap) AS s FROM {p}gaps GROUP BY 1, 2, 3) g USING (request_id, cand, id)""",
     )
     view(
-        f"{p}keyword_hits",
+        f"{p}ladder_hits",
         [f"{p}front", f"{p}near"],
         f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, cand ORDER BY words DESC, typos, proximity DESC, attr, exact DESC, id) AS rank FROM (
       SELECT l.*, n.proximity, round(CAST(0.6 * words / n_terms + 0.15 * (1.0 - typos / (2.0 * words)) + 0.1 * proximity + 0.1 * (3 - attr) / 3.0 + 0.05 * exact / words AS DOUBLE), 9) AS score
       FROM {p}front l JOIN {p}near n USING (request_id, cand, id))) WHERE rank <= pre_limit""",
     )
+    view(
+        f"{p}keyword_hits",
+        ["index_terms", "index_frequencies", "index_size", "terms", cands, ok],
+        f"""SELECT request_id, cand, id, rank, CASE WHEN best > 0 THEN round(score / best, 6) ELSE 0.0 END AS score FROM (
+      SELECT *, max(score) OVER (PARTITION BY request_id, cand) AS best FROM (
+        SELECT *, row_number() OVER (PARTITION BY request_id, cand ORDER BY score DESC, id) AS rank FROM (
+          SELECT q.request_id, q.cand, t.id, l.pre_limit, round(sum(ln(1 + (n.n - f.df + 0.5) / (f.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / n.avg))), 6) AS score
+          FROM index_terms t JOIN index_frequencies f USING (term) JOIN terms q USING (term) JOIN {cands} l ON l.request_id = q.request_id AND l.cand = q.cand
+          JOIN {ok} a ON a.request_id = q.request_id AND a.cand = q.cand AND a.id = t.id, index_size n GROUP BY 1, 2, 3, 4)) WHERE rank <= pre_limit)""",
+    )
     view(
         f"{p}semantic_hits",
         [cands, "vectors", ok],
@@ -122,6 +132,10 @@ def search_views(p: str, cands: str, ok: str) -> None:
     )
 
 
+view("index_words", ["corpus"], f"SELECT id, {sql_words("(title || ' ' || content)")} AS w FROM corpus")
+view("index_terms", ["index_words"], "SELECT id, term, dl, count(*)::DOUBLE AS tf FROM (SELECT id, len(w)::DOUBLE AS dl, unnest(w) AS term FROM index_words) GROUP BY 1, 2, 3")
+view("index_frequencies", ["index_terms"], "SELECT term, count(*)::DOUBLE AS df FROM index_terms GROUP BY 1")
+view("index_size", ["index_words"], "SELECT count(*)::DOUBLE AS n, avg(len(w)) AS avg FROM index_words WHERE len(w) > 0")
 search_views("", "candidates", "allowed")
 
 
@@ -168,7 +182,7 @@ def k4(spark, d):
 
 def rules(spark, d):
     cands = candidates(spark, d)
-    postings = search.stored_postings(corpus(spark, d))
+    postings = materialise(lexical.build_postings(corpus(spark, d)), "postings")
     terms = lexical.search_terms(cands)
     expansion = materialise(lexical.expand_terms(terms, postings.select("term")), "expansion")
     return lexical.rule_counts(expansion, terms, postings, cands), expansion, terms, postings, cands
@@ -192,9 +206,11 @@ def k7(spark, d):
     return rules(spark, d)[0].select(*CAND, "id", "words", "typos", F.round(F.col("exact") / F.col("words"), 9).alias("exactness"))
 
 
-@query("k8_keyword_score", with_views(["keyword_hits"], "SELECT request_id, cand, id, rank, score FROM keyword_hits"))
+@query("k8_keyword_score", with_views(["ladder_hits"], "SELECT request_id, cand, id, rank, score FROM ladder_hits"))
 def k8(spark, d):
-    return search.keyword_search(candidates(spark, d), search.stored_postings(corpus(spark, d))).select(*CAND, "id", "rank", "score")
+    counts, expansion, terms, postings, cands = rules(spark, d)
+    front = materialise(lexical.keep_front(counts, cands), "front")
+    return lexical.keyword_score(front, lexical.proximity(front, expansion, terms, postings)).select(*CAND, "id", "rank", "score")
 
 
 @query(
@@ -211,7 +227,8 @@ def k8(spark, d):
     ),
 )
 def k9(spark, d):
-    return lexical.bm25(candidates(spark, d), corpus(spark, d), k=50).select(*CAND, "id", "score", "rank")
+    index = lexical.term_index(corpus(spark, d), ["content"])
+    return lexical.bm25(candidates(spark, d), index, k=50, filtered=False).select(*CAND, "id", "score", "rank")
 
 
 # -- vectors and blending -------------------------------------------------
@@ -229,13 +246,13 @@ def v2(spark, d):
 @query("h1_hybrid", with_views(["hybrid_hits"], "SELECT request_id, cand, id, kw_score, sem_score, score FROM hybrid_hits"))
 def h1(spark, d):
     cands = candidates(spark, d)
-    keyword = search.keyword_search(cands, search.stored_postings(corpus(spark, d)))
+    keyword = search.keyword_search(cands, search.stored_index(corpus(spark, d)))
     return ranking.hybrid(keyword, vector.cosine_topk(cands, vectors(spark, d)), cands).select(*CAND, "id", "kw_score", "sem_score", "score")
 
 
 @query("h2_multi_search", with_views(["hybrid_hits"], "SELECT request_id, cand, id, rank, score FROM hybrid_hits"))
 def h2(spark, d):
-    return search.multi_search(candidates(spark, d), search.stored_postings(corpus(spark, d)), vectors(spark, d)).select(*CAND, "id", "rank", "score")
+    return search.multi_search(candidates(spark, d), search.stored_index(corpus(spark, d)), vectors(spark, d)).select(*CAND, "id", "rank", "score")
 
 
 @query(
@@ -368,9 +385,9 @@ def r5(spark, d):
     with_views(
         ["deduped", "corpus", "limits", "reranked"],
         """SELECT request_id, id, position, rerank_score, round(hit_ratio, 9) AS hit_ratio, has_keyword,
-  CASE WHEN n_keys = 0 THEN 'none' ELSE 'keywords' END AS rerank_mode FROM reranked WHERE request_id % 4 <> 0 AND position <= 125
+  CASE WHEN n_keys = 0 THEN 'none' ELSE 'keywords' END AS rerank_mode FROM reranked WHERE request_id % 4 <> 0
 UNION ALL SELECT * FROM (SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, cand, rank) AS position, score, NULL, 'disabled', 'disabled'
-  FROM deduped WHERE request_id % 4 = 0) WHERE position <= 125""",
+  FROM deduped WHERE request_id % 4 = 0)""",
     ),
 )
 def r6(spark, d):
@@ -410,7 +427,7 @@ fold_views("full", "full_cut")
 )
 def g3(spark, d):
     docs = corpus(spark, d)
-    out = search.search_candidates(candidates(spark, d), docs, search.stored_postings(docs), vectors(spark, d))
+    out = search.search_candidates(candidates(spark, d), docs, search.stored_index(docs), vectors(spark, d))
     return out.select("request_id", "rank", "link", "id", "title", joined(F.col("all_ids")).alias("all_ids"), "token", "score", "rerank_score", "has_keyword")
 
 

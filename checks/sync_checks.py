@@ -196,16 +196,20 @@ def m1(spark, d):
     return sync.upsert(old_set(spark, d), sync.with_fingerprint(new_snap(spark, d)), "seq").select(*OUT)
 
 
-PATCH_SQL = """SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN quality = 1 THEN 'reviewed' END AS title,
-  CASE WHEN toxic = 1 THEN 'hidden' END AS content FROM labels"""
+# Three patch rows share an id, and one field is new to the table.
+PATCH_SQL = """SELECT CAST(doc_id // 3 * 3 AS VARCHAR) AS id, CASE WHEN quality = 1 THEN 'reviewed ' || doc_id END AS title,
+  CASE WHEN toxic = 1 THEN 'hidden ' || doc_id END AS content, CASE WHEN quality = 0 THEN 'low' END AS grade, doc_id AS seq FROM labels"""
 view("patch", [], PATCH_SQL)
 
 
 def patch(spark, d):
+    doc = F.col("doc_id")
     return table(spark, d, "labels").select(
-        F.col("doc_id").cast("string").alias("id"),
-        F.when(F.col("quality") == 1, "reviewed").alias("title"),
-        F.when(F.col("toxic") == 1, "hidden").alias("content"),
+        (F.floor(doc / 3) * 3).cast("string").alias("id"),
+        F.when(F.col("quality") == 1, F.concat(F.lit("reviewed "), doc)).alias("title"),
+        F.when(F.col("toxic") == 1, F.concat(F.lit("hidden "), doc)).alias("content"),
+        F.when(F.col("quality") == 0, "low").alias("grade"),
+        doc.alias("seq"),
     )
 
 
@@ -213,12 +217,14 @@ def patch(spark, d):
     "m2_partial_update",
     with_views(
         ["corpus", "patch"],
-        """SELECT coalesce(c.id, p.id) AS id, c.website, coalesce(p.title, c.title) AS title, coalesce(p.content, c.content) AS content
-FROM corpus c FULL OUTER JOIN patch p ON c.id = p.id""",
+        """SELECT coalesce(c.id, p.id) AS id, c.website, coalesce(p.title, c.title) AS title, coalesce(p.content, c.content) AS content, p.grade
+FROM corpus c FULL OUTER JOIN (
+  SELECT id, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title, arg_max(content, seq) FILTER (WHERE content IS NOT NULL) AS content,
+    arg_max(grade, seq) FILTER (WHERE grade IS NOT NULL) AS grade FROM patch GROUP BY id) p ON c.id = p.id""",
     ),
 )
 def m2(spark, d):
-    return sync.partial_update(corpus(spark, d).select("id", "website", "title", "content"), patch(spark, d))
+    return sync.partial_update(corpus(spark, d).select("id", "website", "title", "content"), patch(spark, d), "seq")
 
 
 def delete_list(spark, d):
@@ -255,7 +261,8 @@ def m4(spark, d):
     with_views(["old_set", "new_set"], f"SELECT {OUT_SQL} FROM old_set UNION ALL SELECT {OUT_SQL} FROM new_set WHERE id NOT IN (SELECT id FROM old_set)"),
 )
 def m5(spark, d):
-    return sync.add_new_only(old_set(spark, d), new_set(spark, d)).select(*OUT)
+    # The batch holds copies under one id.
+    return sync.add_new_only(old_set(spark, d), sync.with_fingerprint(new_snap(spark, d)), "seq").select(*OUT)
 
 
 @query(
@@ -268,7 +275,7 @@ WHERE id NOT IN (SELECT id FROM old_set WHERE website <> 'src1')""",
 )
 def m6(spark, d):
     old = old_set(spark, d)
-    return sync.auto_sync(old, old.filter("website = 'src1'"), new_set(spark, d)).select(*OUT)
+    return sync.auto_sync(old, old.filter("website = 'src1'"), sync.with_fingerprint(new_snap(spark, d)), "seq").select(*OUT)
 
 
 @query(
@@ -281,12 +288,18 @@ UNION ALL SELECT {OUT_SQL} FROM new_set WHERE length(content) > 2000""",
 )
 def m7(spark, d):
     old, new = old_set(spark, d), new_set(spark, d)
-    return sync.sync_change_batch(old, new.filter(F.length("content") > 2000), sync.deleted(new, old)).select(*OUT)
+    batch = sync.with_fingerprint(new_snap(spark, d)).filter(F.length("content") > 2000)
+    return sync.sync_change_batch(old, batch, sync.deleted(new, old), "seq").select(*OUT)
 
 
-@query("m8_reset", with_views(["corpus"], "SELECT id, website FROM corpus WHERE false"))
+@query("m8_reset", with_views(["corpus"], "SELECT count(*) AS rows_before, CAST(0 AS BIGINT) AS rows_after, 'id|website|content' AS columns FROM corpus"))
 def m8(spark, d):
-    return sync.reset(corpus(spark, d)).select("id", "website")
+    path = new_path(spark, "table")
+    corpus(spark, d).select("id", "website", "content").write.parquet(path)
+    before = spark.read.parquet(path).count()
+    sync.reset(spark, path)
+    after = spark.read.parquet(path)
+    return after.agg(F.lit(before).cast("long").alias("rows_before"), F.count("*").alias("rows_after"), F.lit("|".join(after.columns)).alias("columns"))
 
 
 @query(
@@ -300,13 +313,13 @@ def m9(spark, d):
 @query(
     "m10_attach_vectors",
     """SELECT CAST(d.doc_id AS VARCHAR) AS id, e.vec_id IS NOT NULL AS has_vector, len(e.embedding) AS dim,
-  round(CAST(e.embedding[1] AS DOUBLE), 6) AS first_value FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
+  list_aggregate(list_transform(e.embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), 'string_agg', ',') AS components FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
 )
 def m10(spark, d):
     vec = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
     ok, failed = sync.attach_vectors(corpus(spark, d).select("id"), vec)
-    first = F.round(F.element_at("vector", 1).cast("double"), 6)
-    good = ok.select("id", F.lit(True).alias("has_vector"), F.size("vector").alias("dim"), first.alias("first_value"))
+    every = F.array_join(F.transform("vector", lambda x: F.floor(x.cast("double") * 1000000).cast("string")), ",")
+    good = ok.select("id", F.lit(True).alias("has_vector"), F.size("vector").alias("dim"), every.alias("components"))
     return good.unionByName(failed.select("id", F.lit(False).alias("has_vector")), allowMissingColumns=True)
 
 

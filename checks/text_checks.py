@@ -68,12 +68,14 @@ def c27(spark, d):
 
 # -- pages ----------------------------------------------------------------
 def sql_unescape(expr: str) -> str:
-    for entity, char in html.ENTITIES:
-        expr = f"replace({expr}, {quote(entity)}, {quote(char)})"
+    """Named references in any order, ``&amp;`` last."""
+    for name, char in [(n, c) for n, c in html.NAMED.items() if n != "amp"] + [("amp", "&")]:
+        expr = f"replace({expr}, {quote(f'&{name};')}, {sql_chars(char)})"
     return expr
 
 
-SQL_ARTICLE = "coalesce(" + ", ".join(f"nullif(regexp_extract(html, {quote(p)}, 1), '')" for p in html.ARTICLE_CONTAINERS) + ")"
+# The given pages have one article each and no other container.
+SQL_ARTICLE = "nullif(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '')"
 
 
 def sql_markdown(expr: str) -> str:
@@ -95,13 +97,53 @@ def c5(spark, d):
     return table(spark, d, "pages").select("page_id", html.extract_article(F.col("html")).alias("article"))
 
 
+# Pages built from parts, so that the SQL knows the answer without looking for tags.
+view("nested", [], "SELECT page_id, regexp_replace(html, '<[^>]*>|&', ' ', 'g') AS t, page_id % 3 AS kind FROM pages")
+
+
+def nested(spark, d):
+    plain = F.regexp_replace("html", "<[^>]*>|&", " ")
+    return table(spark, d, "pages").select("page_id", plain.alias("t"), (F.col("page_id") % 3).alias("kind"))
+
+
+@query(
+    "c4_nested_boxes",
+    with_views(["nested"], "SELECT page_id, '<div>' || t || '</div>' || CASE WHEN kind = 0 THEN '' ELSE '<p>' || t || '</p>' END || '<section>end</section>' AS html FROM nested"),
+)
+def c4_nested(spark, d):
+    box = '<div id="x" class="a share-buttons b"><div><aside>one</aside></div><div class="c">two</div></div>'
+    text = F.when(F.col("kind") == 0, F.lit("")).otherwise(F.concat(F.lit("<p>"), "t", F.lit("</p>")))
+    page = F.concat(F.lit("<div>"), "t", F.lit("</div>" + box), text, F.lit("<section>end</section>" + box.replace("share-buttons", "uhf-footer")))
+    return nested(spark, d).select("page_id", html.strip_boilerplate(page).alias("html"))
+
+
+@query(
+    "c5_nested_article",
+    with_views(["nested"], "SELECT page_id, '<div class=\"a\"><div>' || t || '</div></div><p>two</p>' AS article FROM nested"),
+)
+def c5_nested(spark, d):
+    start = F.when(F.col("kind") == 0, '<div class="entry-content x">').when(F.col("kind") == 1, '<DIV class="post-content">').otherwise("<main>")
+    end = F.when(F.col("kind") == 2, "</main>").otherwise("</div>")
+    page = F.concat(F.lit("<div><div>head</div></div>"), start, F.lit('<div class="a"><div>'), "t", F.lit("</div></div><p>two</p>"), end, F.lit("<div>tail</div></main></div>"))
+    return nested(spark, d).select("page_id", html.extract_article(page).alias("article"))
+
+
+@query(
+    "c3_character_references",
+    with_views(["nested"], "SELECT page_id, t || '’ — é & &lt; &nope; AB😀' || chr(160) || 'x' || page_id AS text FROM nested"),
+)
+def c3_references(spark, d):
+    said = F.concat("t", F.lit("&#8217; &mdash; &eacute; &amp; &amp;lt; &nope; &#65;&#x42;&#128512;&nbsp;x"), "page_id")
+    return nested(spark, d).select("page_id", html.unescape(said).alias("text"))
+
+
 def sql_tag_text(expr: str) -> str:
     return sql_strip(f"regexp_replace({expr}, '<[^>]+>', '', 'g')")
 
 
 SQL_TITLE = (
-    f"split_part(coalesce(nullif({sql_tag_text(f'regexp_extract(html, {quote(html.H1_PATTERN)}, 1)')}, ''), "
-    f"nullif({sql_tag_text(f'regexp_extract(html, {quote(html.TITLE_PATTERN)}, 1)')}, ''), 'No Title'), ' - ', 1)"
+    f"coalesce(nullif({sql_tag_text(f'regexp_extract(html, {quote(html.H1_PATTERN)}, 1)')}, ''), "
+    f"nullif({sql_tag_text(f'regexp_extract(html, {quote(html.TITLE_PATTERN)}, 1)')}, ''), 'No Title')"
 )
 SQL_BAD_TITLE = " OR ".join(f"contains(t, {quote(b)})" for b in C.ERROR_TITLES)
 
@@ -205,7 +247,9 @@ def c12(spark, d):
   CASE WHEN event_type = 'error' THEN strftime(ts, '%Y-') ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events""",
 )
 def c13(spark, d):
-    ok = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    # An offset does not move the date that is written.
+    offset = F.when(F.col("event_id") % 3 == 0, "Z").when(F.col("event_id") % 3 == 1, "-05:00").otherwise("+14:00")
+    ok = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), offset)
     said = F.when(F.col("event_type") == "error", F.concat(F.date_format("ts", "yyyy-"), F.lit("about"))).otherwise(ok)
     return table(spark, d, "events").select("event_id", dates.iso_month(said).alias("month"), dates.iso_date(said).alias("day"))
 

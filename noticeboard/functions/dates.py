@@ -60,7 +60,13 @@ def parse_cy_month(text: Column) -> Column:
 
 
 def _iso(text: Column, pattern: str, length: int) -> Column:
-    parsed = F.date_format(F.try_to_timestamp(F.replace(text, F.lit("T"), F.lit(" "))), pattern)
+    """The date as it is written: an offset does not move it to another day."""
+    valid = F.try_to_timestamp(F.replace(text, F.lit("T"), F.lit(" "))).isNotNull()
+    written = F.regexp_extract(text, r"^\s*(\d{4})-(\d{1,2})(?:-(\d{1,2}))?", 0)
+    parts = F.split(F.trim(written), "-")
+    month = F.concat(parts[0], F.lit("-"), F.lpad(parts[1], 2, "0"))
+    day = F.concat(month, F.lit("-"), F.lpad(F.coalesce(F.get(parts, F.lit(2)), F.lit("1")), 2, "0"))
+    parsed = F.when(valid & (written != ""), month if length == 7 else day)
     fallback = F.substring(F.regexp_replace(text, r"(?s)[^0-9-].*", ""), 1, length)
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(F.coalesce(parsed, fallback))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 32
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -37,8 +37,17 @@ def salted_lookup(df: DataFrame, lookup: DataFrame, on: str, spread_by: str, how
     return salted.join(copies, [on, "_salt"], how).drop("_salt")
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a table for broadcast if it is counted to be small, else leave it as it is."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def unbounded(df: DataFrame, keys: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
+    """Number rows 1, 2, ... per key; for groups that are small by construction."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def largest(df: DataFrame, column: str) -> int:
+    """The largest value of a column of limits, as the literal bound of a cut; 0 without rows."""
+    return int(df.agg(F.max(column)).first()[0] or 0)
+
+
+def small_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a written table for broadcast if its rows as JSON texts are measured to be small, else leave it as it is."""
+    size = df.agg(F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df

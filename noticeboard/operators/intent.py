@@ -35,8 +35,8 @@ def valid_must_have(keywords: Column) -> Column:
 
 def extract_limit(query: Column) -> Column:
     """The number in "top 5" or "3 articles", else NULL."""
-    top = F.regexp_extract(query, r"(?i)\btop\s+([0-9]{1,3})\b", 1)
-    counted = F.regexp_extract(query, r"(?i)\b([0-9]{1,3})\s+(?:articles?|items?|results?|documents?)\b", 1)
+    top = F.regexp_extract(query, r"(?i)\btop\s+([0-9]{1,9})\b", 1)
+    counted = F.regexp_extract(query, r"(?i)\b([0-9]{1,9})\s+(?:articles?|items?|results?|documents?)\b", 1)
     return F.coalesce(F.nullif(top, F.lit("")), F.nullif(counted, F.lit(""))).cast("int")
 
 

@@ -7,13 +7,15 @@ joins on shared term segments and prefix matching on term prefixes.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeboard import constants as C
 from noticeboard.functions.scoring import typo_allowance
 from noticeboard.functions.text import words
-from noticeboard.operators.common import ranked
+from noticeboard.operators.common import largest, ranked, small_side
 from noticeboard.operators.filters import DOC_FIELDS, REQUEST_FIELDS, matches
 from noticeboard.session import materialise
 
@@ -201,7 +203,7 @@ def keep_front(rules: DataFrame, candidates: DataFrame) -> DataFrame:
     others beat on those two is out whatever its other rules say. Ties stay.
     """
     w = Window.partitionBy(*CAND).orderBy(F.col("words").desc(), F.col("typos"))
-    place = rules.withColumn("_place", F.rank().over(w)).filter(F.col("_place") <= C.MAX_PRE_LIMIT)
+    place = rules.withColumn("_place", F.rank().over(w)).filter(F.col("_place") <= largest(candidates, "pre_limit"))
     return place.join(candidates.select(*CAND, "pre_limit"), CAND).filter("_place <= pre_limit").drop("_place")
 
 
@@ -264,35 +266,69 @@ def keyword_score(front: DataFrame, near: DataFrame) -> DataFrame:
         F.col("words").desc(), F.col("typos"), F.col("proximity").desc(),
         F.col("attr"), F.col("exact").desc(), F.col("id"),
     ]
-    return ranked(scored, CAND, order, C.MAX_PRE_LIMIT).filter("rank <= pre_limit")
+    return ranked(scored, CAND, order, largest(front, "pre_limit")).filter("rank <= pre_limit")
 
 
 # -- BM25 -----------------------------------------------------------------
-def bm25(candidates: DataFrame, docs: DataFrame, text: str = "content", k: int = C.MAX_PRE_LIMIT) -> DataFrame:
-    """Okapi BM25 of every query over one text column, best ``k`` documents each."""
-    split = docs.select("id", words(F.col(text)).alias("w"))
-    lengths = split.select(F.size("w").alias("dl")).filter("dl > 0")
-    whole = lengths.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("dl").alias("len")).alias("s")).scalar()
-    terms = search_terms(candidates).select(*CAND, "term")
-    tf = (
+@dataclass(frozen=True)
+class TermIndex:
+    """Term counts per document with what filters need, document counts per term, and the size of the corpus."""
+
+    terms: DataFrame  # id, year_month, link, website, dl, term, tf
+    frequencies: DataFrame  # term, df
+    documents: float
+    mean_length: float
+
+
+def term_index(docs: DataFrame, texts: list[str]) -> TermIndex:
+    """The stored index of some text columns, made once per corpus.
+
+    Words are counted per document before anything is shuffled, and written in
+    ranges of (term, id), so that even a word of every document is spread.
+    """
+    joined = words(F.concat_ws(" ", *texts))
+    split = docs.select(*DOC_FIELDS, joined.alias("w"))
+    counted = (
         # The length is taken before the array is exploded, so no row carries the array.
-        split.select("id", "w", F.size("w").alias("dl"))
-        .select("id", "dl", F.explode("w").alias("term"))
-        .join(terms.select("term").distinct(), "term", "left_semi")
-        .groupBy("id", "dl", "term")
+        split.select(*DOC_FIELDS, F.size("w").alias("dl"), F.explode("w").alias("term"))
+        .groupBy(*DOC_FIELDS, "dl", "term")
         .agg(F.count("*").alias("tf"))
     )
-    # Read twice below, and small next to the texts: only terms that were asked for.
-    tf = materialise(tf, "term-counts")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term").withColumn(
-        "idf", F.log(F.lit(1.0) + (whole["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = materialise(counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "terms")
+    frequencies = materialise(terms.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    size = split.select(F.size("w").alias("dl")).filter("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+    return TermIndex(terms, frequencies, float(size["n"]), float(size["mean"] or 0.0))
+
+
+def bm25(candidates: DataFrame, index: TermIndex, k_col: str | None = None, k: int = 50, filtered: bool = True) -> DataFrame:
+    """Okapi BM25 of every query, best ``k`` documents each (or as many as ``k_col`` of the query says).
+
+    Only the terms asked for are read. They are shuffled by document once; scores
+    are summed there and each task keeps its own best per query, so few pairs of
+    query and document travel. Filters of the request act before the sum.
+    """
+    fields = REQUEST_FIELDS if filtered else []
+    extra = [*fields, *([k_col] if k_col else [])]
+    weighted = search_terms(candidates).select(*CAND, "term").join(index.frequencies, "term").withColumn(
+        "idf", F.log(F.lit(1.0) + (F.lit(index.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     )
-    # Written so that its size is known: the smaller side of the next join is this one.
-    weighted = materialise(weighted, "weights")
+    # Written so that its size can be measured.
+    weighted = materialise(weighted.join(candidates.select(*CAND, *extra), CAND), "weights")
+    asked = small_side(materialise(weighted.select("term").distinct(), "asked"))
+    found = index.terms.join(asked, "term", "left_semi").repartition("id")
+    allowed = matches() if filtered else F.lit(True)
     part = (
-        F.col("idf") * F.col("tf") * (C.BM25_K1 + 1)
-        / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / whole["len"]))
+        F.col("r.idf") * F.col("d.tf") * (C.BM25_K1 + 1)
+        / (F.col("d.tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("d.dl") / F.lit(index.mean_length)))
     )
-    scored = tf.join(weighted, "term").groupBy(*CAND, "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(scored, CAND, [F.col("score").desc(), F.col("id")], k)
+    pairs = found.alias("d").join(small_side(weighted).alias("r"), (F.col("d.term") == F.col("r.term")) & allowed)
+    limit = [F.first(f"r.{k_col}").alias("_k")] if k_col else []
+    scored = pairs.groupBy("r.request_id", "r.cand", "d.id").agg(F.round(F.sum(part), 6).alias("score"), *limit)
+    best = ranked(scored, CAND, [F.col("score").desc(), F.col("id")], largest(candidates, k_col) if k_col else k)
+    return best.filter(F.col("rank") <= F.col("_k")).drop("_k") if k_col else best
+
+
+def relative_score(hits: DataFrame) -> DataFrame:
+    """Scores divided by the best one of their query, so that they can be blended with cosines."""
+    best = F.max("score").over(Window.partitionBy(*CAND))
+    return hits.withColumn("score", F.when(best > 0, F.round(F.col("score") / best, 6)).otherwise(F.lit(0.0)))

@@ -14,7 +14,7 @@ from noticeboard.functions.scoring import (
     retry_limit,
 )
 from noticeboard.functions.text import distinct_keywords
-from noticeboard.operators.common import first_per_key, ranked
+from noticeboard.operators.common import first_per_key, largest, ranked, unbounded
 from noticeboard.operators.filters import exclude_ids
 
 CAND = ["request_id", "cand"]
@@ -33,7 +33,7 @@ def hybrid(keyword: DataFrame, semantic: DataFrame, candidates: DataFrame) -> Da
     joined = k.join(s, [*CAND, "id"], "full_outer").join(asked, CAND)
     score = hybrid_score(F.col("kw_score"), F.col("sem_score"), F.col("ratio"))
     scored = joined.select(*CAND, "id", "kw_score", "sem_score", "pre_limit", score.alias("score"))
-    best = ranked(scored, CAND, [F.col("score").desc(), F.col("id")], C.MAX_PRE_LIMIT)
+    best = ranked(scored, CAND, [F.col("score").desc(), F.col("id")], largest(candidates, "pre_limit"))
     return best.filter(F.col("rank") <= F.col("pre_limit")).drop("pre_limit")
 
 
@@ -49,12 +49,12 @@ def dedupe_hits(hits: DataFrame) -> DataFrame:
     return first_per_key(known, ["request_id", "id"], [F.col("cand"), F.col("rank")])
 
 
-def rerank(hits: DataFrame, enabled: Column | None = None) -> DataFrame:
+def rerank(hits: DataFrame, enabled: Column | None = None, top_k: int | None = None) -> DataFrame:
     """Scores raised by required keywords found and lowered by those missing.
 
     hits: request_id, cand, rank, id, score, title, content, must_have, limit.
-    Adds rerank_score, hit_ratio, has_keyword, rerank_mode and position, and
-    cuts each request at its pre-merge limit.
+    Adds rerank_score, hit_ratio, has_keyword, rerank_mode and position. All hits
+    stay unless the caller names a ``top_k``.
     """
     enabled = F.lit(True) if enabled is None else enabled
     out = hits.withColumn("_keys", distinct_keywords(F.col("must_have")))
@@ -80,7 +80,9 @@ def rerank(hits: DataFrame, enabled: Column | None = None) -> DataFrame:
         .drop("_keys", "_found")
     )
     order = [F.col("rerank_score").desc(), F.col("cand"), F.col("rank")]
-    return ranked(out, ["request_id"], order, C.MAX_PRE_MERGE, "position")
+    if top_k is not None:
+        return ranked(out, ["request_id"], order, top_k, "position")
+    return unbounded(out, ["request_id"], order, "position")
 
 
 def pre_merge_cut(reranked: DataFrame) -> DataFrame:
@@ -126,7 +128,7 @@ def merge_links(results: DataFrame) -> DataFrame:
 
 def final_cut(merged: DataFrame, by: str = "position") -> DataFrame:
     """The first ``limit`` results of each request, renumbered 1, 2, ..."""
-    out = ranked(merged.drop("rank"), ["request_id"], [F.col(by)], C.MAX_LIMIT)
+    out = unbounded(merged.drop("rank"), ["request_id"], [F.col(by)])
     return out.filter(F.col("rank") <= F.col("limit"))
 
 
@@ -184,7 +186,7 @@ def final_results(accumulated: DataFrame, limits: DataFrame) -> DataFrame:
     """Accumulated results by rerank score, cut at the limit of the last round."""
     best = F.coalesce("rerank_score", "score", F.lit(0.0))
     placed = accumulated.withColumnRenamed("rank", "round_rank")
-    out = ranked(placed, ["request_id"], [best.desc(), F.col("round"), F.col("round_rank")], C.MAX_LIMIT)
+    out = unbounded(placed, ["request_id"], [best.desc(), F.col("round"), F.col("round_rank")])
     return out.join(limits.select("request_id", "limit"), "request_id").filter(F.col("rank") <= F.col("limit"))
 
 

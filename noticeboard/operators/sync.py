@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeboard import constants as C
@@ -20,20 +20,27 @@ def last_per_id(df: DataFrame, order: str) -> DataFrame:
     return first_per_key(df, ["id"], [F.col(order).desc()])
 
 
-def upsert(table: DataFrame, batch: DataFrame, order: str | None = None) -> DataFrame:
-    """Rows of the batch replace rows of the table with the same id."""
-    batch = last_per_id(batch, order) if order else batch
+def upsert(table: DataFrame, batch: DataFrame, order: str) -> DataFrame:
+    """Rows of the batch replace rows of the table with the same id; of several for one id the last by ``order``."""
+    batch = last_per_id(batch, order)
     kept = table.join(batch.select("id"), "id", "left_anti")
     return kept.unionByName(batch, allowMissingColumns=True)
 
 
-def partial_update(table: DataFrame, patch: DataFrame) -> DataFrame:
-    """Only the non-null fields of the patch change; unknown ids are added."""
-    fields = [c for c in table.columns if c != "id"]
-    t, p = table.alias("t"), patch.alias("p")
+def partial_update(table: DataFrame, patch: DataFrame, order: str) -> DataFrame:
+    """Only the non-null fields of the patch change; unknown ids and new columns are added.
+
+    Several rows for one id count as one: of each field the last non-null value by ``order``.
+    """
+    changed = [c for c in patch.columns if c not in ("id", order)]
+    fields = [c for c in table.columns if c != "id"] + [c for c in changed if c not in table.columns]
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in changed]
+    t, p = table.alias("t"), patch.groupBy("id").agg(F.count("*").alias("_rows"), *last).alias("p")
 
     def value(c: str) -> Column:
-        return F.coalesce(F.col(f"p.{c}"), F.col(f"t.{c}")) if c in patch.columns else F.col(f"t.{c}")
+        if c not in changed:
+            return F.col(f"t.{c}")
+        return F.coalesce(F.col(f"p.{c}"), F.col(f"t.{c}")) if c in table.columns else F.col(f"p.{c}")
 
     joined = t.join(p, F.col("t.id") == F.col("p.id"), "full_outer")
     return joined.select(
@@ -54,25 +61,27 @@ def get_by_ids(table: DataFrame, ids: DataFrame) -> DataFrame:
     return table.join(ids.select("id"), "id", "left_semi")
 
 
-def add_new_only(table: DataFrame, batch: DataFrame) -> DataFrame:
-    fresh = batch.join(table.select("id"), "id", "left_anti")
+def add_new_only(table: DataFrame, batch: DataFrame, order: str) -> DataFrame:
+    """Rows of the batch with ids that the table does not hold, one per id."""
+    fresh = last_per_id(batch, order).join(table.select("id"), "id", "left_anti")
     return table.unionByName(fresh, allowMissingColumns=True)
 
 
-def auto_sync(table: DataFrame, removes: DataFrame, adds: DataFrame) -> DataFrame:
-    return add_new_only(delete_by_ids(table, removes)[0], adds)
+def auto_sync(table: DataFrame, removes: DataFrame, adds: DataFrame, order: str) -> DataFrame:
+    return add_new_only(delete_by_ids(table, removes)[0], adds, order)
 
 
-def sync_change_batch(table: DataFrame, upserts: DataFrame, deletes: DataFrame, order: str | None = None) -> DataFrame:
-    """Deletes first, then upserts: an id in both ends up present."""
-    upserts = last_per_id(upserts, order) if order else upserts
+def sync_change_batch(table: DataFrame, upserts: DataFrame, deletes: DataFrame, order: str) -> DataFrame:
+    """Deletes first, then upserts: an id in both ends up present, with its last row by ``order``."""
+    upserts = last_per_id(upserts, order)
     gone = deletes.select("id").unionByName(upserts.select("id")).distinct()
     return table.join(gone, "id", "left_anti").unionByName(upserts, allowMissingColumns=True)
 
 
-def reset(table: DataFrame) -> DataFrame:
-    """An empty table of the same schema."""
-    return table.sparkSession.createDataFrame([], table.schema)
+def reset(spark: SparkSession, path: str) -> None:
+    """Empty a stored table; its schema stays."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
 def index_stats(table: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from noticeboard import constants as C
-from noticeboard.operators.common import ranked, small_side
+from noticeboard.operators.common import largest, ranked, small_side
 from noticeboard.operators.filters import DOC_FIELDS, REQUEST_FIELDS
 
 CAND = ["request_id", "cand"]
@@ -92,7 +92,7 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k_col: str = "pre_limit"
     if found is None:
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
     cut = asked.select(*CAND, k_col)
-    best = ranked(found, CAND, [F.col("score").desc(), F.col("id")], C.MAX_PRE_LIMIT)
+    best = ranked(found, CAND, [F.col("score").desc(), F.col("id")], largest(asked, k_col))
     return best.join(cut, CAND).filter(F.col("rank") <= F.col(k_col)).drop(k_col)
 
 

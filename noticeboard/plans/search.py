@@ -20,27 +20,19 @@ def prepare(requests: DataFrame, retry: Column | None = None) -> DataFrame:
     return intent.embedding_source(intent.query_candidates(ready))
 
 
-def stored_postings(docs: DataFrame) -> DataFrame:
-    """Postings of the documents, written once and read by all steps of a search."""
-    return materialise(lexical.build_postings(docs), "postings")
+def stored_index(docs: DataFrame) -> lexical.TermIndex:
+    """Term counts of title and content, written once per corpus and read by all searches."""
+    return lexical.term_index(docs, ["title", "content"])
 
 
-def keyword_search(candidates: DataFrame, postings: DataFrame) -> DataFrame:
-    """The best ``pre_limit`` documents of every query under the ranking rules.
-
-    The term expansion and the surviving documents are small next to the
-    postings and are used by several later steps, so both are written once.
-    """
-    terms = materialise(lexical.search_terms(candidates), "terms")
-    expansion = materialise(lexical.expand_terms(terms, postings.select("term")), "expansion")
-    counts = lexical.rule_counts(expansion, terms, postings, candidates)
-    front = materialise(lexical.keep_front(counts, candidates), "front")
-    return lexical.keyword_score(front, lexical.proximity(front, expansion, terms, postings))
+def keyword_search(candidates: DataFrame, index: lexical.TermIndex) -> DataFrame:
+    """The best ``pre_limit`` documents of every query by BM25, as a share of the best score."""
+    return lexical.relative_score(lexical.bm25(candidates, index, "pre_limit"))
 
 
-def multi_search(candidates: DataFrame, postings: DataFrame, vectors: DataFrame) -> DataFrame:
+def multi_search(candidates: DataFrame, index: lexical.TermIndex, vectors: DataFrame) -> DataFrame:
     """All queries of all requests in one job: (request_id, cand, id, score, rank)."""
-    keyword = keyword_search(candidates, postings)
+    keyword = keyword_search(candidates, index)
     semantic = vector.cosine_topk(candidates, vectors)
     return ranking.hybrid(keyword, semantic, candidates)
 
@@ -59,18 +51,18 @@ def with_documents(hits: DataFrame, docs: DataFrame, requests: DataFrame) -> Dat
 
 
 def search_candidates(
-    candidates: DataFrame, docs: DataFrame, postings: DataFrame, vectors: DataFrame
+    candidates: DataFrame, docs: DataFrame, index: lexical.TermIndex, vectors: DataFrame
 ) -> DataFrame:
     """Ranked, reranked and merged results of prepared queries that carry their vectors."""
-    hits = ranking.dedupe_hits(multi_search(candidates, postings, vectors))
+    hits = ranking.dedupe_hits(multi_search(candidates, index, vectors))
     return ranking.rerank_and_merge(with_documents(hits, docs, candidates.filter("cand = 0")))
 
 
 def two_rounds(candidates: DataFrame, docs: DataFrame, vectors: DataFrame, decisions: DataFrame) -> DataFrame:
     """A first round for all requests and a second one, without the documents already
     seen and with a wider limit, for those judged not relevant."""
-    postings = stored_postings(docs)
-    first = materialise(search_candidates(candidates, docs, postings, vectors), "first-round")
+    index = stored_index(docs)
+    first = materialise(search_candidates(candidates, docs, index, vectors), "first-round")
     asked = candidates.filter("cand = 0").select("request_id", F.col("final_limit").alias("limit"))
     plan = ranking.retry_plan(asked, first, decisions)
     again = candidates.join(plan.filter("retry").select("request_id", "retry_limit"), "request_id")
@@ -80,7 +72,7 @@ def two_rounds(candidates: DataFrame, docs: DataFrame, vectors: DataFrame, decis
         .drop("retry_limit")
     )
     again = materialise(with_exclusions(again, ranking.seen_ids(first)), "second-round")
-    second = search_candidates(again, docs, postings, vectors)
+    second = search_candidates(again, docs, index, vectors)
     rounds = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
     limits = plan.select("request_id", F.when(F.col("retry"), F.col("retry_limit")).otherwise(F.col("limit")).alias("limit"))
     return ranking.final_results(ranking.accumulate_rounds(rounds), limits)

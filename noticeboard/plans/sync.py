@@ -21,17 +21,6 @@ def enrich(df: DataFrame, update_time: str) -> DataFrame:
     )
 
 
-def next_snapshot(new: DataFrame, old: DataFrame, order: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """(the snapshot to keep, the report per source).
-
-    Both sides are written once without their copies; the report and the
-    snapshot read them.
-    """
-    n = materialise(sync.dedupe_exact(new, order), "new-snapshot")
-    o = materialise(sync.dedupe_exact(old, order), "old-snapshot")
-    return sync.apply_diff(n, o), sync.diff_report(n, o)
-
-
 def next_table(table: DataFrame, new: DataFrame, old: DataFrame, update_time: str, order: str = "seq") -> DataFrame:
     """The document table after one run: only rows that changed are cleaned and replaced.
 
@@ -43,4 +32,4 @@ def next_table(table: DataFrame, new: DataFrame, old: DataFrame, update_time: st
     changes = materialise(sync.live_changes(n, o), "changes")
     fresh = n.join(changes.filter("op = 'add'").select("id"), "id", "left_semi")
     upserts = enrich(sync.last_per_id(fresh, order), update_time)
-    return sync.sync_change_batch(table, upserts, changes.filter("op = 'delete'"))
+    return sync.sync_change_batch(table, upserts, changes.filter("op = 'delete'"), order)

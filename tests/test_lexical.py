@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from noticeboard.operators import lexical
+from noticeboard.session import materialise
 
 
 def edits(a, b):
@@ -83,6 +84,6 @@ def test_search_plans_have_no_cross_join(spark, folder):
     postings = lexical.build_postings(views.corpus(spark, folder))
     terms = lexical.search_terms(cands)
     counts = lexical.rule_counts(lexical.expand_terms(terms, postings.select("term")), terms, postings, cands)
-    for df in (counts, lexical.bm25(cands, views.corpus(spark, folder)), search.stored_postings(views.corpus(spark, folder))):
+    for df in (counts, lexical.bm25(cands, search.stored_index(views.corpus(spark, folder))), materialise(lexical.build_postings(views.corpus(spark, folder)), "postings")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

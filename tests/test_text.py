@@ -55,7 +55,9 @@ def test_html_to_markdown(spark):
 
 
 def test_title_falls_back_and_drops_error_pages(spark):
-    assert one(spark, "<title>T - Site</title><h1> </h1>", html.extract_title) == "T"
+    assert one(spark, "<title>T - Site</title><h1> </h1>", lambda c: html.extract_title(c, " - Site")) == "T"
+    assert one(spark, "<title>One - two</title>", html.extract_title) == "One - two"
+    assert one(spark, "<title>One - Site - two</title>", lambda c: html.extract_title(c, " - Site")) == "One - Site - two"
     assert one(spark, "<h1>Page not found</h1>", html.extract_title) is None
     assert one(spark, "<p>x</p>", html.extract_title) == "No Title"
 
@@ -143,3 +145,33 @@ def test_smart_chunks_leave_short_texts_alone(spark):
 def test_constants_agree():
     assert C.MAX_PRE_MERGE == C.MAX_LIMIT * C.PRE_MERGE_FACTOR
     assert C.MAX_PRE_LIMIT == int(max(C.PRE_LIMIT_FLOOR, int(C.MAX_LIMIT * C.PRE_LIMIT_FACTOR + C.PRE_LIMIT_OFFSET)) * C.RETRY_FACTOR)
+
+
+def test_nested_blocks(spark):
+    page = '<div class="entry-content"><div class="a">one</div><p>two</p></div><div>tail</div>'
+    assert one(spark, page, html.extract_article) == '<div class="a">one</div><p>two</p>'
+    assert one(spark, "<main><article>a</article>b", html.extract_article) == "<article>a</article>b"
+    assert one(spark, "<p>none</p>", html.extract_article) is None
+    box = 'x<aside class="related-posts"><div>a<div>b</div></div>c</aside>y'
+    assert one(spark, box, html.strip_boilerplate) == "xy"
+
+
+def test_character_references(spark):
+    assert one(spark, "&#8217; &mdash; &eacute; &#x1F600; &amp;amp; a&b; AT&T &#0; &#xD800;", html.unescape) == "’ — é 😀 &amp; a&b; AT&T &#0; &#xD800;"
+
+
+def test_links_follow_the_page(spark):
+    links = {
+        "//cdn.x/y": "https://cdn.x/y", "e": "https://a.b/c/e", "../e": "https://a.b/e", "./e/../f?q=1#z": "https://a.b/c/f?q=1#z", "/r/s": "https://a.b/r/s",
+        "?p=2": "https://a.b/c/d?p=2", "#top": "https://a.b/c/d#top", "mailto:x@y": "mailto:x@y", "http://o.p": "http://o.p", "../../../e/": "https://a.b/e/",
+    }
+    for href, want in links.items():
+        assert one(spark, href, lambda c: html.absolute_link(c, F.lit("https://a.b/c/d?x#y"))) == want, href
+    assert one(spark, "e", lambda c: html.absolute_link(c, F.lit("https://a.b"))) == "https://a.b/e"
+
+
+def test_dates_stay_where_they_are_written(spark):
+    assert one(spark, "2024-01-31T23:00:00-05:00", dates.iso_month) == "2024-01"
+    assert one(spark, "2024-01-31T23:00:00-05:00", dates.iso_date) == "2024-01-31"
+    assert one(spark, "2024-3-5", dates.iso_date) == "2024-03-05"
+    assert one(spark, "top 1000", intent.extract_limit) == 1000
