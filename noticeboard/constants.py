@@ -42,6 +42,9 @@ SEARCH_ATTRIBUTES = ["title", "cleaned_content", "content", "main_title"]
 CHUNK_SIZE = 1500
 CHUNK_OVERLAP = 300
 CHUNK_TOLERANCE = 200
+# A chunk may end early in its last quarter, but not more than so many characters early.
+CHUNK_TAIL_SHARE = 4
+CHUNK_TAIL = 300
 OVERSIZE_TOKENS = 1800
 SNAPSHOTS_KEPT = 4
 BREAKER_MIN_DELETIONS = 5

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -149,45 +150,67 @@ def chunk_fixed(
     )
 
 
+@dataclass(frozen=True)
+class Breaks:
+    """Where a text may be cut: all separators by the place behind them, and line breaks and solid characters by place."""
+
+    behind: np.ndarray
+    before: np.ndarray
+    rank: np.ndarray
+    lines: np.ndarray
+    solid: np.ndarray
+
+    @classmethod
+    def of(cls, text: str) -> Breaks:
+        found = [(m.start() + len(s), m.start(), rank) for rank, s in enumerate(C.CHUNK_SEPARATORS) for m in re.finditer(f"(?={re.escape(s)})", text)]
+        behind, before, rank = np.array(sorted(found), np.int64).reshape(-1, 3).T
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        blank = np.isin(codes, np.array([ord(c) for c in C.WHITESPACE], np.uint32))
+        return cls(behind, before, rank, np.flatnonzero(codes == 10), np.flatnonzero(~blank))
+
+    def best(self, low: int, high: int) -> int | None:
+        """The last place behind a separator of the best rank that lies between two places."""
+        at = np.arange(np.searchsorted(self.behind, low), np.searchsorted(self.behind, high, side="right"))
+        at = at[self.before[at] >= low]
+        return int(self.behind[at[np.lexsort((-self.behind[at], self.rank[at]))[0]]]) if len(at) else None
+
+    def trimmed(self, start: int, end: int) -> int:
+        """``end`` without the blanks before it; ``start`` if there is nothing else."""
+        k = int(np.searchsorted(self.solid, end)) - 1
+        return int(self.solid[k]) + 1 if k >= 0 and self.solid[k] >= start else start
+
+    def after_line(self, low: int, high: int) -> int:
+        """Behind the first line break between two places, else the lower one."""
+        k = int(np.searchsorted(self.lines, low))
+        return int(self.lines[k]) + 1 if k < len(self.lines) and self.lines[k] < high else low
+
+
 def smart_pieces(text: str, size: int, overlap: int, tolerance: int) -> list[str]:
-    """Chunks of one text: each ends at the best break near its end, the next starts
+    """Chunks of one text: each ends at the best break in its last part, the next starts
     after the first line break of the overlap.
 
     Tokens are counted in quarters (ten per CJK character, one per other), which
     is the estimate used everywhere else.
     """
-    if not text.strip(C.WHITESPACE):
-        return []
+    body = text.strip(C.WHITESPACE)
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    quarters = np.where((codes >= 0x4E00) & (codes <= 0x9FA5), 10, 1)
-    used = np.concatenate(([0], np.cumsum(quarters)))
-    total, room, keep = int(used[-1]), size * 4, overlap * 4
-    if total <= (size + tolerance) * 4:
-        return [text.strip(C.WHITESPACE)]
-    pieces, start = [], 0
-    while start < len(text):
-        if total - int(used[start]) <= (size + tolerance) * 4:
-            pieces.append(text[start:].strip(C.WHITESPACE))
-            break
-        end = max(start + 1, int(np.searchsorted(used, used[start] + room, side="right")) - 1)
-        window = text[start:end]
-        tail_at = max(0, len(window) - min(len(window) // 4, 300))
-        tail = window[tail_at:]
-        cut = len(window)
-        for separator in C.CHUNK_SEPARATORS:
-            found = tail.rfind(separator)
-            if found >= 0:
-                cut = tail_at + found + len(separator)
-                break
-        if not window[:cut].strip(C.WHITESPACE):
-            cut = len(window)
-        piece = text[start : start + cut].rstrip(C.WHITESPACE)
-        stop = start + max(len(piece), 1)
-        pieces.append(piece.strip(C.WHITESPACE))
-        back = max(start, int(np.searchsorted(used, used[stop] - keep, side="left")))
-        line_break = text.find("\n", back, stop)
-        start = max(start + 1, back if line_break < 0 else line_break + 1)
-    return [p for p in pieces if p]
+    weight = np.append(0, np.cumsum(np.where((codes >= 0x4E00) & (codes <= 0x9FA5), 10, 1)))
+    rest_fits = int(np.searchsorted(weight, weight[-1] - 4 * (size + tolerance)))  # from here on, all of it is one chunk
+    if not body or not rest_fits:
+        return [body] if body else []
+    breaks, spans, start = Breaks.of(text), [], 0
+    while start < min(rest_fits, len(text)):
+        full = max(start + 1, int(np.searchsorted(weight, weight[start] + 4 * size, side="right")) - 1)
+        cut = breaks.best(full - min((full - start) // C.CHUNK_TAIL_SHARE, C.CHUNK_TAIL), full)
+        if cut is None or breaks.trimmed(start, cut) == start:
+            cut = full
+        stop = max(breaks.trimmed(start, cut), start + 1)
+        spans.append((start, stop))
+        back = max(start, int(np.searchsorted(weight, weight[stop] - 4 * overlap)))
+        start = max(start + 1, breaks.after_line(back, stop))
+    if start < len(text):
+        spans.append((start, len(text)))
+    return [piece for a, b in spans if (piece := text[a:b].strip(C.WHITESPACE))]
 
 
 def chunk_smart(
@@ -197,21 +220,17 @@ def chunk_smart(
     overlap: int = C.CHUNK_OVERLAP,
     tolerance: int = C.CHUNK_TOLERANCE,
 ) -> DataFrame:
-    """Chunks at natural breaks. Only texts over the limit are sent to Python."""
+    """Chunks at natural breaks. Only rows with texts over the limit are sent to Python."""
 
     @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda t: None if t is None else smart_pieces(t, size, overlap, tolerance))
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: smart_pieces(t, size, overlap, tolerance))
 
     body = strip(F.coalesce(F.col(text), F.lit("")))
-    fits = estimate_tokens(F.col(text)) <= size + tolerance
-    whole = F.when(body != "", F.array(body))
-    long_text = F.when(~fits, F.col(text))
-    pieces = F.coalesce(cut(long_text), whole)
-    return df.withColumn("_pieces", pieces).select(
-        *[c for c in df.columns if c != text], F.posexplode("_pieces").alias("chunk", "chunk_text")
-    )
+    fits = F.coalesce(estimate_tokens(F.col(text)) <= size + tolerance, F.lit(True))
+    short = df.filter(fits & (body != "")).withColumn("_pieces", F.array(body))
+    long = df.filter(~fits).withColumn("_pieces", cut(F.col(text)))
+    return short.unionByName(long).select(*[c for c in df.columns if c != text], F.posexplode("_pieces").alias("chunk", "chunk_text"))
 
 
 def chunk_explode(chunks: DataFrame, text: str = "chunk_text", min_chars: int = C.MIN_CHUNK_CHARS) -> DataFrame:
