@@ -165,9 +165,16 @@ def k2(spark, d):
     return found.groupBy(*CAND, "id").agg(F.count("*").alias("words"))
 
 
-@query("k3_typo_rule", with_views(["expansion"], "SELECT DISTINCT q_term, term, CAST(typos AS BIGINT) AS typos FROM expansion WHERE exact = 0 AND NOT is_last"))
+@query(
+    "k3_typo_rule",
+    with_views(
+        ["vocabulary", "asked_terms"],
+        f"""SELECT DISTINCT q_term, term, CAST({sql_edits("q_term", "term")} AS BIGINT) AS typos FROM asked_terms JOIN vocabulary ON length(term) BETWEEN length(q_term) - k AND length(q_term) + k
+WHERE k > 0 AND term <> q_term AND {sql_edits("q_term", "term")} <= k""",
+    ),
+)
 def k3(spark, d):
-    terms = lexical.search_terms(candidates(spark, d)).filter("term_idx < n_terms - 1")
+    terms = lexical.search_terms(candidates(spark, d))
     return lexical.fuzzy_pairs(terms, tokens(spark, d).select("term").distinct())
 
 
@@ -213,22 +220,39 @@ def k8(spark, d):
     return lexical.keyword_score(front, lexical.proximity(front, expansion, terms, postings)).select(*CAND, "id", "rank", "score")
 
 
-@query(
-    "k9_bm25",
-    with_views(
-        ["terms", "corpus"],
-        f"""SELECT request_id, cand, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id, cand ORDER BY score DESC, id) AS rank FROM (
+def sql_bm25(docs: str, terms: str) -> str:
+    """BM25 over the content of a view, best 50 documents of each query."""
+    w = sql_words("content")
+    return f"""SELECT request_id, cand, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id, cand ORDER BY score DESC, id) AS rank FROM (
   SELECT request_id, cand, id, round(sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / n.avg))), 6) AS score
-  FROM (SELECT id, term, count(*)::DOUBLE AS tf FROM (SELECT id, unnest({sql_words("content")}) AS term FROM corpus) GROUP BY 1, 2) t
-  JOIN (SELECT term, count(DISTINCT id)::DOUBLE AS df FROM (SELECT id, unnest({sql_words("content")}) AS term FROM corpus) GROUP BY 1) f USING (term)
-  JOIN (SELECT id, len({sql_words("content")})::DOUBLE AS dl FROM corpus) l USING (id)
-  JOIN terms q USING (term), (SELECT count(*)::DOUBLE AS n, avg(len({sql_words("content")})) AS avg FROM corpus WHERE len({sql_words("content")}) > 0) n
-  GROUP BY 1, 2, 3)) WHERE rank <= 50""",
-    ),
-)
+  FROM (SELECT id, term, count(*)::DOUBLE AS tf FROM (SELECT id, unnest({w}) AS term FROM {docs}) GROUP BY 1, 2) t
+  JOIN (SELECT term, count(DISTINCT id)::DOUBLE AS df FROM (SELECT id, unnest({w}) AS term FROM {docs}) GROUP BY 1) f USING (term)
+  JOIN (SELECT id, len({w})::DOUBLE AS dl FROM {docs}) l USING (id)
+  JOIN {terms} q USING (term), (SELECT count(*)::DOUBLE AS n, avg(len({w})) AS avg FROM {docs} WHERE len({w}) > 0) n
+  GROUP BY 1, 2, 3)) WHERE rank <= 50"""
+
+
+def best_by_bm25(cands, docs):
+    index = lexical.term_index(docs, ["content"])
+    return lexical.bm25(cands, index, k=50, filtered=False).select(*CAND, "id", "score", "rank")
+
+
+@query("k9_bm25", with_views(["terms", "corpus"], sql_bm25("corpus", "terms")))
 def k9(spark, d):
-    index = lexical.term_index(corpus(spark, d), ["content"])
-    return lexical.bm25(candidates(spark, d), index, k=50, filtered=False).select(*CAND, "id", "score", "rank")
+    return best_by_bm25(candidates(spark, d), corpus(spark, d))
+
+
+# The given texts have no CJK characters; these stand for some of their letters.
+LETTERS, SIGNS = "aeinorst", "合作夥伴計劃公告"
+view("cjk_corpus", ["corpus"], f"SELECT id, translate(content, '{LETTERS}', '{SIGNS}') AS content FROM corpus")
+view("cjk_queries", ["candidates"], f"SELECT request_id, cand, translate(query, '{LETTERS}', '{SIGNS}') AS query FROM candidates")
+view("cjk_terms", ["cjk_queries"], f"SELECT DISTINCT request_id, cand, unnest({sql_words('query')}) AS term FROM cjk_queries")
+
+
+@query("k9_bm25_cjk", with_views(["cjk_terms", "cjk_corpus"], sql_bm25("cjk_corpus", "cjk_terms")))
+def k9_cjk(spark, d):
+    docs = corpus(spark, d).withColumn("content", F.translate("content", LETTERS, SIGNS))
+    return best_by_bm25(candidates(spark, d).withColumn("query", F.translate("query", LETTERS, SIGNS)), docs)
 
 
 # -- vectors and blending -------------------------------------------------
@@ -343,16 +367,23 @@ def r2(spark, d):
     return table(spark, d, "documents").select("doc_id", text.squash(F.col("text")).alias("squashed"))
 
 
+# Every document against the second word of its own text and of the next one.
+R3_SQUASH = "translate(lower({}), ' -', '')"
+
+
 @query(
     "r3_keyword_match",
-    """SELECT c.conv_id, c.turn, d.doc_id, translate(lower(split_part(d.text, chr(10), 1)), ' -', '') <> '' AND c.text <> '' AND split_part(d.text, chr(10), 1) <> ''
-  AND contains(translate(lower(c.text), ' -', ''), translate(lower(left(split_part(d.text, ' ', 2), 3)), ' -', '')) AND split_part(d.text, ' ', 2) <> '' AS matched
-FROM conversations c JOIN documents d ON d.doc_id = c.conv_id * 8 + c.turn""",
+    f"""SELECT d.doc_id, own, coalesce(own <> '' AND contains({R3_SQUASH.format("d.text")}, {R3_SQUASH.format("own")}), false) AS own_matched,
+  coalesce(n.word <> '' AND contains({R3_SQUASH.format("d.text")}, {R3_SQUASH.format("n.word")}), false) AS next_matched
+FROM (SELECT doc_id, text, split_part(text, ' ', 2) AS own FROM documents) d LEFT JOIN (SELECT doc_id - 1 AS doc_id, split_part(text, ' ', 2) AS word FROM documents) n USING (doc_id)""",
 )
 def r3(spark, d):
-    conv = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("said"), (F.col("conv_id") * 8 + F.col("turn")).alias("doc_id"))
-    docs = table(spark, d, "documents").select("doc_id", F.left(F.split_part("text", F.lit(" "), F.lit(2)), F.lit(3)).alias("keyword"))
-    return conv.join(docs, "doc_id").select("conv_id", "turn", "doc_id", text.keyword_match(F.col("said"), F.col("keyword")).alias("matched"))
+    docs = table(spark, d, "documents")
+    word = F.split_part("text", F.lit(" "), F.lit(2))
+    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), word.alias("word"))
+    matched = lambda k: F.coalesce(text.keyword_match(F.col("text"), F.col(k)), F.lit(False)).alias(f"{k}_matched")
+    out = docs.select("doc_id", "text", word.alias("own")).join(following, "doc_id", "left")
+    return out.select("doc_id", "own", matched("own"), matched("word")).withColumnRenamed("word_matched", "next_matched")
 
 
 @query("r4_hit_ratio", with_views(["reranked"], "SELECT request_id, id, round(hit_ratio, 9) AS hit_ratio, has_keyword FROM reranked"))

@@ -83,7 +83,12 @@ def sql_clean(expr: str) -> str:
 
 
 def sql_words(expr: str) -> str:
-    return rf"list_filter(regexp_split_to_array(lower({expr}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+    runs = rf"list_filter(regexp_split_to_array(lower({expr}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+    both = "list_transform(range(1, length(p)), lambda i: substr(p, CAST(i AS INTEGER), 2))"
+    pairs = f"CASE WHEN regexp_matches(p, '[一-龥]') AND length(p) > 1 THEN {both} ELSE [p] END"
+    pieces = f"flatten(list_transform(regexp_extract_all(w, '[一-龥]+|[^一-龥]+'), lambda p: {pairs}))"
+    cjk = f"flatten(list_transform({runs}, lambda w: CASE WHEN regexp_matches(w, '[一-龥]') THEN {pieces} ELSE [w] END))"
+    return f"CASE WHEN regexp_matches({expr}, '[一-龥]') THEN {cjk} ELSE {runs} END"
 
 
 def sql_distinct(expr: str) -> str:

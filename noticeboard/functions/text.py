@@ -82,8 +82,19 @@ def fingerprint(website: Column, main_title: Column, title: Column, content: Col
 
 
 def words(col: Column) -> Column:
-    """Lower-cased runs of letters and digits, in order."""
-    return F.filter(F.split(F.lower(col), WORD_BREAK), lambda w: w != "")
+    """Lower-cased runs of letters and digits, in order; of CJK characters every two that stand side by side."""
+    runs = F.filter(F.split(F.lower(col), WORD_BREAK), lambda w: w != "")
+    has = lambda x: F.rlike(x, F.lit(CJK_RANGE))
+
+    def pairs(part: Column) -> Column:
+        both = F.transform(F.sequence(F.lit(1), F.length(part) - 1), lambda i: F.substring(part, i, F.lit(2)))
+        return F.when(has(part) & (F.length(part) > 1), both).otherwise(F.array(part))
+
+    def pieces(run: Column) -> Column:
+        parts = F.regexp_extract_all(run, F.lit(f"{CJK_RANGE}+|[^{CJK_RANGE[1:-1]}]+"), F.lit(0))
+        return F.when(has(run), F.flatten(F.transform(parts, pairs))).otherwise(F.array(run))
+
+    return F.when(has(col), F.flatten(F.transform(runs, pieces))).otherwise(runs)
 
 
 def squash(col: Column) -> Column:

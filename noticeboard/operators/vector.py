@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from noticeboard import constants as C
 from noticeboard.operators.common import largest, ranked, small_side
 from noticeboard.operators.filters import DOC_FIELDS, REQUEST_FIELDS
+from noticeboard.session import materialise
 
 CAND = ["request_id", "cand"]
 QUERY_BLOCK = 4096
@@ -76,18 +77,23 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k_col: str = "pre_limit"
     columns = [*CAND, "vector", k_col, *extra]
     asked = queries.select(*columns).filter(F.col("vector").isNotNull())
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64(*CAND), F.lit(n_blocks))
+    asked = asked.withColumn("_block", F.pmod(F.xxhash64(*CAND), F.lit(n_blocks)))
+    if n_blocks > 1:  # written once, then read block after block
+        asked = materialise(asked, "queries")
     schema = T.StructType(
         [asked.schema["request_id"], asked.schema["cand"], vectors.schema["id"], T.StructField("score", T.DoubleType())]
     )
     docs = vectors.select(*(DOC_FIELDS if filtered else ["id"]), "vector").filter(F.col("vector").isNotNull())
     found = None
     for b in range(n_blocks):
-        rows = asked.filter(block == b).toPandas()
+        rows = asked.filter(F.col("_block") == b).drop("_block").toPandas()
         if rows.empty:
             continue
         shared = spark.sparkContext.broadcast(_pack(rows, k_col, filtered))
         part = docs.mapInArrow(_block_scan(shared, filtered, to_arrow_schema(schema)), schema)
+        if n_blocks > 1:  # the next block goes out when this one is done with
+            part = materialise(part, "block-hits")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))

@@ -175,3 +175,8 @@ def test_dates_stay_where_they_are_written(spark):
     assert one(spark, "2024-01-31T23:00:00-05:00", dates.iso_date) == "2024-01-31"
     assert one(spark, "2024-3-5", dates.iso_date) == "2024-03-05"
     assert one(spark, "top 1000", intent.extract_limit) == 1000
+
+
+def test_cjk_words_are_pairs(spark):
+    assert one(spark, "AI Cloud 合作夥伴計劃公告 更新v2", text.words) == ["ai", "cloud", "合作", "作夥", "夥伴", "伴計", "計劃", "劃公", "公告", "更新", "v2"]
+    assert one(spark, "查 a-b", text.words) == ["查", "a", "b"]
