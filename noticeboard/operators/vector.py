@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from noticeboard.session import materialise
 
 CAND = ["request_id", "cand"]
 QUERY_BLOCK = 4096
+BUCKET = 128
 SCORE_DIGITS = 6
 
 
@@ -187,13 +189,17 @@ def hyperplane_buckets(vector: Column, dim: int, tables: int, bits: int, seed: i
 
 
 def cosine_topk_lsh(
-    queries: DataFrame, vectors: DataFrame, dim: int, k: int, tables: int = 16, bits: int = 6, seed: int = 7
+    queries: DataFrame, vectors: DataFrame, dim: int, k: int, tables: int = 16, bits: int | None = None, seed: int = 7
 ) -> DataFrame:
     """Approximate top-k: equality join on hyperplane buckets, then exact scores.
 
-    Only (query, document) ids of equal buckets are joined; vectors are fetched
-    again for the distinct pairs.
+    Buckets follow the corpus: unless ``bits`` is given, there are as many as hold
+    about ``BUCKET`` documents each. A query also looks into the buckets that one
+    plane separates from its own. The same pair met in several tables is dropped
+    before scoring.
     """
+    if bits is None:
+        bits = int(min(24, max(1, round(math.log2(max(vectors.count(), 2) / BUCKET)))))
 
     def with_buckets(df: DataFrame) -> DataFrame:
         b = hyperplane_buckets(F.col("vector"), dim, tables, bits, seed)
@@ -201,9 +207,9 @@ def cosine_topk_lsh(
 
     asked = queries.select(*CAND, F.col("vector").alias("q_vector"))
     probes = with_buckets(queries.select(*CAND, "vector")).drop("vector")
+    flips = F.array(F.lit(0), *[F.lit(1 << i) for i in range(bits)])
+    probes = probes.select(*CAND, "tbl", F.explode(F.transform(flips, lambda x: F.col("bucket").bitwiseXOR(x.cast("long")))).alias("bucket"))
     stored = with_buckets(vectors.select("id", "vector"))
-    # The document keeps its vector through the join; the same pair met in
-    # several tables is dropped before scoring.
     pairs = stored.join(small_side(probes), ["tbl", "bucket"]).dropDuplicates([*CAND, "id"])
     scored = pairs.join(small_side(asked), CAND).select(
         *CAND, "id", F.round(cosine(F.col("q_vector"), F.col("vector")), SCORE_DIGITS).alias("score")
