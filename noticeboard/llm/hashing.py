@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text hashed at once; a longer single text is still hashed whole.
 SLICE_BYTES = 1 << 20
+#: Bytes that one running sum covers, or one span.
+SUM_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240501)
 _BYTES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -37,13 +39,12 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # word number at which text i begins; one more entry at the end
-    sums: np.ndarray
+    table: np.ndarray  # value of each byte in hashes
 
     def stems(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(word number, hash) of the first ``length`` bytes of the words that are so long."""
         long = np.flatnonzero(self.end - self.start >= length)
-        begin = self.start[long]
-        return long, mix((self.sums[begin + length] - self.sums[begin]) * _powers(_BASE_INVERSE, len(self.data), _known)[begin])
+        return long, span_hashes(self.data, self.start[long], self.start[long] + length, self.table)
 
     def count(self) -> np.ndarray:
         return np.diff(self.first)
@@ -67,6 +68,23 @@ def _powers(base: int, n: int, known: dict[int, np.ndarray]) -> np.ndarray:
 _known: dict[int, np.ndarray] = {}
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans in ascending order, read off running sums over ``SUM_BYTES`` at a time."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        base = start[at]
+        to = max(at + 1, int(np.searchsorted(end, base + SUM_BYTES, side="right")))
+        part = table[data[base : end[to - 1]]]
+        part *= _powers(_BASE, len(part), _known)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=sums[1:])
+        begin = start[at:to] - base
+        out[at:to] = (sums[end[at:to] - base] - sums[begin]) * _powers(_BASE_INVERSE, len(part) + 1, _known)[begin]
+        at = to
+    return mix(out)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(index of the first text, texts) with at most ``limit`` bytes each, or one text."""
     texts = texts.cast(pa.large_string()) if texts.type != pa.large_string() else texts
@@ -96,10 +114,8 @@ def words(texts: pa.Array, fold: bool = False, separators: np.ndarray = _SPACE)
     begins[1:] &= space[:-1] | cut[1:n]
     ends[:-1] &= space[1:] | cut[1:n]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _BYTES)[data] * _powers(_BASE, n, _known), out=sums[1:])
-    hashed = mix((sums[end] - sums[start]) * _powers(_BASE_INVERSE, n, _known)[start])
-    return Words(data, start, end, hashed, np.searchsorted(start, offsets), sums)
+    table = _FOLDED if fold else _BYTES
+    return Words(data, start, end, span_hashes(data, start, end, table), np.searchsorted(start, offsets), table)
 
 
 @dataclass
@@ -149,10 +165,7 @@ def units(texts: pa.Array) -> Units:
     text = np.searchsorted(offsets, start, side="right") - 1
     use = ~odd[text]
     start, end, text = start[use], end[use], text[use]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * _powers(_BASE, n, _known), out=sums[1:])
-    hashed = mix((sums[end] - sums[start]) * _powers(_BASE_INVERSE, n, _known)[start])
-    return Units(data, start, end, hashed, np.searchsorted(text, np.arange(len(texts) + 1)), odd)
+    return Units(data, start, end, span_hashes(data, start, end, _BYTES), np.searchsorted(text, np.arange(len(texts) + 1)), odd)
 
 
 def windows(hashes: np.ndarray, length: int, step: int = 0) -> np.ndarray:

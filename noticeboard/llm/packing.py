@@ -26,9 +26,9 @@ from noticeboard.session import materialise
 
 SIZE, OPEN, FAN, END = 1024, 16, 64, 0
 #: Texts whose units a worker remembers at most, over batches.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 #: Bytes of text tokenised at once.
-READ = 4 << 20
+READ = 2 << 20
 
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 _PIECES = f"task long, {COLUMNS}"
@@ -239,6 +239,7 @@ def _pack_partition(path: str, size: int, limit: int):
                     yield rows
         if (rows := _rows(task, [(None, w) for w in packer.open])) is not None:
             yield rows
+        pa.default_memory_pool().release_unused()
 
     return run
 
