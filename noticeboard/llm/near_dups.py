@@ -264,6 +264,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     judged = materialise(classify(docs, key, text), "judged")
     kept = judged.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept"))
+    if kept.count() * 16 <= BROADCAST_BYTES:
+        kept = F.broadcast(kept)
     named = docs.filter(F.col(f"`{key}`").isNotNull())
     out = named.join(kept, F.col(f"`{key}`") == F.col("_kept")).drop("_kept")
     rows = named.agg(F.count(F.lit(1))).first()[0]

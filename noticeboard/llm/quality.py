@@ -245,14 +245,13 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     tables and extra columns like :func:`judge`; no rows are matched by id, so
     repeated ids are harmless.
     """
-    with_id = docs if "doc_id" in docs.columns else docs.withColumn("doc_id", F.lit(None).cast("long"))
-    plain = with_id.select("doc_id", "text")
+    key = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("doc_id"), F.col("text").alias("text"))
+    # written with its statistics, so that texts are read once and never shuffled
+    judged = materialise(with_statistics(rows).drop("text").withColumn("base_failed", base_failed()), "judged")
     marks = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    labelled = (
-        with_statistics(plain.join(marks, "doc_id")).filter(~base_failed())
-        .select(*FEATURES, (1 - F.col("quality")).alias("bad"), (texts.bucket(F.col("doc_id"), 3) == 0).alias("pruning"))
+    labelled = judged.select("doc_id", "base_failed", *FEATURES).filter(~F.col("base_failed")).join(marks, "doc_id").select(
+        *FEATURES, (1 - F.col("quality")).alias("bad"), (texts.bucket(F.col("doc_id"), 3) == 0).alias("pruning")
     )
     rules = learn_rules(materialise(labelled, "quality-labelled"))
-    judged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("text"))
-    kept = with_statistics(judged).filter(~base_failed() & verdict(rules))
-    return kept.select("_row.*")
+    return judged.filter(~F.col("base_failed") & verdict(rules)).select("_row.*")
