@@ -2,9 +2,10 @@
 
 A bounded sample is clustered into centroids, large clusters split and small ones
 dissolved. Every vector is posted to its nearest list, and vectors near a border
-to the neighbouring lists too. Centroids are found by a walk over a neighbour
-graph in memory. A query reads the lists whose centroids are at most a fixed
-ratio further than its nearest. Inside lists scores are exact.
+to the neighbouring lists too, found by a walk over a neighbour graph in memory.
+A query ranks all centroids and reads the lists that are at most a calibrated
+ratio further than its nearest, all lists if no smaller ratio finds enough.
+Inside lists scores are exact.
 
 The largest inner product becomes the smallest distance by one more component
 that brings all vectors to the same length.
@@ -27,14 +28,16 @@ SAMPLE, LIST_SIZE, MAX_LISTS = 65_536, 100, 4096
 #: A vector goes to up to REPLICAS lists not further than (1 + POST_RATIO) times its nearest.
 REPLICAS, POST_RATIO = 8, 0.15
 #: A query reads the lists not further than (1 + ratio) times its nearest, and more until they hold MIN_CANDIDATES vectors.
-#: The ratio is the smallest that finds the share RECALL of the neighbours of TRIALS sampled vectors among CALIBRATION others.
-RATIOS = [0.02, 0.04, 0.06, 0.08, 0.1, 0.11, 0.12, 0.13, 0.14, 0.15, 0.16, 0.18, 0.2, 0.25, 0.3, 0.4, 0.5]
+#: The ratio is the smallest that finds the share RECALL of the neighbours of TRIALS vectors among CALIBRATION others; the last one reads all lists.
+#: Both are drawn from the whole table, whether centroids were fitted on them or not: fitted vectors lie nearer to their centroids.
+RATIOS = [0.02, 0.04, 0.06, 0.08, 0.1, 0.11, 0.12, 0.13, 0.14, 0.15, 0.16, 0.18, 0.2, 0.25, 0.3, 0.4, 0.5, np.inf]
 RECALL, TRIALS, CALIBRATION, MIN_CANDIDATES = 0.96, 256, 8192, 1000
 #: Lists that are read first; what is found there is the floor for the others.
 FIRST = 2
 #: Longer lists are read in parts of about this many vectors.
 PART = 2048
-NEIGHBOURS, BEAM = 24, 256
+#: Links of a centroid; centroids that a vector is compared with before it is posted; rows that a query block hands on at once.
+NEIGHBOURS, BEAM, ROWS = 24, 64, 16_384
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -107,6 +110,13 @@ class Graph:
         far = rng.integers(0, n, (n, 4))
         return cls(centroids, np.hstack([np.array(rows).reshape(n, near), far]).astype(np.int32), rng.permutation(n)[:16].astype(np.int32))
 
+    def ranked(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, squared distances) of all centroids per point, nearest first."""
+        square = np.einsum("ij,ij->i", points, points)[:, None] + np.einsum("ij,ij->i", self.centroids, self.centroids)
+        dist = np.maximum(square - 2 * (points @ self.centroids.T), 0)
+        ids = np.argsort(dist, axis=1, kind="stable")
+        return ids, np.take_along_axis(dist, ids, axis=1)
+
     def search(self, points: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, squared distances) of up to ``beam`` near centroids per point, nearest first; missing ones are -1."""
         n, k = len(self.centroids), len(points)
@@ -151,13 +161,13 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
 
 def lists_of(graph: Graph, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(point, list): the nearest list of each lifted point, and others almost as near."""
-    ids, dist = (x[:, :REPLICAS] for x in graph.search(points, 64))
+    ids, dist = (x[:, :REPLICAS] for x in graph.search(points))
     row, place = np.nonzero((ids >= 0) & (dist <= dist[:, :1] * (1 + POST_RATIO) ** 2 + 1e-12))
     return row, ids[row, place]
 
 
 def calibrate(graph: Graph, vectors: np.ndarray, longest: float, k: int, total: int) -> float:
-    """The smallest of ``RATIOS`` that reaches ``RECALL`` on a part of the sample.
+    """The smallest of ``RATIOS`` that reaches ``RECALL`` on the first of ``vectors``.
 
     As many neighbours are asked for there as make the share of the candidates
     that ``k`` make of all ``total`` vectors, one at least.
@@ -169,17 +179,16 @@ def calibrate(graph: Graph, vectors: np.ndarray, longest: float, k: int, total:
     value[np.arange(len(trials)), np.arange(len(trials))] = -np.inf
     wanted = np.argpartition(-value, k - 1, axis=1)[:, :k]
     row, chosen = lists_of(graph, lifted(vectors, longest))
-    ids, dist = graph.search(lifted_queries(trials, longest))
-    reach = np.full((len(trials), len(graph.centroids)), np.inf)  # by list: how much further than the nearest it is
-    at, place = np.nonzero(ids >= 0)
-    reach[at, ids[at, place]] = np.sqrt(dist[at, place] / np.maximum(dist[at, 0], 1e-12)) - 1
+    ids, dist = graph.ranked(lifted_queries(trials, longest))
+    reach = np.empty(ids.shape)  # by list: how much further than the nearest it is
+    np.put_along_axis(reach, ids, np.sqrt(dist / np.maximum(dist[:, :1], 1e-12)) - 1, axis=1)
     need = np.full(wanted.shape, np.inf)
     starts = np.searchsorted(row, np.arange(len(vectors) + 1))
     for j in range(k):
         for i in range(len(trials)):
             w = wanted[i, j]
             need[i, j] = reach[i, chosen[starts[w] : starts[w + 1]]].min()
-    return next((r for r in RATIOS if (need <= r).mean() >= RECALL), RATIOS[-1])
+    return next(r for r in RATIOS if (need <= r).mean() >= RECALL)
 
 
 def _post(model, longest: float):
@@ -201,15 +210,17 @@ def _probe(model, longest: float, sizes, ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph: Graph = model.value
         for batch in _batches(batches, 512):
-            ids, dist = graph.search(lifted_queries(matrix(batch.column(1)), longest))
-            held = np.where(ids >= 0, sizes.value[np.maximum(ids, 0)], 0)
+            ids, dist = graph.ranked(lifted_queries(matrix(batch.column(1)), longest))
+            held = sizes.value[ids]
             before = np.cumsum(held, axis=1) - held
-            near = dist <= dist[:, :1] * (1 + ratio) ** 2 + 1e-12
-            row, place = np.nonzero((near | (before < MIN_CANDIDATES)) & (held > 0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row, place], pa.int32()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(place, pa.int32())],
-                ["list", "query_id", "query", "place"],
-            )
+            near = (dist <= dist[:, :1] * (1 + ratio) ** 2 + 1e-12) if np.isfinite(ratio) else np.ones(dist.shape, bool)
+            rows, places = np.nonzero((near | (before < MIN_CANDIDATES)) & (held > 0))
+            for at in range(0, len(rows), ROWS):
+                row, place = rows[at : at + ROWS], places[at : at + ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[row, place], pa.int32()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(place, pa.int32())],
+                    ["list", "query_id", "query", "place"],
+                )
 
     return run
 
@@ -276,13 +287,18 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda n, x: n + x.cast("double") * x))
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest")).first()
     n, longest = facts["n"], facts["longest"] or 1.0
-    share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)))
-    sample = rows.filter(share).select("vector").limit(2 * SAMPLE).toArrow()["vector"]
+    draw, drawn = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)), int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20))
+    sample = rows.filter(draw < drawn).select("vector").limit(2 * SAMPLE).toArrow()["vector"]
     points = matrix(sample) if n and len(sample) else np.zeros((1, 1), np.float32)
+    if drawn < 1 << 20:
+        other = F.pmod(F.xxhash64("vec_id", F.lit("calibrate")), F.lit(1 << 20)) < int(2 * CALIBRATION / n * (1 << 20))
+        trials = matrix(rows.filter(other).select("vector").limit(2 * CALIBRATION).toArrow()["vector"])
+    else:
+        trials = points
     lists = int(np.clip(n // LIST_SIZE, 1, MAX_LISTS))
     send = rows.sparkSession.sparkContext.broadcast
     graph = Graph.build(fit_centroids(lifted(points, longest), lists))
-    ratio = calibrate(graph, points, longest, k, n)
+    ratio = calibrate(graph, trials if len(trials) >= CALIBRATION else points, longest, k, n)
     model = send(graph)
     posted = materialise(rows.mapInArrow(_post(model, longest), "list int, vec_id long, vector array<float>"), "postings")
     counts = posted.groupBy("list").count().collect()  # at most MAX_LISTS rows

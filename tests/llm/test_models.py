@@ -1,8 +1,10 @@
 """Toxicity and vector search."""
 
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from noticeboard.llm import ann, toxicity
@@ -95,3 +97,31 @@ def test_few_and_no_vectors(spark):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 0.5)]
     assert ann.search(vectors(spark, [(0, [1.0, 0.0])]), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.search(vectors(spark, []), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_recall_on_near_uniform_vectors_in_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_SIZE", 25)  # as many lists as from 409,600 vectors on
+    rng = np.random.default_rng(7)
+    n = 102_400
+    table = rng.normal(size=(n, 48)).astype(np.float32)
+    table /= np.linalg.norm(table, axis=1, keepdims=True)
+    rows = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(table.ravel(), 48).cast(pa.list_(pa.float32()))})
+    found = {}
+    for r in ann.search(spark.createDataFrame(rows), F.col("vec_id") % 2048 == 0, 20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = sum(len(found[q] & set(exact(np.arange(n), table, q, 20))) for q in range(0, n, 2048))
+    assert hit >= 0.9 * len(found) * 20
+
+
+def test_a_query_reads_as_many_lists_as_the_ratio_asks():
+    rng = np.random.default_rng(5)
+    table = rng.normal(size=(6000, 48)).astype(np.float32)
+    longest = float(np.linalg.norm(table, axis=1).max())
+    graph = ann.Graph.build(ann.fit_centroids(ann.lifted(table, longest), 600, 2))
+    queries = pa.RecordBatch.from_pydict({"vec_id": np.arange(9), "vector": pa.array(list(table[:9]), pa.list_(pa.float32()))})
+    away = np.linalg.norm(ann.lifted_queries(table[:9], longest)[:, None].astype(float) - graph.centroids, axis=2)
+    for ratio in (0.1, 0.5, np.inf):
+        read = ann._probe(SimpleNamespace(value=graph), longest, SimpleNamespace(value=np.full(600, 10_000)), ratio)
+        got = sum(np.bincount(batch["query_id"], minlength=9) for batch in read(iter([queries])))
+        assert abs(got - (away <= away.min(axis=1, keepdims=True) * (1 + min(ratio, 1e9))).sum(axis=1)).max() <= 1
+    assert (got == 600).all()
