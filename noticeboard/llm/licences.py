@@ -1,7 +1,8 @@
 """Licence scan: known licence sentences become identifiers, and ordered rules match their sequence.
 
 Everything happens inside the row, so the scan shuffles nothing. Only texts with
-one of a few trigger words are split into sentences.
+one of a few trigger words are split into sentences. Sentences may wrap: a single
+line break, with comment marks or not, counts as a blank.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Normalised licence sentences (lower case, single blanks, letters and digits only) and their identifiers.
-# A sentence of a text matches when it contains the known one.
+# A sentence of a text may contain several known ones.
 SENTENCES = [
     ("ApacheName", "licensed under the apache license version 2 0"),
     ("ApacheCopy", "you may obtain a copy of the license at"),
@@ -68,7 +69,8 @@ RULES = [
 ]
 #: Every known sentence has one of these, so texts without them are not split.
 TRIGGERS = r"(?i)licen[cs]e|permission|redistribution|warrant|public"
-SENTENCE_END = r"[.!?;:]+[ \t\r]|\n"
+#: Sentence punctuation, but for the stop of "v.", and blank lines, which may have comment marks.
+SENTENCE_END = r"(?i)(?<!\bv)[.!?;:]+[ \t\r\n]|\n[^\p{L}\p{N}\n]*(?=\n)"
 UNKNOWN = "unknown"
 
 
@@ -80,8 +82,10 @@ def normal(sentence: Column) -> Column:
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     sentences = F.transform(F.split(text, SENTENCE_END), normal)
-    known = lambda s: reduce(lambda out, x: out.when(F.contains(s, F.lit(x[1])), F.lit(x[0])), SENTENCES, F)
-    return F.filter(F.transform(F.filter(sentences, lambda s: s.rlike(TRIGGERS)), lambda s: known(s)), lambda x: x.isNotNull())
+    name = lambda s: reduce(lambda out, x: out.when(s == x[1], F.lit(x[0])), SENTENCES, F)
+    anyone = F.lit("|".join(pattern for _, pattern in SENTENCES))
+    found = F.flatten(F.transform(F.filter(sentences, lambda s: s.rlike(TRIGGERS)), lambda s: F.regexp_extract_all(s, anyone, F.lit(0))))
+    return F.transform(found, name)
 
 
 def apply_rules(ids: Column) -> Column:

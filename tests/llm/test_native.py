@@ -144,3 +144,78 @@ def test_known_sentences_have_a_trigger():
     import re
 
     assert all(re.search(licences.TRIGGERS, s) for _, s in licences.SENTENCES)
+
+
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "AGPL-3.0": "Licensed under the GNU Affero General Public\nLicense, version 3.",
+    "LGPL-3.0": "Licensed under the GNU Lesser General Public\nLicense, version 3.",
+    "LGPL-2.1": "Licensed under the GNU Lesser General\nPublic License, version 2.1.",
+    "GPL-3.0": "Licensed under the GNU General\nPublic License version 3.",
+    "GPL-2.0": "Licensed under the GNU General\nPublic License version 2.",
+    "CC-BY-NC-4.0": "Licensed under\nCC BY-NC 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC\nBY-SA 4.0.",
+    "CC-BY-4.0": "Licensed under CC BY\n4.0.",
+    "CC0-1.0": "Dedicated to the public\ndomain under CC0 1.0.",
+}
+WRAPPED["BSD-3-Clause"] = WRAPPED["BSD-2-Clause"] + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def test_wrapped_licences(spark):
+    assert set(WRAPPED) == {name for _, name in licences.RULES}
+    rows = []
+    for name, text in WRAPPED.items():
+        for mark, end in (("", "\n"), (" * ", "\n"), ("// ", "\r\n"), ("# ", "\n")):
+            rows.append((name, end.join(mark + x for x in text.split("\n"))))
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    for r in licences.scan(docs).collect():
+        assert (r.licences, r.leftover) == ([r.doc_id], []), r
+
+
+def test_blank_lines_and_lines_without_stops(spark):
+    rows = [(1, "released under the\n\nMIT license"), (2, "released under the MIT license\nlicensed under CC BY 4.0\nreleased under the MIT license")]
+    rows += [(3, "# released under the\n#\n# MIT license"), (4, "released under the.\nMIT license")]
+    got = {r.doc_id: r.sentence_ids for r in licences.scan(frame(spark, rows)).collect()}
+    assert got == {1: [], 2: ["MITName", "CCBY4", "MITName"], 3: [], 4: []}
