@@ -1,19 +1,17 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-A text is its lower-cased words and one end. Words that hold at least
-``MIN_SHARE`` of the training tokens are symbols of their own; the others are one
-symbol, inside which a word has its discounted share and all unknown words have
-the discount. Contexts are up to ``DEPTH`` symbols long, back to the begin of the
-text. A context counts if it holds ``MIN_SHARE`` of the tokens, and is retained if
-it tells the next symbol better than its suffix does, by a likelihood-ratio test.
-Its distribution is smoothed with that of its suffix. A word is scored in the
-state of the longest retained suffix.
-
-At most ``1 / MIN_SHARE`` contexts of each length can hold that share, and at most
-``1 / ENTRY_SHARE`` next symbols of theirs the share of an entry, so the tree that
-is sent to the executors is bounded, whatever the corpus. Word counts stay
-distributed: blocks of texts send each distinct word once to a range of the hash
-space and get its count back.
+A text is its lower-cased words and one end. Words with a minimum count in training
+texts are symbols of their own; the others are one symbol, inside which a word has
+its discounted share and all unknown words have the discount. Contexts are up to
+``DEPTH`` symbols long, back to the begin of the text. A context counts if it
+occurs as often, and is retained if it tells the next symbol better than its suffix
+does, by a likelihood-ratio test. Its distribution is smoothed with that of its
+suffix. A word is scored in the state of the longest retained suffix.
+
+The minimum counts stop growing at ``CONTEXT_COUNT`` and ``ENTRY_COUNT``, so the
+tree grows with the corpus. It stays distributed: for words, contexts of one symbol
+and contexts of two, blocks of texts send each distinct key once to a range of the
+hash space, which sums, tests and sends back what the block touches.
 """
 
 from __future__ import annotations
@@ -24,16 +22,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeboard.llm import hashing
-from noticeboard.llm.substrings import BLOCK_BYTES, Lookup, _cut, _groups, _numbers, _texts
+from noticeboard.llm.substrings import BLOCK_BYTES, Lookup, _cut, _groups, _numbers, _ranges, _texts
 from noticeboard.llm.texts import bucket
 from noticeboard.session import materialise
 
-#: Symbols of a context take 16 bits each, so DEPTH is 3 at most and MIN_SHARE no less than 2e-5.
-DEPTH, MIN_SHARE, ENTRY_SHARE, SMOOTHING = 2, 2e-5, 1e-6, 4.0
+#: Counts from which words and contexts, and next symbols of a context, count; small corpora need only these shares of their tokens, and 2.
+CONTEXT_COUNT, ENTRY_COUNT, MIN_SHARE, ENTRY_SHARE = 64, 4, 2e-5, 1e-6
+DEPTH, SMOOTHING = 2, 4.0
+#: Keys of all words that are no symbols, of the end and of the begin of a text.
+RARE, END, BEGIN = (np.uint64(x) for x in (0x5EED000000000001, 0x5EED000000000002, 0x5EED000000000003))
 #: Words that count for the training text are outside one of so many parts of the documents.
 PARTS, HELD_PART = 7, 2
 
@@ -87,48 +89,18 @@ def _count_words(table: pa.Table) -> pa.Table:
     )
 
 
-def _frequent_words(least: float):
+def _frequent(least: float):
+    """Types and tokens of the words that are symbols."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(counts, np.int64)
-                use = counts >= least
-                yield _pair("hash", np.frombuffer(hashes, np.uint64)[use], counts[use])
+            counts = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
+            counts = [x[x >= least] for x in counts]
+            yield pa.RecordBatch.from_pydict({"types": pa.array([sum(map(len, counts))], pa.int64()), "tokens": pa.array([sum(int(x.sum()) for x in counts)], pa.int64())})
 
     return run
 
 
-def _pair(name: str, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({name: pa.array([keys.tobytes()], pa.binary()), "count": pa.array([counts.tobytes()], pa.binary())})
-
-
-@dataclass
-class Symbols:
-    """Numbers of the frequent words; then follow all other words, the end and the begin."""
-
-    hashes: np.ndarray
-
-    @property
-    def rare(self) -> int:
-        return len(self.hashes)
-
-    def stream(self, found: hashing.Words, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(symbols, place in the text, word number or -1) of the texts in ``use``, begins and ends included."""
-        count = np.where(use, found.count(), 0)
-        size = np.where(use, count + 2, 0)
-        begin = np.cumsum(size) - size
-        place = np.arange(size.sum()) - np.repeat(begin, size)
-        inner = (place > 0) & (place <= np.repeat(count, size))
-        word = np.full(len(place), -1, np.int64)
-        word[inner] = np.repeat(found.first[:-1], count) + place[inner] - 1
-        out = np.where(place == 0, self.rare + 2, self.rare + 1)
-        own = np.full(len(found.hash), self.rare, np.int64)
-        at = Lookup(self.hashes).find(found.hash)
-        own[at] = np.searchsorted(self.hashes, found.hash[at])
-        out[inner] = own[word[inner]]
-        return out.astype(np.uint64), place, word
-
-
 def _context(stream: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, context) where a symbol has ``depth`` symbols of its text before it."""
     at = np.flatnonzero(place >= depth)
@@ -138,53 +110,214 @@ def _context(stream: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndar
     return at, key
 
 
-def _post_contexts(n: int, depth: int, symbols, allowed):
-    """Counts of (context, next symbol) in training texts, for contexts that may be frequent."""
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of the sequences ``a`` and then ``b``."""
+    return hashing.mix(hashing.mix(a) * np.uint64(0x9E3779B97F4A7C15) + b)
 
-    def run(table: pa.Table) -> pa.Table:
-        _, texts = _texts(table)
-        train = ~table["held_out"].to_numpy()
-        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+
+@dataclass
+class Model:
+    """What is the same for all words: numbers alone."""
+
+    tokens: int
+    types: int
+    documents: int
+    rare_tokens: int
+    discount: float
+    unknown: float  # log10 share of unknown words among rare ones
+    n_symbols: int
+    least: float
+    least_entry: float
+
+    def root(self, counts: np.ndarray) -> np.ndarray:
+        """log10 probabilities of symbols in the empty context."""
+        return np.log10((counts + 0.5) / (self.tokens + 0.5 * self.n_symbols))
+
+
+@dataclass
+class Answers:
+    """What one block got back about the keys of one level."""
+
+    key: np.ndarray  # sorted
+    count: np.ndarray
+    kind: np.ndarray  # 0: not retained, 1: an entry, 2: a retained context, or another symbol in it
+    value: np.ndarray  # log10 of the entry or of what the context leaves to its suffix
+
+    @classmethod
+    def of(cls, table: pa.Table, level: int) -> Answers:
+        part = table.filter(pc.equal(table["level"], level))
+        key, count = _numbers(part["hash"], np.uint64), _numbers(part["count"], np.int64)
+        order = np.argsort(key, kind="stable")
+        if not level:
+            return cls(key[order], count[order], np.zeros(0, np.int8), np.zeros(0, np.float32))
+        return cls(key[order], count[order], _numbers(part["kind"], np.int8)[order], _numbers(part["value"], np.float32)[order])
+
+    def at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, found) of keys."""
+        if not len(self.key):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        slot = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return slot, self.key[slot] == keys
+
+    def state(self, context: np.ndarray, entry: np.ndarray, wider: np.ndarray) -> np.ndarray:
+        """log10 probabilities: the entry's, or what its context leaves to ``wider``, or ``wider`` if it is not retained."""
+        slot, found = self.at(entry)
+        out = wider.copy()
+        if not len(self.key):
+            return out
+        hit = found & (self.kind[slot] == 1)
+        out[hit] = self.value[slot[hit]]
+        rest = np.flatnonzero(~hit)
+        slot, found = self.at(context[rest])
+        kept = found & (self.kind[slot] == 2)
+        out[rest[kept]] += self.value[slot[kept]]
+        return out
+
+
+@dataclass
+class Stream:
+    """Symbols of some texts, begins and ends included, with counts and places."""
+
+    symbol: np.ndarray
+    count: np.ndarray
+    place: np.ndarray
+    word: np.ndarray  # word number or -1
+    size: np.ndarray  # by text
+
+
+def _stream(found: hashing.Words, m: Model, words: Answers) -> Stream:
+    count = found.count()
+    size = count + 2
+    begin = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(begin, size)
+    inner = (place > 0) & (place <= np.repeat(count, size))
+    word = np.full(len(place), -1, np.int64)
+    word[inner] = np.repeat(found.first[:-1], count) + place[inner] - 1
+    held = np.full(len(place), m.documents, np.int64)
+    symbol = np.where(place == 0, BEGIN, END)
+    if len(found.hash):
+        own = words.count[words.at(found.hash)[0]][word[inner]]
+        symbol[inner] = np.where(own >= m.least, found.hash[word[inner]], RARE)
+        held[inner] = np.where(own >= m.least, own, m.rare_tokens)
+    return Stream(symbol, held, place, word, size)
+
+
+def _level(s: Stream, m: Model, first: Answers | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, context, count of the context, entry, log10 in the suffix) of the symbols in contexts of one or (with ``first``) two symbols."""
+    at = np.flatnonzero(s.place >= 1)
+    context = s.symbol[at - 1]
+    entry, wider = _joined(context, s.symbol[at]), m.root(s.count[at])
+    if first is None:
+        return at, context, s.count[at - 1], entry, wider
+    wider = first.state(context, entry, wider)
+    slot, found = first.at(entry)
+    pairs = np.zeros(len(s.place), np.int64)
+    pairs[at] = np.where(found, first.count[slot], 0) if len(first.key) else 0
+    keys = np.zeros(len(s.place), np.uint64)
+    keys[at] = entry
+    use = (s.place[at] >= 2) & (pairs[at - 1] >= m.least)
+    at, wider = at[use], wider[use]
+    return at, keys[at - 1], pairs[at - 1], _joined(keys[at - 1], s.symbol[at]), wider
+
+
+def _post_level(n: int, level: int, model):
+    """Contexts of a block with their counts, and their next symbols with the counts in training texts of the block."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        m: Model = model.value
+        _, texts = _texts(docs) if docs.num_rows else (None, pa.array([], pa.string()))
+        train = ~docs["held_out"].to_numpy()
+        words, first = Answers.of(answers, 0), Answers.of(answers, 1) if level > 1 else None
+        parts = [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.float32))]
         for at, part in hashing.slices(texts):
-            stream, place, _ = symbols.value.stream(hashing.words(part, fold=True), train[at : at + len(part)])
-            where, context = _context(stream, place, depth)
-            if depth > 1:
-                use = Lookup(allowed.value).find(context)
-                where, context = where[use], context[use]
-            key, count = _summed((context << np.uint64(16)) | stream[where], np.ones(len(where), np.int64))
-            keys.append(key)
-            counts.append(count)
-        keys, counts = _summed(np.concatenate(keys), np.concatenate(counts))
-        ranges = (hashing.mix(keys >> np.uint64(16)) % np.uint64(n)).astype(np.int64)
-        order, begins = _groups(ranges)
-        ends = np.append(begins, len(order))[1:]
-        pick = lambda x: pa.array([x[order[a:b]].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())
-        return pa.table({"range": pa.array(ranges[order][begins], pa.int32()), "key": pick(keys), "count": pick(counts)})
+            s = _stream(hashing.words(part, fold=True), m, words)
+            where, context, held, entry, wider = _level(s, m, first)
+            counted = np.repeat(train[at : at + len(part)], s.size)[where].astype(np.int64)
+            if first is not None:  # a rare pair has no frequent extension
+                pair = _joined(s.symbol[where - 1], s.symbol[where])
+                able = first.count[first.at(pair)[0]] >= m.least_entry if len(first.key) else np.zeros(len(pair), bool)
+            else:
+                able = np.ones(len(where), bool)
+            order, begins = _groups(entry[able])
+            pick = order[begins]
+            sums = np.add.reduceat(counted[able][order], begins) if len(begins) else np.zeros(0, np.int64)
+            parts.append((context[able][pick], entry[able][pick], sums, wider[able][pick].astype(np.float32)))
+            _, pick = np.unique(context, return_index=True)
+            parts.append((context[pick], context[pick], held[pick], np.zeros(len(pick), np.float32)))
+        context, entry, counts, wider = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, begins = _groups(context, entry)
+        context, entry, wider = context[order][begins], entry[order][begins], wider[order][begins]
+        whole = np.maximum.reduceat(counts[order], begins) if len(begins) else counts
+        sums = np.add.reduceat(counts[order], begins) if len(begins) else counts
+        counts = np.where(context == entry, whole, sums)
+        ranges = _ranges(hashing.mix(context), n)
+        order = np.argsort(ranges, kind="stable")
+        ends = np.searchsorted(ranges[order], np.arange(n + 1))
+        used = np.flatnonzero(np.diff(ends))
+        columns = {"context": context, "hash": entry, "count": counts, "wider": wider}
+        cut = {k: pa.array([v[order[ends[i] : ends[i + 1]]].tobytes() for i in used], pa.binary()) for k, v in columns.items()}
+        return pa.table({"range": pa.array(used, pa.int32()), "block": pa.array([docs["block"][0].as_py() if docs.num_rows else 0] * len(used), pa.int32()), **cut})
 
     return run
 
 
-def _frequent_contexts(least: float, least_entry: float):
-    """Entries of contexts that reach ``least``, and the rest of each such context as next symbol 65535."""
+_POSTED = "range int, block int, context binary, hash binary, count binary, wider binary"
+_ANSWERED = "block int, level int, hash binary, count binary, kind binary, value binary"
+
+
+def judged(context: np.ndarray, entry: np.ndarray, counts: np.ndarray, wider: np.ndarray, least: float, least_entry: float) -> tuple[np.ndarray, np.ndarray]:
+    """(kind, log10 value) of rows sorted by context; the row of a context itself has its whole count."""
+    if not len(context):
+        return np.zeros(0, np.int8), np.zeros(0, np.float32)
+    begins = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+    size = np.diff(np.append(begins, len(context)))
+    own = context == entry
+    total = np.add.reduceat(np.where(own, counts, 0), begins)
+    taken = ~own & (counts >= least_entry)
+    rest = np.maximum(total - np.add.reduceat(np.where(taken, counts, 0), begins), 0)
+    chance = 10 ** wider.astype(np.float64)
+    every = np.repeat(np.maximum(total, 1), size)
+    gain = np.add.reduceat(np.where(taken, counts * (np.log(np.maximum(counts, 1) / every) - np.log(chance)), 0), begins)
+    left_over = np.maximum(1e-9, 1 - np.add.reduceat(np.where(taken, chance, 0), begins))
+    gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / np.maximum(total, 1) / left_over), 0)
+    kept = (total >= least) & (gain > 0.5 * (np.add.reduceat(taken.astype(np.int64), begins) + 1) * np.log(np.maximum(total, 1)))
+    left = np.repeat(SMOOTHING + rest, size)
+    value = np.where(taken, counts + left * chance, left) / (every + SMOOTHING)
+    kind = np.where(~np.repeat(kept, size), 0, np.where(taken, 1, np.where(own, 2, 0)))
+    return kind.astype(np.int8), np.log10(value).astype(np.float32)
+
+
+def _answer_level(level: int, model):
+    """Per block, what became of the keys it sent to this range."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, counts = _summed(_numbers(table["key"], np.uint64), _numbers(table["count"], np.int64))
-        _, begins = _groups(keys >> np.uint64(16))
-        size = np.diff(np.append(begins, len(keys)))
-        total = np.add.reduceat(counts, begins)
-        use = np.repeat(total >= least, size)
-        entry = use & (counts >= least_entry)
-        rest = np.add.reduceat(np.where(entry, 0, counts), begins)
-        more = (total >= least) & (rest > 0)
-        names = (keys[begins][more] | np.uint64(65535))
-        return pa.Table.from_batches([_pair("key", np.append(keys[entry], names), np.append(counts[entry], rest[more]))])
+        m: Model = model.value
+        context, entry = _numbers(table["context"], np.uint64), _numbers(table["hash"], np.uint64)
+        counts, wider = _numbers(table["count"], np.int64), _numbers(table["wider"], np.float32)
+        order, begins = _groups(context, entry)
+        one = order[begins]
+        own = context[one] == entry[one]
+        sums = np.where(own, counts[one], np.add.reduceat(counts[order], begins))
+        kind, value = judged(context[one], entry[one], sums, wider[one], m.least, m.least_entry)
+        slot = np.empty(len(order), np.int64)
+        slot[order] = np.repeat(np.arange(len(one)), np.diff(np.append(begins, len(order))))
+        ends = np.cumsum([len(x) // 8 for x in table["hash"].to_pylist()])
+        rows = []
+        for block, a, b in zip(table["block"].to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
+            at = slot[a:b]
+            # pairs are needed as contexts of the next level, other answers only if they tell something
+            use = (kind[at] > 0) | ((sums[at] >= m.least_entry) if level < DEPTH else False)
+            rows.append((block, level, *(x.tobytes() for x in (entry[a:b][use], sums[at][use], kind[at][use], value[at][use]))))
+        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["block", "level", "hash", "count", "kind", "value"]
+        return pa.table({k: pa.array(v, t) for k, v, t in zip(names, zip(*rows, strict=True), types, strict=True)})
 
     return run
 
 
 @dataclass
 class Tree:
-    """Retained contexts with their suffix, and probabilities of their entries; state 0 is the empty context."""
+    """The plain form of a small tree in memory, for tests: retained contexts with their suffix, and probabilities of their entries; state 0 is the empty context."""
 
     root: np.ndarray  # log10 by symbol
     contexts: list[np.ndarray]  # by length less one, sorted
@@ -269,30 +402,16 @@ def grow(root_counts: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -
     return Tree(np.log10(root), contexts, states, np.array(parent), np.log10(escape), hashing.mix(keys)[order], np.log10(values[order]))
 
 
-@dataclass
-class Model:
-    symbols: Symbols
-    tree: Tree
-    tokens: int
-    types: int
-    documents: int
-    rare_tokens: int
-    discount: float
-    unknown: float  # log10 share of unknown words among rare ones
-
-
 def _score(model):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         m: Model = model.value
         ids, texts = _texts(docs) if docs.num_rows else (np.zeros(0, np.int64), pa.array([], pa.string()))
-        hashes, counts = _numbers(answers["hash"], np.uint64), _numbers(answers["count"], np.int64)
-        order = np.argsort(hashes, kind="stable")
-        hashes, counts = hashes[order], counts[order]
+        words, first, second = (Answers.of(answers, level) for level in range(DEPTH + 1))
         whole = np.log10(m.tokens + m.types + 1)
         n_tokens, n_known, base, score = [], [], [], []
         for _, part in hashing.slices(texts):
             found = hashing.words(part, fold=True)
-            count = counts[np.searchsorted(hashes, found.hash)] if len(found.hash) else np.zeros(0, np.int64)
+            count = words.count[words.at(found.hash)[0]] if len(found.hash) else np.zeros(0, np.int64)
 
             def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
                 return np.where(np.diff(first) > 0, np.add.reduceat(np.append(values, 0), first[:-1]), 0)
@@ -300,10 +419,14 @@ def _score(model):
             n_tokens.append(found.count() + 1)
             n_known.append(per_text((count > 0).astype(np.int64), found.first) + (m.documents > 0))
             base.append(per_text(np.log10(count + 1.0) - whole, found.first) + np.log10(m.documents + 1) - whole)
-            stream, place, word = m.symbols.stream(found, np.ones(len(part), bool))
-            value = m.tree.score(stream, place)
-            rare = np.flatnonzero((stream == m.symbols.rare) & (word >= 0))
-            held = count[word[rare]]
+            s = _stream(found, m, words)
+            value = np.zeros(len(s.place))
+            where, context, _, entry, wider = _level(s, m, None)
+            value[where] = first.state(context, entry, wider)
+            where, context, _, entry, wider = _level(s, m, first)
+            value[where] = second.state(context, entry, wider)
+            rare = np.flatnonzero((s.symbol == RARE) & (s.word >= 0))
+            held = count[s.word[rare]]
             inside = np.log10(np.maximum(held - m.discount, 1e-12) / max(m.rare_tokens, 1))
             value[rare] += np.where(held > 0, inside, m.unknown)
             score.append(per_text(value, np.append(0, np.cumsum(found.count() + 2))))
@@ -323,11 +446,6 @@ def _score(model):
     return run
 
 
-def _collected(rows: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
-    found = rows.collect()
-    return np.frombuffer(b"".join(r[key] for r in found), np.uint64), np.frombuffer(b"".join(r["count"] for r in found), np.int64)
-
-
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``.
 
@@ -349,27 +467,21 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     counted = materialise(words.groupBy("range").applyInArrow(_count_words, _COUNTED), "words")
     totals = counted.agg(*[F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(c) for c in ("types", "tokens", "once")]).first()
     tokens = totals["tokens"] + documents
-    least = max(2.0, MIN_SHARE * tokens)
-    send = docs.sparkSession.sparkContext.broadcast
-    training = counted.filter("block IS NULL").select("hash", "count")
-    hashes, counts = _collected(training.mapInArrow(_frequent_words(least), "hash binary, count binary"), "hash")
-    order = np.argsort(hashes)
-    symbols = Symbols(hashes[order])
-    shared = send(symbols)
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    allowed = np.zeros(0, np.uint64)
-    for depth in range(1, DEPTH + 1):
-        if depth > 1:
-            before, held = levels[-1]
-            allowed = np.sort(before[(held >= least) & ((before & np.uint64(65535)) != np.uint64(65535))])
-        posted = by_block.applyInArrow(_post_contexts(blocks, depth, shared, send(allowed)), "range int, key binary, count binary")
-        kept = posted.groupBy("range").applyInArrow(_frequent_contexts(least, max(2.0, ENTRY_SHARE * tokens)), "key binary, count binary")
-        levels.append(_collected(kept, "key"))
-    rare_tokens, rare_types = totals["tokens"] - int(counts.sum()), totals["types"] - len(hashes)
+    least = max(2.0, min(CONTEXT_COUNT, MIN_SHARE * tokens))
+    least_entry = max(2.0, min(ENTRY_COUNT, ENTRY_SHARE * tokens))
+    training = counted.filter("block IS NULL").select("count")
+    own = training.mapInArrow(_frequent(least), "types long, tokens long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "tokens")]).first()
+    rare_tokens, rare_types = totals["tokens"] - own["tokens"], totals["types"] - own["types"]
     discount = min(0.9, totals["once"] / rare_types) if rare_types else 0.0
     share = discount * rare_types / rare_tokens if rare_tokens else 1.0
-    root = np.concatenate([counts[order], [rare_tokens, documents]]).astype(float)
-    model = Model(symbols, grow(root, levels), tokens, totals["types"] + (documents > 0), documents, rare_tokens, discount, float(np.log10(max(share, 1e-12))))
-    answers = counted.filter("block IS NOT NULL").select("block", "hash", "count")
+    unknown = float(np.log10(max(share, 1e-12)))
+    types = totals["types"] + (documents > 0)
+    model = docs.sparkSession.sparkContext.broadcast(Model(tokens, types, documents, rare_tokens, discount, unknown, own["types"] + 2, least, least_entry))
+    none = F.lit(None).cast("binary")
+    answers = counted.filter("block IS NOT NULL").select("block", F.lit(0).alias("level"), "hash", "count", none.alias("kind"), none.alias("value"))
+    for level in range(1, DEPTH + 1):
+        posted = by_block.cogroup(answers.groupBy("block")).applyInArrow(_post_level(blocks, level, model), _POSTED)
+        answered = posted.groupBy("range").applyInArrow(_answer_level(level, model), _ANSWERED)
+        answers = answers.union(materialise(answered, f"contexts{level}"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_score(send(model)), schema)
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_score(model), schema)

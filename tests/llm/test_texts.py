@@ -218,3 +218,21 @@ def test_hashes_follow_words_alone():
     assert found.count().tolist() == [3, 0, 0, 2, 2, 1]
     assert found.hash[0] == found.hash[5] and found.hash[0] != found.hash[1]
     assert hashing.words(pa.array(["HeLLo É"]), True).hash.tolist() == hashing.words(pa.array(["x hello É"]), True).hash[1:].tolist()
+
+
+def test_lm_contexts_of_a_large_corpus(spark, monkeypatch):
+    """Contexts and words keep counting however small their share of the corpus is."""
+    monkeypatch.setattr(suffix_tree, "MIN_SHARE", 0.5)
+    monkeypatch.setattr(suffix_tree, "ENTRY_SHARE", 0.1)
+    held = [i for i in range(1000, 1099) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, prose(i, 40) + (" alpha beta gamma" if i % 3 else " gamma alpha")) for i in range(400)]
+    rows += list(zip(held, ["alpha beta gamma", "beta alpha gamma"], strict=True))
+    got = {r.doc_id: r.score for r in suffix_tree.score(frame(spark, rows)).collect()}
+    assert got[held[0]] > got[held[1]] + 1
+
+
+def test_lm_retained_context_sums_to_one():
+    context, entry = np.array([7, 7, 7, 9], np.uint64), np.array([1, 2, 7, 9], np.uint64)
+    kind, value = suffix_tree.judged(context, entry, np.array([500, 200, 720, 3]), np.log10([0.1, 0.2, 1, 1]).astype(np.float32), 64, 4)
+    assert kind.tolist() == [1, 1, 2, 0]
+    assert math.isclose((10 ** value[:2]).sum() + 10 ** value[2] * 0.7, 1, rel_tol=1e-5)
