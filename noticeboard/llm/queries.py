@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
 import corpus_pipeline
-from noticeboard.llm import ann, licences, lines, mixing, near_dups, packing, quality, substrings, suffix_tree, toxicity
-from noticeboard.llm.texts import read
+from noticeboard.llm import ann, licences, lines, mixing, near_dups, packing, phrases, quality, runs, substrings, suffix_tree, toxicity, warc
+from noticeboard.llm.texts import let, read, words
+from noticeboard.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,6 +155,92 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return chosen.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+OP11 = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, m, w[i:i + m - 1] AS p FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS m))),
+counted AS (SELECT lang, m, p, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT c.lang, c.m, c.p, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM counted WHERE m > 1) c
+  JOIN counted x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN counted y ON y.lang = c.lang AND y.p = c.p[k + 1:c.m]),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+parts AS (SELECT lang, p[1:m - 1] AS p, f FROM counted WHERE m > 2 UNION ALL SELECT lang, p[2:m] AS p, f FROM counted WHERE m > 2),
+longer AS (SELECT lang, p, max(f) AS f FROM parts GROUP BY ALL),
+kept AS (
+  SELECT low.lang, array_to_string(low.p, ' ') AS phrase, a, l, r, score FROM low LEFT JOIN longer ON longer.lang = low.lang AND longer.p = low.p
+  WHERE longer.f IS NULL OR 100::HUGEINT * longer.f < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
+@query("op11_phrases", OP11)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mine(read(spark, folder, "documents"))
+
+
+def planted_tails(docs: DataFrame) -> DataFrame:
+    """doc_id, text: one text in ten, by the hash of its id, goes on with a repetition of its own words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def tail(own: Column) -> Column:
+        n = F.size(own).cast("long")
+        a = F.pmod(g, n)
+        p = F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("long") + 1
+        again = F.transform(F.sequence(F.lit(0).cast("long"), n - a - 1), lambda j: F.element_at(own, (a + F.pmod(j, p) + 1).cast("int")))
+        return F.array_join(F.concat(F.slice(own, F.lit(1), a.cast("int")), again), " ")
+
+    planted = let(words(F.col("text")), lambda own: F.when(F.size(own) > 0, tail(own)))
+    return docs.select("doc_id", F.when(h % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.find_runs(planted_tails(read(spark, folder, "documents")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+OP13 = """
+WITH captured AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+sized AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM captured),
+held AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS kept FROM sized)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM held"""
+
+
+@query("op13_warc", OP13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    archives = new_path(spark, "archives")
+    warc.write_archives(read(spark, folder, "pages"), archives)
+    found = warc.resolve(warc.captures(warc.records(spark, archives, with_payload=False).drop("payload")))
+    page = lambda metadata: F.col(metadata)[0]["fields"]["page-id"].cast("long")
+    revisit = F.col("record.record_type") == "revisit"
+    return found.select(
+        page("metadata").alias("page_id"),
+        F.when(revisit, F.col("original.record.payload_bytes")).otherwise(F.col("record.payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("original.record.payload_digest")).otherwise(F.col("record.payload_digest")).alias("payload_digest"),
+        F.col("record.record_type").alias("record_type"),
+        page("original.metadata").alias("refers_to"),
+    )
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
