@@ -317,6 +317,16 @@ def captures(rows: DataFrame) -> DataFrame:
 
 
 def resolve(nested: DataFrame) -> DataFrame:
-    """The captures with ``original``: the nested row's record and metadata that a revisit refers to, or null."""
-    to = nested.filter(F.col("record.record_type") == "response").select(F.col("capture_id").alias("_to"), F.struct("record", "metadata").alias("original"))
-    return nested.join(to, F.col("record.refers_to") == F.col("_to"), "left").drop("_to")
+    """The captures with ``original``: record and metadata of the response that a revisit refers to, or null.
+
+    ``original.record`` leaves out the payload, so that very many revisits of one response carry
+    little; join by ``original.record.record_id`` to have it. Referred responses are sent to all tasks or,
+    if they take more than a broadcast may, repeated under salts, since one may be revisited by any share of the rows.
+    """
+    wanted = nested.filter("record.record_type = 'revisit'").select(F.col("record.refers_to").alias("capture_id")).distinct()
+    to = nested.filter("record.record_type = 'response'").join(wanted, "capture_id", "left_semi")
+    original = F.struct(F.col("record").dropFields("payload").alias("record"), "metadata")
+    to = materialise(to.select(F.col("capture_id").alias("refers"), original.alias("original")), "originals")
+    size = to.agg(F.sum(F.length(F.to_json("original")) + 100)).first()[0] or 0
+    rows = nested.withColumn("refers", F.when(F.col("record.record_type") == "revisit", F.col("record.refers_to")))
+    return spread_lookup(rows, to, "refers", size, F.col("capture_id")).drop("refers")

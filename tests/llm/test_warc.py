@@ -43,10 +43,11 @@ def nested(spark, tmp_path_factory):
 def test_payloads_come_back(nested):
     rows = nested.collect()
     assert len(rows) == len(PAGES)
-    seen = []
+    stored, seen = {r.capture_id: r.record for r in rows}, []
     for r in rows:
         page = r.metadata[0].fields.get("page-id")
-        own = r.original.record if r.record.record_type == "revisit" else r.record
+        own = stored[r.original.record.record_id] if r.record.record_type == "revisit" else r.record
+        assert r.original is None or r.original.record.payload_digest == own.payload_digest
         assert r.record.named_digest == "sha1:" + own.payload_digest
         seen.append((page and int(page), bytes(own.payload)))
         assert len(r.requests) == len(r.metadata) == 1 and r.capture_id == r.record.record_id
