@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks.registry import query
 from checks.views import corpus, new_snap, old_snap, sql_clean, sql_strip, sql_tokens, table, view, with_views
@@ -170,13 +171,20 @@ def s10(spark, d):
     return spark.read.text(path)
 
 
-@query("s11_local_sync", with_views(["corpus"], "SELECT id, content, 'add' AS op, true AS has_source FROM corpus"))
+@query(
+    "s11_local_sync",
+    with_views(["corpus"], "SELECT id, content, 'add' AS op, true AS has_source, false AS rejected FROM corpus UNION ALL SELECT NULL, text, NULL, true, true FROM benchmark"),
+)
 def s11(spark, d):
+    """A folder of arrays, among them one file per benchmark text that is no JSON."""
     path = new_path(spark, "folder")
-    docs = corpus(spark, d).select("id", "content")
-    docs.write.json(path)
-    out = snapshots.local_sync(spark, path, docs.schema)
-    return out.select("id", "content", "op", F.endswith("source_file", F.lit(".json")).alias("has_source"))
+    snapshots.write_snapshot_json(corpus(spark, d).select("id", "content"), f"{path}/arrays")
+    table(spark, d, "benchmark").select("text").write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(f"{path}/texts")
+    rows, rejects = snapshots.local_sync(spark, path, T.StructType().add("id", "string").add("content", "string"), "*/*.txt")
+    has_source = F.endswith("source_file", F.lit(".txt")).alias("has_source")
+    good = rows.select("id", "content", "op", has_source, F.lit(False).alias("rejected"))
+    bad = rejects.select(F.regexp_replace("text", r"\n$", "").alias("content"), has_source, F.lit(True).alias("rejected"))
+    return good.unionByName(bad, allowMissingColumns=True)
 
 
 # -- keyed maintenance ----------------------------------------------------

@@ -59,3 +59,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Intermediate tables of one run below one folder, which is deleted at the end of the run."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, new_path(spark, "run")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        remove(self.spark, self.folder)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a DataFrame and read it back. Use it, and all that comes from it, before the run ends."""
+        path = os.path.join(self.folder, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark's file systems reach; a missing one is no error."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

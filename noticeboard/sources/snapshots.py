@@ -17,15 +17,56 @@ from noticeboard.operators.common import ranked
 RAW_CHUNK = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("website", "title", "link", "heading_link", "content", "main_title", "year_month")]
 )
+POSITION = T.StructType([T.StructField("source_file", T.StringType()), T.StructField("position", T.IntegerType())])
+REJECT = T.StructType([*POSITION.fields, *[T.StructField(n, T.StringType()) for n in ("reason", "text")]])
 REQUIRED = ["link", "year_month", "title", "content"]
 
 
-def read_snapshot(spark: SparkSession, path: str, schema: T.StructType = RAW_CHUNK) -> DataFrame:
-    """JSON array files of chunks. Missing files and files that do not parse give no rows."""
+def read_arrays(spark: SparkSession, path: str, schema: T.StructType = RAW_CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of files that each hold one JSON array of objects, or one object.
+
+    Rows have the fields of ``schema``, ``extra`` (a variant with all other fields, null if there
+    are none), ``source_file`` and ``position`` in the file. Rejects name the file, the position (null for a
+    whole file), a reason and the text: files that are no JSON, and elements that are no objects. A
+    missing path and an empty array give no rows; files of zero bytes are not seen by Spark at all.
+    """
     try:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+        files = spark.read.text(path, wholetext=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        none = T.StructType([*schema.fields, T.StructField("extra", T.VariantType()), *POSITION.fields])
+        return spark.createDataFrame([], none), spark.createDataFrame([], REJECT)
+    elements = F.coalesce(F.from_json("value", "array<variant>"), F.array(F.try_parse_json("value")))
+    found = files.select("value", F.col("_metadata.file_name").alias("source_file"), F.posexplode(elements).alias("position", "item"))
+    found = found.withColumn("fields", F.from_json(F.to_json("item"), "map<string,variant>"))
+    is_object = F.col("fields").isNotNull()
+    named = {f.name: f.dataType.simpleString() for f in schema.fields}
+    others = F.map_filter("fields", lambda k, v: ~k.isin(*named))
+    rows = found.filter(is_object).select(
+        *[F.try_variant_get("item", f"$['{name}']", kind).alias(name) for name, kind in named.items()],
+        F.when(F.size(others) > 0, F.try_parse_json(F.to_json(others))).alias("extra"),
+        "source_file",
+        "position",
+    )
+    whole = F.col("item").isNull()
+    rejects = found.filter(~is_object).select(
+        "source_file",
+        F.when(~whole, F.col("position")).alias("position"),
+        F.when(whole, "file is no JSON").otherwise("element is no object").alias("reason"),
+        F.when(whole, F.col("value")).otherwise(F.to_json("item")).alias("text"),
+    )
+    return rows, rejects
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: T.StructType = RAW_CHUNK) -> DataFrame:
+    """The rows of :func:`read_arrays` without what they carry besides the fields of ``schema``."""
+    return read_arrays(spark, path, schema)[0].select(*schema.fieldNames())
+
+
+def count_rejects(rejects: DataFrame) -> DataFrame:
+    """Rejects per file and reason."""
+    return rejects.groupBy("source_file", "reason").agg(F.count("*").alias("n"))
 
 
 def write_snapshot_json(df: DataFrame, path: str) -> None:
@@ -92,7 +133,24 @@ def latest_batch(batches: DataFrame, batch: str, ts: str) -> DataFrame:
     return batches.filter(F.col(batch) == newest)
 
 
-def local_sync(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Every row of every file in a folder as an addition, with its file as the source."""
-    files = spark.read.schema(schema).json(path)
-    return files.select("*", F.lit("add").alias("op"), F.col("_metadata.file_name").alias("source_file"))
+def newest_batch(spark: SparkSession, path: str) -> str | None:
+    """The folder ``batch=...`` below ``path`` that was written last, by the time of its newest file; None without files.
+
+    Only the list of files is read. Of batches written at the same moment the greater name counts.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    folder = F.regexp_extract("path", r"^(.*/batch=[^/]*)/", 1)
+    newest = files.select(folder.alias("folder"), "modificationTime").filter("folder <> ''")
+    return newest.agg(F.max_by("folder", F.struct("modificationTime", "folder"))).first()[0]
+
+
+def read_newest_batch(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of the newest batch of change files; no other folder is opened."""
+    folder = newest_batch(spark, path)
+    return spark.read.schema(schema).json(folder) if folder else spark.createDataFrame([], schema)
+
+
+def local_sync(spark: SparkSession, path: str, schema: T.StructType, files: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """(every element of every array file in a folder as an addition, with its file as the source; rejects)."""
+    rows, rejects = read_arrays(spark, f"{path}/{files}", schema)
+    return rows.withColumn("op", F.lit("add")), rejects
