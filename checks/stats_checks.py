@@ -11,7 +11,7 @@ from checks.text_checks import fixed_chunks
 from checks.views import AS_OF, corpus, new_snap, table, view, with_views
 from noticeboard.functions.dates import staleness_label
 from noticeboard.functions.text import estimate_tokens
-from noticeboard.operators import stats, sync
+from noticeboard.operators import embedding, stats, sync
 from noticeboard.session import new_path
 from noticeboard.streaming import logs as log_jobs
 from noticeboard.streaming import sync as sync_jobs
@@ -22,6 +22,33 @@ def t1(spark, d):
     return stats.articles_per_site(corpus(spark, d))
 
 
+SPANS = [("2023-01", "2023-12"), ("2023-07", "2024-06"), ("2023-01", "2024-12")]
+
+
+@query(
+    "t1_sketch_counts",
+    with_views(
+        ["corpus"],
+        " UNION ALL ".join(
+            f"SELECT website, '{a}/{b}' AS span, count(DISTINCT link) AS n_exact, true AS within FROM corpus WHERE year_month BETWEEN '{a}' AND '{b}' GROUP BY website"
+            for a, b in SPANS
+        ),
+    ),
+)
+def t1_sketches(spark, d):
+    """Whether merged monthly sketches are within 5 % of the exact count, per site and span."""
+    docs, path = corpus(spark, d).select("website", "link", "year_month"), new_path(spark, "sketches")
+    stats.store_sketches(stats.site_sketches(docs, "year_month"), path)
+    stored = spark.read.schema("website string, sketch binary, period string").parquet(path)
+    parts = []
+    for a, b in SPANS:
+        exact = stats.articles_per_site(docs.filter(F.col("year_month").between(a, b))).withColumnRenamed("n_articles", "n_exact")
+        met = exact.join(stats.merged_counts(stored, a, b), "website", "left")
+        near = F.coalesce(F.abs(F.col("n_articles") - F.col("n_exact")) <= 0.05 * F.col("n_exact"), F.lit(False))
+        parts.append(met.select("website", F.lit(f"{a}/{b}").alias("span"), "n_exact", near.alias("within")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("t1_articles_per_site_approx")
 def t1_approx(spark, d):
     return stats.articles_per_site_approx(corpus(spark, d))
@@ -95,6 +122,40 @@ def t6(spark, d):
     return stats.embedding_failures(joined, "the vector of this document is not there")
 
 
+STRIPPED = "translate(t, ',. ''’\"，。', '')"
+
+
+view(
+    "embedding_tries",
+    ["corpus"],
+    f"""SELECT c.id, a.attempt, e.vec_id IS NOT NULL AS known, length(CASE WHEN a.attempt = 0 THEN t ELSE {STRIPPED} END) AS text_chars,
+  known AND a.attempt >= CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS ok
+FROM (SELECT *, replace(cleaned_content, chr(10), ' ') AS t FROM corpus) c CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS attempt) a LEFT JOIN embeddings e ON e.vec_id = c.seq""",
+)
+
+
+@query(
+    "t6_retry_attempts",
+    with_views(
+        ["embedding_tries"],
+        """SELECT id, CAST(attempt AS BIGINT) AS attempt, text_chars, CASE WHEN ok THEN NULL WHEN known THEN 'busy' ELSE 'no answer' END AS error
+FROM embedding_tries j WHERE NOT EXISTS (SELECT 1 FROM embedding_tries b WHERE b.id = j.id AND b.ok AND b.attempt < j.attempt)""",
+    ),
+)
+def t6_retries(spark, d):
+    """An embedder that is busy for some languages until the first, second or third retry and does not know every document."""
+    docs = corpus(spark, d)
+    vec = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("known"))
+    needed = docs.select("id", F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).when(F.col("lang") == "de", 2).otherwise(3).alias("needed"))
+    known = vec.join(needed, "id")
+
+    def embed(asked, attempt):
+        ok = F.col("needed") <= attempt
+        return asked.join(known, "id").select("id", F.when(ok, F.col("known")).alias("vector"), F.when(~ok, "busy").alias("error"))
+
+    return embedding.embed_with_retries(docs.select("id", "cleaned_content"), embed).attempts
+
+
 @query(
     "t7_feedback_stats",
     """SELECT d.source AS query, CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS feedback_type, count(*) AS n
@@ -160,10 +221,16 @@ def x2(spark, d):
 
 @query("x3_dedupe_stream", "SELECT event_id, event_type AS log_type, user_id FROM events")
 def x3(spark, d):
-    """The same events arrive twice."""
-    twice = event_stream(spark, d).unionByName(event_stream(spark, d))
-    out = new_path(spark, "distinct")
-    log_jobs.append_stream(log_jobs.dedupe_stream(twice, "event_id", lateness="60 days"), out, new_path(spark, "progress")).awaitTermination()
+    """Five runs over one checkpoint; each brings some days of events and again those of the hour before."""
+    events = table(spark, d, "events")
+    source, out, progress = (new_path(spark, n) for n in ("feed", "distinct", "progress"))
+    days = ["2024-01-01", "2024-01-07", "2024-01-13", "2024-01-19", "2024-01-25", "9999-01-01"]
+    for low, high in zip(days, days[1:]):
+        part = events.filter((F.col("ts") >= F.expr(f"timestamp_ntz '{low}' - INTERVAL 1 HOUR")) & (F.col("ts") < F.lit(high).cast("timestamp_ntz")))
+        part.unionByName(part.sample(0.2, seed=1)).write.mode("append").parquet(source)
+        feed = spark.readStream.schema(events.schema).parquet(source).withColumnRenamed("event_type", "log_type")
+        feed = feed.withColumn("ts", F.col("ts").cast("timestamp"))
+        log_jobs.append_stream(log_jobs.dedupe_stream(feed, "event_id"), out, progress).awaitTermination()
     return spark.read.parquet(out).select("event_id", "log_type", "user_id")
 
 
@@ -173,17 +240,16 @@ def x3(spark, d):
 WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events) GROUP BY 1""",
 )
 def x4(spark, d):
-    """Hourly counts of a feed that ends with a copy of its first days: late rows are dropped.
+    """Hourly counts of a feed whose last run brings its first days again: late rows are dropped.
 
     A batch drops rows older than the watermark that held for the batch before
-    it, so the copy comes third.
+    it, so the copy comes in a third run over the same checkpoint.
     """
-    source = new_path(spark, "late")
+    source, out, progress = (new_path(spark, n) for n in ("late", "counts", "progress"))
     events = table(spark, d, "events")
     for part in ("ts < '2024-01-20'", "ts >= '2024-01-20'", "ts < '2024-01-05'"):
-        events.filter(part).coalesce(1).write.mode("append").parquet(source)
-    feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    feed = feed.withColumnRenamed("event_type", "log_type").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = new_path(spark, "counts")
-    log_jobs.append_stream(log_jobs.hourly_counts(feed), out, new_path(spark, "progress")).awaitTermination()
+        events.filter(part).write.mode("append").parquet(source)
+        feed = spark.readStream.schema(events.schema).parquet(source)
+        feed = feed.withColumnRenamed("event_type", "log_type").withColumn("ts", F.col("ts").cast("timestamp"))
+        log_jobs.append_stream(log_jobs.hourly_counts(feed), out, progress).awaitTermination()
     return spark.read.parquet(out).groupBy("log_type").agg(F.sum("n").alias("n"), F.count("*").alias("hours"))

@@ -60,6 +60,7 @@ WHITESPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 CJK_RANGE = "[一-龥]"
+EMBEDDING_RETRIES = 3
 RETRY_STRIPPED_CHARS = ",. '’\"，。"
 # Separators tried in order when a chunk end is moved to a natural break.
 CHUNK_SEPARATORS = ["\n\n", "\n", "。", "！", "？", "!", "?", "；", ";", "：", ":", "，", ",", "、"]

@@ -1,14 +1,16 @@
 """Keyword retrieval: terms, typo-tolerant expansion, rule scores and BM25.
 
 Documents are split into terms once. Everything that compares strings runs on
-the distinct vocabulary, and every match is an equality join: fuzzy matching
-joins on shared term segments and prefix matching on term prefixes.
+the distinct vocabulary: fuzzy matching joins on shared term segments, prefixes
+are looked up in sorted ranges.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from noticeboard.operators.filters import DOC_FIELDS, REQUEST_FIELDS, matches
 from noticeboard.session import materialise
 
 CAND = ["request_id", "cand"]
+#: Terms of the vocabulary that one task searches for prefixes.
+RANGE_TERMS = 1 << 16
 
 
 def tokenize_fields(docs: DataFrame, attributes: list[str] = C.SEARCH_ATTRIBUTES, keep: list[str] = ()) -> DataFrame:
@@ -88,13 +92,39 @@ def fuzzy_pairs(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return near.distinct()
 
 
+def _match_prefixes(terms: pa.Table, prefixes: pa.Table) -> pa.Table:
+    """Prefixes of one range next to its sorted terms, found by bisection."""
+    known = sorted(terms["term"].cast(pa.binary()).to_pylist())
+    asked, found = [], []
+    for p in prefixes["q_term"].cast(pa.binary()).to_pylist():
+        at, end = bisect_left(known, p), bisect_left(known, p + b"\xff")  # no UTF-8 text has that byte
+        hits = [t for t in known[at:end] if t != p]
+        asked += [p] * len(hits)
+        found += hits
+    return pa.table({c: pa.array(v, pa.binary()).cast(pa.string()) for c, v in (("q_term", asked), ("term", found))})
+
+
 def prefix_pairs(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(q_term, term) for vocabulary terms that begin with the query term and go on."""
-    vocab = vocabulary.filter(F.length("term") > 1).select(
-        "term", F.explode(F.sequence(F.lit(1), F.length("term") - 1)).alias("n")
-    )
-    vocab = vocab.select("term", F.substring(F.col("term"), F.lit(1), F.col("n")).alias("q_term"))
-    return terms.select(F.col("term").alias("q_term")).distinct().join(vocab, "q_term")
+    """(q_term, term) for vocabulary terms that begin with the query term and go on.
+
+    The vocabulary is sorted into ranges of about ``RANGE_TERMS`` terms; a prefix goes to the ranges
+    that hold terms from it up to the last text it begins, and is looked up there. The first term of
+    each range comes to the driver.
+    """
+    ranges = max(1, -(-vocabulary.count() // RANGE_TERMS))
+    sorted_terms = vocabulary.select("term").filter("term <> ''").repartitionByRange(ranges, "term")
+    stored = materialise(sorted_terms.select("term", F.spark_partition_id().alias("range")), "vocabulary")
+    bounds = stored.groupBy("range").agg(F.min("term").alias("low")).orderBy("low").collect()
+    if not bounds:
+        return stored.select(F.col("term").alias("q_term"), "term")
+    lows = F.array(*[F.lit(r.low) for r in bounds])
+    names = F.array(*[F.lit(r.range) for r in bounds])
+    after = F.concat("q_term", F.lit("\U0010ffff"))
+    asked = terms.select(F.col("term").alias("q_term")).filter("q_term <> ''").distinct()
+    first = F.greatest(F.size(F.filter(lows, lambda x: x <= F.col("q_term"))), F.lit(1))
+    count = F.size(F.filter(lows, lambda x: x <= after)) - first + 1
+    spread = asked.select("q_term", F.explode(F.slice(names, first, F.greatest(count, F.lit(0)))).alias("range"))
+    return stored.groupBy("range").cogroup(spread.groupBy("range")).applyInArrow(_match_prefixes, "q_term string, term string")
 
 
 def expand_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -54,3 +54,13 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery
         .trigger(availableNow=True)
         .start()
     )
+
+
+def dropped_rows(done: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed them, by the progress of a finished run."""
+    return sum(op["numRowsDroppedByWatermark"] for p in done.recentProgress for op in p["stateOperators"])
+
+
+def state_rows(done: StreamingQuery) -> list[int]:
+    """Rows held in state after each batch of a finished run."""
+    return [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in done.recentProgress if p["stateOperators"]]
