@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeboard.constants import ERROR_TITLES, NAV_LABELS
-from noticeboard.functions.text import replace_all, strip
+from noticeboard.functions.text import once, replace_all, strip
 
 # Named characters of HTML.
 NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
@@ -69,21 +69,47 @@ def _character(code: Column) -> Column:
     return F.when(valid & (code < 65536), low).when(valid, wide)
 
 
-def unescape(col: Column) -> Column:
-    """Character references as characters, once each: names, decimal and hexadecimal numbers. Unknown ones stay."""
+def _referred(name: Column) -> Column:
+    """The character of a reference without ``&`` and ``;``: a name, a decimal or a hexadecimal number; NULL if unknown."""
     names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    decimal = F.when(F.rlike(name, F.lit("^#[0-9]{1,7}$")), F.substring(name, 2, 9))
+    code = F.coalesce(decimal, F.when(F.rlike(name, F.lit("^#[xX][0-9A-Fa-f]{1,6}$")), F.conv(F.substring(name, 3, 9), 16, 10)))
+    return F.coalesce(_character(code.cast("int")), F.try_element_at(names, name))
+
+
+def _unescape_pieces(col: Column) -> Column:
+    """Every reference by itself, from left to right."""
 
     def piece(part: Column) -> Column:
         name = F.regexp_extract(part, r"^(#?[A-Za-z0-9]+);", 1)
-        decimal = F.when(F.rlike(name, F.lit("^#[0-9]{1,7}$")), F.substring(name, 2, 9))
-        code = F.coalesce(decimal, F.when(F.rlike(name, F.lit("^#[xX][0-9A-Fa-f]{1,6}$")), F.conv(F.substring(name, 3, 9), 16, 10)))
-        char = F.coalesce(_character(code.cast("int")), F.try_element_at(names, name))
+        char = _referred(name)
         rest = F.substring(part, F.length(name) + F.lit(2), F.length(part))
         return F.when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
 
     parts = F.split(col, "&")
-    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), ""))
-    return F.when(F.contains(col, F.lit("&")), whole).otherwise(col)
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), ""))
+
+
+def unescape(col: Column) -> Column:
+    """Character references as characters, once each: names, decimal and hexadecimal numbers. Unknown ones stay.
+
+    A page has few distinct references, so each is looked up once and replaced everywhere, ``&amp;`` last. That
+    is the same as going from left to right unless one stands for a character that may be part of
+    another; such pages go the long way.
+    """
+
+
+    def known(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&(#?[A-Za-z0-9]+);"), F.lit(1)))
+        return F.filter(F.transform(found, lambda n: F.struct(n.alias("name"), _referred(n).alias("char"))), lambda x: x["char"].isNotNull())
+
+    def replaced(start: Column, refs: Column) -> Column:
+        alone = F.forall(refs, lambda x: (x["name"] == "amp") | ~F.rlike(x["char"], F.lit("^[A-Za-z0-9#;&]$")))
+        last = F.concat(F.filter(refs, lambda x: x["name"] != "amp"), F.filter(refs, lambda x: x["name"] == "amp"))
+        text = F.aggregate(last, start, lambda t, x: F.replace(t, F.concat(F.lit("&"), x["name"], F.lit(";")), x["char"]))
+        return F.when(alone, text).otherwise(_unescape_pieces(start))
+
+    return once(col, lambda t: F.when(F.contains(t, F.lit("&")), once(known(t), lambda refs: replaced(t, refs))).otherwise(t))
 
 
 def inner(col: Column, opening: str, tag: str) -> Column:
@@ -94,16 +120,21 @@ def inner(col: Column, opening: str, tag: str) -> Column:
     reaches to the end.
     """
     place = F.regexp_instr(col, F.lit(opening))
-    rest = F.substring(col, place + F.length(F.regexp_extract(col, opening, 0)), F.length(col))
-    cuts = F.split(rest, rf"(?i)(?=</?{tag}\b)")
 
     def step(acc: Column, x: Column) -> Column:
         depth = acc["depth"] + F.when(F.rlike(x, F.lit(rf"(?i)^</{tag}\b")), -1).when(F.rlike(x, F.lit(rf"(?i)^<{tag}\b")), 1).otherwise(0)
         walked = F.struct(depth.alias("depth"), (acc["n"] + F.when(depth > 0, 1).otherwise(0)).alias("n"))
         return F.when(acc["depth"] > 0, walked).otherwise(acc)
 
-    kept = F.aggregate(cuts, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step)["n"]
-    return F.when(place > 0, F.array_join(F.slice(cuts, F.lit(1), kept), ""))
+    def body(at: Column) -> Column:
+        rest = F.substring(col, at + F.length(F.regexp_extract(col, opening, 0)), F.length(col))
+        return once(F.split(rest, rf"(?i)(?=</?{tag}\b)"), walked_text)
+
+    def walked_text(cuts: Column) -> Column:
+        kept = F.aggregate(cuts, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step)["n"]
+        return F.array_join(F.slice(cuts, F.lit(1), kept), "")
+
+    return once(place, lambda at: F.when(at > 0, body(at)))
 
 
 def drop_boxes(col: Column) -> Column:
@@ -136,7 +167,7 @@ def first_group(col: Column, pattern: str) -> Column:
 
 
 def extract_article(col: Column) -> Column:
-    return F.coalesce(*[F.nullif(inner(col, opening, tag), F.lit("")) for opening, tag in ARTICLE_CONTAINERS])
+    return F.coalesce(*[once(inner(col, opening, tag), lambda x: F.when(x != "", x)) for opening, tag in ARTICLE_CONTAINERS])
 
 
 def tag_text(col: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +63,11 @@ def clean_content(col: Column) -> Column:
     return strip(replace_all(text, MARKDOWN_RULES))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed one time, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def year_of(year_month: Column) -> Column:
     return F.when(F.contains(year_month, F.lit("-")), F.split_part(year_month, F.lit("-"), F.lit(1))).otherwise(
         F.substring(year_month, 1, 4)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -150,6 +149,15 @@ def chunk_fixed(
     )
 
 
+def _occurrences(codes: np.ndarray, piece: str) -> np.ndarray:
+    """Places where a short text begins among code points."""
+    n = max(0, len(codes) - len(piece) + 1)
+    same = np.ones(n, bool)
+    for i, ch in enumerate(piece):
+        same &= codes[i : i + n] == ord(ch)
+    return np.flatnonzero(same)
+
+
 @dataclass(frozen=True)
 class Breaks:
     """Where a text may be cut: all separators by the place behind them, and line breaks and solid characters by place."""
@@ -162,9 +170,13 @@ class Breaks:
 
     @classmethod
     def of(cls, text: str) -> Breaks:
-        found = [(m.start() + len(s), m.start(), rank) for rank, s in enumerate(C.CHUNK_SEPARATORS) for m in re.finditer(f"(?={re.escape(s)})", text)]
-        behind, before, rank = np.array(sorted(found), np.int64).reshape(-1, 3).T
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        places = [_occurrences(codes, s) for s in C.CHUNK_SEPARATORS]
+        before = np.concatenate(places)
+        rank = np.repeat(np.arange(len(places)), [len(p) for p in places])
+        behind = before + np.array([len(s) for s in C.CHUNK_SEPARATORS])[rank]
+        order = np.lexsort((rank, before, behind))
+        behind, before, rank = behind[order], before[order], rank[order]
         blank = np.isin(codes, np.array([ord(c) for c in C.WHITESPACE], np.uint32))
         return cls(behind, before, rank, np.flatnonzero(codes == 10), np.flatnonzero(~blank))
 
@@ -226,6 +238,8 @@ def chunk_smart(
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: smart_pieces(t, size, overlap, tolerance))
 
+    # otherwise Spark would run it a second time, in a filter on empty results that it puts before the explode
+    cut = cut.asNondeterministic()
     body = strip(F.coalesce(F.col(text), F.lit("")))
     fits = F.coalesce(estimate_tokens(F.col(text)) <= size + tolerance, F.lit(True))
     short = df.filter(fits & (body != "")).withColumn("_pieces", F.array(body))

@@ -185,7 +185,7 @@ def hyperplane_buckets(vector: Column, dim: int, tables: int, bits: int, seed: i
             signs = (_unit_rows(batch) @ planes > 0).reshape(len(batch), tables, bits)
             yield pd.Series(list((signs * weights).sum(axis=2)))
 
-    return buckets(vector)
+    return buckets.asNondeterministic()(vector)  # else it runs twice below an explode
 
 
 def cosine_topk_lsh(

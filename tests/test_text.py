@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,3 +181,29 @@ def test_dates_stay_where_they_are_written(spark):
 def test_cjk_words_are_pairs(spark):
     assert one(spark, "AI Cloud 合作夥伴計劃公告 更新v2", text.words) == ["ai", "cloud", "合作", "作夥", "夥伴", "伴計", "計劃", "劃公", "公告", "更新", "v2"]
     assert one(spark, "查 a-b", text.words) == ["查", "a", "b"]
+
+
+def test_references_are_decoded_once_from_left_to_right(spark):
+    from html.entities import name2codepoint
+
+    cases = [
+        "&amp;lt; &lt;b&gt; &amp;amp; a & b &unknown; &amp;#60; &#38;amp; &#x26;lt; &am&#112;; &#35;60; &lt&#59; &#0; &#x110000; &#128512; &eacute;&Eacute;",
+        "no reference", "&", "&;", "&&amp;&", "&nbsp;" * 50, "x&#65;&amp;#65;y", None, "",
+    ]
+    names = {n: chr(c) for n, c in name2codepoint.items()} | {"apos": "'"}
+
+    def plain(text):
+        def one(m):
+            name = m.group(1)
+            if name[0] != "#":
+                return names.get(name, m.group(0))
+            digits, base, most = (name[2:], 16, 6) if name[1:2] in ("x", "X") else (name[1:], 10, 7)
+            if not (0 < len(digits) <= most and all(c in "0123456789abcdefABCDEF"[: 22 if base == 16 else 10] for c in digits)):
+                return m.group(0)
+            code = int(digits, base)
+            return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code <= 0xDFFF else m.group(0)
+
+        return text if text is None else re.sub(r"&(#?[A-Za-z0-9]+);", one, text)
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string").select("i", html.unescape(F.col("t")).alias("u")).orderBy("i").collect()
+    assert [r.u for r in got] == [plain(t) for t in cases]
