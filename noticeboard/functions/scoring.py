@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeboard import constants as C
-from noticeboard.functions.text import distinct_keywords, squash
+from noticeboard.functions.text import distinct_keywords, once, squash
 
 
 def clip01(col: Column) -> Column:
@@ -18,18 +18,15 @@ def keyword_hits(title: Column, content: Column, keywords: Column) -> Column:
 
     The texts are squashed once per row, not once per keyword.
     """
-    title = squash(F.coalesce(title, F.lit("")))
-    content = squash(F.coalesce(content, F.lit("")))
-    return F.size(
-        F.filter(
-            keywords,
-            lambda k: (k != "")
-            & (
-                ((title != "") & F.contains(title, squash(k)))
-                | ((content != "") & F.contains(content, squash(k)))
-            ),
-        )
-    )
+    texts = F.struct(squash(F.coalesce(title, F.lit(""))).alias("title"), squash(F.coalesce(content, F.lit(""))).alias("content"))
+
+    def inside(text: Column, keyword: Column) -> Column:
+        return (text != "") & F.contains(text, keyword)
+
+    def found(t: Column) -> Column:
+        return F.size(F.filter(keywords, lambda k: (k != "") & once(squash(k), lambda q: inside(t["title"], q) | inside(t["content"], q))))
+
+    return once(texts, found)
 
 
 def rerank_score(score: Column, hit_ratio: Column) -> Column:

@@ -8,22 +8,31 @@ are looked up in sorted ranges.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from noticeboard import constants as C
 from noticeboard.functions.scoring import typo_allowance
 from noticeboard.functions.text import words
 from noticeboard.operators.common import largest, ranked, small_side
+from noticeboard.operators.blocks import QUERY_BLOCK, BestRows, pack_queries
 from noticeboard.operators.filters import DOC_FIELDS, REQUEST_FIELDS, matches
 from noticeboard.session import materialise
 
 CAND = ["request_id", "cand"]
 #: Terms of the vocabulary that one task searches for prefixes.
 RANGE_TERMS = 1 << 16
+#: Documents whose words are counted at once.
+COUNTED_ROWS = 256
 
 
 def tokenize_fields(docs: DataFrame, attributes: list[str] = C.SEARCH_ATTRIBUTES, keep: list[str] = ()) -> DataFrame:
@@ -310,52 +319,138 @@ class TermIndex:
     mean_length: float
 
 
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(column values of a document, its length, term, count) for every distinct word of its list ``w``, the last column."""
+    for batch in batches:
+        *fields, lists = batch.columns
+        for at in range(0, batch.num_rows, COUNTED_ROWS):
+            part = lists.slice(at, COUNTED_ROWS)
+            found = pc.dictionary_encode(part.flatten())
+            sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(part)), sizes)
+            n = max(len(found.dictionary), 1)
+            keys, counts = np.unique(row * n + found.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            own = pa.array(at + keys // n)
+            columns = [f.take(own) for f in fields]
+            columns += [pa.array(sizes[keys // n]), found.dictionary.take(pa.array(keys % n)).cast(pa.string()), pa.array(counts)]
+            yield pa.record_batch(columns, names=[*batch.schema.names[:-1], "dl", "term", "tf"])
+
+
 def term_index(docs: DataFrame, texts: list[str]) -> TermIndex:
     """The stored index of some text columns, made once per corpus.
 
-    Words are counted per document before anything is shuffled, and written in
-    ranges of (term, id), so that even a word of every document is spread.
+    Words are counted inside the row of their document, so tokens are never shuffled, and the counts are
+    written in ranges of (term, id), so that even a word of every document is spread.
     """
-    joined = words(F.concat_ws(" ", *texts))
-    split = docs.select(*DOC_FIELDS, joined.alias("w"))
-    counted = (
-        # The length is taken before the array is exploded, so no row carries the array.
-        split.select(*DOC_FIELDS, F.size("w").alias("dl"), F.explode("w").alias("term"))
-        .groupBy(*DOC_FIELDS, "dl", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    split = docs.select(*DOC_FIELDS, words(F.concat_ws(" ", *texts)).alias("w"))
+    fields = [docs.schema[f] for f in DOC_FIELDS]
+    kinds = T.StructType([*fields, T.StructField("dl", T.LongType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    # written first: a range partitioning reads its input twice, once for a sample
+    counted = materialise(split.mapInArrow(_count_terms, kinds), "counts")
     terms = materialise(counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "terms")
     frequencies = materialise(terms.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
-    size = split.select(F.size("w").alias("dl")).filter("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+    size = counted.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
     return TermIndex(terms, frequencies, float(size["n"]), float(size["mean"] or 0.0))
 
 
+def _scan_terms(shared, filtered: bool, mean_length: float, schema: pa.Schema):
+    """Scores of the documents of one task, whose rows stand document by document, and its best per query."""
+
+    def scores_of(rows: pa.Table, block: dict) -> tuple[np.ndarray, pa.Table]:
+        """Score of every query and document; documents one row each."""
+        ids = rows["id"].to_numpy()
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+        tf, dl = rows["tf"].to_numpy().astype(np.float64), rows["dl"].to_numpy().astype(np.float64)
+        part = tf * (C.BM25_K1 + 1) / (tf + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * dl / mean_length))
+        coded = pc.dictionary_encode(rows["term"].combine_chunks())
+        which = np.array([block["terms"].get(t, 0) for t in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        size = np.diff(block["begins"])[which]
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at = np.repeat(block["begins"][which], size) + within
+        n = len(block["k"])
+        flat = block["query"][at] * len(first) + np.repeat(doc, size)
+        total = np.bincount(flat, block["idf"][at] * np.repeat(part, size), n * len(first)).reshape(n, len(first))
+        return np.round(total, 6), rows.take(pa.array(first))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        best = BestRows(block, filtered)
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            ids = rows["id"].to_numpy()
+            last = len(ids) - int((ids == ids[-1]).sum()) if len(ids) else 0  # the last document may go on
+            if last:
+                add_documents(best, rows.slice(0, last), block)
+            held = rows.slice(last)
+        if held is not None and held.num_rows:
+            add_documents(best, held, block)
+        yield from best.rows(schema)
+
+    def add_documents(best: BestRows, rows: pa.Table, block: dict) -> None:
+        scores, docs = scores_of(rows, block)
+        best.add(scores, scores > 0, docs)
+
+    return scan
+
+
 def bm25(candidates: DataFrame, index: TermIndex, k_col: str | None = None, k: int = 50, filtered: bool = True) -> DataFrame:
     """Okapi BM25 of every query, best ``k`` documents each (or as many as ``k_col`` of the query says).
 
-    Only the terms asked for are read. They are shuffled by document once; scores
-    are summed there and each task keeps its own best per query, so few pairs of
-    query and document travel. Filters of the request act before the sum.
+    Only the terms asked for are read. They are shuffled by document once; queries go out in blocks
+    of a fixed size, and each task sums whole documents for all queries of a block at once and keeps its own best
+    per query, so few pairs of query and document are ever rows. Filters of the request act before the cut.
     """
-    fields = REQUEST_FIELDS if filtered else []
-    extra = [*fields, *([k_col] if k_col else [])]
-    weighted = search_terms(candidates).select(*CAND, "term").join(index.frequencies, "term").withColumn(
-        "idf", F.log(F.lit(1.0) + (F.lit(index.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    spark = candidates.sparkSession
+    if k_col is None:
+        candidates, k_col = candidates.withColumn("_k", F.lit(k)), "_k"
+    extra = REQUEST_FIELDS if filtered else []
+    # Written so that its size can be measured, and read block after block.
+    weighted = search_terms(candidates).select(*CAND, "term").join(index.frequencies, "term").select(
+        *CAND, "term", F.log(F.lit(1.0) + (F.lit(index.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
-    # Written so that its size can be measured.
-    weighted = materialise(weighted.join(candidates.select(*CAND, *extra), CAND), "weights")
+    weighted = materialise(weighted, "weights")
     asked = small_side(materialise(weighted.select("term").distinct(), "asked"))
-    found = index.terms.join(asked, "term", "left_semi").repartition("id")
-    allowed = matches() if filtered else F.lit(True)
-    part = (
-        F.col("r.idf") * F.col("d.tf") * (C.BM25_K1 + 1)
-        / (F.col("d.tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("d.dl") / F.lit(index.mean_length)))
-    )
-    pairs = found.alias("d").join(small_side(weighted).alias("r"), (F.col("d.term") == F.col("r.term")) & allowed)
-    limit = [F.first(f"r.{k_col}").alias("_k")] if k_col else []
-    scored = pairs.groupBy("r.request_id", "r.cand", "d.id").agg(F.round(F.sum(part), 6).alias("score"), *limit)
-    best = ranked(scored, CAND, [F.col("score").desc(), F.col("id")], largest(candidates, k_col) if k_col else k)
-    return best.filter(F.col("rank") <= F.col("_k")).drop("_k") if k_col else best
+    found = index.terms.join(asked, "term", "left_semi").select(*(DOC_FIELDS if filtered else ["id"]), "dl", "term", "tf")
+    found = found.repartition("id").sortWithinPartitions("id")
+    queries = candidates.select(*CAND, k_col, *extra).join(weighted.select(*CAND).distinct(), CAND, "left_semi")
+    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    if n_blocks > 1:
+        queries, found = materialise(queries, "queries"), materialise(found, "found").repartition("id").sortWithinPartitions("id")
+    block_of = F.pmod(F.xxhash64(*CAND), F.lit(n_blocks))
+    schema = T.StructType([candidates.schema["request_id"], candidates.schema["cand"], index.terms.schema["id"], T.StructField("score", T.DoubleType())])
+    hits = None
+    for b in range(n_blocks):
+        rows = queries.filter(block_of == b).toPandas()
+        if rows.empty:
+            continue
+        shared = spark.sparkContext.broadcast(_pack_terms(rows, weighted.filter(block_of == b).toPandas(), k_col, filtered))
+        part = found.mapInArrow(_scan_terms(shared, filtered, max(index.mean_length, 1e-9), to_arrow_schema(schema)), schema)
+        if n_blocks > 1:  # the next block goes out when this one is done with
+            part = materialise(part, "block-hits")
+            shared.destroy()
+        hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
+    best = ranked(hits, CAND, [F.col("score").desc(), F.col("id")], largest(queries, k_col))
+    return best.join(queries.select(*CAND, F.col(k_col).alias("_limit")), CAND).filter(F.col("rank") <= F.col("_limit")).drop("_limit")
+
+
+def _pack_terms(rows: pd.DataFrame, weights: pd.DataFrame, k_col: str, filtered: bool) -> dict:
+    """One block of queries, with the queries and weights of each term side by side; term 0 is any other and has none."""
+    block = pack_queries(rows, k_col, filtered)
+    number = {tuple(key): i for i, key in enumerate(zip(*(rows[c] for c in CAND), strict=True))}
+    query = np.array([number[key] for key in zip(*(weights[c] for c in CAND), strict=True)], np.int64)
+    names = {t: i + 1 for i, t in enumerate(sorted(set(weights["term"])))}
+    term = np.array([names[t] for t in weights["term"]], np.int64)
+    order = np.argsort(term, kind="stable")
+    return block | {
+        "terms": names,
+        "query": query[order],
+        "idf": weights["idf"].to_numpy(np.float64)[order],
+        "begins": np.searchsorted(term[order], np.arange(len(names) + 2)),
+    }
 
 
 def relative_score(hits: DataFrame) -> DataFrame:

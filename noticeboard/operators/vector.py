@@ -14,12 +14,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from noticeboard import constants as C
+from noticeboard.operators.blocks import CAND, QUERY_BLOCK, BestRows, pack_queries
 from noticeboard.operators.common import largest, ranked, small_side
 from noticeboard.operators.filters import DOC_FIELDS, REQUEST_FIELDS
 from noticeboard.session import materialise
 
-CAND = ["request_id", "cand"]
-QUERY_BLOCK = 4096
 BUCKET = 128
 SCORE_DIGITS = 6
 
@@ -48,23 +47,6 @@ def _unit_batch(column: pa.Array) -> np.ndarray:
     return _unit(np.asarray(values, dtype=np.float64).reshape(len(column), -1))
 
 
-def _allowed(batch: pd.DataFrame, query: dict) -> np.ndarray:
-    """Rows of a batch that pass the filters of one query."""
-    months, mask = query["months"], np.ones(len(batch), dtype=bool)
-    tests = [(batch["year_month"], months), (batch["link"], query["links"])]
-    tests += [(batch["website"], query["websites"]), (batch["website"], query["manual_websites"])]
-    if len(query["years"]):
-        tests.append((batch["year_month"].str.slice(0, 4), query["years"]))
-    for column, values in tests:
-        if len(values):
-            mask &= column.isin(values).to_numpy()
-    if not len(months):
-        for bound, inside in ((query["start_date"], "ge"), (query["end_date"], "le")):
-            if bound is not None:
-                mask &= getattr(batch["year_month"], inside)(bound[:7]).to_numpy()
-    return mask
-
-
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k_col: str = "pre_limit", filtered: bool = True) -> DataFrame:
     """The exact ``k`` nearest vectors by cosine for every (request, query).
 
@@ -91,7 +73,7 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k_col: str = "pre_limit"
         rows = asked.filter(F.col("_block") == b).drop("_block").toPandas()
         if rows.empty:
             continue
-        shared = spark.sparkContext.broadcast(_pack(rows, k_col, filtered))
+        shared = spark.sparkContext.broadcast(pack_queries(rows, k_col, filtered) | {"unit": _unit_rows(rows["vector"])})
         part = docs.mapInArrow(_block_scan(shared, filtered, to_arrow_schema(schema)), schema)
         if n_blocks > 1:  # the next block goes out when this one is done with
             part = materialise(part, "block-hits")
@@ -104,69 +86,14 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k_col: str = "pre_limit"
     return best.join(cut, CAND).filter(F.col("rank") <= F.col(k_col)).drop(k_col)
 
 
-def _pack(rows: pd.DataFrame, k_col: str, filtered: bool) -> dict:
-    """Unit vectors, limits, keys and the distinct filters of one block of queries."""
-    filters, which = [], [0] * len(rows)
-    if filtered:
-        known: dict[str, int] = {}
-        shared_fields = [f for f in REQUEST_FIELDS if f != "exclude_ids"]
-        for i, meta in enumerate(rows[shared_fields].to_dict("records")):
-            meta = {k: (list(v) if isinstance(v, np.ndarray) else v) for k, v in meta.items()}
-            which[i] = known.setdefault(repr(meta), len(known))
-            if which[i] == len(filters):
-                filters.append(meta)
-    return {
-        "unit": _unit_rows(rows["vector"]),
-        "k": rows[k_col].astype(int).to_numpy(),
-        "keys": rows[CAND].to_dict("list"),
-        "filters": filters,
-        "which": np.array(which),
-        "exclude": [set(v) for v in rows["exclude_ids"]] if filtered else [set()] * len(rows),
-    }
-
-
-def _best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best by score, then id; ties at the cut are looked at before any row is dropped."""
-    if len(scores) <= k:
-        return scores, ids
-    least = np.partition(scores, len(scores) - k)[len(scores) - k]
-    near = scores >= least
-    scores, ids = scores[near], ids[near]
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
-
-
 def _block_scan(shared, filtered: bool, schema: pa.Schema):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
-        n = len(block["k"])
-        best = [(np.empty(0), np.empty(0, dtype=object))] * n
-        bar = np.full(n, -np.inf)
+        best = BestRows(block, filtered)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            scores = np.round(block["unit"] @ _unit_batch(batch.column("vector")).T, SCORE_DIGITS)
-            promising = scores >= bar[:, None]
-            if filtered:
-                meta = batch.select(DOC_FIELDS).to_pandas()
-                promising &= np.array([_allowed(meta, f) for f in block["filters"]])[block["which"]]
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for q in np.flatnonzero(promising.any(axis=1)):
-                hit = promising[q]
-                if block["exclude"][q]:
-                    hit = hit & ~np.isin(ids, list(block["exclude"][q]))
-                row = np.concatenate((best[q][0], scores[q][hit]))
-                names = np.concatenate((best[q][1], ids[hit]))
-                best[q] = _best_rows(row, names, block["k"][q])
-                if len(best[q][0]) == block["k"][q]:
-                    bar[q] = best[q][0].min()
-        sizes = [len(s) for s, _ in best]
-        if sum(sizes):
-            which = np.repeat(np.arange(n), sizes)
-            columns = {c: pa.array(block["keys"][c]).take(pa.array(which)) for c in CAND}
-            columns["id"] = pa.array(np.concatenate([i for _, i in best]))
-            columns["score"] = pa.array(np.concatenate([s for s, _ in best]))
-            yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
+            if batch.num_rows:
+                best.add(np.round(block["unit"] @ _unit_batch(batch.column("vector")).T, SCORE_DIGITS), None, batch)
+        yield from best.rows(schema)
 
     return scan
 

@@ -54,6 +54,7 @@ def search_candidates(
     candidates: DataFrame, docs: DataFrame, index: lexical.TermIndex, vectors: DataFrame
 ) -> DataFrame:
     """Ranked, reranked and merged results of prepared queries that carry their vectors."""
+    candidates = materialise(candidates, "candidates")  # few rows that many steps read
     hits = ranking.dedupe_hits(multi_search(candidates, index, vectors))
     return ranking.rerank_and_merge(with_documents(hits, docs, candidates.filter("cand = 0")))
 

@@ -87,3 +87,34 @@ def test_search_plans_have_no_cross_join(spark, folder):
     for df in (counts, lexical.bm25(cands, search.stored_index(views.corpus(spark, folder))), materialise(lexical.build_postings(views.corpus(spark, folder)), "postings")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_bm25_over_several_blocks_and_batches(spark, folder, monkeypatch):
+    """The same hits whatever the size of the blocks of queries and of the batches of rows."""
+    from checks import views
+    from noticeboard.operators import lexical
+    from noticeboard.plans import search
+
+    index = search.stored_index(views.corpus(spark, folder))
+    cands = views.candidates(spark, folder).cache()
+    rows = lambda df: sorted(tuple(r) for r in df.select("request_id", "cand", "id", "score", "rank").collect())
+    want = rows(lexical.bm25(cands, index, "pre_limit"))
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 37)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert rows(lexical.bm25(cands, index, "pre_limit")) == want and want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert lexical.bm25(cands.limit(0), index).count() == 0
+
+
+def test_index_of_odd_texts(spark):
+    from noticeboard.operators import lexical
+
+    docs = spark.createDataFrame([("a", "One two two", None), ("b", "", "  "), ("c", None, None), ("d", "two", "合作夥伴")], "id string, title string, content string")
+    docs = docs.withColumns({c: F.lit("x") for c in ("year_month", "link", "website")})
+    index = lexical.term_index(docs, ["title", "content"])
+    got = {(r.id, r.term): (r.tf, r.dl) for r in index.terms.collect()}
+    assert got == {("a", "one"): (1, 3), ("a", "two"): (2, 3), ("d", "two"): (1, 4), ("d", "合作"): (1, 4), ("d", "作夥"): (1, 4), ("d", "夥伴"): (1, 4)}
+    assert {r.term: r.df for r in index.frequencies.collect()}["two"] == 2 and (index.documents, index.mean_length) == (2.0, 3.5)
+    assert lexical.term_index(docs.limit(0), ["title"]).terms.count() == 0
