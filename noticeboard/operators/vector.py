@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,10 @@ from noticeboard.operators.filters import DOC_FIELDS, REQUEST_FIELDS
 from noticeboard.session import materialise
 
 BUCKET = 128
+#: Planes whose sides a query may change, and queries that choose the number of probes.
+FLIPPED, TRIALS = 8, 64
+#: Rows whose buckets are found at once.
+PROBED_ROWS = 512
 SCORE_DIGITS = 6
 
 
@@ -98,49 +103,110 @@ def _block_scan(shared, filtered: bool, schema: pa.Schema):
     return scan
 
 
-def hyperplane_buckets(vector: Column, dim: int, tables: int, bits: int, seed: int) -> Column:
-    """One bucket number per table: the signs of the vector against seeded hyperplanes."""
-
-    @F.pandas_udf("array<long>")
-    def buckets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            if batch.empty:
-                yield pd.Series([], dtype=object)
-                continue
-            signs = (_unit_rows(batch) @ planes > 0).reshape(len(batch), tables, bits)
-            yield pd.Series(list((signs * weights).sum(axis=2)))
-
-    return buckets.asNondeterministic()(vector)  # else it runs twice below an explode
+# -- approximate form -----------------------------------------------------
+@dataclass(frozen=True)
+class Planes:
+    """Seeded hyperplanes: ``tables`` times ``bits`` of them, and how many buckets a query visits per table."""
+
+    dim: int
+    tables: int
+    bits: int
+    seed: int
+    probes: int = 1
+
+    def margins(self, rows: np.ndarray) -> np.ndarray:
+        """Signed distances of unit rows to the planes, by row, table and bit."""
+        planes = np.random.default_rng(self.seed).standard_normal((self.dim, self.tables * self.bits))
+        return (rows @ planes).reshape(len(rows), self.tables, self.bits)
+
+    def codes(self, margins: np.ndarray) -> np.ndarray:
+        return ((margins > 0) * (1 << np.arange(self.bits, dtype=np.int64))).sum(axis=2)
+
+    def visits(self, margins: np.ndarray) -> np.ndarray:
+        """Buckets by row, table and order of probing: nearest first, by the planes that must be crossed.
+
+        Sets of the ``FLIPPED`` nearest planes are tried in the order of their summed squared distances.
+        """
+        near = min(FLIPPED, self.bits)
+        order = np.argsort(np.abs(margins), axis=2)[:, :, :near]
+        cost = np.take_along_axis(margins, order, axis=2) ** 2
+        sets = (np.arange(1 << near)[:, None] >> np.arange(near)) & 1
+        rank = np.argsort(cost @ sets.T, axis=2, kind="stable")[:, :, : self.probes]
+        flips = (np.int64(1) << order) @ sets.T
+        return self.codes(margins)[:, :, None] ^ np.take_along_axis(flips, rank, axis=2)
+
+
+def _buckets(planes: Planes, visits: bool, schema: pa.Schema):
+    """Rows of all columns but the vector, once per table (and probe), with their bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, PROBED_ROWS) for b in batches for at in range(0, b.num_rows, PROBED_ROWS)):
+            margins = planes.margins(_unit_batch(batch.column("vector")))
+            found = planes.visits(margins) if visits else planes.codes(margins)[:, :, None]
+            n = found.shape[2]
+            row = pa.array(np.repeat(np.arange(batch.num_rows), planes.tables * n))
+            table = np.tile(np.repeat(np.arange(planes.tables, dtype=np.int32), n), batch.num_rows)
+            columns = [batch.column(f.name).take(row) for f in schema if f.name not in ("tbl", "bucket")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(table), pa.array(found.ravel())], schema=schema)
+
+    return run
+
+
+def bucketed(rows: DataFrame, planes: Planes, visits: bool = False) -> DataFrame:
+    """Ids (or keys) with tbl and bucket; vectors stay behind."""
+    kept = [f for f in rows.schema.fields if f.name != "vector"]
+    schema = T.StructType([*kept, T.StructField("tbl", T.IntegerType()), T.StructField("bucket", T.LongType())])
+    return rows.mapInArrow(_buckets(planes, visits, to_arrow_schema(schema)), schema)
+
+
+def calibrated(queries: DataFrame, vectors: DataFrame, planes: Planes, k: int, recall: float) -> Planes | None:
+    """Planes with as many probes as found ``recall`` of the exact neighbours of ``TRIALS`` hash-chosen queries; None if no number does."""
+    trial = queries.select(*CAND, "vector").orderBy(F.xxhash64(*CAND), *CAND).limit(TRIALS).withColumn("_k", F.lit(k))
+    trial = materialise(trial, "trials")
+    near = cosine_topk(trial, vectors.select("id", "vector"), "_k", filtered=False).select(*CAND, "id")
+    met = near.join(vectors.select("id", F.col("vector").alias("other")), "id").join(F.broadcast(trial.select(*CAND, "vector")), CAND)
+    pairs = met.select("vector", "other").toPandas()  # at most TRIALS times k
+    if pairs.empty:
+        return planes
+    most = replace(planes, probes=1 << min(FLIPPED, planes.bits))
+    visits = most.visits(most.margins(_unit_rows(pairs["vector"])))
+    hit = visits == most.codes(most.margins(_unit_rows(pairs["other"])))[:, :, None]
+    first = np.where(hit.any(axis=2), hit.argmax(axis=2), most.probes).min(axis=1)
+    probes = 1
+    while probes <= most.probes:
+        if (first < probes).mean() >= recall:
+            return replace(planes, probes=probes)
+        probes *= 2
+    return None
 
 
 def cosine_topk_lsh(
-    queries: DataFrame, vectors: DataFrame, dim: int, k: int, tables: int = 16, bits: int | None = None, seed: int = 7
+    queries: DataFrame, vectors: DataFrame, dim: int, k: int, tables: int = 16, bits: int | None = None, seed: int = 7, recall: float = 0.95
 ) -> DataFrame:
     """Approximate top-k: equality join on hyperplane buckets, then exact scores.
 
-    Buckets follow the corpus: unless ``bits`` is given, there are as many as hold
-    about ``BUCKET`` documents each. A query also looks into the buckets that one
-    plane separates from its own. The same pair met in several tables is dropped
-    before scoring.
+    Buckets follow the corpus: unless ``bits`` is given, there are as many as hold about ``BUCKET``
+    documents each. A query visits the buckets behind its nearest planes, as many per table as
+    found ``recall`` of the exact neighbours of some trial queries; if no number of probes does, as on
+    vectors without clusters in a large corpus, the exact form answers. Ids alone
+    are joined to buckets; vectors are fetched once for the distinct pairs.
     """
+    stored = vectors.select("id", "vector").filter(F.col("vector").isNotNull())
+    asked = materialise(queries.select(*CAND, "vector").filter(F.col("vector").isNotNull()), "queries")
     if bits is None:
-        bits = int(min(24, max(1, round(math.log2(max(vectors.count(), 2) / BUCKET)))))
-
-    def with_buckets(df: DataFrame) -> DataFrame:
-        b = hyperplane_buckets(F.col("vector"), dim, tables, bits, seed)
-        return df.select("*", F.posexplode(b).alias("tbl", "bucket"))
-
-    asked = queries.select(*CAND, F.col("vector").alias("q_vector"))
-    probes = with_buckets(queries.select(*CAND, "vector")).drop("vector")
-    flips = F.array(F.lit(0), *[F.lit(1 << i) for i in range(bits)])
-    probes = probes.select(*CAND, "tbl", F.explode(F.transform(flips, lambda x: F.col("bucket").bitwiseXOR(x.cast("long")))).alias("bucket"))
-    stored = with_buckets(vectors.select("id", "vector"))
-    pairs = stored.join(small_side(probes), ["tbl", "bucket"]).dropDuplicates([*CAND, "id"])
-    scored = pairs.join(small_side(asked), CAND).select(
-        *CAND, "id", F.round(cosine(F.col("q_vector"), F.col("vector")), SCORE_DIGITS).alias("score")
-    )
+        bits = int(min(24, max(1, round(math.log2(max(stored.count(), 2) / BUCKET)))))
+    planes = calibrated(asked, stored, Planes(dim, tables, bits, seed), k, recall)
+    if planes is None:
+        return cosine_topk(asked.withColumn("_k", F.lit(k)), stored, "_k", filtered=False)
+    probes = materialise(bucketed(asked, planes, visits=True), "probes")
+    pairs = bucketed(stored, planes).join(small_side(probes), ["tbl", "bucket"]).select(*CAND, "id").distinct()
+
+    @F.pandas_udf("double")
+    def cosines(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(np.round((_unit_rows(a) * _unit_rows(b)).sum(axis=1), SCORE_DIGITS))
+
+    met = pairs.join(stored, "id").join(small_side(asked.withColumnRenamed("vector", "_asked")), CAND)
+    scored = met.select(*CAND, "id", cosines("_asked", "vector").alias("score"))
     return ranked(scored, CAND, [F.col("score").desc(), F.col("id")], k)
 
 
