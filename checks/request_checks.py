@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query
+from checks.search_checks import best_by_bm25, sql_bm25
 from checks.views import AS_OF, candidates, corpus, joined, quote, requests, sql_distinct, sql_strip, table, view, with_views
 from noticeboard import constants as C
 from noticeboard.functions import dates, scoring
@@ -140,13 +141,13 @@ def i9(spark, d):
     "i10_validate_request",
     """SELECT item_id, CASE WHEN q = '' THEN 'query is required' WHEN length(q) > 100 THEN 'query is too long'
   WHEN item_id % 60 < 1 OR item_id % 60 > 50 THEN 'limit is out of range' WHEN (item_id % 13) / 10.0 > 1 THEN 'semantic ratio is out of range' END AS error
-FROM (SELECT item_id, CASE WHEN item_id % 17 = 3 THEN '' WHEN item_id % 4 = 0 THEN text ELSE split_part(text, ' ', 1) END AS q FROM benchmark)""",
+FROM (SELECT item_id, CASE WHEN item_id % 17 = 3 THEN '' WHEN item_id % 4 = 0 THEN text ELSE split_part(text, '.', 1) END AS q FROM benchmark)""",
 )
 def i10(spark, d):
     i = F.col("item_id")
     rows = table(spark, d, "benchmark").select(
         "item_id",
-        F.when(i % 17 == 3, F.lit("")).when(i % 4 == 0, F.col("text")).otherwise(F.split_part("text", F.lit(" "), F.lit(1))).alias("user_query"),
+        F.when(i % 17 == 3, F.lit("")).when(i % 4 == 0, F.col("text")).otherwise(F.split_part("text", F.lit("."), F.lit(1))).alias("user_query"),
         (i % 60).cast("int").alias("limit"),
         ((i % 13) / 10.0).alias("ratio"),
     )
@@ -169,22 +170,11 @@ def i11(spark, d):
 
 # -- filters --------------------------------------------------------------
 def posted(spark, d):
-    """One hit per posting of a long query word in the content of a document."""
-    from noticeboard.operators.lexical import search_terms, tokenize_fields
+    """The fifty best documents of each query by all words of the content, before any filter."""
+    return best_by_bm25(candidates(spark, d), corpus(spark, d)).select("request_id", "id").distinct()
 
-    cands = candidates(spark, d)
-    tokens = tokenize_fields(corpus(spark, d), ["content"]).select("id", "term").distinct()
-    terms = search_terms(cands).filter(F.length("term") >= 6).select("request_id", "term").distinct()
-    return tokens.join(terms, "term").select("request_id", "id").distinct()
 
-
-view(
-    "posted",
-    ["candidates", "corpus"],
-    r"""SELECT DISTINCT q.request_id, t.id FROM
-  (SELECT request_id, unnest(list_filter(regexp_split_to_array(lower(query), '[^\p{L}\p{N}]+'), lambda w: length(w) >= 6)) AS term FROM candidates) q
-  JOIN (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+')) AS term FROM corpus) t USING (term)""",
-)
+view("posted", ["terms", "corpus"], f"SELECT DISTINCT request_id, id FROM ({sql_bm25('corpus', 'terms')})")
 
 
 @query("f1_filter_in", with_views(["posted", "allowed"], "SELECT DISTINCT p.request_id, p.id FROM posted p JOIN allowed a ON a.request_id = p.request_id AND a.id = p.id AND a.cand = 0"))

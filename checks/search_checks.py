@@ -9,6 +9,7 @@ from checks.views import allowed_view, candidates, corpus, joined, quote, reques
 from noticeboard import constants as C
 from noticeboard.functions import text
 from noticeboard.operators import lexical, ranking, vector
+from noticeboard.operators.common import ranked
 from noticeboard.plans import search
 from noticeboard.session import materialise
 
@@ -146,23 +147,29 @@ def tokens(spark, d):
 # -- keyword rules --------------------------------------------------------
 @query(
     "k1_tokenize_fields",
-    with_views(["tokens"], "SELECT attr::BIGINT AS attr, term, count(*) AS n, count(DISTINCT id) AS n_docs, min(pos) AS first_pos, max(pos) AS last_pos FROM tokens GROUP BY 1, 2"),
+    with_views(["tokens"], "SELECT id, attr::BIGINT AS attr, count(*) AS n, string_agg(pos || ' ' || term, '|' ORDER BY pos) AS terms FROM tokens GROUP BY 1, 2"),
 )
 def k1(spark, d):
-    per_doc = tokens(spark, d).groupBy("attr", "term", "id").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    return per_doc.groupBy("attr", "term").agg(
-        F.sum("n").alias("n"), F.count("*").alias("n_docs"), F.min("lo").alias("first_pos"), F.max("hi").alias("last_pos")
-    )
+    """All terms of every field with their positions, one row per document and field."""
+    placed = F.array_sort(F.collect_list(F.struct("pos", "term")))
+    rows = tokens(spark, d).groupBy("id", "attr").agg(F.count("*").alias("n"), placed.alias("t"))
+    return rows.select("id", "attr", "n", joined(F.transform("t", lambda x: F.concat_ws(" ", x["pos"].cast("string"), x["term"]))).alias("terms"))
 
 
 @query(
     "k2_words_rule",
-    with_views(["terms", "postings"], "SELECT request_id, cand, id, count(*) AS words FROM terms JOIN postings USING (term) GROUP BY 1, 2, 3"),
+    with_views(
+        ["terms", "postings"],
+        """SELECT request_id, cand, id, words, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id, cand ORDER BY words DESC, id) AS rank FROM (
+  SELECT request_id, cand, id, count(*) AS words FROM terms JOIN postings USING (term) GROUP BY 1, 2, 3)) WHERE rank <= 50""",
+    ),
 )
 def k2(spark, d):
+    """The documents with most words of each query."""
     terms = lexical.search_terms(candidates(spark, d)).select(*CAND, "term")
     found = tokens(spark, d).groupBy("id", "term").agg(F.count("*").alias("tf")).join(terms, "term")
-    return found.groupBy(*CAND, "id").agg(F.count("*").alias("words"))
+    counted = found.groupBy(*CAND, "id").agg(F.count("*").alias("words"))
+    return ranked(counted, CAND, [F.col("words").desc(), F.col("id")], 50)
 
 
 @query(

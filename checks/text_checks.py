@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.registry import query
@@ -24,6 +25,7 @@ from noticeboard import constants as C
 from noticeboard.functions import dates, html, text
 from noticeboard.operators import chunking, vector
 from noticeboard.plans.sync import enrich
+from noticeboard.session import materialise
 
 NL = "chr(10)"
 MONTHS = ", ".join(f"'{m.lower()}': '{i:02d}'" for i, m in enumerate(C.MONTH_NAMES, 1))
@@ -309,11 +311,20 @@ def c16(spark, d):
 
 @query(
     "c17_group_by_month",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m') ELSE 'unknown' END AS month_key,
-  o_orderpriority || ' ' || o_orderkey AS title FROM orders""",
+    """SELECT o_orderkey, month_key, title, row_number() OVER (ORDER BY month_key = 'unknown', month_key, preview, title) - 1 AS position FROM (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m') ELSE 'unknown' END AS month_key,
+    CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%B CY%Y') ELSE '' END AS preview, o_orderpriority || ' ' || o_orderkey AS title FROM orders)""",
 )
 def c17(spark, d):
-    return chunking.group_by_month(order_items(spark, d), "preview", "rollout", "title").select("o_orderkey", "month_key", "title")
+    """The order is the feature: rows are numbered as they come out, partition after partition."""
+    out = chunking.group_by_month(order_items(spark, d), "preview", "rollout", "title").select("o_orderkey", "month_key", "title")
+    out = materialise(out.withColumn("at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("at", 33).alias("part")
+    sizes = out.groupBy(part).agg(F.count("*").alias("n"))  # one row per partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = sizes.select("part", before.alias("begin"))
+    numbered = out.withColumn("part", part).join(F.broadcast(begins), "part")
+    return numbered.select("o_orderkey", "month_key", "title", (F.col("begin") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("position"))
 
 
 # -- sections and chunks --------------------------------------------------
