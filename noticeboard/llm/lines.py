@@ -56,17 +56,19 @@ def drop_boilerplate(
     Lines are compared without outer blanks; blank lines stay. A null text stays
     null, a null site is a site of its own, and repeated rows count as pages of
     their own. A page of boilerplate alone keeps an empty text. ``removed`` names
-    a column to add with the number of lines cut. Empty tables give no rows.
+    a column to add with the number of lines cut. Sites with fewer than ``min_pages`` pages never lose a
+    line: a line on so few pages is no evidence. Extra columns may have any names. Empty tables give no rows.
     """
     shared = materialise(boilerplate(pages, text, site, max_ratio, min_pages), "boilerplate")
     size = shared.agg(F.sum(F.length(F.array_join("lines", "\n")) * 4)).first()[0] or 0
-    lookup = shared.select(F.col("site").alias("_site"), F.col("lines").alias("_boilerplate"))
-    rows = pages.withColumn("_site", F.col(f"`{site}`"))
-    out = texts.spread_lookup(rows, lookup, "_site", size, F.col(f"`{text}`"))
-    body = F.col(f"`{text}`")
-    cut = F.array_join(F.filter(F.split(body, "\n"), lambda x: ~F.array_contains("_boilerplate", F.trim(x))), "\n")
+    # the given row travels as one column, so that its names cannot meet those used here
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("given"), F.col(f"`{site}`").alias("site"))
+    body = F.col("given")[text]
+    out = texts.spread_lookup(rows, shared, "site", size, body)
+    whole = F.col("lines").isNull() | body.isNull()
+    cut = F.array_join(F.filter(F.split(body, "\n"), lambda x: ~F.array_contains("lines", F.trim(x))), "\n")
+    values = {c: F.when(whole, body).otherwise(cut) if c == text else F.col("given")[c] for c in pages.columns}
     if removed:
-        lost = F.size(F.filter(F.split(body, "\n"), lambda x: F.array_contains("_boilerplate", F.trim(x)))).cast("long")
-        out = out.withColumn(removed, F.when(F.col("_boilerplate").isNull() | body.isNull(), F.lit(0).cast("long")).otherwise(lost))
-    out = out.withColumn(text, F.when(F.col("_boilerplate").isNull() | body.isNull(), body).otherwise(cut))
-    return out.drop("_site", "_boilerplate")
+        lost = F.size(F.filter(F.split(body, "\n"), lambda x: F.array_contains("lines", F.trim(x)))).cast("long")
+        values[removed] = F.when(whole, F.lit(0).cast("long")).otherwise(lost)
+    return out.select(F.struct(*[value.alias(c) for c, value in values.items()]).alias("given")).select("given.*")

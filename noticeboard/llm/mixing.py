@@ -83,14 +83,16 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it, columns unchanged.
 
-    Nulls, empty tables and repeated ids as in :func:`plan`.
+    Nulls, empty tables and repeated ids as in :func:`plan`; extra columns may have any names.
     """
     sizes = docs.select(F.col(f"`{source}`").alias("source"), texts.word_count(F.col(f"`{text}`")).alias("size"))
-    wanted = materialise(targets(sizes), "targets").withColumnsRenamed({"source": "_source", "source_size": "_size", "target": "_target"})
-    held = wanted.agg(F.sum(F.length(F.coalesce("_source", F.lit(""))) * 4 + 32)).first()[0] or 0
-    rows = docs.withColumn("_source", F.col(f"`{source}`"))
-    out = texts.spread_lookup(rows, wanted, "_source", held, F.col(f"`{key}`"))
-    rate = F.when(F.col("_size") > 0, F.col("_target") / F.col("_size")).otherwise(F.lit(0.0))
+    wanted = materialise(targets(sizes), "targets")
+    held = wanted.agg(F.sum(F.length(F.coalesce("source", F.lit(""))) * 4 + 32)).first()[0] or 0
+    # the given row travels as one column, so that its names cannot meet those used here
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given")
+    rows = docs.select(given, F.col(f"`{source}`").alias("source"), F.col(f"`{key}`").alias("key"))
+    out = texts.spread_lookup(rows, wanted, "source", held, F.col("key"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    copies = (whole + (uniform(F.col(f"`{key}`")) < rate - whole).cast("long")).cast("int")
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = (whole + (uniform(F.col("key")) < rate - whole).cast("long")).cast("int")
+    return out.select("given", F.explode(F.array_repeat(F.lit(1), copies))).select("given.*")

@@ -260,15 +260,17 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: one row of each component stays, columns unchanged.
 
-    Of rows that repeat an id one stays; rows with a null id all stay.
+    Of rows that repeat an id one stays; rows with a null id all stay. Extra columns may have any names.
     """
     judged = materialise(classify(docs, key, text), "judged")
-    kept = judged.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept"))
+    kept = judged.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"))
     if kept.count() * 16 <= BROADCAST_BYTES:
         kept = F.broadcast(kept)
-    named = docs.filter(F.col(f"`{key}`").isNotNull())
-    out = named.join(kept, F.col(f"`{key}`") == F.col("_kept")).drop("_kept")
+    # the given row travels as one column, so that its names cannot meet those used here
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col(f"`{key}`").alias("key"))
+    named = given.filter("key IS NOT NULL")
+    out = named.join(kept, F.col("key") == F.col("kept_id")).select("given", "key")
     rows = named.agg(F.count(F.lit(1))).first()[0]
     if rows > judged.filter("doc_id IS NOT NULL").count():
-        out = first_per_key(out, [key], [F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))])
-    return out.union(docs.filter(F.col(f"`{key}`").isNull()))
+        out = first_per_key(out, ["key"], [F.md5(F.coalesce(F.col("given")[text], F.lit("")).cast("binary"))])
+    return out.union(given.filter("key IS NULL")).select("given.*")

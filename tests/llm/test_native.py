@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from noticeboard.llm import licences, lines, mixing, quality
+from noticeboard.llm import licences, lines, mixing, near_dups, quality, texts
 from tests.llm.brute import awkward, frame, prose, words
 
 
@@ -219,3 +219,31 @@ def test_blank_lines_and_lines_without_stops(spark):
     rows += [(3, "# released under the\n#\n# MIT license"), (4, "released under the.\nMIT license")]
     got = {r.doc_id: r.sentence_ids for r in licences.scan(frame(spark, rows)).collect()}
     assert got == {1: [], 2: ["MITName", "CCBY4", "MITName"], 3: [], 4: []}
+
+
+CLASHING = ["given", "site", "_site", "lines", "line", "_boilerplate", "held", "pages", "_on", "_salt", "_slot", "_s", "key", "kept", "_kept", "kept_id", "rep",
+            "component", "component_id", "fingerprint", "_rn", "size", "_size", "source_size", "target", "_target", "_source", "copies", "_copy", "rate", "_row",
+            "base_failed", "n_words", "quality", "bad", "with.dot", "col"]
+
+
+def test_columns_with_names_used_inside_keep_their_values(spark, monkeypatch):
+    """Each stage hands on every extra column, whatever its name, also where lookups are too large to broadcast."""
+    rows = [(i, f"shared line\nown line {i} " + prose(i, 40), "ab"[i % 2]) for i in range(24)] + [(None, None, None), (3, "shared line\nown line 3 " + prose(3, 40), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(c) for c in CLASHING])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    stages = {
+        "lines": lambda d: lines.drop_boilerplate(d, "text", "source"),
+        "mix": lambda d: mixing.mixed(d),
+        "near": lambda d: near_dups.keep_one(d),
+        "good": lambda d: quality.keep_good(d, labels),
+    }
+    for limit in (texts.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(texts, "BROADCAST_BYTES", limit)
+        for name, stage in stages.items():
+            out = stage(docs)
+            assert out.columns == docs.columns, name
+            got = out.collect()
+            assert got and all(r[c] == f"{c}:{'null' if r.doc_id is None else r.doc_id}" for r in got for c in CLASHING), name
+    counted = lines.drop_boilerplate(docs, "text", "source", removed="held").collect()
+    assert {r["held"] for r in counted if r.doc_id is not None} == {1} and all(r["lines"].startswith("lines:") for r in counted)

@@ -45,3 +45,27 @@ def test_pipeline_of_an_empty_table(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
         assert docs.count() == 0
+
+
+def test_line_stage_judges_sources_alike_and_counts_characters(spark, folder):
+    """A line planted on every eighth document goes from all sources, one on every thirtieth from none."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(6000).select(
+        F.col("id").alias("doc_id"),
+        F.concat_ws(
+            "\n",
+            F.when(F.xxhash64("id", F.lit(1)) % 8 == 0, F.lit("often here")),
+            F.when(F.xxhash64("id", F.lit(2)) % 30 == 0, F.lit("now and then")),
+            F.concat(F.lit("own line "), F.col("id").cast("string")),
+        ).alias("text"),
+        F.lit("en").alias("lang"),
+        F.concat(F.lit("src"), (F.col("id") % 8).cast("string")).alias("source"),
+    ).withColumn("n_chars", F.length("text").cast("long"))
+    out = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, folder)
+    assert out.columns == docs.columns and out.count() == 6000
+    held = out.groupBy("source").agg(
+        F.sum(F.contains("text", F.lit("often here")).cast("int")).alias("often"), F.sum(F.contains("text", F.lit("now and then")).cast("int")).alias("rare")
+    )
+    assert all(r.often == 0 and r.rare > 0 for r in held.collect())
+    assert out.filter(F.length("text") != F.col("n_chars")).count() == 0
