@@ -9,11 +9,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from noticeboard.llm import lines, mixing, near_dups, packing, quality
 from noticeboard.llm.texts import read
 from noticeboard.session import materialise
 
+#: Between the share of lines that are on every tenth document of all sources and of those on every thirtieth, so that
+#: chance differences between sources do not decide.
+LINE_RATIO = 0.07
+
 #: No SQL for the whole: the learned rules and the tokenizer have none.
 ORACLE_SQL = None
 
@@ -24,8 +29,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut lines that are on too many documents of one source; all documents stay."""
-    return lines.drop_boilerplate(docs, "text", "source")
+    """Cut lines that are on too many documents of one source; all documents stay, ``n_chars`` follows the text."""
+    cut = lines.drop_boilerplate(docs, "text", "source", LINE_RATIO)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
