@@ -2,44 +2,84 @@
 
 A text is its lower-cased words and one end. Words with a minimum count in training
 texts are symbols of their own; the others are one symbol, inside which a word has
-its discounted share and all unknown words have the discount. Contexts are up to
-``DEPTH`` symbols long, back to the begin of the text. A context counts if it
-occurs as often, and is retained if it tells the next symbol better than its suffix
-does, by a likelihood-ratio test. Its distribution is smoothed with that of its
-suffix. A word is scored in the state of the longest retained suffix.
-
-The minimum counts stop growing at ``CONTEXT_COUNT`` and ``ENTRY_COUNT``, so the
-tree grows with the corpus. It stays distributed: for words, contexts of one symbol
-and contexts of two, blocks of texts send each distinct key once to a range of the
-hash space, which sums, tests and sends back what the block touches.
+its discounted share and all unknown words have the discount. Contexts reach back to
+the begin of the text. A context counts if it occurs often enough, and is retained if
+it tells the next symbol better than its suffix does, by a likelihood-ratio test. Its
+distribution is smoothed with that of its suffix. Contexts of three symbols and more
+are formed only where their suffix is retained, level by level until a level retains
+none, or ``DEPTH`` is reached. A word is scored in the state of the longest retained
+suffix.
+
+Minimum counts are absolute, so the tree grows with the corpus. It stays distributed:
+texts are written once in blocks, as a table bucketed by block, so no later step
+shuffles them. For words and then for each length of contexts, blocks send each
+distinct key once to a range of the hash space, packed, which sums, tests and sends
+back what the block touches.
 """
 
 from __future__ import annotations
 
-import itertools
+import contextlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeboard.llm import hashing
-from noticeboard.llm.substrings import BLOCK_BYTES, Lookup, _cut, _groups, _numbers, _ranges, _texts
+from noticeboard.llm.substrings import BLOCK_BYTES, _groups, _ranges, _texts
 from noticeboard.llm.texts import bucket
-from noticeboard.session import materialise
-
-#: Counts from which words and contexts, and next symbols of a context, count; small corpora need only these shares of their tokens, and 2.
-CONTEXT_COUNT, ENTRY_COUNT, MIN_SHARE, ENTRY_SHARE = 64, 4, 2e-5, 1e-6
-DEPTH, SMOOTHING = 2, 4.0
+from noticeboard.session import materialise, new_path
+
+#: Counts from which words and contexts, and next symbols of a context, count.
+CONTEXT_COUNT, ENTRY_COUNT = 64, 4
+#: Longest context, whatever the test says.
+DEPTH, SMOOTHING = 5, 4.0
+#: Buckets that a table of blocks has at most.
+BUCKETS = 20_000
 #: Keys of all words that are no symbols, of the end and of the begin of a text.
 RARE, END, BEGIN = (np.uint64(x) for x in (0x5EED000000000001, 0x5EED000000000002, 0x5EED000000000003))
 #: Words that count for the training text are outside one of so many parts of the documents.
 PARTS, HELD_PART = 7, 2
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes: keys as differences, bytes of equal weight together."""
+    if values.dtype == np.uint64:
+        values = np.diff(values, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(values).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def _unpacked(cells: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The numbers of each cell."""
+    out = []
+    for cell in cells.to_pylist():
+        n, size = int.from_bytes(cell[:8], "little"), np.dtype(kind).itemsize
+        planes = pa.decompress(cell[8:], n * size, codec="zstd", asbytes=True) if n else b""
+        values = np.frombuffer(planes, np.uint8).reshape(size, n).T.copy().view(kind).ravel() if n else np.zeros(0, kind)
+        out.append(np.cumsum(values, dtype=np.uint64) if kind is np.uint64 else values)
+    return out
+
+
+def _numbers(cells: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *_unpacked(cells, kind)])
+
+
+def _dealt(block: int, n: int, by: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
+    """Rows (range, block, packed columns) for the ranges of the hashes ``by``, of n; order is kept inside a range."""
+    ranges = _ranges(by, n)
+    order = np.argsort(ranges, kind="stable")
+    ends = np.searchsorted(ranges[order], np.arange(n + 1))
+    used = np.flatnonzero(np.diff(ends))
+    parts = {k: pa.array([_packed(v[order[ends[i] : ends[i + 1]]]) for i in used], pa.binary()) for k, v in columns.items()}
+    return pa.table({"range": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), **parts})
+
+
 def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(hash, count) of the distinct words of a block, sorted by hash; counts are those of training texts."""
     _, texts = _texts(table)
@@ -60,56 +100,32 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _post_words(n: int):
     def run(table: pa.Table) -> pa.Table:
         hashes, counts = _distinct(table)
-        return _cut(table["block"][0].as_py(), n, hashes, {"hash": hashes, "count": counts.astype(np.uint32)})
+        return _dealt(table["block"][0].as_py(), n, hashes, {"hash": hashes, "count": counts.astype(np.uint32)})
 
     return run
 
 
-_COUNTED = "block int, hash binary, count binary, n_types long, n_tokens long, n_once long"
-
-
-def _count_words(table: pa.Table) -> pa.Table:
-    """The training words of one range (block null) and, per block, the counts of its words."""
-    hashes, counts = _numbers(table["hash"], np.uint64), _numbers(table["count"], np.uint32).astype(np.int64)
-    own, total = _summed(hashes, counts)
-    known = total > 0
-    rows = [(None, own[known], total[known], int(known.sum()), int(total.sum()), int((total == 1).sum()))]
-    slot = np.searchsorted(own, hashes)
-    ends = np.cumsum([len(x) // 8 for x in table["hash"].to_pylist()])
-    for block, a, b in zip(table["block"].to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
-        rows.append((block, hashes[a:b], total[slot[a:b]], None, None, None))
-    columns = list(zip(*rows, strict=True))
-    return pa.table(
-        {
-            "block": pa.array(columns[0], pa.int32()),
-            "hash": pa.array([v.tobytes() for v in columns[1]], pa.binary()),
-            "count": pa.array([v.tobytes() for v in columns[2]], pa.binary()),
-            **{k: pa.array(columns[i], pa.int64()) for i, k in ((3, "n_types"), (4, "n_tokens"), (5, "n_once"))},
-        }
-    )
+_COUNTED = "block int, hash binary, count binary, n_types long, n_tokens long, n_once long, n_symbols long, n_frequent long"
 
 
-def _frequent(least: float):
-    """Types and tokens of the words that are symbols."""
+def _count_words(least: float):
+    """The training words of one range (block null) in numbers and, per block, the counts of its words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
-            counts = [x[x >= least] for x in counts]
-            yield pa.RecordBatch.from_pydict({"types": pa.array([sum(map(len, counts))], pa.int64()), "tokens": pa.array([sum(int(x.sum()) for x in counts)], pa.int64())})
+    def run(table: pa.Table) -> pa.Table:
+        parts, counts = _unpacked(table["hash"], np.uint64), _numbers(table["count"], np.uint32).astype(np.int64)
+        own, total = _summed(np.concatenate(parts), counts)
+        symbols = total >= least
+        facts = [total > 0, total, total == 1, symbols, total[symbols]]
+        rows = [(None, None, None, *(int(x.sum()) for x in facts))]
+        for block, part in zip(table["block"].to_pylist(), parts, strict=True):
+            rows.append((block, _packed(part), _packed(total[np.searchsorted(own, part)]), *[None] * len(facts)))
+        types = [pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * len(facts)]
+        names = [c.split()[0] for c in _COUNTED.split(", ")]
+        return pa.table({k: pa.array(v, t) for k, v, t in zip(names, zip(*rows, strict=True), types, strict=True)})
 
     return run
 
 
-def _context(stream: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, context) where a symbol has ``depth`` symbols of its text before it."""
-    at = np.flatnonzero(place >= depth)
-    key = np.zeros(len(at), np.uint64)
-    for k in range(depth, 0, -1):
-        key = (key << np.uint64(16)) | stream[at - k]
-    return at, key
-
-
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Keys of the sequences ``a`` and then ``b``."""
     return hashing.mix(hashing.mix(a) * np.uint64(0x9E3779B97F4A7C15) + b)
@@ -159,6 +175,10 @@ class Answers:
         slot = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
         return slot, self.key[slot] == keys
 
+    def retained(self, context: np.ndarray) -> np.ndarray:
+        slot, found = self.at(context)
+        return found & (self.kind[slot] == 2) if len(self.key) else found
+
     def state(self, context: np.ndarray, entry: np.ndarray, wider: np.ndarray) -> np.ndarray:
         """log10 probabilities: the entry's, or what its context leaves to ``wider``, or ``wider`` if it is not retained."""
         slot, found = self.at(entry)
@@ -202,22 +222,46 @@ def _stream(found: hashing.Words, m: Model, words: Answers) -> Stream:
     return Stream(symbol, held, place, word, size)
 
 
-def _level(s: Stream, m: Model, first: Answers | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, context, count of the context, entry, log10 in the suffix) of the symbols in contexts of one or (with ``first``) two symbols."""
+@dataclass
+class Level:
+    """Symbols of a stream in contexts of one length."""
+
+    at: np.ndarray  # positions
+    context: np.ndarray
+    held: np.ndarray  # count of the context
+    entry: np.ndarray  # key of the context and the symbol
+    able: np.ndarray  # the symbol may count in the context, as it does in its suffix
+    wider: np.ndarray  # log10 of the symbol in the suffix
+
+
+def _level(s: Stream, m: Model, known: list[Answers], chance: np.ndarray | None = None) -> Level:
+    """The contexts that are one symbol longer than the ``known`` ones; ``chance`` takes the log10 of every position so far."""
     at = np.flatnonzero(s.place >= 1)
-    context = s.symbol[at - 1]
-    entry, wider = _joined(context, s.symbol[at]), m.root(s.count[at])
-    if first is None:
-        return at, context, s.count[at - 1], entry, wider
-    wider = first.state(context, entry, wider)
-    slot, found = first.at(entry)
-    pairs = np.zeros(len(s.place), np.int64)
-    pairs[at] = np.where(found, first.count[slot], 0) if len(first.key) else 0
-    keys = np.zeros(len(s.place), np.uint64)
-    keys[at] = entry
-    use = (s.place[at] >= 2) & (pairs[at - 1] >= m.least)
-    at, wider = at[use], wider[use]
-    return at, keys[at - 1], pairs[at - 1], _joined(keys[at - 1], s.symbol[at]), wider
+    context, held = s.symbol[at - 1], s.count[at - 1]
+    entry, wider, able = _joined(context, s.symbol[at]), m.root(s.count[at]), np.ones(len(at), bool)
+    if chance is not None:
+        chance[at] = wider
+    for length, answers in enumerate(known, 2):
+        wider = answers.state(context, entry, wider)
+        if chance is not None:
+            chance[at] = wider
+        slot, found = answers.at(entry)
+        counts, keys = np.zeros(len(s.place), np.int64), np.zeros(len(s.place), np.uint64)
+        counts[at] = np.where(found, answers.count[slot], 0) if len(answers.key) else 0
+        keys[at] = entry
+        use = (s.place[at] >= length) & (counts[at - 1] >= m.least)
+        if length > 2:
+            use &= answers.retained(context)
+        at, wider = at[use], wider[use]
+        context, held, able = keys[at - 1], counts[at - 1], counts[at] >= m.least_entry
+        entry = _joined(context, s.symbol[at])
+    return Level(at, context, held, entry, able, wider)
+
+
+def _answers(table: pa.Table, depth: int) -> tuple[Answers, list[Answers]]:
+    """Counts of words, and the answers about contexts up to a length."""
+    words, *levels = (Answers.of(table, level) for level in range(depth + 1))
+    return words, levels
 
 
 def _post_level(n: int, level: int, model):
@@ -225,44 +269,34 @@ def _post_level(n: int, level: int, model):
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         m: Model = model.value
-        _, texts = _texts(docs) if docs.num_rows else (None, pa.array([], pa.string()))
+        _, texts = _texts(docs)
         train = ~docs["held_out"].to_numpy()
-        words, first = Answers.of(answers, 0), Answers.of(answers, 1) if level > 1 else None
+        words, known = _answers(answers, level - 1)
         parts = [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.float32))]
         for at, part in hashing.slices(texts):
             s = _stream(hashing.words(part, fold=True), m, words)
-            where, context, held, entry, wider = _level(s, m, first)
-            counted = np.repeat(train[at : at + len(part)], s.size)[where].astype(np.int64)
-            if first is not None:  # a rare pair has no frequent extension
-                pair = _joined(s.symbol[where - 1], s.symbol[where])
-                able = first.count[first.at(pair)[0]] >= m.least_entry if len(first.key) else np.zeros(len(pair), bool)
-            else:
-                able = np.ones(len(where), bool)
-            order, begins = _groups(entry[able])
+            found = _level(s, m, known)
+            counted = np.repeat(train[at : at + len(part)], s.size)[found.at].astype(np.int64)
+            able = found.able
+            order, begins = _groups(found.entry[able])
             pick = order[begins]
             sums = np.add.reduceat(counted[able][order], begins) if len(begins) else np.zeros(0, np.int64)
-            parts.append((context[able][pick], entry[able][pick], sums, wider[able][pick].astype(np.float32)))
-            _, pick = np.unique(context, return_index=True)
-            parts.append((context[pick], context[pick], held[pick], np.zeros(len(pick), np.float32)))
+            parts.append((found.context[able][pick], found.entry[able][pick], sums, found.wider[able][pick].astype(np.float32)))
+            own, pick = np.unique(found.context, return_index=True)
+            parts.append((own, own, found.held[pick], np.zeros(len(pick), np.float32)))
         context, entry, counts, wider = (np.concatenate(x) for x in zip(*parts, strict=True))
         order, begins = _groups(context, entry)
         context, entry, wider = context[order][begins], entry[order][begins], wider[order][begins]
         whole = np.maximum.reduceat(counts[order], begins) if len(begins) else counts
         sums = np.add.reduceat(counts[order], begins) if len(begins) else counts
         counts = np.where(context == entry, whole, sums)
-        ranges = _ranges(hashing.mix(context), n)
-        order = np.argsort(ranges, kind="stable")
-        ends = np.searchsorted(ranges[order], np.arange(n + 1))
-        used = np.flatnonzero(np.diff(ends))
-        columns = {"context": context, "hash": entry, "count": counts, "wider": wider}
-        cut = {k: pa.array([v[order[ends[i] : ends[i + 1]]].tobytes() for i in used], pa.binary()) for k, v in columns.items()}
-        return pa.table({"range": pa.array(used, pa.int32()), "block": pa.array([docs["block"][0].as_py() if docs.num_rows else 0] * len(used), pa.int32()), **cut})
+        return _dealt(docs["block"][0].as_py(), n, hashing.mix(context), {"context": context, "hash": entry, "count": counts, "wider": wider})
 
     return run
 
 
 _POSTED = "range int, block int, context binary, hash binary, count binary, wider binary"
-_ANSWERED = "block int, level int, hash binary, count binary, kind binary, value binary"
+_ANSWERED = "block int, level int, hash binary, count binary, kind binary, value binary, n_retained long"
 
 
 def judged(context: np.ndarray, entry: np.ndarray, counts: np.ndarray, wider: np.ndarray, least: float, least_entry: float) -> tuple[np.ndarray, np.ndarray]:
@@ -292,7 +326,8 @@ def _answer_level(level: int, model):
 
     def run(table: pa.Table) -> pa.Table:
         m: Model = model.value
-        context, entry = _numbers(table["context"], np.uint64), _numbers(table["hash"], np.uint64)
+        parts = _unpacked(table["hash"], np.uint64)
+        context, entry = _numbers(table["context"], np.uint64), np.concatenate(parts)
         counts, wider = _numbers(table["count"], np.int64), _numbers(table["wider"], np.float32)
         order, begins = _groups(context, entry)
         one = order[begins]
@@ -301,112 +336,25 @@ def _answer_level(level: int, model):
         kind, value = judged(context[one], entry[one], sums, wider[one], m.least, m.least_entry)
         slot = np.empty(len(order), np.int64)
         slot[order] = np.repeat(np.arange(len(one)), np.diff(np.append(begins, len(order))))
-        ends = np.cumsum([len(x) // 8 for x in table["hash"].to_pylist()])
-        rows = []
+        ends = np.cumsum([len(x) for x in parts])
+        rows = [(None, level, None, None, None, None, int((own & (kind == 2)).sum()))]
         for block, a, b in zip(table["block"].to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
             at = slot[a:b]
-            # pairs are needed as contexts of the next level, other answers only if they tell something
-            use = (kind[at] > 0) | ((sums[at] >= m.least_entry) if level < DEPTH else False)
-            rows.append((block, level, *(x.tobytes() for x in (entry[a:b][use], sums[at][use], kind[at][use], value[at][use]))))
-        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        names = ["block", "level", "hash", "count", "kind", "value"]
+            # frequent entries are contexts of the next level, other answers are needed only if they tell something
+            use = (kind[at] > 0) | (sums[at] >= m.least_entry)
+            rows.append((block, level, *(_packed(x) for x in (entry[a:b][use], sums[at][use], kind[at][use], value[at][use])), None))
+        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        names = [c.split()[0] for c in _ANSWERED.split(", ")]
         return pa.table({k: pa.array(v, t) for k, v, t in zip(names, zip(*rows, strict=True), types, strict=True)})
 
     return run
 
 
-@dataclass
-class Tree:
-    """The plain form of a small tree in memory, for tests: retained contexts with their suffix, and probabilities of their entries; state 0 is the empty context."""
-
-    root: np.ndarray  # log10 by symbol
-    contexts: list[np.ndarray]  # by length less one, sorted
-    states: list[np.ndarray]
-    parent: np.ndarray
-    escape: np.ndarray  # log10 of what a state leaves to its suffix
-    entries: np.ndarray  # state and symbol, sorted
-    chances: np.ndarray  # log10
-
-    def score(self, stream: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol in the state of its longest retained context."""
-        state = np.zeros(len(stream), np.int64)
-        for k, (known, number) in enumerate(zip(self.contexts, self.states, strict=True), 1):
-            at, key = _context(stream, place, k)
-            hit = Lookup(known).find(key)
-            state[at[hit]] = number[np.searchsorted(known, key[hit])]
-        out = np.zeros(len(stream))
-        open_ = np.flatnonzero(place > 0)
-        lookup = Lookup(self.entries)
-        while len(open_):
-            top = state[open_] == 0
-            out[open_[top]] += self.root[stream[open_[top]].astype(np.int64)]
-            open_ = open_[~top]
-            key = (state[open_].astype(np.uint64) << np.uint64(16)) | stream[open_]
-            hit = lookup.find(hashing.mix(key)) if len(key) else np.zeros(0, np.int64)
-            out[open_[hit]] += self.chances[np.searchsorted(self.entries, hashing.mix(key[hit]))]
-            left = np.ones(len(open_), bool)
-            left[hit] = False
-            open_ = open_[left]
-            out[open_] += self.escape[state[open_]]
-            state[open_] = self.parent[state[open_]]
-        return out
-
-
-def grow(root_counts: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-    """The tree from counts by symbol and, per context length, (key, count) of the frequent contexts."""
-    root = (root_counts + 0.5) / (root_counts.sum() + 0.5 * len(root_counts))
-    known: list[dict[int, tuple[dict[int, int], int, int]]] = []
-    for keys, counts in levels:
-        tables: dict[int, tuple[dict[int, int], int, int]] = {}
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        _, begins = _groups(keys >> np.uint64(16))
-        for a, b in itertools.pairwise([*begins.tolist(), len(keys)]):
-            entries = dict(zip((keys[a:b] & np.uint64(65535)).tolist(), counts[a:b].tolist(), strict=True))
-            rest = entries.pop(65535, 0)
-            tables[int(keys[a] >> np.uint64(16))] = (entries, rest, sum(entries.values()) + rest)
-        known.append(tables)
-    # probabilities of the nearest context that is kept so far; lengths ascend, so a suffix is settled before its extensions
-    number: dict[tuple[int, int], int] = {}
-    parent, escape, chances = [0], [1.0], [{i: float(p) for i, p in enumerate(root)}]
-
-    def chance(state: int, symbol: int) -> float:
-        factor = 1.0
-        while symbol not in chances[state]:
-            factor *= escape[state]
-            state = parent[state]
-        return factor * chances[state][symbol]
-
-    for k, tables in enumerate(known, 1):
-        for context, (entries, rest, total) in tables.items():
-            above = next((number[j, context & ((1 << 16 * j) - 1)] for j in range(k - 1, 0, -1) if (j, context & ((1 << 16 * j) - 1)) in number), 0)
-            wider = {s: chance(above, s) for s in entries}
-            gain = sum(c * np.log(c / total / wider[s]) for s, c in entries.items())
-            if rest:
-                gain += rest * np.log(rest / total / max(1e-9, 1 - sum(wider.values())))
-            if gain <= 0.5 * (len(entries) + 1) * np.log(total):
-                continue
-            left = SMOOTHING + rest
-            number[k, context] = len(parent)
-            parent.append(above)
-            escape.append(left / (total + SMOOTHING))
-            chances.append({s: (c + left * wider[s]) / (total + SMOOTHING) for s, c in entries.items()})
-    contexts, states = [], []
-    for k in range(1, len(known) + 1):
-        own = sorted((c, i) for (j, c), i in number.items() if j == k)
-        contexts.append(np.array([c for c, _ in own], np.uint64))
-        states.append(np.array([i for _, i in own], np.int64))
-    keys = np.array([(i << 16) | s for i, table in enumerate(chances) if i for s in table], np.uint64)
-    values = np.array([p for i, table in enumerate(chances) if i for p in table.values()])
-    order = np.argsort(hashing.mix(keys))
-    return Tree(np.log10(root), contexts, states, np.array(parent), np.log10(escape), hashing.mix(keys)[order], np.log10(values[order]))
-
-
-def _score(model):
+def _score(model, depth: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         m: Model = model.value
-        ids, texts = _texts(docs) if docs.num_rows else (np.zeros(0, np.int64), pa.array([], pa.string()))
-        words, first, second = (Answers.of(answers, level) for level in range(DEPTH + 1))
+        ids, texts = _texts(docs)
+        words, known = _answers(answers, depth)
         whole = np.log10(m.tokens + m.types + 1)
         n_tokens, n_known, base, score = [], [], [], []
         for _, part in hashing.slices(texts):
@@ -421,10 +369,7 @@ def _score(model):
             base.append(per_text(np.log10(count + 1.0) - whole, found.first) + np.log10(m.documents + 1) - whole)
             s = _stream(found, m, words)
             value = np.zeros(len(s.place))
-            where, context, _, entry, wider = _level(s, m, None)
-            value[where] = first.state(context, entry, wider)
-            where, context, _, entry, wider = _level(s, m, first)
-            value[where] = second.state(context, entry, wider)
+            _level(s, m, known, value)
             rare = np.flatnonzero((s.symbol == RARE) & (s.word >= 0))
             held = count[s.word[rare]]
             inside = np.log10(np.maximum(held - m.discount, 1e-12) / max(m.rare_tokens, 1))
@@ -446,7 +391,30 @@ def _score(model):
     return run
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+@contextlib.contextmanager
+def _freed_shuffles(spark: SparkSession):
+    """Shuffle files of a write go at its end, not when the driver happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _placed(plain: DataFrame, parts: int, largest: int) -> DataFrame:
+    """Rows with a block, as a table bucketed by it. Each input partition is cut into blocks where it is, nothing is shuffled."""
+    cuts = max(1, -(-largest // BLOCK_BYTES))
+    cut = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(cuts))
+    rows = plain.withColumn("block", (F.spark_partition_id() * cuts + cut).cast("int"))
+    spark, name = plain.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    writer = rows.write.bucketBy(min(BUCKETS, parts * cuts), "block").option("compression", "zstd").option("path", new_path(spark, "blocks"))
+    writer.saveAsTable(name)
+    return spark.table(name)
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = CONTEXT_COUNT, least_entry: int = ENTRY_COUNT, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``.
 
     The model and the counts come from documents outside part ``HELD_PART`` of
@@ -454,34 +422,37 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     tree, both log10 over the words and the end, with all unknown words as one
     symbol. Null and empty texts have the end alone. Rows with null or repeated ids
     are scored one by one (a null id is dealt to a part as the text ``null``). An
-    empty table gives no rows. Words are told apart by 64-bit hashes.
+    empty table gives no rows. Words are told apart by 64-bit hashes. Words and
+    contexts count from ``least`` occurrences, next symbols from ``least_entry``.
     """
+    spark = docs.sparkSession
     plain = docs.select(
         F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), (bucket(F.col(f"`{key}`"), PARTS) == HELD_PART).alias("held_out")
     )
-    facts = plain.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum((~F.col("held_out")).cast("long")).alias("documents")).first()
-    blocks = max(1, -(-(facts["bytes"] or 0) // BLOCK_BYTES))
-    documents = facts["documents"] or 0
-    by_block = plain.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")).groupBy("block")
-    words = by_block.applyInArrow(_post_words(blocks), "range int, block int, hash binary, count binary")
-    counted = materialise(words.groupBy("range").applyInArrow(_count_words, _COUNTED), "words")
-    totals = counted.agg(*[F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(c) for c in ("types", "tokens", "once")]).first()
-    tokens = totals["tokens"] + documents
-    least = max(2.0, min(CONTEXT_COUNT, MIN_SHARE * tokens))
-    least_entry = max(2.0, min(ENTRY_COUNT, ENTRY_SHARE * tokens))
-    training = counted.filter("block IS NULL").select("count")
-    own = training.mapInArrow(_frequent(least), "types long, tokens long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "tokens")]).first()
-    rare_tokens, rare_types = totals["tokens"] - own["tokens"], totals["types"] - own["types"]
-    discount = min(0.9, totals["once"] / rare_types) if rare_types else 0.0
-    share = discount * rare_types / rare_tokens if rare_tokens else 1.0
-    unknown = float(np.log10(max(share, 1e-12)))
-    types = totals["types"] + (documents > 0)
-    model = docs.sparkSession.sparkContext.broadcast(Model(tokens, types, documents, rare_tokens, discount, unknown, own["types"] + 2, least, least_entry))
-    none = F.lit(None).cast("binary")
-    answers = counted.filter("block IS NOT NULL").select("block", F.lit(0).alias("level"), "hash", "count", none.alias("kind"), none.alias("value"))
-    for level in range(1, DEPTH + 1):
-        posted = by_block.cogroup(answers.groupBy("block")).applyInArrow(_post_level(blocks, level, model), _POSTED)
-        answered = posted.groupBy("range").applyInArrow(_answer_level(level, model), _ANSWERED)
-        answers = answers.union(materialise(answered, f"contexts{level}"))
+    by_part = plain.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum((~F.col("held_out")).cast("long")).alias("documents"))
+    facts = by_part.agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest"), F.max("part").alias("last"), F.sum("documents").alias("documents")).first()
+    documents, ranges = facts["documents"] or 0, max(1, -(-(facts["bytes"] or 0) // BLOCK_BYTES))
+    with _freed_shuffles(spark):
+        by_block = _placed(plain, (facts["last"] or 0) + 1, facts["largest"] or 0).groupBy("block")
+        words = by_block.applyInArrow(_post_words(ranges), "range int, block int, hash binary, count binary")
+        counted = materialise(words.groupBy("range").applyInArrow(_count_words(least), _COUNTED), "words")
+        names = ("types", "tokens", "once", "symbols", "frequent")
+        totals = counted.agg(*[F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(c) for c in names]).first()
+        rare_tokens, rare_types = totals["tokens"] - totals["frequent"], totals["types"] - totals["symbols"]
+        discount = min(0.9, totals["once"] / rare_types) if rare_types else 0.0
+        share = discount * rare_types / rare_tokens if rare_tokens else 1.0
+        unknown = float(np.log10(max(share, 1e-12)))
+        types, tokens = totals["types"] + (documents > 0), totals["tokens"] + documents
+        model = spark.sparkContext.broadcast(Model(tokens, types, documents, rare_tokens, discount, unknown, totals["symbols"] + 2, least, least_entry))
+        none = F.lit(None).cast("binary")
+        answers = counted.filter("block IS NOT NULL").select("block", F.lit(0).alias("level"), "hash", "count", none.alias("kind"), none.alias("value"))
+        reached = 0
+        for level in range(1, depth + 1):
+            posted = by_block.cogroup(answers.groupBy("block")).applyInArrow(_post_level(ranges, level, model), _POSTED)
+            answered = materialise(posted.groupBy("range").applyInArrow(_answer_level(level, model), _ANSWERED), f"contexts{level}")
+            if not answered.agg(F.sum("n_retained")).first()[0]:
+                break
+            reached = level
+            answers = answers.union(answered.filter("block IS NOT NULL").drop("n_retained"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_score(model), schema)
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_score(model, reached), schema)

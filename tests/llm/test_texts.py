@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 from noticeboard.llm import hashing, near_dups, packing, substrings, suffix_tree
+from tests.llm import brute
 from tests.llm.brute import awkward, folded, frame, prose, words
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -190,17 +192,32 @@ def test_lm_scores(spark):
     assert better > 0.8 * sum(held.values())
 
 
-def test_lm_distribution_sums_to_one():
-    """In every state the symbols' probabilities sum to one."""
-    keys = np.array([(1 << 16) | 0, (1 << 16) | 2, (1 << 16) | 65535, (((1 << 16) | 1) << 16) | 0], np.uint64)
-    levels = [(keys[:3], np.array([50, 20, 7])), (keys[3:], np.array([40]))]
-    tree = suffix_tree.grow(np.array([60.0, 45.0, 30.0, 10.0]), levels)
-    for before in ([4], [4, 1], [4, 1, 1]):
-        total = 0
-        for symbol in range(4):
-            stream = np.array([*before, symbol], np.uint64)
-            total += 10 ** tree.score(stream, np.arange(len(stream)))[-1]
-        assert math.isclose(total, 1, rel_tol=1e-9)
+def chained(i):
+    """Text in which the next word depends on up to three words before it."""
+    rng, out = random.Random(i), ["a", "b", "c"]
+    for _ in range(60):
+        told = {("a", "b", "c"): "d", ("b", "b", "c"): "e", ("c", "d"): "a"}
+        out.append(next((told[k] for k in (tuple(out[-3:]), tuple(out[-2:])) if k in told and rng.random() < 0.9), rng.choice("abcdef")))
+    return " ".join(out) + f" rare{i % 60} once{i}"
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5])
+def test_lm_scores_equal_a_plain_tree(spark, depth, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 8_000)  # several blocks and ranges
+    rows = [(i, chained(i)) for i in range(300)] + [(1000 + i, t) for i, t in awkward()]
+    expected, kept = brute.suffix_tree(rows, lambda i: zlib.crc32(str(i).encode()) % 7 == 2, 20, 3, depth, suffix_tree.SMOOTHING)
+    assert max(map(len, kept)) >= min(depth, 3)
+    got = suffix_tree.score(frame(spark, rows), least=20, least_entry=3, depth=depth).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert math.isclose(r.score, expected[r.doc_id], rel_tol=1e-6)
+
+
+def test_lm_numbers_survive_packing():
+    rng = np.random.default_rng(1)
+    for values in (rng.integers(0, 2**64, 999, dtype=np.uint64), np.sort(rng.integers(0, 2**64, 50, dtype=np.uint64)), np.zeros(0, np.uint64), rng.normal(size=7).astype(np.float32), np.arange(-3, 4), np.array([2, 0, 1], np.int8)):
+        cells = pa.chunked_array([[suffix_tree._packed(values), suffix_tree._packed(values[:0])]])
+        assert suffix_tree._numbers(cells, values.dtype.type).tolist() == values.tolist()
 
 
 def test_lm_of_odd_tables(spark):
@@ -220,10 +237,8 @@ def test_hashes_follow_words_alone():
     assert hashing.words(pa.array(["HeLLo É"]), True).hash.tolist() == hashing.words(pa.array(["x hello É"]), True).hash[1:].tolist()
 
 
-def test_lm_contexts_of_a_large_corpus(spark, monkeypatch):
+def test_lm_contexts_of_a_large_corpus(spark):
     """Contexts and words keep counting however small their share of the corpus is."""
-    monkeypatch.setattr(suffix_tree, "MIN_SHARE", 0.5)
-    monkeypatch.setattr(suffix_tree, "ENTRY_SHARE", 0.1)
     held = [i for i in range(1000, 1099) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
     rows = [(i, prose(i, 40) + (" alpha beta gamma" if i % 3 else " gamma alpha")) for i in range(400)]
     rows += list(zip(held, ["alpha beta gamma", "beta alpha gamma"], strict=True))
