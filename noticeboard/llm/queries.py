@@ -64,9 +64,6 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.classify(read(spark, folder, "documents"))
 
 
-OP8_KNOWN = " ".join(f"WHEN contains(s, '{pattern}') THEN '{name}'" for name, pattern in licences.SENTENCES)
-
-
 def _op8_sql() -> str:
     """Rules are applied one after another, each in a table of its own."""
     steps = ["r0 AS (SELECT doc_id, ids, list_aggregate(list_transform(ids, lambda x: '<' || x || '>'), 'string_agg', '') AS rest, '' AS found FROM named)"]
@@ -76,14 +73,26 @@ def _op8_sql() -> str:
             f"r{i + 1} AS (SELECT doc_id, ids, regexp_replace(rest, '{pattern}', '/', 'g') AS rest, CASE WHEN regexp_matches(rest, '{pattern}') "
             f"AND NOT contains(found, '|{name}|') THEN found || '|{name}|' ELSE found END AS found FROM r{i})"
         )
-    return f"""
-WITH sentences AS (
-  SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?;:]+[ \\t\\r]|\\n'),
-    lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS all_s
+    known = " ".join(f"WHEN '{sentence}' THEN '{name}'" for name, sentence in licences.SENTENCES)
+    anyone = "|".join(sentence for _, sentence in licences.SENTENCES)
+    return rf"""
+WITH cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '(?i)(\bv|-identifier)[.!?;:]([ \t\r\n])', '\1 \2', 'g'),
+    '[.!?;:]+[ \t\r\n]|\n[^\p{{L}}\p{{N}}\n]*\n'), lambda x: regexp_matches(x, '{licences.TRIGGERS}')) AS raw
   FROM documents),
-named AS (SELECT doc_id, list_filter(list_transform(all_s, lambda s: CASE {OP8_KNOWN} END), lambda x: x IS NOT NULL) AS ids FROM sentences),
+plain AS (
+  SELECT doc_id, list_transform(raw, lambda x: regexp_replace(trim(regexp_replace(regexp_replace(lower(x), '([0-9])\+', '\1 or later', 'g'),
+    '[^a-z0-9]+', ' ', 'g')), '{licences.UNDER}', 'under ', 'g')) AS all_s
+  FROM cut),
+sentences AS (
+  SELECT doc_id, list_transform(all_s, lambda x: CASE WHEN contains(x, '{licences.IDENTIFIER}')
+    THEN replace(regexp_replace(x, ' (or|and) ', ' {licences.IDENTIFIER} ', 'g'), ' {licences.IDENTIFIER} later', ' or later') ELSE x END) AS all_s
+  FROM plain),
+named AS (
+  SELECT doc_id, list_transform(flatten(list_transform(all_s, lambda s: regexp_extract_all(s, '\b(?:{anyone})\b'))), lambda x: CASE x {known} END) AS ids
+  FROM sentences),
 {", ".join(steps)}
-SELECT doc_id, coalesce(list_aggregate(ids, 'string_agg', ' '), '') AS sentence_ids, trim(regexp_replace(found, '\\|+', ' ', 'g')) AS licences,
+SELECT doc_id, coalesce(list_aggregate(ids, 'string_agg', ' '), '') AS sentence_ids, trim(regexp_replace(found, '\|+', ' ', 'g')) AS licences,
   trim(regexp_replace(coalesce(rest, ''), '[<>/]+', ' ', 'g')) AS leftover
 FROM r{len(licences.RULES)}"""
 

@@ -2,10 +2,11 @@
 
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from noticeboard.llm import licences, lines, mixing, near_dups, quality, texts
+from noticeboard.llm import licences, lines, mixing, near_dups, quality, queries, texts
 from tests.llm.brute import awkward, frame, prose, words
 
 
@@ -203,15 +204,82 @@ WRAPPED["BSD-3-Clause"] = WRAPPED["BSD-2-Clause"] + """
    this software without specific prior written permission."""
 
 
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+WRAPPED |= {
+    "LGPL-2.1-or-later": LGPL,
+    "LGPL-2.0-or-later": LGPL.replace("2.1", "2"),
+    "LGPL-3.0-or-later": LGPL.replace("2.1", "3"),
+    "AGPL-3.0-or-later": LGPL.replace("2.1", "3").replace("Lesser General", "Affero General"),
+    "BSL-1.0": """Distributed under the Boost Software License, Version 1.0. (See
+accompanying file LICENSE_1_0.txt or copy at the site.)""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use it.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.""",
+    "EPL-2.0": """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "CC-BY-3.0": "This work is licensed under a Creative Commons\nAttribution 3.0 Unported License.",
+    "CC-BY-SA-3.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 3.0 Unported License.",
+    "CC-BY-ND-4.0": "This work is licensed under the Creative Commons\nAttribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "Available under CC BY-NC-SA\n4.0.",
+    "CC-BY-NC-ND-4.0": "Available under CC BY-NC-ND\n4.0.",
+    "OFL-1.1": "This Font Software is licensed under the SIL Open Font\nLicense, Version 1.1.",
+    "EUPL-1.2": "Licensed under the European Union Public\nLicence v. 1.2.",
+}
+
+
+def scanned(spark, rows):
+    found = licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    return [(r.doc_id, r.licences, r.leftover) for r in found]
+
+
 def test_wrapped_licences(spark):
-    assert set(WRAPPED) == {name for _, name in licences.RULES}
     rows = []
     for name, text in WRAPPED.items():
         for mark, end in (("", "\n"), (" * ", "\n"), ("// ", "\r\n"), ("# ", "\n")):
             rows.append((name, end.join(mark + x for x in text.split("\n"))))
-    docs = spark.createDataFrame(rows, "doc_id string, text string")
-    for r in licences.scan(docs).collect():
-        assert (r.licences, r.leftover) == ([r.doc_id], []), r
+    assert scanned(spark, rows) == [(name, [name], []) for name, _ in rows]
+    assert {name for _, name in licences.RULES} <= set(WRAPPED) | set(licences.SPDX) | set(licences.TITLES)
+    assert len({name for _, name in licences.RULES}) >= 50
+
+
+def test_every_name_and_spdx_line(spark):
+    rows = [(name, f"Text before. Released under the {title}, as told.") for name, titles in licences._titles.items() for title in titles]
+    rows += [(name, f"// SPDX-License-Identifier: {written}\nint main() {{ or and }}") for written, name in licences._spdx.items()]
+    assert scanned(spark, rows) == [(name, [name], []) for name, _ in rows]
+
+
+def test_spdx_expressions(spark):
+    rows = [("a", "SPDX-License-Identifier: (MIT OR Apache-2.0)"), ("b", "# SPDX-License-Identifier: GPL-2.0+"), ("c", "SPDX-License-Identifier: GPL-2.0-or-later AND MIT")]
+    assert scanned(spark, rows) == [("a", ["Apache-2.0", "MIT"], []), ("b", ["GPL-2.0-or-later"], []), ("c", ["MIT", "GPL-2.0-or-later"], [])]
+
+
+def test_prose_about_licences(spark):
+    said = ["The MIT license is short.", "She compared version 3 of the licence with the Apache License 2.0.", "A public licence needs no permission.",
+            "The Mozilla Public License 2.0 was read aloud.", "Published under the mitigated license.", "CC by mail, 4.0 stars, public.", "SPDX license identifier: none"]
+    assert scanned(spark, [(x, x) for x in said]) == [(x, [], []) for x in said]
+    assert scanned(spark, [("x", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"), ("y", "modify it under the terms of the GNU General Public License version 2 as published by it")]) == [("x", ["GPL-2.0"], []), ("y", ["GPL-2.0"], [])]
+
+
+def test_licence_sql_on_awkward_texts(spark, tmp_path):
+    """The SQL of the query follows the same rule, wrapped notices included."""
+    texts = [*WRAPPED.values(), "a v. b. license\n#\n#\n\npublic", "SPDX-License-Identifier: MIT OR GPL-2.0+", "x.\n\n\nreleased under the mit license v.. released", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op8_licence_scan"](spark, str(tmp_path)).toPandas().sort_values("doc_id")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = con.execute(queries.ORACLES["op8_licence_scan"]).df().sort_values("doc_id")
+    assert got.values.tolist() == expected[list(got.columns)].values.tolist()
 
 
 def test_blank_lines_and_lines_without_stops(spark):
