@@ -11,8 +11,9 @@ Groups of copies are not expanded into pairs. Every posting list is first held
 against its most central document, then against its first one, and only
 documents of one list that are still in different components are paired: those
 that what they share with the central one may link, and those that share a
-shingle it does not have. Candidates with enough equal coordinates are confirmed
-on their full sets.
+shingle it does not have. Both kinds meet on prefixes: two sets that must have t
+shingles in common share one of the rarest, all but t - 1 of each. Candidates with
+enough equal coordinates are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeboard.llm import hashing
@@ -127,12 +128,14 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.setdiff1d(y, x, assume_unique=True).view(np.int64)
         bits = np.zeros(-(-len(x) // 64) * 64, bool)
         bits[: len(x)] = np.isin(x, y, assume_unique=True)
+        # members mostly outside the hub are not linked by what they share with it
+        places = np.flatnonzero(bits) if 100 * (len(y) - len(rest)) >= SIMILAR * len(y) else []
         inside = np.packbits(bits).view(np.int64)
         bits = np.zeros(SKETCH, bool)
         bits[rest.view(np.uint64) % np.uint64(SKETCH)] = True
-        lists = [pa.array([v], pa.list_(pa.int64())) for v in (rest, inside, np.packbits(bits).view(np.int64))]
+        lists = [pa.array([v], pa.list_(pa.int64())) for v in (rest, places, inside, np.packbits(bits).view(np.int64))]
         numbers = [pa.array([v], pa.int64()) for v in (a, b, len(rest) - int(bits.sum()))]
-        yield pa.RecordBatch.from_arrays(numbers + lists, ["hub", "rep", "crowded", "outside", "inside", "sketch"])
+        yield pa.RecordBatch.from_arrays(numbers + lists, ["hub", "rep", "crowded", "outside", "places", "inside", "sketch"])
 
 
 def _rows_by_hub(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -167,6 +170,20 @@ def _sizes_fit(x: str, y: str):
     return 100 * F.least(x, y) >= SIMILAR * F.greatest(x, y)
 
 
+def _rarest(parts: DataFrame, column: str, needed: Column) -> DataFrame:
+    """(hub, rep, shingle) of the shingles in ``column`` that two members of a hub must meet on.
+
+    Shingles of one component alone are left out. Two members that share at least
+    ``needed`` (and one) of the others share one of the rarest, all but ``needed`` - 1 of each.
+    """
+    each = parts.select("hub", "rep", "component", F.greatest(needed, F.lit(1)).cast("int").alias("needed"), F.explode(column).alias("shingle"))
+    held = each.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    own = each.join(held.select("hub", "shingle", "held"), ["hub", "shingle"]).groupBy("hub", "rep")
+    own = own.agg(F.first("needed").alias("needed"), F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("own")).filter("size(own) >= needed")
+    first = F.slice("own", F.lit(1), F.size("own") - F.col("needed") + 1)
+    return own.select("hub", "rep", F.explode(F.transform(first, lambda x: x["shingle"])).alias("shingle"))
+
+
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(id, component) of the sets that are linked to any other; ``sets``: (rep, n, signature)."""
     # sets of one or two shingles reach 0.75 with no other set
@@ -208,14 +225,14 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     family = lists.join(hubs, "key").join(shares, ["hub", "rep"]).select("hub", "rep", "n", "component", "common").distinct()
     family = materialise(family, "families")
     parts = _rows_by_hub(family.select(F.col("hub").alias("a"), F.col("rep").alias("b")), docs)
-    parts = parts.mapInArrow(_parts, "hub long, rep long, crowded long, outside array<long>, inside array<long>, sketch array<long>")
+    parts = parts.mapInArrow(_parts, "hub long, rep long, crowded long, outside array<long>, places array<long>, inside array<long>, sketch array<long>")
     parts = materialise(parts.join(family, ["hub", "rep"]), "parts")
     entry = F.struct("rep", "n", "component", "common", "crowded", "inside", "sketch").alias("h")
-    family = parts.drop("outside")
-    rest = parts.select("hub", "rep", "component", F.explode("outside").alias("shingle"))
-    mixed = rest.groupBy("hub", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    rest = rest.join(mixed.select("hub", "shingle"), ["hub", "shingle"]).drop("component").join(family, ["hub", "rep"])
-    rest = materialise(rest, "outside")
+    family = parts.drop("outside", "places")
+    needed = F.ceil(SIMILAR * F.col("n") / 100)
+    # overlaps inside the hub that link alone, and what must be shared outside it besides
+    posted_places = materialise(_rarest(parts, "places", needed).join(family, ["hub", "rep"]), "inside")
+    rest = materialise(_rarest(parts, "outside", needed - F.col("common")).join(family, ["hub", "rep"]), "outside")
     apart = other & (F.col("rep") < F.col("h.rep")) & _sizes_fit("n", "h.n")
     enough = lambda shared: 100 * shared >= SIMILAR * (F.col("n") + F.col("h.n") - shared)
     outside = F.least(F.col("n") - F.col("common"), F.col("h.n") - F.col("h.common"))
@@ -224,7 +241,7 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     # shared shingles share a bit, and those beyond one a bit are crowded in both
     fewer = F.least(outside, bits("sketch") + F.least("crowded", "h.crowded"))
     roughly, least = F.least("common", "h.common"), enough(both)
-    by_hub = family.join(family.select("hub", entry), "hub").filter(apart & F.when(enough(roughly), least).otherwise(False))
+    by_hub = posted_places.join(posted_places.select("hub", "shingle", entry), ["hub", "shingle"]).filter(apart & F.when(enough(roughly), least).otherwise(False))
     met = rest.join(rest.select("hub", "shingle", entry), ["hub", "shingle"])
     by_rest = met.filter(apart & F.when(enough(roughly + outside), enough(both + fewer)).otherwise(False))
     pairs = candidates(by_hub.select("rep", "h").union(by_rest.select("rep", "h")))

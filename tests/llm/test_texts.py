@@ -192,6 +192,23 @@ def test_lm_scores(spark):
     assert better > 0.8 * sum(held.values())
 
 
+def test_members_of_a_hub_meet_on_prefixes(spark):
+    rng = random.Random(4)
+    sets = {i: set(rng.sample(range(40), 12)) for i in range(60)}
+    for i in range(0, 60, 6):
+        sets[i + 1] = set([*sets[i]][:10]) | {100 + i}
+    rows = [(1, i, i, 8, sorted(v)) for i, v in sets.items()]
+    rows += [(2, i, i, 3, [1000 + 10 * i + k for k in range(9)]) for i in range(50)]  # nothing in common: nobody meets
+    parts = spark.createDataFrame(rows, "hub long, rep long, component long, needed int, outside array<long>")
+    met = {}
+    for r in near_dups._rarest(parts, "outside", parts["needed"]).collect():
+        met.setdefault((r.hub, r.shingle), set()).add(r.rep)
+    pairs = {p for (hub, _), reps in met.items() for p in itertools.combinations(sorted(reps), 2) if hub == 1}
+    wanted = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 8}
+    assert wanted and wanted <= pairs and len(pairs) < 60 * 59 / 2
+    assert all(hub == 1 for hub, _ in met)
+
+
 def chained(i):
     """Text in which the next word depends on up to three words before it."""
     rng, out = random.Random(i), ["a", "b", "c"]
