@@ -19,6 +19,8 @@ RAW_CHUNK = T.StructType(
 )
 POSITION = T.StructType([T.StructField("source_file", T.StringType()), T.StructField("position", T.IntegerType())])
 REJECT = T.StructType([*POSITION.fields, *[T.StructField(n, T.StringType()) for n in ("reason", "text")]])
+#: Characters of one file of :func:`write_snapshot_json`, which readers hold as a whole several times over.
+ARRAY_CHARS = 4 << 20
 REQUIRED = ["link", "year_month", "title", "content"]
 
 
@@ -69,19 +71,26 @@ def count_rejects(rejects: DataFrame) -> DataFrame:
     return rejects.groupBy("source_file", "reason").agg(F.count("*").alias("n"))
 
 
-def write_snapshot_json(df: DataFrame, path: str) -> None:
-    """Files that each hold one JSON array, one file per partition of ``df``."""
+def write_snapshot_json(df: DataFrame, path: str, chars: int = ARRAY_CHARS) -> None:
+    """Files that each hold one JSON array of about ``chars`` characters at most, one or more per partition of ``df``.
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        opening = "["
-        for batch in batches:
-            if len(batch):
-                rows = batch["value"].tolist()
-                yield pd.DataFrame({"value": [opening + rows[0], *["," + r for r in rows[1:]]]})
-                opening = ","
-        yield pd.DataFrame({"value": ["[]" if opening == "[" else "]"]})
+    A file is read whole, so its size must not follow that of the partition. Only a single row may be longer.
+    """
 
-    df.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(lines, "value string").write.text(path)
+    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size, none = [], 0, True
+        for batch in batches:
+            for row in batch["value"]:
+                if held and size + len(row) > chars:
+                    yield pd.DataFrame({"value": ["[" + "\n,".join(held) + "\n]"]})
+                    held, size = [], 0
+                held.append(row)
+                size, none = size + len(row) + 2, False
+        if held or none:
+            yield pd.DataFrame({"value": ["[" + "\n,".join(held) + "\n]" if held else "[]"]})
+
+    rows = df.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(arrays, "value string")
+    rows.write.option("maxRecordsPerFile", 1).text(path)
 
 
 def require_fields(df: DataFrame, fields: list[str] = REQUIRED) -> DataFrame:

@@ -48,6 +48,17 @@ def test_arrays_rejects_and_open_fields(spark, tmp_path):
     assert [df.count() for df in nothing] == [0, 0] and nothing[0].columns == rows.columns
 
 
+def test_array_files_stay_small_however_large_the_partition(spark, tmp_path):
+    rows = spark.range(300).select(F.concat("id", F.lit('"\n'), F.repeat(F.lit("é"), 40_000)).alias("title")).coalesce(1)
+    snapshots.write_snapshot_json(rows, str(tmp_path / "s"))
+    sizes = [f.stat().st_size for f in (tmp_path / "s").glob("part-*")]
+    assert len(sizes) > 2 and max(sizes) < 3 * snapshots.ARRAY_CHARS  # é takes two bytes
+    read, rejects = snapshots.read_arrays(spark, str(tmp_path / "s"))
+    assert read.select("title").exceptAll(rows).isEmpty() and read.count() == 300 and rejects.isEmpty()
+    snapshots.write_snapshot_json(rows.filter("false"), str(tmp_path / "none"))
+    assert [df.count() for df in snapshots.read_arrays(spark, str(tmp_path / "none"))] == [0, 0]
+
+
 def test_only_a_missing_path_is_an_empty_source(spark):
     with pytest.raises(Exception, match="(?i)scheme|filesystem"):
         snapshots.read_arrays(spark, "nosuchstore://x/y")[0].collect()
