@@ -39,8 +39,11 @@ def read_arrays(spark: SparkSession, path: str, schema: T.StructType = RAW_CHUNK
             raise
         none = T.StructType([*schema.fields, T.StructField("extra", T.VariantType()), *POSITION.fields])
         return spark.createDataFrame([], none), spark.createDataFrame([], REJECT)
-    elements = F.coalesce(F.from_json("value", "array<variant>"), F.array(F.try_parse_json("value")))
-    found = files.select("value", F.col("_metadata.file_name").alias("source_file"), F.posexplode(elements).alias("position", "item"))
+    parsed = files.select("value", F.col("_metadata.file_name").alias("source_file"), F.from_json("value", "array<variant>").alias("elements"))
+    # Only a file that is no array keeps its text: no element may carry the text of its whole file along.
+    parsed = parsed.select("source_file", "elements", F.when(F.col("elements").isNull(), F.col("value")).alias("value"))
+    elements = F.coalesce("elements", F.array(F.try_parse_json("value")))
+    found = parsed.select("value", "source_file", F.posexplode(elements).alias("position", "item"))
     found = found.withColumn("fields", F.from_json(F.to_json("item"), "map<string,variant>"))
     is_object = F.col("fields").isNotNull()
     named = {f.name: f.dataType.simpleString() for f in schema.fields}
