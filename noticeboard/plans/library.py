@@ -1,13 +1,13 @@
 """One request against stored documents: filters prune what is read, texts are fetched for the results alone.
 
 Documents lie bucketed by id, vectors in folders of their year and month, and term counts
-in ranges of terms. A request reads the months it allows, the ranges of its own terms, and the
+one row per document. A request reads the months it allows, the words of all documents, and the
 slots of the few documents it returns.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,12 +52,6 @@ def allowed_vectors(spark: SparkSession, library: Library, request: dict) -> Dat
     return found.filter(~F.col("id").isin(seen)) if seen else found
 
 
-def own_terms(library: Library, candidate: DataFrame) -> lexical.TermIndex:
-    """The part of the index that holds the words of one query, as literals that reach the scan."""
-    words = [r.term for r in lexical.search_terms(candidate).select("term").distinct().collect()]
-    return replace(library.index, terms=library.index.terms.filter(F.col("term").isin(words)), frequencies=library.index.frequencies.filter(F.col("term").isin(words)))
-
-
 def filtered_search(spark: SparkSession, library: Library, candidate: DataFrame) -> DataFrame:
     """rank, score and document columns of the best ``final_limit`` documents of one prepared query with its vector.
 
@@ -65,7 +59,7 @@ def filtered_search(spark: SparkSession, library: Library, candidate: DataFrame)
     """
     request = candidate.first().asDict()
     semantic = _nearest(spark, library, request) if request["vector"] else None
-    keyword = keyword_search(candidate, own_terms(library, candidate))
+    keyword = keyword_search(candidate, library.index)
     if semantic is None:
         semantic = keyword.select(*CAND, "id", "score").limit(0)
     best = ranking.hybrid(keyword, semantic, candidate).filter(F.col("rank") <= request["final_limit"])

@@ -118,3 +118,20 @@ def test_index_of_odd_texts(spark):
     assert got == {("a", "one"): (1, 3), ("a", "two"): (2, 3), ("d", "two"): (1, 4), ("d", "合作"): (1, 4), ("d", "作夥"): (1, 4), ("d", "夥伴"): (1, 4)}
     assert {r.term: r.df for r in index.frequencies.collect()}["two"] == 2 and (index.documents, index.mean_length) == (2.0, 3.5)
     assert lexical.term_index(docs.limit(0), ["title"]).terms.count() == 0
+
+
+def test_bm25_scores_documents_where_they_lie(spark, folder, monkeypatch):
+    """No posting is shuffled to be stored or searched, and the hits do not depend on how many documents are scored at once."""
+    from checks import views
+    from noticeboard.plans import search
+
+    docs, cands = views.corpus(spark, folder), views.candidates(spark, folder).cache()
+    index = search.stored_index(docs)
+    assert index.rows.count() == index.rows.select("id").distinct().count() == index.documents
+    hits = lexical.bm25(cands, index, "pre_limit")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "rangepartitioning(term" not in plan
+    rows = lambda df: sorted(tuple(r) for r in df.select("request_id", "cand", "id", "score", "rank").collect())
+    want = rows(hits)
+    monkeypatch.setattr(lexical, "SCORED_PAIRS", 500)
+    assert rows(lexical.bm25(cands, index, "pre_limit")) == want and want
