@@ -8,8 +8,8 @@ from checks.registry import query
 from checks.views import allowed_view, candidates, corpus, joined, quote, requests, sql_words, table, vectors, view, with_views
 from noticeboard import constants as C
 from noticeboard.functions import text
-from noticeboard.operators import lexical, ranking, vector
-from noticeboard.operators.common import ranked
+from noticeboard.operators import lexical, ranking, rules, vector
+from noticeboard.operators.common import largest, ranked
 from noticeboard.plans import search
 from noticeboard.session import materialise
 
@@ -194,37 +194,30 @@ def k4(spark, d):
     return lexical.prefix_pairs(last, tokens(spark, d).select("term").distinct())
 
 
-def rules(spark, d):
-    cands = candidates(spark, d)
-    postings = materialise(lexical.build_postings(corpus(spark, d)), "postings")
-    terms = lexical.search_terms(cands)
-    expansion = materialise(lexical.expand_terms(terms, postings.select("term")), "expansion")
-    return lexical.rule_counts(expansion, terms, postings, cands), expansion, terms, postings, cands
+def searched(spark, d, expanded=True):
+    return rules.stored_words(corpus(spark, d), candidates(spark, d), expanded)
 
 
 @query("k5_proximity_rule", with_views(["near"], "SELECT request_id, cand, id, round(CAST(proximity AS DOUBLE), 9) AS proximity FROM near"))
 def k5(spark, d):
-    counts, expansion, terms, postings, cands = rules(spark, d)
-    front = materialise(lexical.keep_front(counts, cands), "front")
-    near = lexical.proximity(front, expansion, terms, postings)
-    return near.withColumn("proximity", F.round("proximity", 9))
+    return rules.front(searched(spark, d)).select(*CAND, "id", F.round("proximity", 9).alias("proximity"))
 
 
 @query("k6_attribute_rule", with_views(["rules"], "SELECT request_id, cand, id, CAST(attr AS BIGINT) AS attr FROM rules"))
 def k6(spark, d):
-    return rules(spark, d)[0].select(*CAND, "id", "attr")
+    return rules.rule_counts(searched(spark, d)).select(*CAND, "id", "attr")
 
 
 @query("k7_exactness_rule", with_views(["rules"], "SELECT request_id, cand, id, words, typos, round(exact / CAST(words AS DOUBLE), 9) AS exactness FROM rules"))
 def k7(spark, d):
-    return rules(spark, d)[0].select(*CAND, "id", "words", "typos", F.round(F.col("exact") / F.col("words"), 9).alias("exactness"))
+    return rules.rule_counts(searched(spark, d)).select(*CAND, "id", "words", "typos", F.round(F.col("exact") / F.col("words"), 9).alias("exactness"))
 
 
 @query("k8_keyword_score", with_views(["ladder_hits"], "SELECT request_id, cand, id, rank, score FROM ladder_hits"))
 def k8(spark, d):
-    counts, expansion, terms, postings, cands = rules(spark, d)
-    front = materialise(lexical.keep_front(counts, cands), "front")
-    return lexical.keyword_score(front, lexical.proximity(front, expansion, terms, postings)).select(*CAND, "id", "rank", "score")
+    words = searched(spark, d)
+    best = lexical.weighted_rules(rules.front(words), largest(words.candidates, "pre_limit"))
+    return best.select(*CAND, "id", "rank", "score")
 
 
 def sql_bm25(docs: str, terms: str) -> str:
