@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import functions as F
 
 from checks.registry import query
@@ -404,7 +406,9 @@ def r3(spark, d):
 def r4(spark, d):
     from noticeboard.functions.scoring import keyword_hits
 
-    keys = text.distinct_keywords(F.concat("must_have", F.transform("must_have", lambda k: F.concat(F.lit(" "), F.upper(k)))))
+    # ASCII capitals alone: others, as SS for ß, need not come back as the letters they were
+    shouted = F.transform("must_have", lambda k: F.concat(F.lit(" "), F.translate(k, ascii_lowercase, ascii_uppercase)))
+    keys = text.distinct_keywords(F.concat("must_have", shouted))
     hits = hits_with_texts(spark, d).withColumn("keys", keys).withColumn("found", keyword_hits(F.col("title"), F.col("content"), F.col("keys")))
     total = F.size("keys")
     return hits.select(
