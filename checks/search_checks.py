@@ -153,9 +153,7 @@ def tokens(spark, d):
 )
 def k1(spark, d):
     """All terms of every field with their positions, one row per document and field."""
-    placed = F.array_sort(F.collect_list(F.struct("pos", "term")))
-    rows = tokens(spark, d).groupBy("id", "attr").agg(F.count("*").alias("n"), placed.alias("t"))
-    return rows.select("id", "attr", "n", joined(F.transform("t", lambda x: F.concat_ws(" ", x["pos"].cast("string"), x["term"]))).alias("terms"))
+    return lexical.placed_terms(corpus(spark, d))
 
 
 @query(
