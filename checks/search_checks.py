@@ -158,18 +158,11 @@ def k1(spark, d):
 
 @query(
     "k2_words_rule",
-    with_views(
-        ["terms", "postings"],
-        """SELECT request_id, cand, id, words, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id, cand ORDER BY words DESC, id) AS rank FROM (
-  SELECT request_id, cand, id, count(*) AS words FROM terms JOIN postings USING (term) GROUP BY 1, 2, 3)) WHERE rank <= 50""",
-    ),
+    with_views(["terms", "postings"], "SELECT request_id, cand, id, count(*) AS words FROM terms JOIN postings USING (term) GROUP BY 1, 2, 3"),
 )
 def k2(spark, d):
-    """The documents with most words of each query."""
-    terms = lexical.search_terms(candidates(spark, d)).select(*CAND, "term")
-    found = tokens(spark, d).groupBy("id", "term").agg(F.count("*").alias("tf")).join(terms, "term")
-    counted = found.groupBy(*CAND, "id").agg(F.count("*").alias("words"))
-    return ranked(counted, CAND, [F.col("words").desc(), F.col("id")], 50)
+    """How many words of each query every document has, without typos, prefixes and filters."""
+    return rules.rule_counts(searched(spark, d, expanded=False)).select(*CAND, "id", "words")
 
 
 @query(
