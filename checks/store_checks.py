@@ -142,6 +142,16 @@ def h3_filtered(spark, d):
 COLS = ["id", "website", "content", "seq"]
 
 
+#: Characters of texts in one file of a feed, which one task writes and one reads.
+FEED_CHARS = 32 << 20
+
+
+def files_per_batch(spark, d):
+    """Files of each of six batches, as many as the texts need."""
+    sizes = [table(spark, d, t).agg(F.sum(F.length(c))).first()[0] or 0 for t, c in (("documents", "text"), ("pages", "html"))]
+    return 1 + 2 * sum(sizes) // (6 * FEED_CHARS)  # the last batch has a third of all
+
+
 @query(
     "x1_compacted_stream",
     with_views(
@@ -157,9 +167,10 @@ def x1_compacted(spark, d):
     source, out, progress = (new_path(spark, n) for n in ("feed", "table", "progress"))
     changes = ups.unionByName(gone)
     changelog.create(old.select(*COLS), out)
-    for part, files in (("seq % 3 > 0", 5), ("seq % 3 = 0", 1)):
-        changes.filter(part).repartition(files, "id").write.mode("append").json(source)
-        feed = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).json(source)
+    each = files_per_batch(spark, d)
+    for part, batches in (("seq % 3 > 0", 5), ("seq % 3 = 0", 1)):
+        changes.filter(part).repartition(batches * each, "id").write.mode("append").json(source)
+        feed = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", each).json(source)
         sync_jobs.sync_stream(feed, out, progress, compact_every=2).awaitTermination()
     return changelog.current(spark, out, changes.schema).select(*COLS)
 
