@@ -31,18 +31,20 @@ def embed_with_retries(docs: DataFrame, embed: Embedder, text: str = "cleaned_co
 
     Every round is a written table, so a later round asks for what failed and nothing
     else, and an embedder that answers differently each time is asked once per round. A document
-    that the embedder leaves out has failed too. Without failures there are no further rounds.
+    that the embedder leaves out has failed too. Without failures there are no further rounds. The texts are
+    written first, so that no round cleans them again, and do not move with the answers.
     """
     tried: list[DataFrame] = []
-    left = docs.select("id", F.col(text).alias("_text"))
+    stored = left = materialise(docs.select("id", F.col(text).alias("_text")), "texts")
     for attempt in range(retries + 1):
         body: Column = embedding_text(F.col("_text")) if attempt == 0 else embedding_retry_text(F.col("_text"))
         asked = left.select("id", body.alias("text"))
         answers = embed(asked, attempt).select("id", "vector", "error")
-        met = asked.join(answers, "id", "left").select(
+        sizes = asked.select("id", F.length("text").alias("text_chars"))
+        met = sizes.join(answers, "id", "left").select(
             "id",
             F.lit(attempt).alias("attempt"),
-            F.length("text").alias("text_chars"),
+            "text_chars",
             "vector",
             F.when(F.col("vector").isNull(), F.coalesce("error", F.lit("no answer"))).alias("error"),
         )
@@ -50,7 +52,7 @@ def embed_with_retries(docs: DataFrame, embed: Embedder, text: str = "cleaned_co
         again = tried[-1].filter("vector IS NULL").select("id")
         if attempt == retries or again.isEmpty():
             break
-        left = docs.select("id", F.col(text).alias("_text")).join(again, "id", "left_semi")
+        left = stored.join(again, "id", "left_semi")
     every = reduce(DataFrame.union, tried)
     return Embedded(
         every.select("id", "attempt", "text_chars", "error"),

@@ -304,3 +304,43 @@ def test_months_prune_folders_and_seen_ids_are_left_out(spark, folder, stored):
 def test_single_search_takes_the_best(spark):
     rows = spark.createDataFrame([("a", 0.5), ("b", 0.9), ("c", 0.9)], "id string, score double")
     assert [r.id for r in ranking.single_search(rows, 2).collect()] == ["b", "c"]
+
+
+def test_batches_of_a_feed_take_as_many_files_as_their_texts_need(spark, folder, monkeypatch):
+    from checks import store_checks
+
+    assert store_checks.files_per_batch(spark, folder) == 1
+    monkeypatch.setattr(store_checks, "FEED_CHARS", 20_000)
+    assert store_checks.files_per_batch(spark, folder) > 2
+
+
+def counting(spark):
+    """A function of ids and how often it was called."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        made.add(1)
+        return f"t{i}"
+
+    return text.asNondeterministic(), made
+
+
+def test_retries_make_each_text_once(spark):
+    from noticeboard.operators import embedding
+
+    text, made = counting(spark)
+    docs = spark.range(20).select(F.col("id").cast("string").alias("id"), text("id").alias("cleaned_content"))
+    answers = lambda asked, attempt: asked.select("id", F.lit(None).cast("array<float>").alias("vector"), F.lit("busy").alias("error"))
+    tries = embedding.embed_with_retries(docs, answers).attempts
+    assert tries.select("id", "attempt").distinct().count() > 20 and made.value == 20
+
+
+def test_vocabulary_is_made_once_for_prefixes(spark, monkeypatch):
+    from noticeboard.operators import lexical
+
+    monkeypatch.setattr(lexical, "RANGE_TERMS", 10)
+    text, made = counting(spark)
+    vocabulary = spark.range(50).select(text("id").alias("term"))
+    assert lexical.prefix_pairs(spark.createDataFrame([("t1",)], "term string"), vocabulary).count() == 10
+    assert made.value == 50
