@@ -139,6 +139,10 @@ def inner(col: Column, opening: str, tag: str) -> Column:
 
 def drop_boxes(col: Column) -> Column:
     """The page without boxes of the fixed classes, whatever is nested in them. A box that is never closed reaches to the end."""
+    return once(col, _without_boxes)
+
+
+def _without_boxes(col: Column) -> Column:
     cuts = F.split(col, rf"(?i)(?=</?(?:{BOX_TAGS})\b)")
 
     def step(acc: Column, x: Column) -> Column:
@@ -167,7 +171,12 @@ def first_group(col: Column, pattern: str) -> Column:
 
 
 def extract_article(col: Column) -> Column:
-    return F.coalesce(*[once(inner(col, opening, tag), lambda x: F.when(x != "", x)) for opening, tag in ARTICLE_CONTAINERS])
+    """The first container that is there and not empty; the page itself is made once for all of them."""
+
+    def first(page: Column) -> Column:
+        return F.coalesce(*[once(inner(page, opening, tag), lambda x: F.when(x != "", x)) for opening, tag in ARTICLE_CONTAINERS])
+
+    return once(col, first)
 
 
 def tag_text(col: Column) -> Column:

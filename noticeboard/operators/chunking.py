@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from noticeboard import constants as C
 from noticeboard.functions.dates import parse_cy_month
 from noticeboard.functions.text import estimate_tokens, strip
+from noticeboard.operators.common import computed
 
 MARK = "\u0001"
 
@@ -232,19 +233,20 @@ def chunk_smart(
     overlap: int = C.CHUNK_OVERLAP,
     tolerance: int = C.CHUNK_TOLERANCE,
 ) -> DataFrame:
-    """Chunks at natural breaks. Only rows with texts over the limit are sent to Python."""
+    """Chunks at natural breaks. Only texts over the limit are sent to Python; rows are read once."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: smart_pieces(t, size, overlap, tolerance))
+        return texts.map(lambda t: None if t is None else smart_pieces(t, size, overlap, tolerance))
 
     # otherwise Spark would run it a second time, in a filter on empty results that it puts before the explode
     cut = cut.asNondeterministic()
     body = strip(F.coalesce(F.col(text), F.lit("")))
+    whole = F.filter(F.array(body), lambda b: b != "")
     fits = F.coalesce(estimate_tokens(F.col(text)) <= size + tolerance, F.lit(True))
-    short = df.filter(fits & (body != "")).withColumn("_pieces", F.array(body))
-    long = df.filter(~fits).withColumn("_pieces", cut(F.col(text)))
-    return short.unionByName(long).select(*[c for c in df.columns if c != text], F.posexplode("_pieces").alias("chunk", "chunk_text"))
+    judged = computed(df, _long=F.when(~fits, F.col(text)))
+    pieces = judged.withColumn("_cut", cut(F.col("_long")))
+    return pieces.select(*[c for c in df.columns if c != text], F.posexplode(F.coalesce("_cut", whole)).alias("chunk", "chunk_text"))
 
 
 def chunk_explode(chunks: DataFrame, text: str = "chunk_text", min_chars: int = C.MIN_CHUNK_CHARS) -> DataFrame:

@@ -25,6 +25,17 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], bound: int, rank
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= bound)
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row, however often later steps and filters name them.
+
+    Filters move in front of plain columns and carry their expressions along, which
+    is then computed again for each use; they do not move in front of a generator.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], F.explode(F.array(made)).alias("_made"))
+    return out.select(*[F.col(f"`{c}`") for c in out.columns[:-1]], *[F.col("_made")[name].alias(name) for name in columns])
+
+
 def salted_lookup(df: DataFrame, lookup: DataFrame, on: str, spread_by: str, how: str = "inner") -> DataFrame:
     """Join to a table with one row per ``on``, spreading hot keys over tasks.
 

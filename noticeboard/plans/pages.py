@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from noticeboard import constants as C
 from noticeboard.functions import dates, html
 from noticeboard.operators import chunking
+from noticeboard.operators.common import computed
 
 
 def pages_to_chunks(
@@ -24,17 +25,20 @@ def pages_to_chunks(
     pages: page_id, website, url, html. The title comes from the whole page, the text from its
     article without boilerplate. Each section is cut at natural breaks if it is too long and keeps
     its nearest heading as title. Error pages, pages without an article and blank or very short
-    pieces give no rows. Nothing is shuffled: a page is worked on inside its row.
+    pieces give no rows. Nothing is shuffled: a page is worked on inside its row, and its
+    mark-up is read once.
     """
-    read = pages.select(
+    titled = computed(pages.select("page_id", "website", "url", "html"), main_title=html.extract_title(F.col("html"), title_suffix))
+    titled = titled.filter(F.col("main_title").isNotNull()).select(
         "page_id",
         "website",
         html.canonical_link(F.col("url")).alias("link"),
         F.col("url").alias("heading_link"),
         dates.url_year_month(F.col("url"), default_month).alias("year_month"),
-        html.extract_title(F.col("html"), title_suffix).alias("main_title"),
-        html.html_to_markdown(html.extract_article(html.strip_boilerplate(F.col("html")))).alias("content"),
+        "main_title",
+        "html",
     )
-    sections = chunking.split_by_headings(read.filter(F.col("main_title").isNotNull()))
+    read = computed(titled, content=html.html_to_markdown(html.extract_article(html.strip_boilerplate(F.col("html")))))
+    sections = chunking.split_by_headings(read.drop("html"))
     chunks = chunking.chunk_smart(sections, "content", size, overlap, tolerance)
     return chunking.chunk_explode(chunks, "chunk_text", min_chars).withColumnRenamed("chunk_text", "content")

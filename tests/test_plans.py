@@ -57,6 +57,12 @@ def test_pages_become_chunks(spark):
     assert [r.year_month for r in got if r.page_id == 2] == ["latest"]
 
 
+def test_the_mark_up_of_a_page_is_read_once(spark):
+    df = spark.range(3).select(F.col("id").alias("page_id"), F.lit("w").alias("website"), F.lit("https://w.example/a").alias("url"), F.col("id").cast("string").alias("html"))
+    plan = pages.pages_to_chunks(df, "latest", size=100, overlap=20, tolerance=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<noscript") == 1 and plan.count("Range (") == 1
+
+
 def test_a_run_leaves_failed_documents_out_and_reports_them(spark):
     schema = "website string, link string, main_title string, title string, content string, year_month string, seq long"
     snap = lambda rows: spark.createDataFrame([(w, f"l{c}", "m", "t", c, "2025-01", i) for i, (w, c) in enumerate(rows)], schema)
