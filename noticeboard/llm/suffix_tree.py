@@ -14,7 +14,8 @@ Minimum counts are absolute, so the tree grows with the corpus. It stays distrib
 texts are written once in blocks, as a table bucketed by block, so no later step
 shuffles them. For words and then for each length of contexts, blocks send each
 distinct key once to a range of the hash space, packed, which sums, tests and sends
-back what the block touches.
+back what the block touches. Answers are bucketed in the same way, one row per
+block and length, so they are shuffled once too.
 """
 
 from __future__ import annotations
@@ -22,23 +23,25 @@ from __future__ import annotations
 import contextlib
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeboard.llm import hashing
 from noticeboard.llm.substrings import BLOCK_BYTES, _groups, _ranges, _texts
 from noticeboard.llm.texts import bucket
-from noticeboard.session import materialise, new_path
+from noticeboard.session import Scratch, new_path
 
 #: Counts from which words and contexts, and next symbols of a context, count.
 CONTEXT_COUNT, ENTRY_COUNT = 64, 4
 #: Longest context, whatever the test says.
 DEPTH, SMOOTHING = 5, 4.0
+#: Turns in which the contexts of one and of two symbols are sent, to hold fewer of them at a time.
+TURNS = 2
 #: Buckets that a table of blocks has at most.
 BUCKETS = 20_000
 #: Keys of all words that are no symbols, of the end and of the begin of a text.
@@ -70,12 +73,12 @@ def _numbers(cells: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *_unpacked(cells, kind)])
 
 
-def _dealt(block: int, n: int, by: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
-    """Rows (range, block, packed columns) for the ranges of the hashes ``by``, of n; order is kept inside a range."""
+def _dealt(block: int, n: int, by: np.ndarray, columns: dict[str, np.ndarray], some: bool = False) -> pa.Table:
+    """Rows (range, block, packed columns) for the ranges of the hashes ``by``, of n, ``some`` also without any hash; order is kept inside a range."""
     ranges = _ranges(by, n)
     order = np.argsort(ranges, kind="stable")
     ends = np.searchsorted(ranges[order], np.arange(n + 1))
-    used = np.flatnonzero(np.diff(ends))
+    used = np.flatnonzero(np.diff(ends)) if len(by) or not some else np.zeros(1, np.int64)
     parts = {k: pa.array([_packed(v[order[ends[i] : ends[i + 1]]]) for i in used], pa.binary()) for k, v in columns.items()}
     return pa.table({"range": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), **parts})
 
@@ -100,7 +103,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _post_words(n: int):
     def run(table: pa.Table) -> pa.Table:
         hashes, counts = _distinct(table)
-        return _dealt(table["block"][0].as_py(), n, hashes, {"hash": hashes, "count": counts.astype(np.uint32)})
+        return _dealt(table["block"][0].as_py(), n, hashes, {"hash": hashes, "count": counts.astype(np.uint32)}, some=True)
 
     return run
 
@@ -150,6 +153,22 @@ class Model:
         return np.log10((counts + 0.5) / (self.tokens + 0.5 * self.n_symbols))
 
 
+#: Columns of answers and their numbers; words have the first two.
+_CELLS, _KINDS = ("hash", "count", "kind", "value"), (np.uint64, np.int64, np.int8, np.float32)
+
+
+def _merged(level: int):
+    """All answers to one block about a level as one row, sorted by hash."""
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = [_numbers(table[c], t) for c, t in zip(_CELLS, _KINDS, strict=True) if c in table.column_names]
+        order = np.argsort(columns[0], kind="stable")
+        cells = {f"{c}{level}": pa.array([_packed(v[order])], pa.binary()) for c, v in zip(_CELLS, columns)}  # noqa: B905
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), **cells})
+
+    return run
+
+
 @dataclass
 class Answers:
     """What one block got back about the keys of one level."""
@@ -158,40 +177,49 @@ class Answers:
     count: np.ndarray
     kind: np.ndarray  # 0: not retained, 1: an entry, 2: a retained context, or another symbol in it
     value: np.ndarray  # log10 of the entry or of what the context leaves to its suffix
+    first: np.ndarray | None = None  # place of the first key by the first bits
+    shift: np.uint64 = np.uint64(0)
 
     @classmethod
     def of(cls, table: pa.Table, level: int) -> Answers:
-        part = table.filter(pc.equal(table["level"], level))
-        key, count = _numbers(part["hash"], np.uint64), _numbers(part["count"], np.int64)
-        order = np.argsort(key, kind="stable")
-        if not level:
-            return cls(key[order], count[order], np.zeros(0, np.int8), np.zeros(0, np.float32))
-        return cls(key[order], count[order], _numbers(part["kind"], np.int8)[order], _numbers(part["value"], np.float32)[order])
+        return cls(*[_numbers(table[f"{c}{level}"].drop_null(), t) if level or c in _CELLS[:2] else np.zeros(0, t) for c, t in zip(_CELLS, _KINDS, strict=True)])
 
     def at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(slot, found) of keys."""
+        """(slot, found) of keys. Keys are hashes, so their first bits lead close to the place; few steps are left."""
         if not len(self.key):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        slot = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        if self.first is None:
+            self.shift = np.uint64(63 - len(self.key).bit_length())
+            ends = np.bincount((self.key >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift)))
+            self.first = np.append(0, np.cumsum(ends)).astype(np.int32)
+        near = (keys >> self.shift).astype(np.int64)
+        slot, end = self.first[near], self.first[near + 1]
+        left = np.flatnonzero(slot < end)
+        while len(left):
+            left = left[self.key[slot[left]] < keys[left]]
+            slot[left] += 1
+            left = left[slot[left] < end[left]]
+        slot = np.minimum(slot, len(self.key) - 1)
         return slot, self.key[slot] == keys
 
-    def retained(self, context: np.ndarray) -> np.ndarray:
-        slot, found = self.at(context)
-        return found & (self.kind[slot] == 2) if len(self.key) else found
+    def state(self, context: np.ndarray, entry: np.ndarray, wider: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 probabilities, counts of the entries, which contexts are retained).
 
-    def state(self, context: np.ndarray, entry: np.ndarray, wider: np.ndarray) -> np.ndarray:
-        """log10 probabilities: the entry's, or what its context leaves to ``wider``, or ``wider`` if it is not retained."""
+        A probability is the entry's, or what its context leaves to ``wider``, or ``wider`` if the context is not retained.
+        """
         slot, found = self.at(entry)
         out = wider.copy()
         if not len(self.key):
-            return out
-        hit = found & (self.kind[slot] == 1)
-        out[hit] = self.value[slot[hit]]
-        rest = np.flatnonzero(~hit)
+            return out, np.zeros(len(entry), np.int64), found
+        counts = np.where(found, self.count[slot], 0)
+        retained = found & (self.kind[slot] == 1)
+        out[retained] = self.value[slot[retained]]
+        rest = np.flatnonzero(~retained)
         slot, found = self.at(context[rest])
         kept = found & (self.kind[slot] == 2)
         out[rest[kept]] += self.value[slot[kept]]
-        return out
+        retained[rest[kept]] = True
+        return out, counts, retained
 
 
 @dataclass
@@ -233,6 +261,9 @@ class Level:
     able: np.ndarray  # the symbol may count in the context, as it does in its suffix
     wider: np.ndarray  # log10 of the symbol in the suffix
 
+    def of(self, use: np.ndarray) -> Level:
+        return Level(*[getattr(self, f.name)[use] for f in fields(self)])
+
 
 def _level(s: Stream, m: Model, known: list[Answers], chance: np.ndarray | None = None) -> Level:
     """The contexts that are one symbol longer than the ``known`` ones; ``chance`` takes the log10 of every position so far."""
@@ -242,16 +273,14 @@ def _level(s: Stream, m: Model, known: list[Answers], chance: np.ndarray | None
     if chance is not None:
         chance[at] = wider
     for length, answers in enumerate(known, 2):
-        wider = answers.state(context, entry, wider)
+        wider, own, retained = answers.state(context, entry, wider)
         if chance is not None:
             chance[at] = wider
-        slot, found = answers.at(entry)
         counts, keys = np.zeros(len(s.place), np.int64), np.zeros(len(s.place), np.uint64)
-        counts[at] = np.where(found, answers.count[slot], 0) if len(answers.key) else 0
-        keys[at] = entry
+        counts[at], keys[at] = own, entry
         use = (s.place[at] >= length) & (counts[at - 1] >= m.least)
         if length > 2:
-            use &= answers.retained(context)
+            use &= retained
         at, wider = at[use], wider[use]
         context, held, able = keys[at - 1], counts[at - 1], counts[at] >= m.least_entry
         entry = _joined(context, s.symbol[at])
@@ -264,8 +293,11 @@ def _answers(table: pa.Table, depth: int) -> tuple[Answers, list[Answers]]:
     return words, levels
 
 
-def _post_level(n: int, level: int, model):
-    """Contexts of a block with their counts, and their next symbols with the counts in training texts of the block."""
+def _post_level(n: int, level: int, model, turn: int, turns: int):
+    """Contexts of a block with their counts, and their next symbols with the counts in training texts of the block.
+
+    Of ``turns`` calls each sends the contexts of its share of the ranges.
+    """
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         m: Model = model.value
@@ -276,6 +308,8 @@ def _post_level(n: int, level: int, model):
         for at, part in hashing.slices(texts):
             s = _stream(hashing.words(part, fold=True), m, words)
             found = _level(s, m, known)
+            if turns > 1:
+                found = found.of(_ranges(hashing.mix(found.context), n) % turns == turn)
             counted = np.repeat(train[at : at + len(part)], s.size)[found.at].astype(np.int64)
             able = found.able
             order, begins = _groups(found.entry[able])
@@ -296,7 +330,7 @@ def _post_level(n: int, level: int, model):
 
 
 _POSTED = "range int, block int, context binary, hash binary, count binary, wider binary"
-_ANSWERED = "block int, level int, hash binary, count binary, kind binary, value binary, n_retained long"
+_ANSWERED = "block int, hash binary, count binary, kind binary, value binary, n_retained long"
 
 
 def judged(context: np.ndarray, entry: np.ndarray, counts: np.ndarray, wider: np.ndarray, least: float, least_entry: float) -> tuple[np.ndarray, np.ndarray]:
@@ -321,7 +355,7 @@ def judged(context: np.ndarray, entry: np.ndarray, counts: np.ndarray, wider: np
     return kind.astype(np.int8), np.log10(value).astype(np.float32)
 
 
-def _answer_level(level: int, model):
+def _answer_level(model):
     """Per block, what became of the keys it sent to this range."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -337,13 +371,13 @@ def _answer_level(level: int, model):
         slot = np.empty(len(order), np.int64)
         slot[order] = np.repeat(np.arange(len(one)), np.diff(np.append(begins, len(order))))
         ends = np.cumsum([len(x) for x in parts])
-        rows = [(None, level, None, None, None, None, int((own & (kind == 2)).sum()))]
+        rows = [(None, None, None, None, None, int((own & (kind == 2)).sum()))]
         for block, a, b in zip(table["block"].to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
             at = slot[a:b]
             # frequent entries are contexts of the next level, other answers are needed only if they tell something
             use = (kind[at] > 0) | (sums[at] >= m.least_entry)
-            rows.append((block, level, *(_packed(x) for x in (entry[a:b][use], sums[at][use], kind[at][use], value[at][use])), None))
-        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+            rows.append((block, *(_packed(x) for x in (entry[a:b][use], sums[at][use], kind[at][use], value[at][use])), None))
+        types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
         names = [c.split()[0] for c in _ANSWERED.split(", ")]
         return pa.table({k: pa.array(v, t) for k, v, t in zip(names, zip(*rows, strict=True), types, strict=True)})
 
@@ -403,15 +437,25 @@ def _freed_shuffles(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def _placed(plain: DataFrame, parts: int, largest: int) -> DataFrame:
+def _placed(plain: DataFrame, cuts: int, buckets: int) -> DataFrame:
     """Rows with a block, as a table bucketed by it. Each input partition is cut into blocks where it is, nothing is shuffled."""
-    cuts = max(1, -(-largest // BLOCK_BYTES))
     cut = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(cuts))
-    rows = plain.withColumn("block", (F.spark_partition_id() * cuts + cut).cast("int"))
-    spark, name = plain.sparkSession, f"blocks_{uuid.uuid4().hex}"
-    writer = rows.write.bucketBy(min(BUCKETS, parts * cuts), "block").option("compression", "zstd").option("path", new_path(spark, "blocks"))
-    writer.saveAsTable(name)
-    return spark.table(name)
+    return _bucketed(plain.withColumn("block", (F.spark_partition_id() * cuts + cut).cast("int")), "blocks", buckets)
+
+
+def _bucketed(rows: DataFrame, name: str, buckets: int) -> DataFrame:
+    """Rows written as a table bucketed by block; tables with as many buckets meet without a shuffle."""
+    spark, table = rows.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", new_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
+def _kept(cells: DataFrame, level: int, buckets: int) -> DataFrame:
+    """The answers of all ranges about a level, one row per block."""
+    names = _CELLS if level else _CELLS[:2]
+    schema = ", ".join(["block int", *[f"{c}{level} binary" for c in names]])
+    rows = cells.filter("block IS NOT NULL").select("block", *names)
+    return _bucketed(rows.groupBy("block").applyInArrow(_merged(level), schema), f"answers{level}", buckets)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = CONTEXT_COUNT, least_entry: int = ENTRY_COUNT, depth: int = DEPTH) -> DataFrame:
@@ -432,27 +476,34 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
     by_part = plain.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum((~F.col("held_out")).cast("long")).alias("documents"))
     facts = by_part.agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest"), F.max("part").alias("last"), F.sum("documents").alias("documents")).first()
     documents, ranges = facts["documents"] or 0, max(1, -(-(facts["bytes"] or 0) // BLOCK_BYTES))
+    cuts = max(1, -(-(facts["largest"] or 0) // BLOCK_BYTES))
+    buckets = min(BUCKETS, ((facts["last"] or 0) + 1) * cuts)
     with _freed_shuffles(spark):
-        by_block = _placed(plain, (facts["last"] or 0) + 1, facts["largest"] or 0).groupBy("block")
+        by_block = _placed(plain, cuts, buckets).groupBy("block")
         words = by_block.applyInArrow(_post_words(ranges), "range int, block int, hash binary, count binary")
-        counted = materialise(words.groupBy("range").applyInArrow(_count_words(least), _COUNTED), "words")
-        names = ("types", "tokens", "once", "symbols", "frequent")
-        totals = counted.agg(*[F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(c) for c in names]).first()
+        with Scratch(spark) as scratch:
+            counted = scratch.keep(words.groupBy("range").applyInArrow(_count_words(least), _COUNTED), "words")
+            names = ("types", "tokens", "once", "symbols", "frequent")
+            totals = counted.agg(*[F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(c) for c in names]).first()
+            answers = _kept(counted, 0, buckets)
         rare_tokens, rare_types = totals["tokens"] - totals["frequent"], totals["types"] - totals["symbols"]
         discount = min(0.9, totals["once"] / rare_types) if rare_types else 0.0
         share = discount * rare_types / rare_tokens if rare_tokens else 1.0
         unknown = float(np.log10(max(share, 1e-12)))
         types, tokens = totals["types"] + (documents > 0), totals["tokens"] + documents
         model = spark.sparkContext.broadcast(Model(tokens, types, documents, rare_tokens, discount, unknown, totals["symbols"] + 2, least, least_entry))
-        none = F.lit(None).cast("binary")
-        answers = counted.filter("block IS NOT NULL").select("block", F.lit(0).alias("level"), "hash", "count", none.alias("kind"), none.alias("value"))
         reached = 0
         for level in range(1, depth + 1):
-            posted = by_block.cogroup(answers.groupBy("block")).applyInArrow(_post_level(ranges, level, model), _POSTED)
-            answered = materialise(posted.groupBy("range").applyInArrow(_answer_level(level, model), _ANSWERED), f"contexts{level}")
-            if not answered.agg(F.sum("n_retained")).first()[0]:
-                break
-            reached = level
-            answers = answers.union(answered.filter("block IS NOT NULL").drop("n_retained"))
+            with Scratch(spark) as scratch:
+                turns = min(ranges, TURNS) if level <= 2 else 1
+                parts = []
+                for turn in range(turns):
+                    posted = by_block.cogroup(answers.groupBy("block")).applyInArrow(_post_level(ranges, level, model, turn, turns), _POSTED)
+                    parts.append(scratch.keep(posted.groupBy("range").applyInArrow(_answer_level(model), _ANSWERED), f"turn{turn}"))
+                answered = reduce(DataFrame.union, parts)
+                if not answered.agg(F.sum("n_retained")).first()[0]:
+                    break
+                reached = level
+                answers = answers.join(_kept(answered, level, buckets), "block", "left")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(_score(model, reached), schema)

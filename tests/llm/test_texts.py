@@ -218,6 +218,11 @@ def chained(i):
     return " ".join(out) + f" rare{i % 60} once{i}"
 
 
+def test_answers_about_contexts_are_not_shuffled_again(spark):
+    got = suffix_tree.score(frame(spark, [(i, chained(i)) for i in range(40)]), least=20, least_entry=3, depth=1)
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("depth", [1, 2, 5])
 def test_lm_scores_equal_a_plain_tree(spark, depth, monkeypatch):
     monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 8_000)  # several blocks and ranges
