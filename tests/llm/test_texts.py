@@ -223,6 +223,13 @@ def test_answers_about_contexts_are_not_shuffled_again(spark):
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_texts_are_read_once_for_lm_scores(spark):
+    got = suffix_tree.score(frame(spark, [(i, chained(i)) for i in range(40)]), least=20, least_entry=3, depth=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    read = {column.split("#")[0] for column in plan.replace("(", " ").replace("[", " ").replace(",", " ").split() if "#" in column}
+    assert "number" in read and not {"text", "hash"} & read
+
+
 @pytest.mark.parametrize("depth", [1, 2, 5])
 def test_lm_scores_equal_a_plain_tree(spark, depth, monkeypatch):
     monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 8_000)  # several blocks and ranges
