@@ -181,15 +181,16 @@ UNION ALL SELECT id, website, content, seq FROM old_set WHERE id IN (SELECT id F
 
 def guarded(spark, d):
     """A stream of unguarded differences, whole sources in a file; deletions name ids alone."""
-    old, new = old_set(spark, d), new_set(spark, d)
+    source, out = new_path(spark, "feed"), new_path(spark, "table")
+    sync_jobs.start_guarded(old_set(spark, d).select(*COLS), out)
+    old, new = changelog.base(spark, out), sync.with_fingerprint(new_snap(spark, d))
     site = F.col("website").alias("site")
-    ups = sync.added(new, old).select(*COLS, F.lit("upsert").alias("op"), site)
+    # copies are dropped among the added rows only, so unchanged texts are not shuffled
+    ups = sync.last_per_id(sync.added(new, old), "seq").select(*COLS, F.lit("upsert").alias("op"), site)
     gone = sync.deleted(new, old).select("id", F.lit(None).cast("string").alias("website"), F.lit(None).cast("string").alias("content"), "seq", F.lit("delete").alias("op"), site)
     changes = ups.unionByName(gone)
-    source, out = new_path(spark, "feed"), new_path(spark, "table")
     changes.repartition(8, "site").drop("site").write.json(source)
     schema = changes.drop("site").schema
-    sync_jobs.start_guarded(old.select(*COLS), out)
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).json(source)
     sync_jobs.guarded_stream(feed, out, new_path(spark, "progress"), compact_every=3).awaitTermination()
     return out, schema

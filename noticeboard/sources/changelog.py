@@ -59,6 +59,11 @@ def create(rows: DataFrame, table: str) -> None:
     _publish(spark, table, NO_BATCH, base, len(versions(spark, table)))
 
 
+def base(spark: SparkSession, table: str) -> DataFrame:
+    """The newest base, without the batches after it."""
+    return spark.read.parquet(f"{table}/{versions(spark, table)[0].base}")
+
+
 def append(changes: DataFrame, table: str, batch_id: int) -> None:
     """Store a batch; the same batch run again after a failure overwrites itself."""
     changes.write.mode("overwrite").parquet(f"{table}/changes/batch_id={batch_id}")

@@ -70,9 +70,9 @@ def last_states(states: DataFrame) -> DataFrame:
 
 
 def start_guarded(rows: DataFrame, table: str) -> None:
-    """Write the first base and the number of rows of its sources."""
+    """Write the first base and the number of rows of its sources, counted in what was written."""
     changelog.create(rows, table)
-    counts = rows.groupBy("website").agg(F.count("*").alias("n_rows"))
+    counts = changelog.base(rows.sparkSession, table).groupBy("website").agg(F.count("*").alias("n_rows"))
     zero = [F.lit(0).cast("long").alias(c) for c in ("refused", "n_old", "n_added", "n_deleted")]
     first = counts.select("website", "n_rows", *zero, F.lit(sync.SUCCESS).alias("status"))
     first.write.mode("overwrite").parquet(f"{table}/sources/batch_id={changelog.NO_BATCH}")

@@ -344,3 +344,12 @@ def test_vocabulary_is_made_once_for_prefixes(spark, monkeypatch):
     vocabulary = spark.range(50).select(text("id").alias("term"))
     assert lexical.prefix_pairs(spark.createDataFrame([("t1",)], "term string"), vocabulary).count() == 10
     assert made.value == 50
+
+
+def test_first_states_count_the_written_base(spark, tmp_path):
+    """Rows that come out otherwise when they are made again show whether they are made once."""
+    site = F.udf(lambda _: f"s{os.urandom(1)[0] % 4}", "string").asNondeterministic()
+    table = str(tmp_path / "table")
+    jobs.start_guarded(spark.range(2000).select(F.col("id").cast("string").alias("id"), site("id").alias("website")), table)
+    counts = {r.website: r["count"] for r in changelog.base(spark, table).groupBy("website").count().collect()}
+    assert {r.website: r.n_rows for r in jobs.source_states(spark, table).collect()} == counts
