@@ -314,7 +314,7 @@ class Left:
         rank = rank[of]
         row, rows, upto = np.empty(len(of), np.int32), [np.zeros(0, np.uint64)], 0
         ends = np.append(0, np.cumsum(np.bincount(rank, minlength=len(used))))
-        cuts = np.unique(np.searchsorted(ends, np.arange(0, len(of), GROUPED)))
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, max(1, len(of)), GROUPED)))
         for a, b in zip(cuts, np.append(cuts[1:], len(used)), strict=True):  # some contexts at a time, to sort less at once
             at = np.flatnonzero((rank >= a) & (rank < b))
             shifted = np.arange(a, b, dtype=np.uint64) << np.uint64(32)
