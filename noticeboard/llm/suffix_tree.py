@@ -16,7 +16,8 @@ its distinct words and the number of the word at each place. Texts are not store
 shuffled. For words and then for each length of contexts, blocks send each distinct
 (context, next symbol) once to a range of the hash space, packed: a key per context, a
 number per symbol. The range sums and tests, and answers in the order of what the block
-sent, so that no key travels back or is looked up. What a level leaves to be looked at
+sent, so that no key travels back or is looked up. It answers with counts and what a
+retained context leaves; blocks get the entries' shares from these. What a level leaves to be looked at
 by the next one is stored per block; a level reads that, not all that came before.
 """
 
@@ -359,12 +360,14 @@ def _first(s: Stream, m: Model, n: int = 1, turn: int = 0, turns: int = 1) -> Le
 def _post_level(n: int, level: int, model, turn: int, turns: int):
     """Contexts of a block with their counts, and their next symbols with the counts in training texts of the block.
 
-    Of ``turns`` calls each sends the contexts of its share of the ranges.
+    Of ``turns`` calls each sends the contexts of its share of the ranges. In contexts of one symbol
+    a next symbol has its count in all instead of the log10 in the suffix, once per range.
     """
 
     def run(table: pa.Table) -> pa.Table:
         m: Model = model.value
-        left = _first(Stream.of(table, m), m, n, turn, turns) if level == 1 else Left.of(table)
+        s = Stream.of(table, m) if level == 1 else None
+        left = _first(s, m, n, turn, turns) if level == 1 else Left.of(table)
         ranges = _ranges(left.context, n)
         cuts = np.searchsorted(ranges, np.arange(n + 1))
         used = np.flatnonzero(np.diff(cuts))
@@ -378,7 +381,9 @@ def _post_level(n: int, level: int, model, turn: int, turns: int):
             cells["context"].append(_packed(left.context[a:b]))
             cells["symbol"].append(_packed(steps[rows]))
             cells["n"].append(_packed(left.n[rows]))
-            cells["wider"].append(_packed(left.wider[rows][left.symbol[rows] != OWN]))
+            inner = left.symbol[rows] != OWN
+            wider = left.wider[rows][inner] if level > 1 else s.counts[np.searchsorted(s.symbols, np.unique(left.symbol[rows][inner]))]
+            cells["wider"].append(_packed(wider))
         out = {c: pa.array(v, pa.binary()) for c, v in cells.items()}
         return pa.table({"range": pa.array(used, pa.int32()), "block": pa.array([table["block"][0].as_py()] * len(used), pa.int64()), **out})
 
@@ -387,7 +392,7 @@ def _post_level(n: int, level: int, model, turn: int, turns: int):
 
 _POSTED = "range int, block long, context binary, symbol binary, n binary, wider binary"
 _ANSWERED = "range int, block long, status binary, counted binary, value binary, n_retained long"
-#: Numbers of answers: 0 nothing, 1 a count, 2 an entry of a retained context with count and log10, 3 a retained context with the log10 of what it leaves.
+#: Numbers of answers: 0 nothing, 1 a count, 2 a count that is an entry of a retained context, 3 a retained context with the log10 of what it leaves.
 _STATUS = {"status": np.int8, "counted": np.int64, "value": np.float32}
 
 
@@ -413,7 +418,17 @@ def judged(context: np.ndarray, entry: np.ndarray, counts: np.ndarray, wider: np
     return kind.astype(np.int8), np.log10(value).astype(np.float32)
 
 
-def _answer_level(model):
+def _widers(table: pa.Table, symbols: list[np.ndarray], m: Model, level: int) -> np.ndarray:
+    """log10 in the suffix of all next symbols that blocks sent."""
+    if level > 1:
+        return _numbers(table["wider"], np.float32)
+    out = [np.zeros(0, np.float32)]
+    for counts, symbol in zip(_unpacked(table["wider"], np.int64), symbols, strict=True):
+        out.append(m.root(counts).astype(np.float32)[np.unique(symbol[symbol != OWN], return_inverse=True)[1]])
+    return np.concatenate(out)
+
+
+def _answer_level(model, level: int):
     """Per block and in its order, what became of the rows it sent to this range."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -424,7 +439,7 @@ def _answer_level(model):
         own = symbol == OWN
         key = at.astype(np.uint64)[np.cumsum(own) - 1] << np.uint64(32) | symbol.astype(np.uint64)
         counts, wider = _numbers(table["n"], np.int64), np.zeros(len(key), np.float32)
-        wider[~own] = _numbers(table["wider"], np.float32)
+        wider[~own] = _widers(table, symbols, m, level)
         order, begins = _groups(key)
         one = order[begins]
         key, own = key[one], own[one]
@@ -441,7 +456,7 @@ def _answer_level(model):
         for block, a, b in zip(table["block"].to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
             to = slot[a:b]
             told = status[to]
-            rows.append((here, block, _packed(told), _packed(sums[to][(told == 1) | (told == 2)]), _packed(value[to][told >= 2]), None))
+            rows.append((here, block, _packed(told), _packed(sums[to][(told == 1) | (told == 2)]), _packed(value[to][told == 3]), None))
         types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
         names = [c.split()[0] for c in _ANSWERED.split(", ")]
         return pa.table({k: pa.array(v, t) for k, v, t in zip(names, zip(*rows, strict=True), types, strict=True)})
@@ -471,10 +486,13 @@ class Told:
             return cls(chance, np.zeros(len(chance), bool), np.zeros(len(chance), np.int64), row_counts)
         row_counts[(status == 1) | (status == 2)] = _cell(table, "counted", np.int64)
         value = np.zeros(len(own), np.float32)
-        value[status >= 2] = _cell(table, "value", np.float32)
+        value[status == 3] = _cell(table, "value", np.float32)
+        of, entry = np.flatnonzero(own)[left.contexts()], np.flatnonzero(status == 2)
+        whole = np.maximum(left.n[of[entry]], 1) + SMOOTHING
+        value[entry] = np.log10(row_counts[entry] / whole + 10 ** (left.wider[entry].astype(np.float64) + value[of[entry]]))
         retained = able & (status[left.row] == 2)
         chance[retained] = value[left.row[retained]]
-        context = np.flatnonzero(own)[left.contexts()[left.row]]
+        context = of[left.row]
         kept = ~retained & (status[context] == 3)
         chance[kept] += value[context[kept]]
         return cls(chance, retained | kept, row_counts[left.row], row_counts)
@@ -622,7 +640,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
                 parts = []
                 for turn in range(turns):
                     posted = sent.groupBy("block").applyInArrow(_post_level(ranges, level, model, turn, turns), _POSTED)
-                    parts.append(scratch.keep(posted.groupBy("range").applyInArrow(_answer_level(model), _ANSWERED), f"turn{turn}"))
+                    parts.append(scratch.keep(posted.groupBy("range").applyInArrow(_answer_level(model, level), _ANSWERED), f"turn{turn}"))
                 answered = reduce(DataFrame.union, parts)
                 told = answered.agg(F.sum("n_retained")).first()[0]
                 answers = _answers(answered, _STATUS, f"answers{level}", buckets) if told else None

@@ -5,10 +5,12 @@ import itertools
 import math
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from noticeboard.llm import hashing, near_dups, packing, substrings, suffix_tree
@@ -280,3 +282,28 @@ def test_lm_retained_context_sums_to_one():
     kind, value = suffix_tree.judged(context, entry, np.array([500, 200, 720, 3]), np.log10([0.1, 0.2, 1, 1]).astype(np.float32), 64, 4)
     assert kind.tolist() == [1, 1, 2, 0]
     assert math.isclose((10 ** value[:2]).sum() + 10 ** value[2] * 0.7, 1, rel_tol=1e-5)
+
+
+def test_lm_sends_a_number_once_per_symbol_and_context():
+    """Next symbols do not carry the log10 of the empty context each, and answers tell no log10 per entry."""
+    word = np.random.default_rng(5).integers(0, 6, 9000).astype(np.uint32)
+    word[1::3] = (word[::3] + 1) % 6
+    number, counts = np.arange(6, dtype=np.uint32) + suffix_tree.FIRST_WORD, np.bincount(word)
+    block = suffix_tree._row(suffix_tree._NUMBERED, block=0, doc_id=[1], held_out=[False], size=np.array([9000], np.int32), word=word, count=counts, number=number)
+    model = SimpleNamespace(value=suffix_tree.Model(9001, 7, 1, 0, 0.0, 0.0, 8, 64, 4))
+    sent = suffix_tree._post_level(2, 1, model, 0, 1)(block)
+    rows = len(suffix_tree._numbers(sent["symbol"], np.uint32)) - len(suffix_tree._numbers(sent["context"], np.uint64))
+    assert len(suffix_tree._numbers(sent["wider"], np.int64)) <= 7 * len(sent) < rows
+    answered = pa.concat_tables([suffix_tree._answer_level(model, 1)(sent.slice(i, 1)) for i in range(len(sent))])
+    answers = suffix_tree._merged(suffix_tree._STATUS)(answered.filter(pyarrow.compute.is_valid(answered["block"])))
+    status = suffix_tree._numbers(answers["status"], np.int8)
+    assert len(suffix_tree._numbers(answers["value"], np.float32)) == (status == 3).sum() < (status == 2).sum()
+    # what a block works out from these is what the whole table gives
+    left = suffix_tree._first(suffix_tree.Stream.of(block, model.value), model.value)
+    told = suffix_tree.Told.of(left, answers)
+    context = left.contexts()
+    own = left.symbol == suffix_tree.OWN
+    key = context.astype(np.uint64) * np.uint64(1000)
+    _, value = suffix_tree.judged(key, np.where(own, key, key + left.symbol), left.n, left.wider, 64, 4)
+    entry = (status == 2)[left.row]
+    assert np.abs(told.chance[entry] - value[left.row[entry]]).max() < 1e-6 and entry.any()
