@@ -266,9 +266,10 @@ def v2(spark, d):
 )
 def v2_recall(spark, d):
     """Whether the approximate form finds nine tenths of the exact ten nearest, over all queries."""
-    asked = candidates(spark, d).filter(F.col("vector").isNotNull()).withColumn("ten", F.lit(10))
-    exact = vector.cosine_topk(asked, vectors(spark, d), "ten", filtered=False).select(*CAND, "id")
-    near = vector.cosine_topk_lsh(asked, vectors(spark, d), dim=64, k=10).select(*CAND, "id", F.lit(1).alias("hit"))
+    asked = materialise(candidates(spark, d).filter(F.col("vector").isNotNull()).select(*CAND, "vector", F.lit(10).alias("ten")), "asked")
+    stored = materialise(vectors(spark, d).select("id", "vector"), "stored")
+    exact = vector.cosine_topk(asked, stored, "ten", filtered=False).select(*CAND, "id")
+    near = vector.cosine_topk_lsh(asked, stored, dim=64, k=10).select(*CAND, "id", F.lit(1).alias("hit"))
     found = exact.join(near, [*CAND, "id"], "left").agg(F.sum("hit").alias("hits"), F.count("*").alias("n"))
     queries = asked.agg(F.count("*").alias("n_queries"))
     return queries.crossJoin(found).select("n_queries", (F.col("hits") >= 0.9 * F.col("n")).alias("recall_holds"))

@@ -52,23 +52,22 @@ def _unit_batch(column: pa.Array) -> np.ndarray:
     return _unit(np.asarray(values, dtype=np.float64).reshape(len(column), -1))
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k_col: str = "pre_limit", filtered: bool = True) -> DataFrame:
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k_col: str = "pre_limit", filtered: bool = True, planes: Planes | None = None) -> DataFrame:
     """The exact ``k`` nearest vectors by cosine for every (request, query).
 
     Query vectors go out in blocks of a fixed size, so what is sent to the
     tasks never grows with the data: more queries mean more passes. Each task
     multiplies its Arrow batches with the block and keeps only its own best k
     per query, so no pair of query and document is ever a row. Filters are
-    applied before the cut.
+    applied before the cut. With ``planes`` only vectors in the buckets that a query visits count.
     """
     spark = queries.sparkSession
     extra = REQUEST_FIELDS if filtered else []
     columns = [*CAND, "vector", k_col, *extra]
     asked = queries.select(*columns).filter(F.col("vector").isNotNull())
+    asked = materialise(asked, "queries")  # written once, then counted and read block after block
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("_block", F.pmod(F.xxhash64(*CAND), F.lit(n_blocks)))
-    if n_blocks > 1:  # written once, then read block after block
-        asked = materialise(asked, "queries")
     schema = T.StructType(
         [asked.schema["request_id"], asked.schema["cand"], vectors.schema["id"], T.StructField("score", T.DoubleType())]
     )
@@ -79,7 +78,7 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k_col: str = "pre_limit"
         if rows.empty:
             continue
         shared = spark.sparkContext.broadcast(pack_queries(rows, k_col, filtered) | {"unit": _unit_rows(rows["vector"])})
-        part = docs.mapInArrow(_block_scan(shared, filtered, to_arrow_schema(schema)), schema)
+        part = docs.mapInArrow(_block_scan(shared, filtered, to_arrow_schema(schema), planes), schema)
         if n_blocks > 1:  # the next block goes out when this one is done with
             part = materialise(part, "block-hits")
             shared.destroy()
@@ -91,13 +90,17 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k_col: str = "pre_limit"
     return best.join(cut, CAND).filter(F.col("rank") <= F.col(k_col)).drop(k_col)
 
 
-def _block_scan(shared, filtered: bool, schema: pa.Schema):
+def _block_scan(shared, filtered: bool, schema: pa.Schema, planes: Planes | None):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         best = BestRows(block, filtered)
+        visits = planes.visitors(block["unit"]) if planes else None
         for batch in batches:
-            if batch.num_rows:
-                best.add(np.round(block["unit"] @ _unit_batch(batch.column("vector")).T, SCORE_DIGITS), None, batch)
+            step = PROBED_ROWS if planes else max(1, batch.num_rows)
+            for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
+                rows = _unit_batch(part.column("vector"))
+                met = planes.met(visits, rows, len(block["unit"])) if planes else None
+                best.add(np.round(block["unit"] @ rows.T, SCORE_DIGITS), met, part)
         yield from best.rows(schema)
 
     return scan
@@ -135,36 +138,35 @@ class Planes:
         flips = (np.int64(1) << order) @ sets.T
         return self.codes(margins)[:, :, None] ^ np.take_along_axis(flips, rank, axis=2)
 
-
-def _buckets(planes: Planes, visits: bool, schema: pa.Schema):
-    """Rows of all columns but the vector, once per table (and probe), with their bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, PROBED_ROWS) for b in batches for at in range(0, b.num_rows, PROBED_ROWS)):
-            margins = planes.margins(_unit_batch(batch.column("vector")))
-            found = planes.visits(margins) if visits else planes.codes(margins)[:, :, None]
-            n = found.shape[2]
-            row = pa.array(np.repeat(np.arange(batch.num_rows), planes.tables * n))
-            table = np.tile(np.repeat(np.arange(planes.tables, dtype=np.int32), n), batch.num_rows)
-            columns = [batch.column(f.name).take(row) for f in schema if f.name not in ("tbl", "bucket")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(table), pa.array(found.ravel())], schema=schema)
-
-    return run
-
-
-def bucketed(rows: DataFrame, planes: Planes, visits: bool = False) -> DataFrame:
-    """Ids (or keys) with tbl and bucket; vectors stay behind."""
-    kept = [f for f in rows.schema.fields if f.name != "vector"]
-    schema = T.StructType([*kept, T.StructField("tbl", T.IntegerType()), T.StructField("bucket", T.LongType())])
-    return rows.mapInArrow(_buckets(planes, visits, to_arrow_schema(schema)), schema)
+    def visitors(self, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By table the visited buckets, ascending, and the query of each."""
+        parts = [self.visits(self.margins(unit[at : at + PROBED_ROWS])).astype(np.int32 if self.bits < 31 else np.int64) for at in range(0, len(unit), PROBED_ROWS)]
+        out = []
+        for t in range(self.tables):
+            buckets = np.concatenate([p[:, t] for p in parts])
+            order = np.argsort(buckets.ravel(), kind="stable")
+            out.append((buckets.ravel()[order], (order // buckets.shape[1]).astype(np.int32)))
+        return out
+
+    def met(self, visitors: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, n: int) -> np.ndarray:
+        """Which of ``n`` queries visit a bucket of each row, in any table."""
+        out = np.zeros((n, len(rows)), dtype=bool)
+        codes = self.codes(self.margins(rows))
+        for t, (buckets, queries) in enumerate(visitors):
+            code = codes[:, t].astype(buckets.dtype)  # else all buckets are cast
+            low, high = np.searchsorted(buckets, code), np.searchsorted(buckets, code, side="right")
+            size = high - low
+            at = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+            out[queries[at], np.repeat(np.arange(len(rows)), size)] = True
+        return out
 
 
 def calibrated(queries: DataFrame, vectors: DataFrame, planes: Planes, k: int, recall: float) -> Planes | None:
     """Planes with as many probes as found ``recall`` of the exact neighbours of ``TRIALS`` hash-chosen queries; None if no number does."""
     trial = queries.select(*CAND, "vector").orderBy(F.xxhash64(*CAND), *CAND).limit(TRIALS).withColumn("_k", F.lit(k))
     trial = materialise(trial, "trials")
-    near = cosine_topk(trial, vectors.select("id", "vector"), "_k", filtered=False).select(*CAND, "id")
-    met = near.join(vectors.select("id", F.col("vector").alias("other")), "id").join(F.broadcast(trial.select(*CAND, "vector")), CAND)
+    near = materialise(cosine_topk(trial, vectors.select("id", "vector"), "_k", filtered=False).select(*CAND, "id"), "near")
+    met = small_side(near).join(vectors.select("id", F.col("vector").alias("other")), "id").join(F.broadcast(trial.select(*CAND, "vector")), CAND)
     pairs = met.select("vector", "other").toPandas()  # at most TRIALS times k
     if pairs.empty:
         return planes
@@ -183,31 +185,21 @@ def calibrated(queries: DataFrame, vectors: DataFrame, planes: Planes, k: int, r
 def cosine_topk_lsh(
     queries: DataFrame, vectors: DataFrame, dim: int, k: int, tables: int = 16, bits: int | None = None, seed: int = 7, recall: float = 0.95
 ) -> DataFrame:
-    """Approximate top-k: equality join on hyperplane buckets, then exact scores.
+    """Approximate top-k: vectors in the hyperplane buckets that a query visits, with exact scores.
 
     Buckets follow the corpus: unless ``bits`` is given, there are as many as hold about ``BUCKET``
     documents each. A query visits the buckets behind its nearest planes, as many per table as
     found ``recall`` of the exact neighbours of some trial queries; if no number of probes does, as on
-    vectors without clusters in a large corpus, the exact form answers. Ids alone
-    are joined to buckets; vectors are fetched once for the distinct pairs.
+    vectors without clusters in a large corpus, the exact form answers. Queries go out in blocks,
+    buckets meet inside the tasks and each task keeps its best: no pair of query and document is
+    ever a row, however many pairs the buckets make. Vectors are written once and not shuffled.
     """
-    stored = vectors.select("id", "vector").filter(F.col("vector").isNotNull())
+    stored = materialise(vectors.select("id", "vector").filter(F.col("vector").isNotNull()), "vectors")
     asked = materialise(queries.select(*CAND, "vector").filter(F.col("vector").isNotNull()), "queries")
     if bits is None:
         bits = int(min(24, max(1, round(math.log2(max(stored.count(), 2) / BUCKET)))))
     planes = calibrated(asked, stored, Planes(dim, tables, bits, seed), k, recall)
-    if planes is None:
-        return cosine_topk(asked.withColumn("_k", F.lit(k)), stored, "_k", filtered=False)
-    probes = materialise(bucketed(asked, planes, visits=True), "probes")
-    pairs = bucketed(stored, planes).join(small_side(probes), ["tbl", "bucket"]).select(*CAND, "id").distinct()
-
-    @F.pandas_udf("double")
-    def cosines(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(np.round((_unit_rows(a) * _unit_rows(b)).sum(axis=1), SCORE_DIGITS))
-
-    met = pairs.join(stored, "id").join(small_side(asked.withColumnRenamed("vector", "_asked")), CAND)
-    scored = met.select(*CAND, "id", cosines("_asked", "vector").alias("score"))
-    return ranked(scored, CAND, [F.col("score").desc(), F.col("id")], k)
+    return cosine_topk(asked.withColumn("_k", F.lit(k)), stored, "_k", filtered=False, planes=planes)
 
 
 def match_heading(titles: DataFrame, headings: DataFrame, minimum: float = C.HEADING_MIN_COSINE) -> DataFrame:

@@ -114,3 +114,21 @@ def test_visits_start_at_home_and_never_repeat():
     crossed = lambda code, i, t: sum(margins[i, t, b] ** 2 for b in range(5) if (code ^ visits[i, t, 0]) >> b & 1)
     costs = [crossed(int(c), 0, 0) for c in visits[0, 0]]
     assert costs == sorted(costs)
+
+
+def test_lsh_meets_buckets_without_a_row_per_pair(spark):
+    """The nearest among the vectors of the visited buckets, from a plan that joins no buckets and drops no copies of pairs."""
+    d, q, docs, queries = tables(spark, n_docs=1500, n_queries=40)
+    planes = vector.Planes(8, 3, 5, 1, probes=2)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    visits, codes = planes.visits(planes.margins(unit(q))), planes.codes(planes.margins(unit(d)))
+    scores = np.round(unit(q) @ unit(d).T, 6)
+    want = {}
+    for i in range(len(q)):
+        met = [j for j in range(len(d)) if any(codes[j, t] in visits[i, t] for t in range(3))]
+        want[i] = [x for _, x in sorted((-scores[i, j], f"{j:04d}") for j in met)[:9]]
+        assert 9 < len(met) < len(d)
+    plain = queries.select("request_id", "cand", "vector", "pre_limit")
+    assert found(vector.cosine_topk(plain, docs, filtered=False, planes=planes)) == want
+    plan = vector.cosine_topk_lsh(plain, docs, dim=8, k=9)._jdf.queryExecution().toString()
+    assert "bucket" not in plan and plan.count("MapInArrow") == 4  # one scan, in each of the four forms of the plan
