@@ -15,6 +15,7 @@ from noticeboard.functions import html
 from noticeboard.operators import sync
 from noticeboard.plans import chat, pages
 from noticeboard.plans import sync as sync_plan
+from noticeboard.session import materialise
 
 # -- pages to chunks ------------------------------------------------------
 # The given pages have no headings inside their article, so each is one section under its title.
@@ -78,8 +79,9 @@ def sync_full_run(spark, d):
     old, new = old_snap(spark, d), new_snap(spark, d)
     emb = table(spark, d, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
     stored = sync_plan.enrich(old_set(spark, d), "2025-12-15-00-00")
-    vectors = old_set(spark, d).select("id", "seq").join(emb, "seq").select("id", "vector")
-    known = sync.dedupe_exact(new).select("id", "seq").join(emb, "seq").select("id", "vector", F.lit(None).cast("string").alias("error"))
+    # written, so that neither the changes of vectors nor each round of embedding reads all texts again
+    vectors = materialise(old_set(spark, d).select("id", "seq").join(emb, "seq").select("id", "vector"), "old-vectors")
+    known = materialise(sync.dedupe_exact(new).select("id", "seq").join(emb, "seq").select("id", "vector", F.lit(None).cast("string").alias("error")), "known")
     run = sync_plan.full_run(stored, vectors, sites(spark, d), new, old, lambda asked, attempt: asked.join(known, "id"), "2025-12-16-00-00")
     kind = lambda name: F.lit(name).alias("kind")
     first = F.floor(F.col("vector")[0].cast("double") * 1000000).cast("string").alias("value")

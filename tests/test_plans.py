@@ -1,5 +1,6 @@
 """Whole jobs on small tables: chat requests, pages to chunks, a run with vectors and statistics."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from noticeboard.operators import sync
@@ -82,3 +83,19 @@ def test_a_run_leaves_failed_documents_out_and_reports_them(spark):
     assert {r.id for r in run.vectors.collect()} == {r.id for r in run.documents.collect()}
     assert [(r.error) for r in run.failed.collect()] == ["busy"] and run.attempts.filter("attempt = 3").count() == 1
     assert {r.website: (r.update_date, r.update_count) for r in run.sites.collect()} == {"a": ("2025-12-16", "3"), "b": ("2025-1-1", "6")}
+
+
+def test_full_run_asks_for_vectors_without_the_texts_of_the_snapshots(spark, monkeypatch):
+    from checks import plan_checks, registry
+
+    class Stop(Exception):
+        pass
+
+    def full_run(table, vectors, sites, new, old, embed, *rest):
+        files = vectors.inputFiles() + embed(spark.createDataFrame([("x", "t")], "id string, text string"), 0).inputFiles()
+        assert files and not any("documents" in f for f in files)
+        raise Stop
+
+    monkeypatch.setattr(plan_checks.sync_plan, "full_run", full_run)
+    with pytest.raises(Stop):
+        registry.QUERIES["sync_full_run"](spark, "/root/testdata/sf0.001")
